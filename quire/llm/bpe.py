@@ -18,6 +18,7 @@ keeps its state between chunks, so a character may be cut anywhere.
 from __future__ import annotations
 
 import base64
+import functools
 import hashlib
 import re
 from collections.abc import Iterable, Iterator
@@ -66,7 +67,7 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
 class Transducer:
     """Bytes to token ids. ``max_moves`` bounds the moves kept at once, ``max_pieces`` the pieces remembered whole."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 500_000, max_pieces: int = 500_000):
         self.ranks, self.max_moves, self.max_pieces = ranks, max_moves, max_pieces
         self.token = {i: t for t, i in ranks.items()}
         self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
@@ -226,6 +227,12 @@ def decode_stream(token: dict[int, bytes], ids: list[int], chunk: int = 4096) ->
         yield b"".join(map(token.__getitem__, ids[at : at + chunk]))
 
 
+@functools.lru_cache(maxsize=2)
+def transducer(rank_file: bytes) -> Transducer:
+    """One machine a Python worker: what it has worked out serves the worker's later tasks too."""
+    return Transducer(read_ranks(rank_file))
+
+
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
     """Encodes every whole text and decodes the ids again.
 
@@ -245,7 +252,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     schema = ", ".join([f"`{k}` {types[k]}" for k in keep] + ["n_tokens long", "ids_sha256 string", "decoded_sha256 string", "utf8_ok boolean"] + ["token_ids array<int>"] * with_ids)
 
     def make():
-        machine = Transducer(read_ranks(sent.value))
+        machine = transducer(sent.value)
         cut = regex.compile(pattern).findall
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
