@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, secrets
+from quire.llm import bpe, licenses, secrets, simhash
 from quire.llm.common import table
 
 
@@ -23,8 +23,12 @@ def op6_bpe_transducer(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_copies(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_rules, op5_secret_layers, op6_bpe_transducer)}
+    return {f.__name__: f for f in (op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots)}
 
 
 def oracle_sql() -> dict[str, str]:
