@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, secrets, simhash
+from quire.llm import bpe, licenses, neighbours, secrets, simhash, warc
 from quire.llm.common import table
 
 
+def op2_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.round_trip(table(spark, sf_dir, "pages"))
+
+
 def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
@@ -27,9 +31,24 @@ def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots)}
+    return {f.__name__: f for f in (op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op10_block_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {
+        "op10_block_matrix": """
+            WITH v AS (
+              SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+              WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, x -> x <> 0)) > 0
+            ), s AS (
+              SELECT q.vec_id AS query_id, c.vec_id AS vec_id, list_dot_product(q.e, c.e) AS score
+              FROM v q JOIN v c ON q.vec_id % 20 = 0 AND q.vec_id <> c.vec_id
+            )
+            SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+            FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 20""",
+    }
