@@ -7,10 +7,14 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, neighbours, secrets, simhash, warc
+from quire.llm import bpe, licenses, neighbours, secrets, simhash, toxicity, warc
 from quire.llm.common import table
 
 
+def op1_subword_softmax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_warc_members(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(table(spark, sf_dir, "pages"))
 
@@ -36,7 +40,7 @@ def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op10_block_matrix)}
+    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op10_block_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
