@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, neighbours, secrets, simhash, toxicity, warc
+from quire.llm import bpe, licenses, neighbours, ppm, secrets, simhash, toxicity, warc
 from quire.llm.common import table
 
 
@@ -35,12 +35,16 @@ def op7_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_copies(table(spark, sf_dir, "documents"))
 
 
+def op8_ppm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ppm.score(table(spark, sf_dir, "documents"))
+
+
 def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op10_block_matrix)}
+    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op10_block_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
