@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, licenses, neighbours, ppm, secrets, simhash, toxicity, warc
+from quire.llm import bpe, decontaminate, licenses, neighbours, ppm, secrets, simhash, toxicity, warc
 from quire.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op3_license_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(table(spark, sf_dir, "documents"))
 
 
+def op4_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op5_secret_layers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -44,7 +48,7 @@ def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op10_block_matrix)}
+    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op4_bm25_wand, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op10_block_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
