@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, licenses, neighbours, ppm, secrets, simhash, toxicity, warc
+from quire.llm import bpe, decontaminate, licenses, neighbours, ppm, rollup, secrets, simhash, toxicity, warc
 from quire.llm.common import table
 
 
@@ -43,16 +43,29 @@ def op8_ppm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ppm.score(table(spark, sf_dir, "documents"))
 
 
+def op9_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rollup.maintained(table(spark, sf_dir, "documents"))
+
+
 def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op4_bm25_wand, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op10_block_matrix)}
+    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op4_bm25_wand, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op9_delta_rollup, op10_block_matrix)}
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op9_delta_rollup": r"""
+            WITH t AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
+            k AS (SELECT source, lang, coalesce(text, '') AS text FROM t WHERE doc_id = first),
+            n AS (
+              SELECT source, lang, 'space-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM k
+              UNION ALL
+              SELECT source, lang, 'alnum-1', len(regexp_extract_all(text, '[0-9A-Za-z]+')) FROM k
+            )
+            SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY ALL""",
         "op10_block_matrix": """
             WITH v AS (
               SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings

@@ -196,3 +196,20 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str | N
         return run
 
     return kept.mapInArrow(by_slices(make), schema)
+
+
+def masked(docs: DataFrame, mask: str, text: str = "text") -> DataFrame:
+    """The documents, all columns, with every span that scan() finds replaced by ``mask``; null texts stay null."""
+
+    def make():
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            out = []
+            for x in part.column(text).to_pylist():
+                base, more, *_ = scan_text(x or "")
+                out.append(redacted(x, base + more, mask) if base or more else x)
+            at = part.schema.get_field_index(text)
+            return part.set_column(at, text, pa.array(out, pa.string()))
+
+        return run
+
+    return docs.mapInArrow(by_slices(make), docs.schema)
