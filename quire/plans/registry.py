@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+from quire.plans import book_queries, text_queries
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = text_queries.QUERIES | book_queries.QUERIES
+SQL: dict[str, str] = text_queries.SQL | book_queries.SQL
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
