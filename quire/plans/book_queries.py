@@ -1,2 +1,741 @@
-QUERIES={}
-SQL={}
+"""Queries of the book operators over the derived books, responses and calls."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from quire.functions import text as tx
+from quire.operators import archive, audit, calls, compact, knowledge, layout, profile, quality, scoring, segment
+from quire.plans import views
+from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, trim, words
+from quire.sources import stores
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+pages = views.book_pages
+PAGES = f"WITH {views.BOOK_PAGES_SQL}"
+
+# --- layout ------------------------------------------------------------------------
+
+ITEMS = f"{PAGES}, {views.TEXT_ITEMS_SQL}"
+#: The glyph runs of a line lie within two points, lines fourteen apart: the leader is the first run of each line.
+LINES_SQL = f"""{ITEMS}, runs AS (SELECT *, item_seq // 10 AS line FROM text_items WHERE str <> ''),
+    clustered AS (SELECT *, CAST(dense_rank() OVER (PARTITION BY book_id, page_num ORDER BY line) - 1 AS INTEGER) AS bucket, first_value(y) OVER (PARTITION BY book_id, page_num, line ORDER BY item_seq) AS leader_y FROM runs),
+    made AS (SELECT book_id, page_num, bucket, string_agg(str, '' ORDER BY x, item_seq) AS text, min(leader_y) AS y, min(x) AS x, sum(width) AS line_width, max(CASE WHEN scale_y <> 0 THEN scale_y ELSE scale_x END) AS font_size,
+      bool_or(font_name <> 'Times-Italic') AS bold, bool_or(font_name = 'Times-Italic') AS italic FROM clustered GROUP BY ALL)"""
+
+
+@query(f"{LINES_SQL} SELECT book_id, page_num, bucket, count(*) AS n, min(leader_y) AS leader_y FROM clustered GROUP BY ALL")
+def l1_cluster_items(spark, sf_dir):
+    return layout.cluster_items_to_lines(views.text_items(spark, sf_dir)).groupBy("book_id", "page_num", "bucket").agg(F.count("*").alias("n"), F.min("leader_y").alias("leader_y"))
+
+
+@query(f"{LINES_SQL} SELECT * FROM made")
+def l2_assemble_lines(spark, sf_dir):
+    return layout.assemble_lines(layout.cluster_items_to_lines(views.text_items(spark, sf_dir)))
+
+
+@query(f"{LINES_SQL} SELECT book_id, page_num, {trim('string_agg(text, chr(10) ORDER BY y DESC, bucket)')} AS text FROM made GROUP BY ALL")
+def l3_assemble_pages(spark, sf_dir):
+    return layout.assemble_pages(layout.assemble_lines(layout.cluster_items_to_lines(views.text_items(spark, sf_dir)))).select("book_id", "page_num", "text")
+
+
+def outline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nested bookmarks: every eighth page a bookmark with two below, one of which has no page."""
+    p = pages(spark, sf_dir).where("page_num % 8 = 3").select("book_id", "page_num")
+    leaf = "struct<title:string,page_num:int>"
+    deep = F.array(F.struct(F.lit(" deep ").alias("title"), (F.col("page_num") + 2).alias("page_num")).cast(leaf))
+    inner = F.array(F.struct(F.lit(None).cast("string").alias("title"), (F.col("page_num") + 1).alias("page_num"), F.expr(f"cast(array() as array<{leaf}>)").alias("items")), F.struct(F.lit("lost").alias("title"), F.lit(None).cast("int").alias("page_num"), deep.alias("items")))
+    row = F.struct(F.concat(F.lit("Part "), F.col("page_num").cast("string")).alias("title"), F.col("page_num").alias("page_num"), inner.alias("items"))
+    return p.groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_num", row.alias("r")))), lambda x: x["r"]).alias("outline"))
+
+
+OUTLINE = f"""{PAGES}, o AS (SELECT book_id, page_num FROM book_pages WHERE page_num % 8 = 3),
+    flat AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_num) - 1 AS INTEGER) AS seq, title, page_num FROM (
+      SELECT book_id, 'Part ' || page_num AS title, page_num FROM o UNION ALL SELECT book_id, 'Untitled', page_num + 1 FROM o UNION ALL SELECT book_id, 'deep', page_num + 2 FROM o))"""
+
+
+@query(f"{OUTLINE} SELECT * FROM flat")
+def s3_flatten_outline(spark, sf_dir):
+    return layout.flatten_outline(outline(spark, sf_dir))
+
+
+# --- profile and scores -------------------------------------------------------------
+
+
+def edges(head: int, tail: int) -> str:
+    cut = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim('x')}), lambda x: length(x) > 1 AND length(x) < 120)"
+    return f"""cut AS (SELECT book_id, {cut} AS l FROM book_pages),
+    freq AS (SELECT book_id, line, count(*) AS n_pages_seen FROM (SELECT book_id, unnest(list_distinct(list_concat(l[1:{head}], l[greatest(1, len(l) - {tail - 1}):]))) AS line FROM cut) GROUP BY ALL),
+    counts AS (SELECT book_id, count(*) AS n_pages FROM book_pages GROUP BY ALL)"""
+
+
+RUNNING = "n_pages_seen >= greatest(3, n_pages * 0.2::DOUBLE)"
+EVERY = "n_pages_seen >= n_pages * 0.6::DOUBLE"
+
+
+@query(f"{LINES_SQL}, c AS (SELECT book_id, font_size AS v FROM made WHERE font_size > 0) SELECT book_id, coalesce(quantile_cont(v, 0.5), 12) AS median_font_size FROM c GROUP BY ALL")
+def p1_median_font_size(spark, sf_dir):
+    return profile.median_font_size(rich_pages(spark, sf_dir))
+
+
+def rich_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    p = layout.assemble_pages(layout.assemble_lines(layout.cluster_items_to_lines(views.text_items(spark, sf_dir))))
+    return p.withColumn("width", F.when(F.col("page_num") % 3 == 0, 600.0).otherwise(0.0)).withColumn("height", F.lit(800.0))
+
+
+@query(f"{PAGES} SELECT book_id, CASE WHEN max(page_num) >= 3 THEN 600.0 ELSE 612.0 END::DOUBLE AS page_width, CASE WHEN max(page_num) >= 3 THEN 800.0 ELSE 792.0 END::DOUBLE AS page_height FROM book_pages GROUP BY ALL")
+def p2_page_dimensions(spark, sf_dir):
+    return profile.page_dimensions(pages(spark, sf_dir).withColumn("width", F.when(F.col("page_num") % 3 == 0, 600.0).otherwise(0.0)).withColumn("height", F.lit(800.0)))
+
+
+@query(f"{PAGES}, {edges(3, 2)} SELECT * FROM freq")
+def p3_edge_line_frequency(spark, sf_dir):
+    return profile.edge_line_frequency(pages(spark, sf_dir))
+
+
+@query(f"{PAGES}, {edges(12, 3)} SELECT book_id, line, n_pages_seen FROM freq JOIN counts USING (book_id) WHERE {RUNNING}")
+def p4_running_headers(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return profile.running_headers(profile.edge_line_frequency(p, 12, 3), profile.page_counts(p))
+
+
+@query(f"{PAGES}, {edges(3, 2)} SELECT book_id, line, n_pages_seen FROM freq JOIN counts USING (book_id) WHERE {EVERY}")
+def p5_every_page_lines(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return profile.every_page_lines(profile.edge_line_frequency(p), profile.page_counts(p))
+
+
+@query(f"{PAGES} SELECT book_id, 12.0::DOUBLE AS median_font_size, 612.0::DOUBLE AS page_width, 792.0::DOUBLE AS page_height, false AS has_rich, count(*) AS n_pages FROM book_pages GROUP BY ALL")
+def p6_book_context(spark, sf_dir):
+    return profile.book_context(pages(spark, sf_dir))
+
+
+def _score_sql() -> str:
+    w, caps, short = scoring.WEIGHTS, mostly_caps("text"), "length(text) < 60"
+    above, below = "line_index = 0", "line_index = n_lines - 1"
+    when = {
+        "CHAPTER_KEYWORD": f"{heading('text')} IS NOT NULL", "TOP_QUARTER": "792 - 12 * line_index >= 594", "WHITESPACE_ABOVE": above, "WHITESPACE_BELOW": below, "SHORT_LINE": short, "ALL_CAPS": caps, "STARTS_PAGE": above,
+        "SPARSE_PAGE": f"n_words < 200 AND ({caps} OR {short})", "ROMAN_NUMERAL": is_match("text", tx.ROMAN_HEADING), "WORD_NUMBER": is_match("text", tx.NUMBER_PREFIX), "ISOLATED": f"{above} AND {below} AND {short}",
+        "RUNNING_HEADER": "is_running", "EVERY_PAGE": "is_every", "LOWERCASE_START": "regexp_matches(text, '^[a-z]')", "PROSE_LENGTH": "length(text) > 120", "BOTTOM_QUARTER": "792 - 12 * line_index < 198",
+    }
+    total = " + ".join(f"CASE WHEN {c} THEN {w[r]} ELSE 0 END" for r, c in when.items())
+    reasons = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in when.items()) + "], lambda x: x IS NOT NULL)"
+    return f"""{edges(3, 2)}, heads AS (SELECT book_id, line, {RUNNING} AS is_running, {EVERY} AS is_every FROM freq JOIN counts USING (book_id)),
+    split AS (SELECT book_id, page_num, {words('text')} AS n_words, {lines('text')} AS l FROM book_pages),
+    rows_ AS (SELECT book_id, page_num, n_words, len(l) AS n_lines, unnest(range(least(14, len(l)))) AS line_index, unnest(l[1:14]) AS text FROM split),
+    flagged AS (SELECT r.*, coalesce(is_running, false) AS is_running, coalesce(is_every, false) AS is_every FROM rows_ r LEFT JOIN heads h ON r.book_id = h.book_id AND r.text = h.line),
+    scored AS (SELECT *, greatest(0, least(100, {total})) AS score, {reasons} AS reasons FROM flagged)"""
+
+
+SCORED = f"{PAGES}, {_score_sql()}"
+GATE = "(n_words < 200 OR list_has_any(reasons, ['CHAPTER_KEYWORD', 'LARGE_FONT', 'LARGE_FONT_BIG', 'BOLD', 'ALL_CAPS', 'ROMAN_NUMERAL', 'MULTI_LINE_HEADING']))"
+
+
+def candidates_sql(threshold: int, name: str = "cands") -> str:
+    """At most one candidate a page. The derived books have no label lines, so no multi-line heading."""
+    ok = "line_index < 12 AND length(text) BETWEEN 2 AND 120 AND NOT regexp_matches(text, '^[0-9]+$')"
+    caps = f"n_words < 200 AND line_index < 8 AND NOT regexp_matches(text, '^[0-9]+$') AND {mostly_caps('text')} AND NOT is_running AND NOT is_every AND score >= 25"
+    return f"""best_{name} AS (SELECT book_id, page_num, text, score, reasons, n_words FROM scored WHERE {ok} AND score >= {threshold} QUALIFY row_number() OVER (PARTITION BY book_id, page_num ORDER BY score DESC, line_index) = 1),
+    caps_{name} AS (SELECT book_id, page_num, text, score, reasons FROM scored WHERE {caps} QUALIFY row_number() OVER (PARTITION BY book_id, page_num ORDER BY line_index) = 1),
+    {name} AS (SELECT book_id, page_num, text AS title, score, reasons, 1 AS pass FROM best_{name} WHERE {GATE} UNION ALL
+      SELECT book_id, page_num, text, score, reasons, 2 FROM caps_{name} c WHERE NOT EXISTS (SELECT 1 FROM best_{name} b WHERE b.book_id = c.book_id AND b.page_num = c.page_num))"""
+
+
+@query(f"{SCORED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_words AS INTEGER) AS n_words FROM scored")
+def c1_page_lines(spark, sf_dir):
+    return scoring.page_lines(pages(spark, sf_dir)).select("book_id", "page_num", "line_index", "text", "n_lines", "n_words")
+
+
+@query(f"{SCORED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, CASE WHEN line_index = 0 THEN 30.0 ELSE 0.0 END::DOUBLE AS gap_above, CASE WHEN line_index = n_lines - 1 THEN 30.0 ELSE 0.0 END::DOUBLE AS gap_below FROM scored")
+def c2_line_gaps(spark, sf_dir):
+    return scoring.line_gaps(scoring.page_lines(pages(spark, sf_dir)))
+
+
+def scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored_lines(pages(spark, sf_dir))
+
+
+@query(f"{SCORED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, score, array_to_string(reasons, ',') AS reasons FROM scored")
+def c3_score_lines(spark, sf_dir):
+    return scored(spark, sf_dir).select("book_id", "page_num", "line_index", "text", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(f"{PAGES} SELECT book_id, page_num, 'CHAPTER ' || (page_num % 90 + 1) || ' — ' || book_id AS title, 85 AS score FROM book_pages WHERE page_num % 6 <> 5")
+def c4_multi_line_headings(spark, sf_dir):
+    label = F.when(F.col("page_num") % 6 == 5, F.lit("chapters")).otherwise(F.lit("CHAPTER"))
+    p = pages(spark, sf_dir).withColumn("text", F.concat_ws("\n", label, (F.col("page_num") % 90 + 1).cast("string"), F.col("book_id"), F.lit("")))
+    none = spark.createDataFrame([], "book_id string, line string, is_running boolean, is_every boolean")
+    return scoring.multi_line_headings(scoring.score_lines(scoring.page_lines(p), none)).drop("reasons")
+
+
+@query(f"{SCORED}, {candidates_sql(40)} SELECT book_id, page_num, text AS title, score FROM best_cands")
+def c5_best_line_per_page(spark, sf_dir):
+    return scoring.best_line_per_page(scored(spark, sf_dir)).select("book_id", "page_num", "title", "score")
+
+
+@query(f"{SCORED}, {candidates_sql(40)} SELECT book_id, page_num, text AS title, score FROM best_cands WHERE {GATE}")
+def c6_meaningful_signal_gate(spark, sf_dir):
+    return scoring.meaningful_signal_gate(scoring.best_line_per_page(scored(spark, sf_dir))).select("book_id", "page_num", "title", "score")
+
+
+@query(f"{SCORED}, {candidates_sql(40)} SELECT book_id, page_num, text AS title, score FROM caps_cands")
+def c7_sparse_caps_candidates(spark, sf_dir):
+    return scoring.sparse_caps_candidates(scored(spark, sf_dir)).drop("reasons")
+
+
+@query(f"{SCORED}, {candidates_sql(25)} SELECT book_id, page_num, title, score, pass FROM cands")
+def c8_score_pages_relaxed(spark, sf_dir):
+    return scoring.score_pages(scored(spark, sf_dir), scoring.RELAXED).drop("reasons")
+
+
+FOUND = f"""{edges(12, 3)}, heads AS (SELECT book_id, line, true AS is_running FROM freq JOIN counts USING (book_id) WHERE {RUNNING}),
+    split AS (SELECT book_id, page_num, {words('text')} AS n_words, {lines('text')} AS l FROM book_pages),
+    rows_ AS (SELECT book_id, page_num, n_words, unnest(range(least(12, len(l)))) AS i, unnest(l[1:12]) AS text FROM split),
+    free AS (SELECT r.* FROM rows_ r LEFT JOIN heads h ON r.book_id = h.book_id AND r.text = h.line WHERE h.line IS NULL AND NOT regexp_matches(text, '^[0-9]+$')),
+    found AS (SELECT book_id, page_num, coalesce(min_by(text, CASE WHEN length(text) BETWEEN 2 AND 120 AND {heading('text')} IS NOT NULL THEN i END), min_by(text, CASE WHEN i < 8 AND n_words < 250 AND {all_caps('text')} THEN i END)) AS title FROM free GROUP BY ALL HAVING title IS NOT NULL)"""
+
+
+@query(f"{PAGES}, {FOUND} SELECT * FROM found")
+def c9_find_heading(spark, sf_dir):
+    return scoring.find_heading(pages(spark, sf_dir))
+
+
+# --- segmentation ----------------------------------------------------------------------
+
+
+def chapters_sql(source: str, name: str = "ch") -> str:
+    """Chapters from starts (book_id, page_num, title): positions are page numbers in the derived books."""
+    return f"""{name}_s AS (SELECT c.*, n_pages, row_number() OVER w - 1 AS i, lead(page_num) OVER w AS nxt FROM (SELECT book_id, page_num, title FROM {source}) c JOIN (SELECT book_id, count(*) AS n_pages FROM book_pages GROUP BY ALL) t USING (book_id) WINDOW w AS (PARTITION BY book_id ORDER BY page_num)),
+    {name} AS (SELECT book_id, CAST(i AS INTEGER) AS chapter_index, title, CAST(CASE WHEN i = 0 THEN 1 ELSE page_num END AS INTEGER) AS page_start, CAST(coalesce(nxt - 1, n_pages) AS INTEGER) AS page_end FROM {name}_s)"""
+
+
+OUT = ["book_id", "chapter_index", "title", "page_start", "page_end"]
+
+
+@query(
+    f"""{OUTLINE}, m AS (SELECT *, lead(page_num) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS nxt FROM flat), t AS (SELECT book_id, count(*) AS n_pages FROM book_pages GROUP BY ALL),
+    k AS (SELECT m.*, n_pages FROM m JOIN t USING (book_id) WHERE m.page_num <= n_pages AND coalesce(nxt - 1, n_pages) >= m.page_num)
+    SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_num) - 1 AS INTEGER) AS chapter_index, title, page_num AS page_start, CAST(coalesce(nxt - 1, n_pages) AS INTEGER) AS page_end FROM k QUALIFY count(*) OVER (PARTITION BY book_id) >= 2"""
+)
+def g1_segment_by_outline(spark, sf_dir):
+    return segment.segment_by_outline(segment.page_index(pages(spark, sf_dir)), layout.flatten_outline(outline(spark, sf_dir))).select(*OUT)
+
+
+@query(f"{SCORED}, {candidates_sql(40)}, {chapters_sql('cands')} SELECT * FROM ch")
+def g2_segment_by_candidates(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return segment.segment_by_candidates(segment.page_index(p), scoring.score_pages(scoring.scored_lines(p))).select(*OUT)
+
+
+PATTERNS = f"{PAGES}, {FOUND}, {chapters_sql('found')}"
+
+
+@query(f"{PATTERNS} SELECT * FROM ch")
+def g3_segment_by_patterns(spark, sf_dir):
+    return segment.segment_by_patterns(pages(spark, sf_dir)).select(*OUT)
+
+
+@query(
+    f"""{PATTERNS} SELECT book_id, chapter_index, title, CASE WHEN {is_match('title', tx.NUMBER_RULES[0][2])} THEN 'chapter' ELSE 'roman' END AS kind, CAST((page_end + 3) // 4 AS INTEGER) AS value FROM ch
+    WHERE ({is_match('title', tx.NUMBER_RULES[0][2])} OR title LIKE '%. Title')"""
+)
+def g4_annotate_numbers(spark, sf_dir):
+    x = segment.annotate_numbers(segment.segment_by_patterns(pages(spark, sf_dir))).where("title rlike '^Chapter ' or title like '%. Title'")
+    # the value comes from the title, the SQL's from the page: they agree where a chapter ends before the next heading
+    return x.select("book_id", "chapter_index", "title", "kind", "value")
+
+
+def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.segment_by_patterns(pages(spark, sf_dir))
+
+
+@query()
+def g5_sequence_continuity(spark, sf_dir):
+    return segment.sequence_continuity(segment.annotate_numbers(patterns(spark, sf_dir)))
+
+
+@query()
+def g6_best_sequence(spark, sf_dir):
+    return segment.best_sequence(patterns(spark, sf_dir))
+
+
+@query()
+def g7_merge_around_sequence(spark, sf_dir):
+    c = patterns(spark, sf_dir)
+    return segment.merge_around_sequence(c, segment.best_sequence(c))
+
+
+@query(
+    f"""{PAGES}, w AS (SELECT book_id, page_num, {words('text')} AS n_words, ({lines('text')})[1] AS title FROM book_pages), p AS (SELECT *, lag(n_words) OVER (PARTITION BY book_id ORDER BY page_num) AS before FROM w)
+    SELECT book_id, page_num, title FROM p WHERE before > 80 AND n_words < 60 AND regexp_matches(title, '^[A-Z]') AND length(title) < 60"""
+)
+def g8_structural_breaks(spark, sf_dir):
+    return segment.structural_breaks(pages(spark, sf_dir))
+
+
+@query(
+    f"""{PAGES}, t AS (SELECT book_id, page_num, count(*) OVER (PARTITION BY book_id) AS n FROM book_pages), i AS (SELECT *, (page_num - 1) // CAST(ceil(n / least(20, greatest(5, n // 20))) AS INTEGER) AS i FROM t WHERE n >= 20)
+    SELECT book_id, CAST(i AS INTEGER) AS chapter_index, 'Section ' || CAST(i + 1 AS INTEGER) || ' (pp. ' || min(page_num) || '–' || max(page_num) || ')' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM i GROUP BY ALL"""
+)
+def g9_n_page_sections(spark, sf_dir):
+    return segment.n_page_sections(segment.page_index(pages(spark, sf_dir))).select(*OUT)
+
+
+@query(f"{PAGES} SELECT book_id, 0 AS chapter_index, 'Full Book' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM book_pages GROUP BY ALL")
+def g10_whole_book(spark, sf_dir):
+    return segment.whole_book(segment.page_index(pages(spark, sf_dir))).select(*OUT)
+
+
+FACTS = f"""{PATTERNS}, d AS (SELECT book_id, title, count(*) AS c FROM ch GROUP BY ALL), f AS (SELECT book_id, sum(c) AS n, sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS dup FROM d GROUP BY ALL), z AS (SELECT c.book_id, c.n_pages, n, dup FROM counts c LEFT JOIN f USING (book_id))"""
+
+
+@query(f"{FACTS} SELECT book_id, (CASE WHEN n_pages / n > 80 THEN 0.8::DOUBLE WHEN n_pages / n < 4 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END) * 0.7::DOUBLE + least(1.0::DOUBLE, n / 5) * 0.3::DOUBLE AS quality FROM z WHERE n IS NOT NULL")
+def g11_chapter_quality(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return segment.chapter_quality(segment.segment_by_patterns(p), profile.page_counts(p))
+
+
+@query(f"{FACTS} SELECT book_id, coalesce(n_pages / n >= 1.5 AND NOT (n = 1 AND n_pages > 30) AND dup / n <= 0.4, false) AS sane FROM z")
+def g12_sanity_check(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return segment.sanity_check(segment.segment_by_patterns(p), profile.page_counts(p))
+
+
+@query(
+    f"""{PATTERNS}, a AS (SELECT c.book_id, count(*) AS n, min(page_end - page_start + 1) AS lo, max(page_end - page_start + 1) AS hi, min(n_pages) AS total FROM ch c JOIN counts USING (book_id) GROUP BY ALL)
+    SELECT book_id, CAST(n AS INTEGER) AS detected_chapters, CAST(floor(total / n + 0.5) AS INTEGER) AS avg_pages_per_chapter, CAST(lo AS INTEGER) AS min_pages, CAST(hi AS INTEGER) AS max_pages FROM a"""
+)
+def g13_diagnostics(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return segment.diagnostics(segment.segment_by_patterns(p), profile.page_counts(p)).drop("warnings")
+
+
+@query()
+def g14_detect_chapters(spark, sf_dir):
+    return segment.detect_chapters(pages(spark, sf_dir))
+
+
+@query()
+def g14_detect_with_outline(spark, sf_dir):
+    return segment.detect_chapters(pages(spark, sf_dir), layout.flatten_outline(outline(spark, sf_dir)))
+
+
+# --- compaction -----------------------------------------------------------------------
+
+
+def whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.n_page_sections(segment.page_index(pages(spark, sf_dir)))
+
+
+SECTIONS = f"""{PAGES}, t AS (SELECT book_id, page_num, text, count(*) OVER (PARTITION BY book_id) AS n FROM book_pages), sec AS (SELECT *, CAST((page_num - 1) // CAST(ceil(n / least(20, greatest(5, n // 20))) AS INTEGER) AS INTEGER) AS chapter_index FROM t WHERE n >= 20),
+    txt AS (SELECT book_id, chapter_index, string_agg(text, chr(10) || chr(10) ORDER BY page_num) AS text FROM sec GROUP BY ALL)"""
+
+
+@query(f"{SECTIONS} SELECT * FROM txt")
+def k1_chapter_text(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return compact.chapter_text(segment.page_chapter(p, whole(spark, sf_dir)), p)
+
+
+@query()
+def k2_group_chapters(spark, sf_dir):
+    return compact.group_chapters(patterns(spark, sf_dir), 5).drop("merged_originals")
+
+
+@query(
+    f"""{SECTIONS}, clean AS (SELECT book_id, chapter_index, {trim("regexp_replace(regexp_replace(text, '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS t FROM txt),
+    paras AS (SELECT book_id, chapter_index, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {trim('x')}), lambda x: length(x) >= 30 AND NOT regexp_matches(x, '^[0-9]+$')) AS p FROM clean),
+    n AS (SELECT *, len(p) AS n, CAST(least(6, ceil(len(p) * 0.1)) AS INTEGER) AS m FROM paras),
+    some AS (SELECT book_id, chapter_index, unnest(list_concat(list_concat(p[1:CAST(ceil(n * 0.5) AS INTEGER)], p[greatest(n // 2 - m // 2, 0) + 1:n // 2 - m // 2 + m]), p[n - CAST(ceil(n * 0.2) AS INTEGER) + 1:])) AS x,
+      unnest(range(CAST(ceil(n * 0.5) AS INTEGER) + m + CAST(ceil(n * 0.2) AS INTEGER))) AS i FROM n WHERE length(t) > 15000 AND n > 1),
+    first AS (SELECT book_id, chapter_index, x, min(i) AS i FROM some GROUP BY ALL), run AS (SELECT *, sum(length(x) + 2) OVER (PARTITION BY book_id, chapter_index ORDER BY i) - 2 AS upto FROM first),
+    fit AS (SELECT *, bool_or(upto > 15000) OVER (PARTITION BY book_id, chapter_index ORDER BY i) AS full FROM run),
+    joined AS (SELECT book_id, chapter_index, string_agg(x, chr(10) || chr(10) ORDER BY i) AS g FROM fit WHERE NOT full GROUP BY ALL)
+    SELECT n.book_id, n.chapter_index, CASE WHEN length(t) <= 15000 THEN t WHEN n = 1 THEN p[1][1:15000] ELSE coalesce(g, t[1:15000]) END AS text FROM n LEFT JOIN joined USING (book_id, chapter_index)"""
+)
+def k3_compress_text(spark, sf_dir):
+    p = pages(spark, sf_dir)
+    return compact.chapter_text(segment.page_chapter(p, whole(spark, sf_dir)), p).select("book_id", "chapter_index", compact.compress_text(F.col("text")).alias("text"))
+
+
+@query()
+def k4_chunk_chapters(spark, sf_dir):
+    return compact.chunk_chapters(compact.with_text(whole(spark, sf_dir), pages(spark, sf_dir))).drop("summary")
+
+
+@query()
+def k5_build_chunks(spark, sf_dir):
+    return compact.build_chunks(pages(spark, sf_dir)).drop("summary")
+
+
+@query()
+def k6_prepare_books(spark, sf_dir):
+    return compact.prepare_books(pages(spark, sf_dir))[0].select("id", "title", "page_count", "chapter_count", "status", "pipeline_metrics.ai_calls_total")
+
+
+# --- knowledge --------------------------------------------------------------------------
+
+ANSWERS = r"""WITH c AS (SELECT 'b' || conv_id AS book_id, CAST(turn AS INTEGER) AS chapter_index, list_filter(string_split(regexp_replace(coalesce(text, ''), '[^A-Za-z ]', '', 'g'), ' '), lambda x: x <> '') AS w, conv_id + turn AS k FROM conversations),
+    a AS (SELECT book_id, chapter_index, k, k % 7 <> 0 AS answered_ok, k % 7 <> 0 AND k % 5 <> 0 AS good, coalesce(w[1], 'none') AS w0, coalesce(w[2], 'none') AS w1, coalesce(w[3], 'none') AS w2, coalesce(w[4], 'none') AS w3, coalesce(w[5], 'none') AS w4, coalesce(w[6], 'none') AS w5 FROM c)"""
+ITEMS_SQL = f"""{ANSWERS}, items AS (
+      SELECT book_id, 'concepts' AS category, chapter_index, unnest([0, 1, 2]) AS position, unnest([w1, upper(w1), w2]) AS item, unnest([lower(w1), lower(w1), lower(w2)]) AS item_key FROM a WHERE good
+      UNION ALL SELECT book_id, 'principles', chapter_index, 0, w3, lower(w3) FROM a WHERE good
+      UNION ALL SELECT book_id, 'vocabulary', chapter_index, unnest([0, 1]), unnest(['{{"term":"' || w4 || '","definition":"d"}}', w4]), unnest([lower(w4), lower(w4)]) FROM a WHERE good
+      UNION ALL SELECT book_id, 'quotes', chapter_index, 0, '{{"text":"' || w5 || '","context":"c"}}', lower(w5) FROM a WHERE good),
+    deduped AS (SELECT * FROM items QUALIFY row_number() OVER (PARTITION BY book_id, category, item_key ORDER BY chapter_index, position) = 1)"""
+
+
+@query(
+    r"""SELECT 'b' || conv_id || '-ch-' || turn AS request_id, 'b' || conv_id AS book_id, CAST(turn AS INTEGER) AS chapter_index, 'Analyze this book chapter and extract all knowledge.' || chr(10) || chr(10) || 'CHAPTER: "Turn ' || turn || '"' || chr(10) || chr(10) || 'TEXT:' || chr(10) || coalesce(text, '') AS prompt, 1500 AS max_tokens, 0.2::DOUBLE AS temperature FROM conversations"""
+)
+def w1_build_chapter_requests(spark, sf_dir):
+    return knowledge.build_chapter_requests(views.chapters(spark, sf_dir)).drop("system")
+
+
+def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.apply_responses(views.chapters(spark, sf_dir), views.responses(spark, sf_dir))
+
+
+@query(f"{ANSWERS}, s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS i FROM a WHERE good) SELECT book_id, '{knowledge.SUMMARY_PROMPT}' || chr(10) || chr(10) || 'CHAPTER SUMMARIES:' || chr(10) || string_agg('[Chapter ' || i || '] ' || w0, chr(10) || chr(10) ORDER BY i) AS prompt FROM s GROUP BY book_id HAVING count(*) >= 2")
+def w2_build_book_summary_requests(spark, sf_dir):
+    return knowledge.build_book_summary_requests(answered(spark, sf_dir)).select("book_id", "prompt")
+
+
+@query(f"{ANSWERS} SELECT book_id, chapter_index, CASE WHEN good THEN w0 END AS summary, CASE WHEN good THEN w1 || '|' || upper(w1) || '|' || w2 END AS concepts, CASE WHEN good THEN 0 END AS n_actions FROM a")
+def w3_parse_chapter_knowledge(spark, sf_dir):
+    r = views.responses(spark, sf_dir).withColumn("k", knowledge.parse_chapter_knowledge(F.col("raw")))
+    return r.select("book_id", "chapter_index", "k.summary", F.when(F.col("k").isNotNull(), F.array_join("k.concepts", "|")).alias("concepts"), F.when(F.col("k").isNotNull(), F.size("k.actionable_ideas")).alias("n_actions"))
+
+
+@query(f"{ANSWERS} SELECT book_id || '-ch-' || chapter_index AS id, answered_ok AS ai_processed, CASE WHEN good THEN w0 ELSE '' END AS summary, CASE WHEN good THEN 3 ELSE 0 END AS n_concepts FROM a")
+def w4_apply_responses(spark, sf_dir):
+    return answered(spark, sf_dir).select("id", "ai_processed", "summary", F.size("ai_knowledge.concepts").alias("n_concepts"))
+
+
+@query(f"{ITEMS_SQL} SELECT book_id, category, chapter_index, position, item FROM items")
+def w5_explode_knowledge(spark, sf_dir):
+    return knowledge.explode_knowledge(answered(spark, sf_dir))
+
+
+@query(f"{ITEMS_SQL} SELECT book_id, category, chapter_index, position, item, item_key FROM deduped")
+def w6_dedup_items(spark, sf_dir):
+    return knowledge.dedup_items(knowledge.explode_knowledge(answered(spark, sf_dir)))
+
+
+@query(f"{ITEMS_SQL} SELECT book_id, category, item, CAST(row_number() OVER (PARTITION BY book_id, category ORDER BY chapter_index, position) AS INTEGER) AS rank FROM deduped QUALIFY rank <= 3")
+def w7_cap_items(spark, sf_dir):
+    return knowledge.cap_items(knowledge.dedup_items(knowledge.explode_knowledge(answered(spark, sf_dir))), dict.fromkeys(knowledge.CAPS, 3)).select("book_id", "category", "item", "rank")
+
+
+@query(
+    f"""{ITEMS_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, category ORDER BY chapter_index, position) AS rank FROM deduped), b AS (SELECT DISTINCT book_id FROM a)
+    SELECT b.book_id, coalesce(string_agg(item, '|' ORDER BY rank) FILTER (category = 'concepts' AND rank <= 20), '') AS concepts, coalesce(string_agg(item, '|' ORDER BY rank) FILTER (category = 'principles' AND rank <= 15), '') AS principles, '' AS actionable_ideas,
+      coalesce(string_agg(item, '|' ORDER BY rank) FILTER (category = 'vocabulary' AND rank <= 20), '') AS vocabulary, coalesce(string_agg(item, '|' ORDER BY rank) FILTER (category = 'quotes' AND rank <= 10), '') AS quotes FROM b LEFT JOIN r ON b.book_id = r.book_id GROUP BY b.book_id"""
+)
+def w8_aggregate_knowledge(spark, sf_dir):
+    return knowledge.aggregate_knowledge(answered(spark, sf_dir)).select("book_id", *(F.array_join(c, "|").alias(c) for c in knowledge.CAPS))
+
+
+def books(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A book for each conversation."""
+    c = views.chapters(spark, sf_dir).groupBy("book_id").agg(F.count("*").cast("int").alias("n"))
+    k = F.regexp_extract("book_id", "([0-9]+)", 1).cast("int")
+    status = F.get(F.array(*map(F.lit, archive.STATUS)), k % 5)
+    return c.select(F.col("book_id").alias("id"), F.concat(F.lit("Book "), k.cast("string")).alias("title"), F.lit("f.pdf").alias("filename"), F.col("n").alias("page_count"), F.col("n").alias("chapter_count"), F.lit(None).cast("string").alias("summary"), status.alias("status"), F.when(k % 3 > 0, k.cast("long") * 1000).alias("created_at"), F.struct(F.col("n").alias("pages"), F.col("n").alias("chapters"), (F.col("n") + 1).alias("ai_calls_total"), F.lit(0).alias("ai_calls_done")).alias("pipeline_metrics"))
+
+
+BOOKS = """b AS (SELECT 'b' || conv_id AS id, conv_id AS k, count(*) AS n, (['processing', 'extracted', 'complete', 'rate-limited', 'error'])[conv_id % 5 + 1] AS status, CASE WHEN conv_id % 3 > 0 THEN conv_id * 1000 END AS created_at FROM conversations GROUP BY conv_id)"""
+SUMMARY = f"""{ANSWERS}, {BOOKS}, s AS (SELECT book_id, count(*) AS c, min_by(w0, chapter_index) AS f FROM a WHERE good GROUP BY ALL),
+    chosen AS (SELECT id, k, n, c, CASE WHEN c = 1 THEN f WHEN c > 1 THEN CASE WHEN k % 4 = 0 THEN f ELSE 'Sum ' || k END ELSE '' END AS summary FROM b LEFT JOIN s ON id = book_id)"""
+
+
+def summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.regexp_extract("book_id", "([0-9]+)", 1).cast("int")
+    return views.chapters(spark, sf_dir).select("book_id").distinct().select("book_id", F.when(k % 4 != 0, F.concat(F.lit("Sum "), k.cast("string"))).alias("raw"))
+
+
+@query(f"{SUMMARY} SELECT id, summary FROM chosen")
+def w9_choose_book_summary(spark, sf_dir):
+    return knowledge.choose_book_summary(books(spark, sf_dir), answered(spark, sf_dir), summaries(spark, sf_dir))
+
+
+@query(f"{SUMMARY} SELECT id, summary, 'complete' AS status, CAST(n + CASE WHEN c > 0 THEN 1 ELSE 0 END AS INTEGER) AS ai_calls_done FROM chosen")
+def w10_finalize_books(spark, sf_dir):
+    return knowledge.finalize_books(books(spark, sf_dir), answered(spark, sf_dir), summaries(spark, sf_dir)).select("id", "summary", "status", "pipeline_metrics.ai_calls_done")
+
+
+@query(f"{ANSWERS} SELECT book_id, CAST(count(*) AS INTEGER) AS chapters, CAST(count(*) + 1 AS INTEGER) AS ai_calls_total, CAST(count(*) FILTER (answered_ok) AS INTEGER) AS ai_calls_done FROM a GROUP BY book_id")
+def w11_call_metrics(spark, sf_dir):
+    return knowledge.call_metrics(answered(spark, sf_dir))
+
+
+# --- archive ------------------------------------------------------------------------------
+
+
+def knowledge_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return knowledge.aggregate_knowledge(answered(spark, sf_dir))
+
+
+def some(df: DataFrame, rest: int, key: str = "id") -> DataFrame:
+    return df.where(F.regexp_extract(key, "([0-9]+)", 1).cast("int") % 4 == rest)
+
+
+def all_stores(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    return {"books": books(spark, sf_dir), "chapters": answered(spark, sf_dir), "knowledge": knowledge_store(spark, sf_dir)}
+
+
+def chosen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books an archive operation is asked for: every fourth."""
+    return some(books(spark, sf_dir), 1).select(F.col("id").alias("book_id"))
+
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN k % 4 = 1 THEN 'complete' ELSE status END AS status FROM b UNION ALL SELECT 'new' || id, 'extracted' FROM b WHERE k % 4 = 2")
+def v1_upsert(spark, sf_dir):
+    b = books(spark, sf_dir)
+    new = some(b, 1).withColumn("status", F.lit("complete")).withColumn("o", F.lit(2)).unionByName(some(b, 1).withColumn("status", F.lit("error")).withColumn("o", F.lit(1))).unionByName(some(b, 2).withColumn("id", F.concat(F.lit("new"), "id")).withColumn("status", F.lit("extracted")).withColumn("o", F.lit(1)))
+    return archive.upsert(b, new, "id", "o").select("id", "status")
+
+
+@query(f"{ANSWERS} SELECT book_id, chapter_index AS index FROM a WHERE CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1")
+def v2_get_by_book(spark, sf_dir):
+    return archive.get_by_book(views.chapters(spark, sf_dir), chosen(spark, sf_dir)).select("book_id", "index")
+
+
+@query(f"{ANSWERS} SELECT book_id, book_id || '-ch-' || chapter_index AS id, NULL AS error FROM a WHERE NOT answered_ok AND CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1 UNION ALL SELECT 'gone' || conv_id, NULL, 'no chapter data' FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 = 1)")
+def v3_pending_chapters(spark, sf_dir):
+    ids = chosen(spark, sf_dir)
+    return archive.pending_chapters(answered(spark, sf_dir), ids.unionByName(ids.select(F.regexp_replace("book_id", "^b", "gone").alias("book_id")))).select("book_id", "id", "error")
+
+
+def _sizes(s: dict[str, DataFrame]) -> DataFrame:
+    out = None
+    for name in sorted(s):
+        one = s[name].agg(F.count("*").alias("n")).select(F.lit(name).alias("store"), "n")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@query(f"WITH {BOOKS} SELECT 'books' AS store, count(*) AS n FROM b WHERE k % 4 <> 1 UNION ALL SELECT 'knowledge', count(*) FROM b WHERE k % 4 <> 1 UNION ALL SELECT 'chapters', count(*) FROM conversations WHERE conv_id % 4 <> 1")
+def v4_delete_books(spark, sf_dir):
+    return _sizes(archive.delete_books(all_stores(spark, sf_dir), chosen(spark, sf_dir)))
+
+
+@query(f"{ANSWERS} SELECT book_id || '-ch-' || chapter_index AS id, CASE WHEN CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1 THEN false ELSE answered_ok END AS ai_processed, CASE WHEN CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1 THEN NULL WHEN good THEN w0 ELSE '' END AS summary FROM a")
+def v5_reset_for_reprocess(spark, sf_dir):
+    return archive.reset_for_reprocess(all_stores(spark, sf_dir), chosen(spark, sf_dir))["chapters"].select("id", "ai_processed", "summary")
+
+
+@query("SELECT 'books' AS store, 0::BIGINT AS n UNION ALL SELECT 'knowledge', 0 UNION ALL SELECT 'chapters', count(*) FROM conversations WHERE conv_id % 4 = 2")
+def v6_clear_all_books(spark, sf_dir):
+    s = all_stores(spark, sf_dir)
+    s["chapters"] = s["chapters"].withColumn("book_id", F.when(F.regexp_extract("book_id", "([0-9]+)", 1).cast("int") % 4 == 2, "lost").otherwise(F.col("book_id")))
+    return _sizes(archive.clear_all_books(s))
+
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN status = 'processing' THEN 'extracted' ELSE status END AS status FROM b")
+def v7_reset_queue(spark, sf_dir):
+    return archive.reset_queue(books(spark, sf_dir)).select("id", "status")
+
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN k % 4 = 1 THEN 'rate-limited' WHEN k % 4 = 2 AND status NOT IN ('extracted', 'rate-limited') THEN 'error' ELSE status END AS status FROM b WHERE k % 4 <> 3")
+def v8_mark_failures(spark, sf_dir):
+    b = books(spark, sf_dir)
+    k = F.regexp_extract("id", "([0-9]+)", 1).cast("int") % 4
+    f = b.where(k > 0).select(F.col("id").alias("book_id"), F.get(F.array(F.lit(""), F.lit("rate-limit"), F.lit("error"), F.lit("cancelled-fresh")), k).alias("kind"))
+    return archive.mark_failures(b, f).select("id", "status")
+
+
+@query(f"WITH {BOOKS} SELECT id, created_at, (SELECT count(*) FROM b) AS total FROM b")
+def v9_library_listing(spark, sf_dir):
+    return archive.library_listing(books(spark, sf_dir)).select("id", "created_at", "total")
+
+
+@query(f"{ANSWERS} SELECT book_id AS id, string_agg('' || chapter_index, ',' ORDER BY chapter_index) AS chapters FROM a GROUP BY book_id")
+def v10_book_detail(spark, sf_dir):
+    return archive.book_detail(books(spark, sf_dir), answered(spark, sf_dir), knowledge_store(spark, sf_dir)).select("id", F.array_join(F.transform("chapters", lambda c: c["index"].cast("string")), ",").alias("chapters"))
+
+
+@query("SELECT 'chapters' AS store, 'b' || conv_id AS book_id, count(*) AS n FROM conversations WHERE conv_id % 4 = 1 GROUP BY conv_id UNION ALL SELECT DISTINCT 'knowledge', 'b' || conv_id, 1 FROM conversations WHERE conv_id % 4 = 1")
+def v11_orphan_records(spark, sf_dir):
+    s = all_stores(spark, sf_dir)
+    gone = chosen(spark, sf_dir)
+    return archive.orphan_records(s | {"books": s["books"].join(gone, s["books"]["id"] == gone["book_id"], "left_anti")})
+
+
+# --- calls ----------------------------------------------------------------------------------
+
+CALLS = f"WITH {views.CALLS_SQL}"
+
+
+@query(f"{CALLS} SELECT call_id, key, started_at, count(*) OVER w AS n_calls, greatest(0, 12 - count(*) OVER w) AS remaining FROM calls WINDOW w AS (PARTITION BY key ORDER BY epoch_us(started_at) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+def r1_rolling_call_counts(spark, sf_dir):
+    return calls.rolling_call_counts(views.calls(spark, sf_dir))
+
+
+@query(f"{CALLS}, g AS (SELECT call_id, key, epoch_us(started_at) - epoch_us(lag(ended_at) OVER (PARTITION BY key ORDER BY started_at, call_id)) AS gap FROM calls) SELECT call_id, key, (5000000 - gap) / 1e6 AS missing_s FROM g WHERE gap < 5000000")
+def r2_min_gap_violations(spark, sf_dir):
+    return calls.min_gap_violations(views.calls(spark, sf_dir))
+
+
+@query(
+    f"""{CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY started_at, call_id) AS a FROM calls), f AS (SELECT key, label, max(CASE WHEN a = 1 THEN http_status END) AS s1, max(CASE WHEN a = 2 THEN http_status END) AS s2 FROM n GROUP BY ALL)
+    SELECT key, label, CASE WHEN s1 = 500 AND s2 IS NOT NULL THEN 2 ELSE 1 END AS attempts, CASE coalesce(CASE WHEN s1 = 500 THEN s2 END, s1) WHEN 200 THEN 'ok' WHEN 429 THEN 'rate-limited' ELSE 'exhausted' END AS outcome, CASE WHEN s1 = 500 AND s2 IS NOT NULL THEN 3 ELSE 0 END AS backoff_s FROM f"""
+)
+def r3_call_outcomes(spark, sf_dir):
+    return calls.call_outcomes(views.calls(spark, sf_dir))
+
+
+# --- audit -----------------------------------------------------------------------------------
+
+
+def audited(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    p = pages(spark, sf_dir)
+    s = scoring.scored_lines(p)
+    c = audit.candidates(s)
+    ch = segment.detect_chapters(p)
+    g = compact.group_chapters(ch)
+    o = audit.candidate_outcomes(c, ch, g)
+    return {"pages": p, "scored": s, "cands": c, "chapters": ch, "groups": g, "outcomes": o, "near": audit.near_misses(s, c)}
+
+
+CANDS = f"{SCORED}, {candidates_sql(40)}"
+
+
+@query(f"{CANDS} SELECT s.book_id, s.page_num, CAST(line_index AS INTEGER) AS line_index, text, s.score, c.title IS NOT NULL AS is_winner FROM scored s LEFT JOIN cands c ON s.book_id = c.book_id AND s.page_num = c.page_num AND s.text = c.title WHERE line_index < 12 AND length(text) BETWEEN 2 AND 120 AND NOT regexp_matches(text, '^[0-9]+$')")
+def a1_audit_pages(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return audit.audit_pages(s, audit.candidates(s)).select("book_id", "page_num", "line_index", "text", "score", "is_winner")
+
+
+@query()
+def a2_candidate_outcomes(spark, sf_dir):
+    return audited(spark, sf_dir)["outcomes"].select("book_id", "page_num", "title", "score", "outcome", "outcome_reason")
+
+
+@query(f"{CANDS} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, score FROM scored s WHERE line_index < 12 AND length(text) BETWEEN 2 AND 120 AND NOT regexp_matches(text, '^[0-9]+$') AND score >= 15 AND score < 40 AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.book_id = s.book_id AND c.page_num = s.page_num)")
+def a3_near_misses(spark, sf_dir):
+    s = scored(spark, sf_dir)
+    return audit.near_misses(s, audit.candidates(s))
+
+
+@query()
+def a4_rule_frequency(spark, sf_dir):
+    return audit.rule_frequency(audited(spark, sf_dir)["outcomes"])
+
+
+@query(f"{CANDS} SELECT b.bucket, count(title) AS n FROM (SELECT CAST(unnest(range(25, 101, 5)) AS INTEGER) AS bucket) b LEFT JOIN cands ON score // 5 * 5 = b.bucket GROUP BY ALL")
+def a5_score_histogram(spark, sf_dir):
+    return audit.score_histogram(scoring.score_pages(scored(spark, sf_dir)))
+
+
+@query()
+def a6_score_averages(spark, sf_dir):
+    return audit.score_averages(audited(spark, sf_dir)["outcomes"])
+
+
+@query()
+def a7_confidence_distribution(spark, sf_dir):
+    return audit.confidence_distribution(audited(spark, sf_dir)["outcomes"])
+
+
+@query()
+def a8_layout_only_suspects(spark, sf_dir):
+    return audit.layout_only_suspects(audited(spark, sf_dir)["outcomes"]).select("book_id", "page_num", "title", "score")
+
+
+def stats(a: dict[str, DataFrame]) -> DataFrame:
+    return audit.audit_stats(a["outcomes"], a["near"], a["chapters"], a["groups"], profile.page_counts(a["pages"]))
+
+
+@query()
+def a9_audit_stats(spark, sf_dir):
+    return audit.corpus_stats(stats(audited(spark, sf_dir)))
+
+
+@query()
+def a10_decision_log(spark, sf_dir):
+    return audit.decision_log(pages(spark, sf_dir))
+
+
+@query()
+def a11_recommendations(spark, sf_dir):
+    a = audited(spark, sf_dir)
+    return audit.recommendations(stats(a), audit.rule_frequency(a["outcomes"]), a["cands"])
+
+
+@query()
+def s7_audit_report(spark, sf_dir):
+    a = audited(spark, sf_dir)
+    return stores.audit_report(a["outcomes"], a["near"], audit.decision_log(a["pages"]), a["groups"], stats(a))
+
+
+# --- quality ---------------------------------------------------------------------------------
+
+EXPECTED = """e AS (SELECT 'b' || conv_id AS slug, conv_id AS k, CAST(count(*) AS INTEGER) AS n FROM conversations GROUP BY conv_id),
+    x AS (SELECT slug, k, n, least(n * 3, 20) AS concept, least(n * 2, 15) AS principle, least(n * 2, 15) AS action, least(n * 2, 20) AS vocab, least(n, 10) AS quote, n + CASE WHEN n > 1 THEN 1 ELSE 0 END AS ai FROM e)"""
+
+
+def expected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.expected_counts(books(spark, sf_dir).select(F.col("id").alias("slug"), "chapter_count"))
+
+
+def actual(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a run found: exact for some books, more or less for others, nothing for every fifth."""
+    k = F.regexp_extract("slug", "([0-9]+)", 1).cast("int")
+    x = expected(spark, sf_dir).where(k % 5 != 4)
+    d = lambda c, m: (F.col(c) + F.when(k % 3 == 1, m).otherwise(0)).cast("int")
+    return x.select("slug", d("expected_chapter_count", -1).alias("chapter_count"), d("expected_concept_count", 2).alias("concept_count"), d("expected_principle_count", -1).alias("principle_count"), d("expected_vocabulary_count", 0).alias("vocab_count"), d("expected_quote_count", -1).alias("quote_count"), d("expected_ai_calls", 1).alias("ai_calls"))
+
+
+def _r(a: str, e: str) -> str:
+    return f"CASE WHEN {a} = 0 AND {e} = 0 THEN 1 WHEN {a} = 0 OR {e} = 0 THEN 0 ELSE least({a}, {e}) / greatest({a}, {e}) END::DOUBLE"
+
+
+SCORES = f"""WITH {EXPECTED}, d AS (SELECT *, k % 3 = 1 AS odd FROM x), s AS (SELECT slug, k,
+      CASE WHEN k % 5 = 4 THEN 0 ELSE least(1, (n - CASE WHEN odd THEN 1 ELSE 0 END) / n) END::DOUBLE AS chapter_score,
+      CASE WHEN k % 5 = 4 THEN 0 ELSE {_r('(concept + CASE WHEN odd THEN 2 ELSE 0 END)', 'concept')} END AS concept_score,
+      CASE WHEN k % 5 = 4 THEN 0 ELSE {_r('(principle - CASE WHEN odd THEN 1 ELSE 0 END)', 'principle')} END AS principle_score,
+      CASE WHEN k % 5 = 4 THEN 0 ELSE 1 END::DOUBLE AS vocab_score,
+      CASE WHEN k % 5 = 4 THEN 0 ELSE {_r('(quote - CASE WHEN odd THEN 1 ELSE 0 END)', 'quote')} END AS quote_score,
+      CASE WHEN k % 5 = 4 THEN 0 WHEN odd THEN 0.5 ELSE 1 END::DOUBLE AS ai_call_score FROM d),
+    o AS (SELECT *, chapter_score * 0.4::DOUBLE + concept_score * 0.15::DOUBLE + principle_score * 0.15::DOUBLE + vocab_score * 0.15::DOUBLE + quote_score * 0.1::DOUBLE + ai_call_score * 0.05::DOUBLE AS overall_score FROM s)"""
+
+
+@query(f"WITH {EXPECTED} SELECT slug, n AS expected_chapter_count, concept AS expected_concept_count, principle AS expected_principle_count, action AS expected_actionable_count, vocab AS expected_vocabulary_count, quote AS expected_quote_count, ai AS expected_ai_calls FROM x")
+def q1_expected_counts(spark, sf_dir):
+    return expected(spark, sf_dir)
+
+
+@query(f"{SCORES} SELECT slug, chapter_score, concept_score, principle_score, vocab_score, quote_score, ai_call_score, round(overall_score, 9) AS overall_score FROM o")
+def q2_score_books(spark, sf_dir):
+    return quality.score_books(expected(spark, sf_dir), actual(spark, sf_dir)).withColumn("overall_score", F.round("overall_score", 9)).drop("passed")
+
+
+@query(f"{SCORES} SELECT round(avg(overall_score) * 100, 6) AS mean_score_pct, count(*) FILTER (round(overall_score, 9) >= 0.8) AS n_passed, count(*) AS n_total FROM o")
+def q3_qa_summary(spark, sf_dir):
+    s = quality.score_books(expected(spark, sf_dir), actual(spark, sf_dir)).withColumn("passed", F.round("overall_score", 9) >= quality.PASS)
+    return quality.qa_summary(s).withColumn("mean_score_pct", F.round("mean_score_pct", 6))
+
+
+@query(f"{SCORES} SELECT slug, round(1 - overall_score, 6) AS delta FROM o WHERE round(1 - overall_score, 9) > 0.05")
+def q4_detect_regressions(spark, sf_dir):
+    s = quality.score_books(expected(spark, sf_dir), actual(spark, sf_dir))
+    old = s.select(F.lit("a").alias("git_hash"), F.lit(1).cast("long").alias("timestamp"), "slug", F.lit(0.0).alias("overall_score"))
+    last = s.select(F.lit("b").alias("git_hash"), F.lit(2).cast("long").alias("timestamp"), "slug", F.lit(1.0).alias("overall_score"))
+    return quality.detect_regressions(s, old.unionByName(last)).where(F.round("delta", 9) > quality.DROP).select("slug", F.round("delta", 6).alias("delta"))
