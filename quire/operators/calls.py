@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -12,9 +12,13 @@ from quire.functions import text as tx
 PER_MINUTE, WINDOW_US, GAP_S, ATTEMPTS, BACKOFF_S = 12, 60_000_000, 5.0, 2, 3
 
 
+def _us(c) -> Column:
+    return F.unix_micros((F.col(c) if isinstance(c, str) else c).cast("timestamp"))
+
+
 def rolling_call_counts(calls: DataFrame, limit: int = PER_MINUTE, window_us: int = WINDOW_US) -> DataFrame:
     """call_id, key, started_at, n_calls in the trailing window (one exactly that old is out), remaining."""
-    w = Window.partitionBy("key").orderBy(F.unix_micros("started_at")).rangeBetween(-window_us + 1, 0)
+    w = Window.partitionBy("key").orderBy(_us("started_at")).rangeBetween(-window_us + 1, 0)
     n = F.count("*").over(w)
     return calls.select("call_id", "key", "started_at", n.alias("n_calls"), F.greatest(F.lit(0).cast("long"), F.lit(limit) - n).alias("remaining"))
 
@@ -22,7 +26,7 @@ def rolling_call_counts(calls: DataFrame, limit: int = PER_MINUTE, window_us: in
 def min_gap_violations(calls: DataFrame, gap_s: float = GAP_S) -> DataFrame:
     """Calls that start under ``gap_s`` seconds after the one before ended, with the seconds that were missing."""
     before = F.lag("ended_at").over(Window.partitionBy("key").orderBy("started_at", "call_id"))
-    x = calls.withColumn("_gap", F.unix_micros("started_at") - F.unix_micros(before))
+    x = calls.withColumn("_gap", _us("started_at") - _us(before))
     return x.where(F.col("_gap") < int(gap_s * 1e6)).select("call_id", "key", ((F.lit(int(gap_s * 1e6)) - F.col("_gap")) / 1e6).alias("missing_s"))
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from quire.functions import text as tx
 from quire.operators import segment
+from quire.sources.shared import stored
 
 #: Budgets and shares of the sample.
 MAX_GROUPS, COMPRESSED, CHUNK, OVERLAP, LEAST_PARAGRAPH, BREAK_SHARE = 30, 15000, 14000, 150, 30, 0.6
@@ -121,7 +122,7 @@ def with_text(chapters: DataFrame, pages: DataFrame) -> DataFrame:
 
 
 def build_chunks(pages: DataFrame) -> DataFrame:
-    return chunk_chapters(with_text(segment.detect_chapters(pages), pages))
+    return chunk_chapters(with_text(stored(segment.detect_chapters(pages), "chapters"), pages))
 
 
 def prepare_books(pages: DataFrame, outline: DataFrame | None = None, filenames: DataFrame | None = None, prior: DataFrame | None = None, now_ms: int = 0) -> tuple[DataFrame, DataFrame]:
@@ -129,7 +130,7 @@ def prepare_books(pages: DataFrame, outline: DataFrame | None = None, filenames:
 
     filenames: book_id, filename (the id, where none is given); prior: id, title, created_at.
     """
-    raw = segment.detect_chapters(pages, outline)
+    raw = stored(segment.detect_chapters(pages, outline), "chapters")
     grouped = group_chapters(raw)
     member = segment.page_chapter(pages, raw).join(grouped.select("book_id", F.col("chapter_index").alias("g"), F.explode(F.sequence("first_index", "last_index")).alias("chapter_index")), ["book_id", "chapter_index"]).select("book_id", "page_num", F.col("g").alias("chapter_index"))
     texts = chapter_text(member, pages).select("book_id", "chapter_index", compress_text(F.col("text")).alias("compressed_text"))

@@ -132,22 +132,32 @@ def sparse_caps_candidates(scored: DataFrame) -> DataFrame:
 
 
 def score_pages(scored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """At most one candidate a page: a multi-line heading, else the best line through the gate, else (no best line) capitals of a sparse page.
+    """At most one candidate a page: a multi-line heading, else the best line through the gate, else (no best line) capitals of a sparse page."""
+    return score_pages_at(scored, (threshold,)).drop("threshold")
 
-    One pass: all three are picked in one grouping by page.
-    """
+
+def score_pages_at(scored: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
+    """score_pages() for several thresholds, named in ``threshold``, in one grouping by page."""
     multi = multi_line_headings(scored).select("book_id", "page_num", F.struct("title", "score", "reasons").alias("m"))
     text, usable = F.col("text"), ~F.col("text").rlike(tx.DIGITS)
-    best_ok = (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & usable & (F.col("score") >= threshold)
+    best_ok = (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & usable
     caps_ok = (F.col("n_words") < SPARSE) & (F.col("line_index") < CAPS_SCAN) & (text != "") & usable & tx.is_mostly_caps(text) & ~F.col("is_running") & ~F.col("is_every") & (F.col("score") >= RELAXED)
     line = F.struct(text.alias("title"), "score", "reasons")
-    pick = scored.groupBy("book_id", "page_num").agg(
-        F.max_by(line, F.when(best_ok, F.struct("score", -F.col("line_index")))).alias("b"), F.min_by(line, F.when(caps_ok, F.col("line_index"))).alias("c"), F.first("n_words").alias("n_words")
+    flat = scored.select("book_id", "page_num", "n_words", "score", "line_index", line.alias("_line"), best_ok.alias("_best"), caps_ok.alias("_caps"))
+    pick = flat.groupBy("book_id", "page_num").agg(
+        F.max_by("_line", F.when(F.col("_best"), F.struct("score", -F.col("line_index")))).alias("b"), F.min_by("_line", F.when(F.col("_caps"), F.col("line_index"))).alias("c"), F.first("n_words").alias("n_words")
     )
     gate = (F.col("n_words") < SPARSE) | F.arrays_overlap("b.reasons", F.array(*map(F.lit, MEANINGFUL)))
     out = pick.join(multi, ["book_id", "page_num"], "left")
-    chosen = F.when(F.col("m").isNotNull(), F.struct("m.*", F.lit(0).alias("pass"))).when(F.col("b").isNotNull(), F.when(gate, F.struct("b.*", F.lit(1).alias("pass")))).when(F.col("c").isNotNull(), F.struct("c.*", F.lit(2).alias("pass")))
-    return out.select("book_id", "page_num", chosen.alias("x")).where("x is not null").select("book_id", "page_num", "x.*")
+
+    def chosen(t: int) -> Column:
+        # the page's best line is the same at every threshold that it reaches
+        good = F.coalesce(F.col("b.score") >= t, F.lit(False))
+        x = F.when(F.col("m").isNotNull(), F.struct("m.*", F.lit(0).alias("pass"))).when(good, F.when(gate, F.struct("b.*", F.lit(1).alias("pass")))).when(F.col("c").isNotNull(), F.struct("c.*", F.lit(2).alias("pass")))
+        return F.struct(F.lit(t).alias("threshold"), x.alias("x"))
+
+    rows = out.select("book_id", "page_num", F.explode(F.array(*map(chosen, thresholds))).alias("r"))
+    return rows.where("r.x is not null").select("book_id", "page_num", "r.threshold", "r.x.*")
 
 
 def scored_lines(pages: DataFrame) -> DataFrame:

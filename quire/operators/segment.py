@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as tx
 from quire.operators import scoring
+from quire.sources.shared import stored
 
 #: Fixed values of the cascade.
 COVERAGE, CONTINUITY = 0.60, 0.75
@@ -71,9 +72,9 @@ def sequence_continuity(numbered: DataFrame) -> DataFrame:
     return good.groupBy("book_id", "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("_g") / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(0.0)).alias("continuity"))
 
 
-def best_sequence(chapters: DataFrame) -> DataFrame:
+def best_sequence(chapters: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """book_id, kind, continuity of the preferred kind that runs on, where numbered chapters cover three fifths."""
-    numbered = annotate_numbers(chapters)
+    numbered = annotate_numbers(chapters) if numbered is None else numbered
     total = chapters.groupBy("book_id").agg(F.count("*").alias("n_all"))
     some = numbered.groupBy("book_id").agg(F.count("*").alias("n_num"))
     ok = total.join(some, "book_id").where((F.col("n_all") >= 2) & (F.col("n_num") >= 2) & (F.col("n_num") / F.col("n_all") >= COVERAGE)).select("book_id")
@@ -82,10 +83,10 @@ def best_sequence(chapters: DataFrame) -> DataFrame:
     return good.groupBy("book_id").agg(F.max_by(F.struct("kind", "continuity"), rank).alias("b")).select("book_id", "b.kind", "b.continuity")
 
 
-def merge_around_sequence(chapters: DataFrame, sequence: DataFrame) -> DataFrame:
+def merge_around_sequence(chapters: DataFrame, sequence: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
     """The sequence's chapters: what stands before the first joins it, what stands after the last joins the last, others between lose
     their pages; dropped_pages counts those for the book."""
-    both = annotate_numbers(chapters).join(sequence.select("book_id", "kind"), ["book_id", "kind"])
+    both = (annotate_numbers(chapters) if numbered is None else numbered).join(sequence.select("book_id", "kind"), ["book_id", "kind"])
     whole = chapters.groupBy("book_id").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"), F.min("page_start").alias("lo_page"), F.max_by("page_end", "end_pos").alias("hi_page"))
     w, every = Window.partitionBy("book_id").orderBy("chapter_index"), Window.partitionBy("book_id")
     x = both.join(whole, "book_id").withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(every))
@@ -150,23 +151,29 @@ def diagnostics(chapters: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def stage_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """The chapters of every stage that found any, with its number in ``stage``."""
-    index = page_index(pages)
-    scored = scoring.scored_lines(pages)
-    strict, relaxed = scoring.score_pages(scored, scoring.THRESHOLD), scoring.score_pages(scored, scoring.RELAXED)
-    two = strict.groupBy("book_id").count().where("count >= 2").select("book_id")
+    """The chapters of every stage that found any, with its number in ``stage``. Starts and intervals are skinny, used several times and written to the shared folder."""
+    index = stored(page_index(pages), "page-index")
+    skinny = ["book_id", "page_num", "title"]
+    both = scoring.score_pages_at(scoring.scored_lines(pages), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
+    # the texts are read for these rows only; all that follows works on them
+    starts = stored(both.unionByName(scoring.find_heading(pages).select(*skinny, F.lit(5).alias("stage"))).unionByName(structural_breaks(pages).select(*skinny, F.lit(6).alias("stage"))), "chapter-starts")
+    of = lambda stage: starts.where(F.col("stage") == stage)
     enough = lambda c: c.join(c.groupBy("book_id").count().where("count >= 2").select("book_id"), "book_id", "left_semi")
-    plain = {
-        2: enough(segment_by_candidates(index, strict)),
-        3: enough(segment_by_candidates(index, relaxed)).join(two, "book_id", "left_semi"),
-        5: enough(segment_by_patterns(pages, index)),
-        6: enough(segment_by_candidates(index, structural_breaks(pages))),
-        7: n_page_sections(index),
-        8: whole_book(index),
-    }
-    made = {stage: merge_around_sequence(plain[source], best_sequence(plain[source])) for stage, source in ((1, 2), (4, 5))} | plain
+    plain = {stage: enough(segment_by_candidates(index, of(stage))) for stage in (2, 3, 5, 6)} | {7: n_page_sections(index), 8: whole_book(index)}
+    # the relaxed stage is for books that had two candidates at the full threshold
+    plain[3] = plain[3].join(of(2).groupBy("book_id").count().where("count >= 2").select("book_id"), "book_id", "left_semi")
     if outline is not None:
-        made[0] = segment_by_outline(index, outline)
+        plain[0] = segment_by_outline(index, outline)
+    first = stored(_staged(plain), "plain-chapters")
+    made = {}
+    for stage, source in ((1, 2), (4, 5)):
+        chapters = first.where(F.col("stage") == source).drop("stage")
+        numbered = annotate_numbers(chapters)
+        made[stage] = merge_around_sequence(chapters, best_sequence(chapters, numbered), numbered)
+    return first.unionByName(stored(_staged(made), "sequences"))
+
+
+def _staged(made: dict[int, DataFrame]) -> DataFrame:
     out = None
     for stage in sorted(made):
         one = made[stage].select(*CHAPTER).withColumn("stage", F.lit(stage))

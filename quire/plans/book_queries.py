@@ -11,7 +11,7 @@ from quire.functions import text as tx
 from quire.operators import archive, audit, calls, compact, knowledge, layout, profile, quality, scoring, segment
 from quire.plans import views
 from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, trim, words
-from quire.sources import stores
+from quire.sources import shared, stores
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -291,7 +291,7 @@ def g8_structural_breaks(spark, sf_dir):
 
 @query(
     f"""{PAGES}, t AS (SELECT book_id, page_num, count(*) OVER (PARTITION BY book_id) AS n FROM book_pages), i AS (SELECT *, (page_num - 1) // CAST(ceil(n / least(20, greatest(5, n // 20))) AS INTEGER) AS i FROM t WHERE n >= 20)
-    SELECT book_id, CAST(i AS INTEGER) AS chapter_index, 'Section ' || CAST(i + 1 AS INTEGER) || ' (pp. ' || min(page_num) || '–' || max(page_num) || ')' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM i GROUP BY ALL"""
+    SELECT book_id, CAST(i AS INTEGER) AS chapter_index, 'Section ' || CAST(i + 1 AS INTEGER) || ' (pp. ' || min(page_num) || '–' || max(page_num) || ')' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM i GROUP BY book_id, i"""
 )
 def g9_n_page_sections(spark, sf_dir):
     return segment.n_page_sections(segment.page_index(pages(spark, sf_dir))).select(*OUT)
@@ -362,11 +362,11 @@ def k2_group_chapters(spark, sf_dir):
     f"""{SECTIONS}, clean AS (SELECT book_id, chapter_index, {trim("regexp_replace(regexp_replace(text, '[ ' || chr(9) || ']+', ' ', 'g'), chr(10) || '{{3,}}', chr(10) || chr(10), 'g')")} AS t FROM txt),
     paras AS (SELECT book_id, chapter_index, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: {trim('x')}), lambda x: length(x) >= 30 AND NOT regexp_matches(x, '^[0-9]+$')) AS p FROM clean),
     n AS (SELECT *, len(p) AS n, CAST(least(6, ceil(len(p) * 0.1)) AS INTEGER) AS m FROM paras),
-    some AS (SELECT book_id, chapter_index, unnest(list_concat(list_concat(p[1:CAST(ceil(n * 0.5) AS INTEGER)], p[greatest(n // 2 - m // 2, 0) + 1:n // 2 - m // 2 + m]), p[n - CAST(ceil(n * 0.2) AS INTEGER) + 1:])) AS x,
+    picked AS (SELECT book_id, chapter_index, unnest(list_concat(list_concat(p[1:CAST(ceil(n * 0.5) AS INTEGER)], p[greatest(n // 2 - m // 2, 0) + 1:n // 2 - m // 2 + m]), p[n - CAST(ceil(n * 0.2) AS INTEGER) + 1:])) AS x,
       unnest(range(CAST(ceil(n * 0.5) AS INTEGER) + m + CAST(ceil(n * 0.2) AS INTEGER))) AS i FROM n WHERE length(t) > 15000 AND n > 1),
-    first AS (SELECT book_id, chapter_index, x, min(i) AS i FROM some GROUP BY ALL), run AS (SELECT *, sum(length(x) + 2) OVER (PARTITION BY book_id, chapter_index ORDER BY i) - 2 AS upto FROM first),
-    fit AS (SELECT *, bool_or(upto > 15000) OVER (PARTITION BY book_id, chapter_index ORDER BY i) AS full FROM run),
-    joined AS (SELECT book_id, chapter_index, string_agg(x, chr(10) || chr(10) ORDER BY i) AS g FROM fit WHERE NOT full GROUP BY ALL)
+    first AS (SELECT book_id, chapter_index, x, min(i) AS i FROM picked GROUP BY ALL), run AS (SELECT *, sum(length(x) + 2) OVER (PARTITION BY book_id, chapter_index ORDER BY i) - 2 AS upto FROM first),
+    fit AS (SELECT *, bool_or(upto > 15000) OVER (PARTITION BY book_id, chapter_index ORDER BY i) AS over_ FROM run),
+    joined AS (SELECT book_id, chapter_index, string_agg(x, chr(10) || chr(10) ORDER BY i) AS g FROM fit WHERE NOT over_ GROUP BY ALL)
     SELECT n.book_id, n.chapter_index, CASE WHEN length(t) <= 15000 THEN t WHEN n = 1 THEN p[1][1:15000] ELSE coalesce(g, t[1:15000]) END AS text FROM n LEFT JOIN joined USING (book_id, chapter_index)"""
 )
 def k3_compress_text(spark, sf_dir):
@@ -583,9 +583,9 @@ def v11_orphan_records(spark, sf_dir):
 CALLS = f"WITH {views.CALLS_SQL}"
 
 
-@query(f"{CALLS} SELECT call_id, key, started_at, count(*) OVER w AS n_calls, greatest(0, 12 - count(*) OVER w) AS remaining FROM calls WINDOW w AS (PARTITION BY key ORDER BY epoch_us(started_at) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
+@query(f"{CALLS} SELECT call_id, key, count(*) OVER w AS n_calls, greatest(0, 12 - count(*) OVER w) AS remaining FROM calls WINDOW w AS (PARTITION BY key ORDER BY epoch_us(started_at) RANGE BETWEEN 59999999 PRECEDING AND CURRENT ROW)")
 def r1_rolling_call_counts(spark, sf_dir):
-    return calls.rolling_call_counts(views.calls(spark, sf_dir))
+    return calls.rolling_call_counts(views.calls(spark, sf_dir)).drop("started_at")
 
 
 @query(f"{CALLS}, g AS (SELECT call_id, key, epoch_us(started_at) - epoch_us(lag(ended_at) OVER (PARTITION BY key ORDER BY started_at, call_id)) AS gap FROM calls) SELECT call_id, key, (5000000 - gap) / 1e6 AS missing_s FROM g WHERE gap < 5000000")
@@ -607,9 +607,9 @@ def r3_call_outcomes(spark, sf_dir):
 def audited(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     p = pages(spark, sf_dir)
     s = scoring.scored_lines(p)
-    c = audit.candidates(s)
-    ch = segment.detect_chapters(p)
-    g = compact.group_chapters(ch)
+    c = shared.stored(audit.candidates(s), "candidates")
+    ch = shared.stored(segment.detect_chapters(p), "chapters")
+    g = shared.stored(compact.group_chapters(ch), "groups")
     o = audit.candidate_outcomes(c, ch, g)
     return {"pages": p, "scored": s, "cands": c, "chapters": ch, "groups": g, "outcomes": o, "near": audit.near_misses(s, c)}
 
