@@ -739,3 +739,34 @@ def q4_detect_regressions(spark, sf_dir):
     old = s.select(F.lit("a").alias("git_hash"), F.lit(1).cast("long").alias("timestamp"), "slug", F.lit(0.0).alias("overall_score"))
     last = s.select(F.lit("b").alias("git_hash"), F.lit(2).cast("long").alias("timestamp"), "slug", F.lit(1.0).alias("overall_score"))
     return quality.detect_regressions(s, old.unionByName(last)).where(F.round("delta", 9) > quality.DROP).select("slug", F.round("delta", 6).alias("delta"))
+
+
+# --- sources and stores -----------------------------------------------------------------------
+
+
+@query(f"{PAGES} SELECT book_id, page_num, length(text) AS n, NULL::DOUBLE AS width FROM book_pages")
+def s1_read_pages(spark, sf_dir):
+    path = shared.new_folder(spark, "pages")
+    pages(spark, sf_dir).write.json(path)
+    return stores.read_pages(spark, path, "json").select("book_id", "page_num", F.length("text").cast("long").alias("n"), "width")
+
+
+@query(f"{ITEMS} SELECT book_id, page_num, item_seq, str, y FROM text_items")
+def s2_read_text_items(spark, sf_dir):
+    path = shared.new_folder(spark, "items")
+    views.text_items(spark, sf_dir).write.parquet(path)
+    return stores.read_text_items(spark, path).select("book_id", "page_num", "item_seq", "str", "y")
+
+
+@query(f"WITH {BOOKS} SELECT id, status, created_at FROM b")
+def s4_write_store(spark, sf_dir):
+    path = shared.new_folder(spark, "store")
+    stores.write_store(books(spark, sf_dir), "books", path)
+    return stores.read_store(spark, "books", path).select("id", "status", "created_at")
+
+
+@query(f"WITH {BOOKS} SELECT id, CASE WHEN k % 4 = 1 THEN 'complete' ELSE status END AS status FROM b")
+def s6_exchange_archive(spark, sf_dir):
+    path, b = shared.new_folder(spark, "dump"), books(spark, sf_dir)
+    stores.export_archive({"books": some(b, 1).withColumn("status", F.lit("complete"))}, path, 0)
+    return stores.import_archive(spark, path, {"books": b, "knowledge": knowledge_store(spark, sf_dir)})["books"].select("id", "status")

@@ -5,19 +5,21 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df below ``spark.checkpoint.dir`` and reads it back: lineage and plan end there.
-
-    Only where the setting is absent (tests, one machine) a temporary folder is used.
-    """
-    spark = df.sparkSession
+def new_folder(spark: SparkSession, what: str) -> str:
+    """A new folder name below the shared folder: ``spark.checkpoint.dir``, a temporary one only where that is absent."""
     top = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("quire.shared.dir", None)
     if not top:
         top = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         spark.conf.set("quire.shared.dir", top)
-    path = f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+    return f"{top.rstrip('/')}/{what}-{uuid.uuid4().hex[:12]}"
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    """Writes df below the shared folder and reads it back: lineage and plan end there."""
+    spark = df.sparkSession
+    path = new_folder(spark, what)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
