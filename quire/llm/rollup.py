@@ -90,8 +90,8 @@ def maintained(docs: DataFrame) -> DataFrame:
     true = counted(docs, lambda _, pattern: F.regexp_count(text, F.lit(pattern)))
     book.commit("2-revised", true)
     seen = docs.select("doc_id", "source", "lang", F.sha2(F.coalesce(F.col("text").cast("binary"), F.lit(b"\xff")), 256).alias("h"))
-    first = seen.groupBy("h").agg(F.min("doc_id").alias("first"))
-    copies = seen.join(first, "h").where("doc_id > first")
+    first = seen.groupBy("h").agg(F.min("doc_id").alias("doc_id"))
+    copies = seen.join(first, ["h", "doc_id"], "left_anti")  # by text and document: the copies of one text never meet in one task
     book.commit("3-copies", counted(copies, lambda *_: F.lit(None)))
     book.commit("2-revised", true)
     return book.totals()
