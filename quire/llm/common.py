@@ -41,6 +41,24 @@ def stored(df: DataFrame, what: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of one key that stay together in a join at least, and the most keys that are ever split.
+TOGETHER, HOT_KEYS = 4096, 50_000
+
+
+def split_join(many: DataFrame, one: DataFrame, keys: list[str], by: str, total: int) -> DataFrame:
+    """many joined with one (a row for each key, ``n`` of them in many; n is dropped), without a task for a hot key.
+
+    Keys with over total / HOT_KEYS rows (and over TOGETHER) are dealt by ``by`` to parts of about that many, and their row of ``one``
+    goes to each part. total is the sum of n, so there are fewer than HOT_KEYS such keys: that bounds what is broadcast.
+    """
+    most = max(TOGETHER, total // HOT_KEYS)
+    parts = F.ceil(F.col("n") / F.lit(most)).cast("int")
+    hot = one.where(F.col("n") > most).select(*keys, parts.alias("_parts"))
+    dealt = many.join(F.broadcast(hot), keys, "left").withColumn("_part", F.pmod(F.xxhash64(by), F.coalesce("_parts", F.lit(1))).cast("int")).drop("_parts")
+    each = one.withColumn("_part", F.explode(F.sequence(F.lit(0), parts - 1))).drop("n")
+    return dealt.join(each, [*keys, "_part"]).drop("_part")
+
+
 def crc_mod(key: str, m: int) -> Column:
     """crc32 of a column's text, modulo m."""
     return F.crc32(F.col(key).cast("string")) % F.lit(m)

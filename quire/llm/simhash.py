@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import by_slices, stored
+from quire.llm.common import by_slices, split_join, stored
 
 SEED = 42
 #: Rows of a bucket above which it is split into chunk pairs.
@@ -197,7 +197,10 @@ def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, w
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, component (smallest node of it) of every node of the edges, by large-star and small-star rounds until nothing changes."""
+    """node, component (smallest node of it) of every node of the edges, by large-star and small-star rounds until nothing changes.
+
+    A star's edges meet its least node in parts, so a large component's centre is no task of its own.
+    """
 
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
@@ -206,10 +209,10 @@ def components(edges: DataFrame) -> DataFrame:
     seen = mark(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        big = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
-        low = big.groupBy("a").agg(F.min("b").alias("m"))
-        small = big.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"), F.count("*").alias("n"))
+        big = split_join(both, least, ["a"], "b", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
+        low = big.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
+        small = split_join(big, low, ["a"], "b", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
         edges = stored(small.distinct(), "edges")
         now = mark(edges)
         if now == seen:
@@ -221,10 +224,11 @@ def components(edges: DataFrame) -> DataFrame:
 def grouped(sig: DataFrame, tables_for, radius: int, width: int, key: str = "doc_id") -> DataFrame:
     """key, f0.., component_id (smallest key reachable over links) of every row. tables_for(n): the keys for n distinct fingerprints."""
     names = [f"f{w}" for w in range(width)]
-    nodes = stored(sig.groupBy(*names).agg(F.min(key).alias("node")), "fingerprints")
-    comp = components(bucket_edges(nodes, tables_for(nodes.count()), radius, width))
-    of = nodes.join(comp, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"))
-    return sig.join(of, names)
+    nodes = stored(sig.groupBy(*names).agg(F.min(key).alias("node"), F.count("*").alias("n")), "fingerprints")
+    n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    comp = components(bucket_edges(nodes, tables_for(n_nodes), radius, width))
+    of = stored(nodes.join(comp, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"), "n"), "classes")
+    return split_join(sig, of, names, key, total)
 
 
 def near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
