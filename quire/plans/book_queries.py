@@ -12,6 +12,7 @@ from quire.operators import archive, audit, calls, compact, knowledge, layout, p
 from quire.plans import views
 from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, trim, words
 from quire.sources import shared, stores
+from quire.streaming import streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -601,6 +602,36 @@ def r3_call_outcomes(spark, sf_dir):
     return calls.call_outcomes(views.calls(spark, sf_dir))
 
 
+@query(f"{CALLS}, s AS (SELECT key, CAST(epoch_us(started_at) // 10000000 * 10 AS BIGINT) - 10 * unnest(range(6)) AS window_start FROM calls) SELECT key, window_start, window_start + 60 AS window_end, count(*) AS n_calls FROM s GROUP BY ALL")
+def r4_stream_call_rate(spark, sf_dir):
+    """The stream run to its end over the calls; of every window the count of the last batch that changed it."""
+    top = shared.new_folder(spark, "call-rates")
+    log = views.calls(spark, sf_dir).withColumn("started_at", F.col("started_at").cast("timestamp"))
+    log.write.parquet(f"{top}/calls")
+
+    def batch(df: DataFrame, n: int) -> None:
+        df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{top}/rates/v{n}")
+
+    rates = streams.stream_call_rate(spark.readStream.schema(log.schema).parquet(f"{top}/calls"))
+    rates.writeStream.outputMode("update").foreachBatch(batch).option("checkpointLocation", f"{top}/state").trigger(availableNow=True).start().awaitTermination()
+    last = spark.read.parquet(f"{top}/rates/*").groupBy("key", "window_start", "window_end").agg(F.max_by("n_calls", "batch").alias("n_calls"))
+    us = lambda c: (F.unix_micros(c) / 1_000_000).cast("long")
+    return last.select("key", us("window_start").alias("window_start"), us("window_end").alias("window_end"), "n_calls")
+
+
+@query(f"{ANSWERS} SELECT book_id || '-ch-' || chapter_index AS id, answered_ok AS ai_processed, CASE WHEN good THEN w0 ELSE '' END AS summary FROM a")
+def r5_stream_responses(spark, sf_dir):
+    """Answers as a stream, applied to the stored chapters until none is left; the chapters of the last version."""
+    top = shared.new_folder(spark, "chapter-versions")
+    views.chapters(spark, sf_dir).write.parquet(f"{top}/v0")
+    answers = views.responses(spark, sf_dir).select("book_id", "chapter_index", "raw")
+    answers.write.parquet(f"{top}-answers")
+    run = streams.stream_responses(spark.readStream.schema(answers.schema).parquet(f"{top}-answers"), spark, top, f"{top}-state")
+    run.awaitTermination()
+    last = max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=-1) + 1
+    return spark.read.parquet(f"{top}/v{last}").select("id", "ai_processed", "summary")
+
+
 # --- audit -----------------------------------------------------------------------------------
 
 
