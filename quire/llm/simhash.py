@@ -11,7 +11,8 @@ unbounded group and no pair is lost.
 
 Two plans of keys: ``exact_tables`` (pigeonhole: any two fingerprints within
 the radius share at least one key) and ``sampled_tables`` (bit sampling for a
-wide fingerprint and a similarity, with a stated recall).
+wide fingerprint, with a stated recall). The second only proposes pairs: they
+are decided by their exact shingle similarity, before components are built.
 """
 
 from __future__ import annotations
@@ -53,19 +54,18 @@ def shingle_hashes(text: str | None, n: int) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, rows, repeat(SEED)), np.uint64)
 
 
-def fingerprints(texts: list[str | None], n: int, width: int = 1) -> np.ndarray:
-    """width 64-bit words for each text; a bit is 1 if set in over half of the text's hashes (further words: of mixed hashes)."""
-    each = [shingle_hashes(t, n) for t in texts]
+def fingerprints(each: list[np.ndarray], width: int = 1) -> np.ndarray:
+    """width 64-bit words for each text's hashes; a bit is 1 if set in over half of them (further words: of mixed hashes)."""
     count = np.array([len(e) for e in each])
-    owner = np.repeat(np.arange(len(texts)), count) * 256
+    owner = np.repeat(np.arange(len(each)), count) * 256
     h = np.concatenate([*each, np.empty(0, np.uint64)])
-    out = np.zeros((len(texts), width), np.uint64)
+    out = np.zeros((len(each), width), np.uint64)
     for w in range(width):
         if w:
             h = mixed(h)
         for byte in range(8):
             at = owner + (h >> np.uint64(8 * byte) & np.uint64(255)).astype(np.int64)
-            ones = np.bincount(at, minlength=256 * len(texts)).reshape(-1, 256).astype(np.float32) @ ONES
+            ones = np.bincount(at, minlength=256 * len(each)).reshape(-1, 256).astype(np.float32) @ ONES
             over = (2 * ones > count[:, None]).astype(np.uint64)
             out[:, w] |= (over << np.arange(8, dtype=np.uint64)).sum(1, dtype=np.uint64) << np.uint64(8 * byte)
     return out
@@ -78,7 +78,7 @@ def signatures(docs: DataFrame, n: int, width: int = 1, text: str = "text", key:
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            f = fingerprints(part.column(1).to_pylist(), n, width).view(np.int64)
+            f = fingerprints([shingle_hashes(t, n) for t in part.column(1).to_pylist()], width).view(np.int64)
             return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, w]) for w in range(width))], names=[key, *names])
 
         return run
@@ -100,13 +100,25 @@ def exact_tables(n: int, radius: int) -> list[tuple[int, int]]:
     raise AssertionError
 
 
-def sampled_tables(n: int, width: int, similarity: float, recall: float = 0.95) -> list[tuple[int, int]]:
-    """(word, mask) of each key: m random bits of one word; as many keys as give the recall at the similarity."""
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    m = min(32, max(12, math.ceil(math.log2(max(n, 1) / 8)))) if n > 8 else 12
-    need = math.ceil(math.log(1 - recall) / math.log(1 - (1 - apart) ** m))
+def apart(similarity: float) -> float:
+    """Share of bits expected to differ, at most, between two sets of this Jaccard similarity.
+
+    Of all such sets those of equal size have the least cosine, 2j / (1 + j), and bits differ with probability acos of
+    that over pi; few shingles give more (worst: 4 against 5, 0.1875 for 0.152), which the factor covers.
+    """
+    return 1.24 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def sampled_tables(n: int, width: int, share: float, radius: int, recall: float = 0.99) -> list[tuple[int, int]]:
+    """(word, mask) of each key: m random bits of one word; as many keys as give the recall, the radius's loss included, to pairs whose bits differ with probability ``share``."""
+    bits = 64 * width
+    m = min(32, max(12, math.ceil(math.log2(max(n, 1) / 1024))))
+    at = [(math.comb(bits, h) * share**h * (1 - share) ** (bits - h), (1 - h / bits) ** m) for h in range(radius + 1)]
+    need = width
+    while sum(p * (1 - (1 - same) ** need) for p, same in at) < recall:
+        need += width
     rng = np.random.default_rng(SEED)
-    return [(t % width, sum(1 << int(b) for b in rng.choice(64, m, replace=False))) for t in range(-(-need // width) * width)]
+    return [(t % width, sum(1 << int(b) for b in rng.choice(64, m, replace=False))) for t in range(need)]
 
 
 def _signed(x: int) -> int:
@@ -157,9 +169,33 @@ def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivo
     return node[own], node[parent[own]]
 
 
-def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int) -> DataFrame:
-    """Edges (a, b), a > b, whose components are those of all near pairs that share a key. nodes: node, f0.."""
-    spark, names = nodes.sparkSession, [f"f{w}" for w in range(width)]
+def choices(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray, c: np.ndarray, m: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different c whose sizes m allow the similarity: every one, or each row's nearest and its least node only."""
+    near, who, low = np.full(len(node), 1 << 20), np.full(len(node), -1), node.copy()
+    for a, b in near_pairs(f, group, radius, pivots):
+        ok = (c[a] != c[b]) & (np.minimum(m[a], m[b]) >= similarity * np.maximum(m[a], m[b]) - 1e-9)
+        a, b = a[ok], b[ok]
+        if every:
+            yield node[a], node[b]
+            continue
+        d = np.bitwise_count(f[a] ^ f[b]).sum(1)
+        for x, y in ((a, b), (b, a)):  # a row stands in each of them once at most
+            closer = (d < near[x]) | (d == near[x]) & (node[y] < node[who[x]])
+            near[x[closer]], who[x[closer]] = d[closer], y[closer]
+            low[x] = np.minimum(low[x], node[y])
+    if not every:
+        own = who >= 0
+        yield node[own], node[who[own]]
+        own = low != node
+        yield node[own], low[own]
+
+
+def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int, similarity: float | None = None, every: bool = False) -> DataFrame:
+    """Edges (a, b), a > b, whose components are those of all near pairs that share a key. nodes: node, f0..
+
+    With a similarity: the pairs that choices() gives; nodes: node, f0.., c, m.
+    """
+    names = [f"f{w}" for w in range(width)] + (["c", "m"] if similarity is not None else [])
     keyed = nodes.select("node", *names, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (w, mask) in enumerate(tables)))).alias("_k")).select("node", *names, "_k.t", "_k.k")
     heavy = stored(keyed.groupBy("t", "k").count().where(F.col("count") > MOST), "heavy-buckets")
     if n_heavy := heavy.count():
@@ -179,7 +215,7 @@ def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, w
         for batch in batches:
             if not batch.num_rows:
                 continue
-            part = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(2 + width)]
+            part = [x.to_numpy(zero_copy_only=False) for x in batch.columns]
             rest = part if rest is None else [np.concatenate(x) for x in zip(rest, part)]
             cut = int(np.searchsorted(rest[0], rest[0][-1]))  # the last bucket may go on
             if cut:
@@ -189,9 +225,10 @@ def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, w
             yield from done(rest)
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        a, b = forest(cols[1], np.stack(cols[2:], 1).view(np.uint64), cols[0], radius, pivots)
-        if len(a):
-            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+        given = cols[1], np.stack(cols[2 : 2 + width], 1).view(np.uint64), cols[0], radius, pivots
+        for a, b in [forest(*given)] if similarity is None else choices(*given, *cols[2 + width :], similarity, every):
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
@@ -242,14 +279,95 @@ def near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str =
     return out.select(key, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: Bits of the map of wanted sets, a fixed size: where it is full, more sets are shuffled and none is lost.
+WANTED = 1 << 26
+#: Keys of the first round, which joins most of what is near.
+FIRST = 16
+
+
+def shingle_sets(texts: list[str | None], n: int) -> tuple[list[np.ndarray], np.ndarray]:
+    """The distinct shingle hashes of each text, sorted, and their digests, which stand for equal sets (64 bits)."""
+    sets = [np.unique(shingle_hashes(t, n)) for t in texts]
+    return sets, np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+
+
+def set_signatures(docs: DataFrame, n: int, width: int, text: str, key: str) -> DataFrame:
+    """key, node (digest of the text's shingle set), m (size of the set), f0.. (of the set)."""
+    kept = docs.select(key, text)
+    names = [key, "node", "m", *(f"f{w}" for w in range(width))]
+
+    def make():
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            sets, node = shingle_sets(part.column(1).to_pylist(), n)
+            f = fingerprints(sets, width).view(np.int64)
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(f[:, w]) for w in range(width))], names=names)
+
+        return run
+
+    return kept.mapInArrow(by_slices(make, 256), f"`{key}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]))
+
+
+def wanted_sets(docs: DataFrame, pairs: DataFrame, n: int, text: str) -> DataFrame:
+    """node, s (its shingle hashes) once for each node of the pairs."""
+    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    at = F.pmod("node", F.lit(WANTED)) + 1
+    bits = np.zeros(WANTED // 8, np.uint8)
+    for r in nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
+    sent = docs.sparkSession.sparkContext.broadcast(bits)
+
+    def make():
+        bits = sent.value
+
+        def run(part: pa.RecordBatch) -> pa.RecordBatch:
+            sets, node = shingle_sets(part.column(0).to_pylist(), n)
+            where = node % WANTED
+            some = np.flatnonzero(bits[where >> 3] >> (where & 7).astype(np.uint8) & 1)
+            some = some[np.unique(node[some], return_index=True)[1]]
+            flat = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in some)]).view(np.int64)
+            ends = np.cumsum([0, *(len(sets[i]) for i in some)])
+            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "s"])
+
+        return run
+
+    found = docs.select(text).mapInArrow(by_slices(make, 256), "node long, s array<long>")
+    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+
+
+def alike(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
+    """The pairs whose shingle sets have the Jaccard similarity, exactly counted. A node of many pairs is dealt out."""
+    pairs = stored(pairs, "pairs")
+    total = pairs.count()
+    sets = stored(wanted_sets(docs, pairs, n, text), "sets")
+    for x, other in (("a", "b"), ("b", "a")):
+        one = sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("n")), x)
+        pairs_with = split_join(pairs if x == "a" else pairs_with, one, [x], other, total)
+    sizes = F.size("sa") + F.size("sb")
+    both = (1 + similarity) * F.size(F.array_intersect("sa", "sb"))
+    return stored(pairs_with.where((both >= similarity * sizes - 1e-9) | (sizes == 0)).select("a", "b"), "alike")
+
+
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, component_id by estimated shingle similarity: wide fingerprints whose share of differing bits says ``similarity`` or more.
+    """key, component_id (smallest key) of every row; links are pairs of texts whose sets of shingles have this Jaccard similarity at least.
 
-    For sets of Jaccard similarity j the cosine is 2j / (1 + j), and bits differ with probability
-    acos of that over pi; the radius allows one standard deviation more, so that few pairs at exactly
-    ``similarity`` are lost. Those share a key with 0.95 recall, closer ones with more.
+    No other pair is linked: fingerprints only propose pairs, which are then counted exactly. Of pairs at exactly
+    ``similarity`` 0.99 or more are proposed, of closer ones more. Texts with equal sets are one node. A first round takes
+    each node's nearest and least neighbour; the second takes every pair that is not joined by then.
     """
-    apart = math.acos(2 * similarity / (1 + similarity)) / math.pi
-    radius = round(64 * width * apart + math.sqrt(64 * width * apart * (1 - apart)))
-    sig = stored(signatures(docs, shingle, width, text, key), "signatures")
-    return grouped(sig, lambda n: sampled_tables(n, width, similarity), radius, width, key).select(key, "component_id")
+    share = apart(similarity)
+    radius = math.ceil(64 * width * share + 3 * math.sqrt(64 * width * share * (1 - share)))
+    names = [f"f{w}" for w in range(width)]
+    sig = stored(set_signatures(docs, shingle, width, text, key), "signatures")
+    nodes = stored(sig.groupBy("node", "m", *names).agg(F.min(key).alias("least"), F.count("*").alias("n")), "fingerprints")
+    n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    tables = sampled_tables(n_nodes, width, share, radius)
+    edges, of = None, nodes.withColumn("c", F.col("node"))
+    for some, every in ((tables[:FIRST], False), (tables, True)):
+        more = alike(docs, bucket_edges(of, some, radius, width, similarity, every), shingle, similarity, text)
+        edges = more if edges is None else edges.union(more)
+        comp = components(edges)
+        of = stored(nodes.join(comp, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("c")), "classes")
+    least = of.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    of = split_join(of.select("node", "c", F.col("n").alias("rows")), least, ["c"], "node", n_nodes)
+    of = stored(of.select("node", "component_id", F.col("rows").alias("n")), "classes")
+    return split_join(sig.select(key, "node"), of, ["node"], key, total).select(key, "component_id")

@@ -79,3 +79,31 @@ def test_similar_groups_find_near_copies(spark):
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert all(truth[i] == truth[c] for i, c in got.items())
     assert sum(c != i for i, c in got.items()) >= 76
+
+
+def test_similar_groups_decide_by_exact_similarity(spark):
+    """Pairs that share 5-word shingles in a known share: each is linked exactly from 0.8 on."""
+    rows, want = [], {}
+    for pair in range(200):
+        j = (0.70, 0.79, 0.80, 0.85)[pair % 4]
+        shared = round(360 * j / (1 + j) * 2) // 2  # of 180 shingles on either side: shared / (360 - shared)
+        while shared / (360 - shared) < j:
+            shared += 1
+        shared -= j == 0.79  # under it, not above
+        base = [f"p{pair}w{k}" for k in range(184)]
+        rows += [(2 * pair, " ".join(base)), (2 * pair + 1, " ".join(base[: shared + 4] + [f"q{pair}w{k}" for k in range(180 - shared)]))]
+        a, b = (set(simhash.shingle_hashes(t, 5).tolist()) for _, t in rows[-2:])
+        want[pair] = len(a & b) / len(a | b) >= 0.8
+        assert abs(len(a & b) / len(a | b) - j) < 0.012
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    linked = {p: got[2 * p + 1] == 2 * p for p in want}
+    assert not [p for p in want if linked[p] and not want[p]]
+    assert sum(linked.values()) >= 0.98 * sum(want.values())
+
+
+def test_similar_groups_count_a_repeated_shingle_once(spark):
+    own = [[f"d{i}w{k}" for k in range(100)] for i in range(2)]
+    line = "the same line again and again ".split()
+    rows = [(i, " ".join(own[i] + line * 200)) for i in range(2)] + [(2, " ".join(own[0] + line * 20)), (3, " ".join(own[1] + line * 3))]
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {0: 0, 1: 1, 2: 0, 3: 1}
