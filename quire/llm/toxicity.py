@@ -33,13 +33,23 @@ PRIOR = 10
 SAMPLE = 12_000
 EPOCHS, BATCH, RATE, FOLD = 20, 256, 0.006, 8
 WORD = re.compile(r"\w+")
+#: A longer run (Chinese, Japanese, Thai, joined by underscores) is cut into pieces of so many characters, which share OVERLAP: no n-gram is lost.
+PIECE, OVERLAP = 40, max(GRAMS) - 1
+
+
+def words_of(text: str | None) -> list[str]:
+    """The lower-cased words of the whole text, very long ones as overlapping pieces that each count as a word."""
+    out = WORD.findall((text or "").lower())
+    if max(map(len, out), default=0) > PIECE:
+        out = [w[at : at + PIECE] for w in out for at in range(0, max(1, len(w) - OVERLAP), PIECE - OVERLAP)]
+    return out
 
 
 def parts(word: str) -> list[int]:
     """Bucket ids of the word's parts."""
     w = f"<{word}>".encode()
     out = [zlib.crc32(w) % BUCKETS]
-    s = f"<{word[:40]}>"
+    s = f"<{word}>"
     for n in GRAMS:
         out += [zlib.crc32(s[i : i + n].encode()) % BUCKETS for i in range(len(s) - n + 1)]
     return out
@@ -137,7 +147,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> np.nda
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            counts = [Counter(WORD.findall((t or "").lower())) for t in part.column(0).to_pylist()]
+            counts = [Counter(words_of(t)) for t in part.column(0).to_pylist()]
             return pa.RecordBatch.from_arrays([pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), part.column(1), part.column(2)], names=["words", "counts", "label", "back"])
 
         return run
@@ -179,7 +189,7 @@ class Scorer:
         return got
 
     def score(self, text: str | None) -> float:
-        words = WORD.findall((text or "").lower())
+        words = words_of(text)
         get = self.new.get
         total = 0.0
         for w in words:

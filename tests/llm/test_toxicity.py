@@ -34,3 +34,20 @@ def test_unseen_misspellings_are_found_and_edges_hold(spark):
     rest = [(r.doc_id, r.predicted) for r in out.where("doc_id >= 5000").collect()]
     assert sorted(rest)[2:] == [(5002, 1), (5002, 1)] and rest[0][1] == rest[1][1]
     assert toxicity.toxicity(d.limit(0), spark.createDataFrame(labels, "doc_id long, toxic int, score int")).count() == 0
+
+
+def test_what_stands_far_inside_a_long_run_counts():
+    rng = random.Random(2)
+    chars = [chr(0x4E00 + k) for k in range(400)]
+    run = lambda n: "".join(rng.choice(chars) for _ in range(n))
+    clean = run(600)
+    weights = toxicity.np.zeros(toxicity.BUCKETS + 1)
+    weights[toxicity.parts("\u7b28\u86cb\u6df7\u8d26")[1:]] = 50.0
+    score = toxicity.Scorer(weights).score
+    for at in (41, 77, 300, 596):
+        assert score(clean[:at] + "\u7b28\u86cb\u6df7\u8d26" + clean[at:]) != score(clean)
+    for n in (1, 39, 40, 41, 44, 75, 76, 77, 112, 500):
+        w = run(n)
+        whole = {w[i : i + g] for g in toxicity.GRAMS for i in range(n - g + 1)}
+        assert whole <= {p[i : i + g] for p in toxicity.words_of(w) for g in toxicity.GRAMS for i in range(len(p) - g + 1)}
+    assert toxicity.words_of("short words_only " + "x" * 40) == ["short", "words_only", "x" * 40]
