@@ -1,15 +1,18 @@
 """License scan: ordered signature rules over word-normalised text, in built-in functions only.
 
 Text becomes words joined by single spaces; a rule is a regex over that form.
-A rule is tried only where a cheap ``contains`` finds its keyword, and rules at
-all only where a text holds one of a few gate words. Detections are word
-intervals. Of two where one holds the other the longer stays; of equal ones that
+A rule is tried only where cheap ``contains`` find a keyword of its form and one
+of its name or identifier; they are worked out from the regex, so that every
+match holds one. Detections are word intervals. Of two where one holds the other the longer stays; of equal ones that
 of smaller priority, then the earlier rule.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
+from operator import or_
+from re import _parser as parser
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -20,10 +23,7 @@ NOT_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Fixed values of the base scan: phrase, label.
 PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc"))
 
-#: A text without any of these holds no license notice that the rules know.
-GATE = ("licen", "lizenz", "spdx", "opensource org", "creativecommons", "gpl", "cc by", "cc0", "public domain", "copyright", "unlicense")
-
-#: label, keyword (part of every match), name as written in prose, identifier as words, whether the identifier alone tells.
+#: label, a word for it (rules() works out the keywords), name as written in prose, identifier as words, whether the identifier alone tells.
 FAMILIES = (
     ("mit", "mit", r"(?:mit|expat|mit x11)", r"mit", False),
     ("mit-0", "mit", r"mit no attribution", r"mit 0", False),
@@ -102,16 +102,43 @@ FORMS = (
 ALONE = ("alone", r"(?:{i}|{n})", 5, 0.6)
 
 
+def needed(regex: str) -> list[str]:
+    """Strings of which every match of the regex holds at least one; of the choices that with the longest shortest string."""
+
+    def of(tokens) -> list[str] | None:
+        found, run = [], ""
+        for kind, value in [*tokens, (None, None)]:
+            if kind is parser.LITERAL:
+                run += chr(value)
+                continue
+            if run:
+                found.append([run])
+            before, run, inner = [(parser.LITERAL, ord(c)) for c in run], "", None
+            if kind is parser.SUBPATTERN:
+                inner = of(value[3])
+            elif kind is parser.BRANCH:
+                each = [of([*before, *x]) for x in value[1]]  # the parser moves what all begin with before them
+                inner = None if None in each else sum(each, [])
+            elif kind is parser.MAX_REPEAT and value[0]:
+                inner = of(value[2])
+            if inner:
+                found.append([x for x in dict.fromkeys(inner) if not any(y != x and y in x for y in inner)])
+        return max(found, key=lambda x: (min(map(len, x)), -len(x)), default=None)
+
+    return of(parser.parse(regex)) or [""]
+
+
 def rules() -> list[dict]:
-    """All rules in order, each with its keyword, regex over words, priority and score."""
+    """All rules in order, each with its keywords (every match holds one), regex over words, priority and score."""
     out = []
-    for label, keyword, name, ident, tells in FAMILIES:
+    for label, _, name, ident, tells in FAMILIES:
         for form, around, priority, score in (*FORMS, ALONE)[: 6 if tells else 5]:
-            out.append({"id": len(out), "label": label, "keyword": keyword, "regex": "(?<![^ ])" + around.replace("{n}", name).replace("{i}", ident) + "(?![^ ])", "priority": priority, "score": score, "form": form})
+            told = "|".join(x for mark, x in (("{i}", ident), ("{n}", name)) if mark in around)
+            out.append({"id": len(out), "label": label, "keywords": needed(told), "regex": "(?<![^ ])" + around.replace("{n}", name).replace("{i}", ident) + "(?![^ ])", "priority": priority, "score": score, "form": form})
     return out
 
 
-RULE_TYPE = "array<struct<id:int,label:string,keyword:string,regex:string,priority:int,score:double>>"
+RULE_TYPE = "array<struct<id:int,label:string,keywords:array<string>,regex:string,priority:int,score:double>>"
 SPAN = "struct<start:int,stop:int,priority:int,id:int,label:string,score:double>"
 
 
@@ -119,8 +146,8 @@ def spaces(c: Column) -> Column:
     return F.length(c) - F.length(F.replace(c, F.lit(" "), F.lit("")))
 
 
-def detections(words: Column, listed: Column) -> Column:
-    """All places of the rules whose keyword stands in ``words``, as word intervals."""
+def detections(words: Column) -> Column:
+    """All places of the rules in ``words``, as word intervals. Rules are tried where a keyword of their form and one of their own stand."""
 
     def places(rule: Column) -> Column:
         found = F.regexp_extract_all(words, rule["regex"], F.lit(0))
@@ -135,7 +162,14 @@ def detections(words: Column, listed: Column) -> Column:
         zero = F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as array<{SPAN}>)").alias("spans"))
         return F.when(F.size(found) == 0, F.expr(f"cast(array() as array<{SPAN}>)")).otherwise(F.aggregate(F.sequence(F.lit(1), F.size(found)), zero, add, lambda acc: acc["spans"]))
 
-    return F.flatten(F.transform(F.filter(listed, lambda r: F.contains(words, r["keyword"])), places))
+    each = []
+    for form, around, *_ in (*FORMS, ALONE):
+        listed = F.from_json(F.lit(json.dumps([r for r in rules() if r["form"] == form])), RULE_TYPE)
+        found = F.flatten(F.transform(F.filter(listed, lambda r: F.exists(r["keywords"], lambda k: F.contains(words, k))), places))
+        # without what stands for name and identifier, which may match nothing here
+        may = reduce(or_, (F.contains(words, F.lit(k)) for k in needed(around.replace("{n}", "(?:x)?").replace("{i}", "(?:x)?"))))
+        each.append(F.when(may, found).otherwise(F.expr(f"cast(array() as array<{SPAN}>)")))
+    return F.concat(*each)
 
 
 def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -148,12 +182,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     score 0. Repeated rows give equal rows, an empty table an empty one, other
     columns are left out. No shuffle, no Python: one pass over the text.
     """
-    listed = F.from_json(F.lit(json.dumps(rules())), RULE_TYPE)
     low = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, F.lower(F.trim(F.regexp_replace("_t", NOT_WORD, " "))).alias("_w"))
-    gate = F.lit(False)
-    for word in GATE:
-        gate = gate | F.contains(F.col("_w"), F.lit(word))
-    low = low.select(key, F.when(F.col("_w") == "", F.lit(0)).otherwise(spaces(F.col("_w")) + 1).cast("long").alias("n_words"), F.when(gate, F.col("_w")).alias("_w"))
+    low = low.select(key, F.when(F.col("_w") == "", F.lit(0)).otherwise(spaces(F.col("_w")) + 1).cast("long").alias("n_words"), "_w")
     parts = low.select("*", *(F.when(F.contains(F.col("_w"), F.lit(p)), F.split("_w", f"(?<![^ ]){p}(?![^ ])", -1)).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)))
     n = [F.when(F.col(f"_p{i}").isNull(), F.lit(0)).otherwise(F.size(F.col(f"_p{i}")) - 1) for i in range(len(PHRASES))]
     first = [F.when(n[i] > 0, spaces(F.element_at(F.col(f"_p{i}"), 1))) for i in range(len(PHRASES))]
@@ -161,7 +191,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     base = F.array_sort(F.array_compact(F.array(*(F.when(n[i] > 0, F.lit(label)) for i, (_, label) in enumerate(PHRASES)))))
     found = parts.select(
         key, "n_words", sum(n[1:], n[0]).cast("long").alias("n_base"), F.least(*first).cast("long").alias("first_word"), F.greatest(*last).cast("long").alias("last_word"), base.alias("_base"),
-        F.when(F.col("_w").isNotNull(), F.array_sort(F.transform(detections(F.col("_w"), listed), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), s["priority"].alias("priority"), s["id"].alias("id"), s["label"].alias("label"), s["score"].alias("score"))))).alias("_all"),
+        F.when(F.col("_w").isNotNull(), F.array_sort(F.transform(detections(F.col("_w")), lambda s: F.struct(s["start"].alias("start"), (-s["stop"]).alias("less"), s["priority"].alias("priority"), s["id"].alias("id"), s["label"].alias("label"), s["score"].alias("score"))))).alias("_all"),
     )
     # in this order a detection lies in an earlier one exactly if some earlier one ends no sooner
     zero = F.struct(F.lit(-1).alias("stop"), F.expr("cast(array() as array<string>)").alias("labels"), F.lit(0.0).alias("score"), F.lit(0).alias("n"))

@@ -39,6 +39,53 @@ def test_license_rules_priorities(spark):
     assert len(licenses.rules()) > 300 and licenses.scan(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
+def samples(tokens):
+    """Texts that the regex matches: each alternative once, what is optional left out and put in."""
+    outs = [""]
+    for kind, value in tokens:
+        name = str(kind)
+        if name == "LITERAL":
+            each = [chr(value)]
+        elif name == "IN":
+            each = [chr(v) if str(k) == "LITERAL" else "1" if str(k) == "CATEGORY" else chr(v[0]) if str(k) == "RANGE" else "w" for k, v in value[-1:]]
+        elif name == "SUBPATTERN":
+            each = samples(value[3])
+        elif name == "BRANCH":
+            each = [x for v in value[1] for x in samples(v)]
+        elif name == "MAX_REPEAT":
+            each = ([""] if value[0] == 0 else []) + [x * max(1, value[0]) for x in samples(value[2])]
+        elif name == "NOT_LITERAL":
+            each = ["w"]
+        else:
+            each = [""]  # boundaries
+        outs = [outs[i % len(outs)] + each[i % len(each)] for i in range(max(len(outs), len(each)))]
+    return outs
+
+
+def test_license_rules_find_their_own_samples(spark):
+    """Every rule on texts made of its own regex, and some notices, against all rules tried without any keyword."""
+    listed = [(r, re.compile(r["regex"])) for r in licenses.rules()]
+    said = ["released under the MIT", "distributed under the terms of the BSD", "BSD 3-Clause", "Apache 2.0", "MPL 2.0", "CDDL 1.1", "WTFPL", "Artistic 2.0"]
+    said += [f"SPDX-License-Identifier: {x}" for x in ("OFL-1.1", "BSL-1.0", "EUPL-1.2", "GFDL-1.3-only", "MS-PL", "ODbL-1.0", "BUSL-1.1", "SSPL-1.0", "CPL-1.0")]
+    texts = sorted({t for r, regex in listed for t in samples(licenses.parser.parse(r["regex"])) if regex.search(t)})
+    for r, regex in listed:
+        assert any(regex.search(t) for t in texts), r
+        assert all(any(k in t for k in r["keywords"]) for t in texts if regex.search(t)), r
+    texts += said + ["a plain text about licensed limits, under terms of examples"]
+    got = {r.text: (r.labels, r.n_kept) for r in licenses.scan(spark.createDataFrame([(t, t) for t in texts], "text string, id string"), key="id").withColumnRenamed("id", "text").collect()}
+    for t in texts:
+        words = " ".join(re.findall("[0-9a-z]+", t.lower()))
+        spans = sorted((words[: m.start()].count(" "), -(words[: m.end()].count(" ") + 1), r["priority"], r["id"], r["label"]) for r, regex in listed for m in regex.finditer(words))
+        kept, stop = [], -1
+        for start, less, _, _, label in spans:
+            if -less > stop:
+                stop = -less
+                kept.append(label)
+        base = {label for p, label in licenses.PHRASES if f" {p} " in f" {words} "}
+        assert got[t] == (",".join(sorted({*kept, *base})), len(kept)), t
+    assert all(got[t][1] for t in said)
+
+
 def test_license_plan_is_native(spark, sf):
     plan = queries.op3_license_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
