@@ -1,8 +1,8 @@
 """Secret scan: base patterns, and a worklist that unwraps encoded layers and scans each of them.
 
 A layer is a text with a map from its spans to spans of the layer it was
-found in. Layers come from words with URL or Unicode escapes and from long
-base64 runs, whose bytes may be compressed. A layer equal to one of those it
+found in. Layers come from URL or Unicode escapes, undone in the whole text, and
+from long base64 runs, also over wrapped lines, whose bytes may be compressed. A layer equal to one of those it
 came from ends there (a cycle); otherwise unwrapping goes on until nothing
 decodes. Spans are in code points of the document's own text.
 """
@@ -16,8 +16,10 @@ import hashlib
 import lzma
 import re
 import zlib
+from bisect import bisect_right
 from collections import deque
 from collections.abc import Callable, Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -33,11 +35,15 @@ LEAST = {"assign": 12, "access": 18, "hex": 16}
 
 #: Every access key and hex run of full length lies in such a run, and so does base64.
 LONG = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
-WORD = re.compile(r"\S+")
+#: Such runs parted by single line ends (MIME, PEM); the last line may be short.
+WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[A-Za-z0-9+/_-]*={0,2}")
+LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
+#: Bytes that are not UTF-8 as a whole are a layer if they hold such a run: no secret is shorter.
+RUN = re.compile(rb"[\x20-\x7e]{16,}")
 PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
-#: A layer that inflates to more is cut off there and counted in n_cut: the guard against compression bombs.
-MAX_LAYER = 16 << 20
+#: A layer that inflates to more is scanned in chunks of so many bytes that share OVERLAP, one at a time, and counted in n_cut.
+MAX_LAYER, OVERLAP = 16 << 20, 1 << 20
 
 Span = tuple[str, int, int]
 
@@ -54,44 +60,67 @@ def base_spans(text: str) -> list[Span]:
 
 
 def _text(data: bytes) -> str | None:
-    """The bytes as text, if they are printable UTF-8."""
+    """The bytes as text, if they are UTF-8 or hold a run of it; a byte that is no part of a character stands for itself."""
     try:
-        s = data.decode("utf-8")
+        return data.decode("utf-8") or None
     except UnicodeDecodeError:
-        return None
-    return s if s and all(c.isprintable() or c in "\t\n\r" for c in s) else None
-
+        return data.decode("utf-8", "surrogateescape") if RUN.search(data) else None
 
-def _inflate(data: bytes) -> tuple[bytes, bool] | None:
-    """The inflated bytes and whether they were cut; None if the bytes are not compressed."""
-    made = zlib.decompressobj(47) if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0 else bz2.BZ2Decompressor() if data[:3] == b"BZh" else lzma.LZMADecompressor() if data[:6] == b"\xfd7zXZ\0" else None
-    if made is None:
-        return None
-    try:
-        got = made.decompress(data, MAX_LAYER + 1)
-    except (zlib.error, OSError, lzma.LZMAError, EOFError):
-        return None
-    return got[:MAX_LAYER], len(got) > MAX_LAYER
 
-
-def _replaced(word: str, pattern: re.Pattern, value: Callable[[re.Match], str | None]) -> tuple[str, list[int]] | None:
-    """The word with matches replaced, and where each character of the result begins in the word (and the end)."""
-    out, starts, at = [], [], 0
-    for m in pattern.finditer(word):
+def _inflated(data: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The inflated bytes, in overlapping chunks, and whether there is more than one; nothing if the bytes are not compressed. A broken stream ends where it breaks."""
+    make = (lambda: zlib.decompressobj(47)) if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0 else bz2.BZ2Decompressor if data[:3] == b"BZh" else lzma.LZMADecompressor if data[:6] == b"\xfd7zXZ\0" else None
+    if make is None:
+        return
+    head, made, held, chunks = data[:2], make(), b"", 0
+    while True:
+        try:
+            got = made.decompress(data, MAX_LAYER)
+        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+            break
+        held += got
+        if made.eof:
+            if (data := made.unused_data)[:2] != head:  # else a further member of the stream
+                break
+            made = make()
+        elif hasattr(made, "unconsumed_tail"):
+            data = made.unconsumed_tail
+            if not got and not data:
+                break
+        else:
+            data = b""
+            if made.needs_input and not got:
+                break
+        if len(held) > MAX_LAYER:
+            yield held[:MAX_LAYER], True
+            held, chunks = held[MAX_LAYER - OVERLAP :], chunks + 1
+    if held:
+        yield held, chunks > 0
+
+
+def _replaced(text: str, pattern: re.Pattern, value: Callable[[re.Match], str | None]) -> tuple[str, Callable[[int, int], tuple[int, int]]] | None:
+    """The text with matches replaced, and the map of spans of the result to spans of the text."""
+    out, begins, places, at, size = [], [], [], 0, 0
+    for m in pattern.finditer(text):
         got = value(m)
         if got is None:
             continue
-        out.append(word[at : m.start()])
-        starts += range(at, m.start())
-        step = len(m[0]) / max(1, len(got))
-        out.append(got)
-        starts += [m.start() + int(k * step) for k in range(len(got))]
+        out += [text[at : m.start()], got]
+        begins.append(size + m.start() - at)
+        places.append((m.start(), m.end(), len(got)))
+        size += m.start() - at + len(got)
         at = m.end()
     if not at:
         return None
-    out.append(word[at:])
-    starts += range(at, len(word) + 1)
-    return "".join(out), starts
+
+    def back(i: int) -> int:
+        if (k := bisect_right(begins, i) - 1) < 0:
+            return i
+        start, end, n = places[k]
+        i -= begins[k]
+        return start + i * (end - start) // n if i < n else end + i - n
+
+    return "".join([*out, text[at:]]), lambda s, e: (back(s), back(e))
 
 
 def _url(m: re.Match) -> str | None:
@@ -108,50 +137,68 @@ def _unicode(m: re.Match) -> str | None:
 
 def unwrapped(text: str) -> Iterator[tuple[str, str, Callable[[int, int], tuple[int, int]], bool]]:
     """Layers directly inside a text: encoding, layer, map of spans to the text's, whether it was cut."""
-    for name, mark, pattern, value in (("url", "%", PERCENT, _url), ("unicode", None, ESCAPE, _unicode)):
-        if (mark in text) if mark else ("\\" in text or "&#" in text):
-            for w in WORD.finditer(text):
-                if (mark in w[0] if mark else "\\" in w[0] or "&#" in w[0]) and (got := _replaced(w[0], pattern, value)):
-                    yield name, got[0], (lambda s, e, at=w.start(), starts=got[1]: (at + starts[s], at + starts[e])), False
-    for run in LONG.finditer(text):
-        raw = run[0].rstrip("=").replace("-", "+").replace("_", "/")
-        if len(raw) % 4 == 1:
-            raw = raw[:-1]
-        try:
-            data = base64.b64decode(raw + "=" * (-len(raw) % 4))
-        except (binascii.Error, ValueError):
-            continue
-        if got := _inflate(data):
-            if (layer := _text(got[0])) is not None:
-                yield "base64+compressed", layer, (lambda s, e, run=run: run.span()), got[1]
-        elif (layer := _text(data)) is not None:
-            def to(s: int, e: int, layer: str = layer, at: int = run.start()) -> tuple[int, int]:
-                a = len(layer[:s].encode())
-                b = a + len(layer[s:e].encode())
-                return at + a * 8 // 6, at + -(-b * 8 // 6)
+    for name, marks, pattern, value in (("url", ("%",), PERCENT, _url), ("unicode", ("\\", "&#"), ESCAPE, _unicode)):
+        if any(mark in text for mark in marks) and (got := _replaced(text, pattern, value)):
+            yield name, *got, False
+    for pattern in (WRAPPED, LONG) if "\n" in text else (LONG,):
+        for run in pattern.finditer(text):
+            lines = [(m.start() + run.start(), m[0]) for m in LINE.finditer(run[0])]
+            raw = "".join(x for _, x in lines).rstrip("=").replace("-", "+").replace("_", "/")
+            if len(raw) % 4 == 1:
+                raw = raw[:-1]
+            try:
+                data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+            except (binascii.Error, ValueError):
+                continue
+            packed = False
+            for part, short in _inflated(data):
+                packed = True
+                if (layer := _text(part)) is not None:
+                    yield "base64+compressed", layer, (lambda s, e, run=run: run.span()), short
+            if not packed and (layer := _text(data)) is not None:
+                begins = list(accumulate((len(x) for _, x in lines[:-1]), initial=0))
+
+                def to(s: int, e: int, layer: str = layer, lines: list = lines, begins: list = begins) -> tuple[int, int]:
+                    a = len(layer[:s].encode("utf-8", "surrogateescape"))
+                    b = a + len(layer[s:e].encode("utf-8", "surrogateescape"))
+                    place = lambda i: lines[k := bisect_right(begins, i) - 1][0] + i - begins[k]
+                    return place(a * 8 // 6), place(-(-b * 8 // 6) - 1) + 1
 
-            yield "base64", layer, to, False
+                yield "base64", layer, to, False
 
 
 def scan_text(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, spans found in layers (kind: encodings joined by '+', '.', base kind), layers read, layers cut."""
+    """Base spans, spans found in layers (kind: encodings joined by '+', '.', base kind), layers read, layers in chunks.
+
+    A span that an earlier layer (or the text itself) shows is not given again.
+    """
     base = base_spans(text)
-    plain = set(base)
+    known = set(base)
     more: set[Span] = set()
     layers = cut = 0
-    work: deque = deque([(text, (), frozenset((text,)), ())])
-    while work:
-        at, maps, above, names = work.popleft()
-        for name, layer, to, short in unwrapped(at):
-            if layer in above:
-                continue
-            layers, cut, down = layers + 1, cut + short, (*names, name)
-            for kind, s, e in base_spans(layer):
-                for back in (to, *reversed(maps)):
-                    s, e = back(s, e)
-                if (kind, s, e) not in plain:  # else the layer only shows again what stands plainly
-                    more.add((f"{'+'.join(down)}.{kind}", s, e))
-            work.append((layer, (*maps, to), above | {layer}, down))
+
+    def walk(*first) -> None:
+        nonlocal layers, cut
+        work: deque = deque([first])
+        while work:
+            at, maps, above, names = work.popleft()
+            for name, layer, to, short in unwrapped(at):
+                if layer in above:
+                    continue
+                layers, cut, down = layers + 1, cut + short, (*names, name)
+                for kind, s, e in base_spans(layer):
+                    for back in (to, *reversed(maps)):
+                        s, e = back(s, e)
+                    if (kind, s, e) not in known:
+                        known.add((kind, s, e))
+                        more.add((f"{'+'.join(down)}.{kind}", s, e))
+                inner = layer, (*maps, to), above | {layer}, down
+                if short:  # a chunk is done with before the next is made
+                    walk(*inner)
+                else:
+                    work.append(inner)
+
+    walk(text, (), frozenset((text,)), ())
     return base, sorted(more, key=lambda s: (s[1], s[0], s[2])), layers, cut
 
 
@@ -173,7 +220,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str | N
 
     Returns key, n_assign, n_access, n_hex, base_sha256 (of the base spans,
     joined), spans (base ones and those of unwrapped layers, by start, then
-    kind), n_layers, n_cut (layers over MAX_LAYER when inflated); with ``mask``
+    kind), n_layers, n_cut (chunks of layers over MAX_LAYER when inflated); with ``mask``
     also redacted: the text with every span replaced (null stays null). Null
     text: as empty: no spans. Repeated rows give equal rows, an empty table an
     empty one, other columns are left out. No shuffle.

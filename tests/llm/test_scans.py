@@ -1,8 +1,10 @@
 """License and secret scans against brute force, and their edge cases."""
 
 import base64
+import bz2
 import gzip
 import hashlib
+import lzma
 import re
 import urllib.parse
 
@@ -128,3 +130,34 @@ def test_secret_layers_and_maps(spark):
 
 def test_secret_cycles_end():
     assert secrets.scan_text("%25" * 5 + "41")[2] < 10
+
+
+def test_secret_layers_wider_than_a_word_or_line(monkeypatch):
+    value = "Zbcdxf0123WxyzQXY"
+    key = f"password={value}"
+    found = lambda text: [(k, text[s:e]) for k, s, e in secrets.scan_text(text)[1]]
+    escaped = "".join(f"\\u{ord(c):04x}" for c in value)
+    assert found(f'x {{"api_key": "{escaped}", 1}}') == [("unicode.assign", f'api_key": "{escaped}')]
+    percent = "".join(f"%{ord(c):02X}" for c in value)
+    assert found(f"a 7% b password = {percent} c") == [("url.assign", f"password = {percent}")]
+    for end in ("\n", "\r\n", "\n  "):
+        for width in (64, 76):
+            filler = hashlib.sha512(b"x").hexdigest().upper().replace("A", "g")
+            plain = base64.b64encode(("." * 29 + " " + key + " " + "." * 60).encode()).decode()
+            packed = base64.b64encode(gzip.compress(("".join(hashlib.sha512(bytes([k])).hexdigest().upper() for k in range(9)) + filler + " " + key).encode())).decode()
+            for b64, kind in ((plain, "base64.assign"), (packed, "base64+compressed.assign")):
+                text = "head\n" + end.join(b64[k : k + width] for k in range(0, len(b64), width)) + "\n\ntail"
+                base, more, *_ = secrets.scan_text(text)
+                assert kind in [k for k, *_ in more]
+    for odd in ("\u00a0", "\u3000", "\ufeff", "\x00", "\x1b"):
+        assert [k for k, _ in found(base64.b64encode(f"{odd} {key}".encode()).decode())] == ["base64.assign"]
+    assert [k for k, _ in found(base64.b64encode(b"\xff\xfe\x80 " + key.encode() + b" \xc3").decode())] == ["base64.assign"]
+    monkeypatch.setattr(secrets, "MAX_LAYER", 4096)
+    monkeypatch.setattr(secrets, "OVERLAP", 256)
+    for compress in (gzip.compress, bz2.compress, lzma.compress):
+        for at in (4090, 4096, 30000):
+            deep = base64.b64encode(compress((". " * 20000)[:at].encode() + key.encode() + b" ." * 5000)).decode()
+            _, more, _, cut = secrets.scan_text(f"a {deep} b")
+            assert [k for k, *_ in more] == ["base64+compressed.assign"] and cut >= 3, (compress, at)
+    two = base64.b64encode(gzip.compress(b"first") + gzip.compress(key.encode())).decode()
+    assert [k for k, _ in found(two)] == ["base64+compressed.assign"]
