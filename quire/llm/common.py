@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Only where that is unset (tests, one machine) a temporary folder is used.
+    Only where that is unset and Spark runs in one process a temporary folder is used.
     """
     sc = spark.sparkContext
     given = sc.getConf().get("spark.checkpoint.dir") or (sc.getCheckpointDir() if sc._jsc.sc().getCheckpointDir().isDefined() else None)
     if not given:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         given = "file://" + tempfile.mkdtemp(prefix="quire-shared-")
         sc.setCheckpointDir(given)
     return given.rstrip("/")
@@ -34,11 +36,27 @@ def scratch(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex[:12]}"
 
 
-def stored(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: lineage ends there, so a lost executor costs a re-read only."""
+def written(df: DataFrame, what: str) -> tuple[DataFrame, str]:
+    """df written to the shared folder and read back, and its folder: lineage ends there, so a lost executor costs a re-read only."""
     path = scratch(df.sparkSession, what)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), path
+
+
+def stored(df: DataFrame, what: str) -> DataFrame:
+    return written(df, what)[0]
+
+
+def hadoop(spark: SparkSession, path: str):
+    """The store and the path, as Spark's own readers see them."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Deletes a folder of the shared folder that nothing reads any more."""
+    fs, p = hadoop(spark, path)
+    fs.delete(p, True)
 
 
 #: Rows of one key that stay together in a join at least, and the most keys that are ever split.

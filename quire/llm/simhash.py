@@ -26,8 +26,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from quire.llm.common import by_slices, split_join, stored
+from quire.llm.common import by_slices, removed, split_join, stored, written
 
 SEED = 42
 #: Rows of a bucket above which it is split into chunk pairs.
@@ -71,19 +72,18 @@ def fingerprints(each: list[np.ndarray], width: int = 1) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, n: int, width: int = 1, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, f0.. (one signed long for each 64 bits)."""
-    kept = docs.select(key, text)
-    names = [f"f{w}" for w in range(width)]
+def signatures(docs: DataFrame, n: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, f0 (the fingerprint as a signed long) of every row."""
+    kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            f = fingerprints([shingle_hashes(t, n) for t in part.column(1).to_pylist()], width).view(np.int64)
-            return pa.RecordBatch.from_arrays([part.column(0), *(pa.array(f[:, w]) for w in range(width))], names=[key, *names])
+            f = fingerprints([shingle_hashes(t, n) for t in part.column(1).to_pylist()]).view(np.int64)
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(f[:, 0])], names=["key", "f0"])
 
         return run
 
-    return kept.mapInArrow(by_slices(make, 256), f"`{key}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names))
+    return kept.mapInArrow(by_slices(make, 256), f"key {kept.schema[0].dataType.simpleString()}, f0 long")
 
 
 def exact_tables(n: int, radius: int) -> list[tuple[int, int]]:
@@ -100,13 +100,23 @@ def exact_tables(n: int, radius: int) -> list[tuple[int, int]]:
     raise AssertionError
 
 
-def apart(similarity: float) -> float:
+#: Sets under so many shingles differ in more bits than their angle tells, and are compared within a wider radius.
+SMALL = 16
+
+
+def apart(similarity: float, small: bool = False) -> float:
     """Share of bits expected to differ, at most, between two sets of this Jaccard similarity.
 
     Of all such sets those of equal size have the least cosine, 2j / (1 + j), and bits differ with probability acos of
-    that over pi; few shingles give more (worst: 4 against 5, 0.1875 for 0.152), which the factor covers.
+    that over pi; few shingles give more, which the factor covers (worst of all sizes: 4 against 5, 1.238 times at 0.8;
+    worst from SMALL on: 22 against 23, 1.0443 times; counted over all sizes up to 100).
     """
-    return 1.24 * math.acos(2 * similarity / (1 + similarity)) / math.pi
+    return (1.24 if small else 1.045) * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def reach(share: float, bits: int) -> int:
+    """Radius: the bits expected to differ and three standard deviations more."""
+    return math.ceil(bits * share + 3 * math.sqrt(bits * share * (1 - share)))
 
 
 def sampled_tables(n: int, width: int, share: float, radius: int, recall: float = 0.99) -> list[tuple[int, int]]:
@@ -169,16 +179,21 @@ def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivo
     return node[own], node[parent[own]]
 
 
-def choices(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray, c: np.ndarray, m: np.ndarray, similarity: float, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of different c whose sizes m allow the similarity: every one, or each row's nearest and its least node only."""
+def choices(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray, c: np.ndarray, m: np.ndarray, similarity: float, tight: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Near pairs of different c whose sizes m allow the similarity: every one, or each row's nearest and its least node only.
+
+    Pairs of which neither is small must lie within ``tight``.
+    """
     near, who, low = np.full(len(node), 1 << 20), np.full(len(node), -1), node.copy()
     for a, b in near_pairs(f, group, radius, pivots):
         ok = (c[a] != c[b]) & (np.minimum(m[a], m[b]) >= similarity * np.maximum(m[a], m[b]) - 1e-9)
         a, b = a[ok], b[ok]
+        d = np.bitwise_count(f[a] ^ f[b]).sum(1)
+        ok = (d <= tight) | (np.minimum(m[a], m[b]) < SMALL)
+        a, b, d = a[ok], b[ok], d[ok]
         if every:
             yield node[a], node[b]
             continue
-        d = np.bitwise_count(f[a] ^ f[b]).sum(1)
         for x, y in ((a, b), (b, a)):  # a row stands in each of them once at most
             closer = (d < near[x]) | (d == near[x]) & (node[y] < node[who[x]])
             near[x[closer]], who[x[closer]] = d[closer], y[closer]
@@ -190,19 +205,23 @@ def choices(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, piv
         yield node[own], low[own]
 
 
-def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int, similarity: float | None = None, every: bool = False) -> DataFrame:
+def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int, alike: tuple[float, int, int] | None = None, every: bool = False) -> DataFrame:
     """Edges (a, b), a > b, whose components are those of all near pairs that share a key. nodes: node, f0..
 
-    With a similarity: the pairs that choices() gives; nodes: node, f0.., c, m.
+    With alike = (similarity, radius of sets that are not small, number of tables they need): the pairs that choices() gives; nodes: node, f0.., c, m.
     """
-    names = [f"f{w}" for w in range(width)] + (["c", "m"] if similarity is not None else [])
-    keyed = nodes.select("node", *names, F.explode(F.array(*(F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (w, mask) in enumerate(tables)))).alias("_k")).select("node", *names, "_k.t", "_k.k")
+    names = [f"f{w}" for w in range(width)] + (["c", "m"] if alike else [])
+    keys = [F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (w, mask) in enumerate(tables)]
+    every_key = F.array(*keys)
+    if alike and alike[2] < len(keys):  # who may meet a small set takes all tables
+        every_key = F.when(F.col("m") < SMALL / alike[0] + 1, every_key).otherwise(F.array(*keys[: alike[2]]))
+    keyed = nodes.select("node", *names, F.explode(every_key).alias("_k")).select("node", *names, "_k.t", "_k.k")
     heavy = stored(keyed.groupBy("t", "k").count().where(F.col("count") > MOST), "heavy-buckets")
     if n_heavy := heavy.count():
-        chunks = heavy.select("t", "k", F.ceil(F.col("count") / F.lit(MOST)).cast("int").alias("c"))
+        chunks = heavy.select("t", "k", F.ceil(F.col("count") / F.lit(MOST)).cast("int").alias("_c"))
         keyed = keyed.join(F.broadcast(chunks) if n_heavy <= 100_000 else chunks, ["t", "k"], "left")
-        mine = F.pmod(F.xxhash64("node"), F.coalesce(F.col("c"), F.lit(1))).cast("int")
-        keyed = keyed.withColumn("r", mine).withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("c"), F.lit(1)) - 1)))
+        mine = F.pmod(F.xxhash64("node"), F.coalesce(F.col("_c"), F.lit(1))).cast("int")
+        keyed = keyed.withColumn("r", mine).withColumn("s", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("_c"), F.lit(1)) - 1)))
         key = F.xxhash64("t", "k", F.least("r", "s"), F.greatest("r", "s"))
     else:
         key = F.xxhash64("t", "k")
@@ -226,7 +245,7 @@ def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, w
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         given = cols[1], np.stack(cols[2 : 2 + width], 1).view(np.uint64), cols[0], radius, pivots
-        for a, b in [forest(*given)] if similarity is None else choices(*given, *cols[2 + width :], similarity, every):
+        for a, b in choices(*given, *cols[2 + width :], *alike[:2], every) if alike else [forest(*given)]:
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
@@ -242,7 +261,7 @@ def components(edges: DataFrame) -> DataFrame:
     def mark(e: DataFrame):
         return e.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.lit(0))).first()
 
-    edges = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
+    edges, folder = written(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a != b").distinct(), "edges")
     seen = mark(edges)
     while seen[0]:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -250,7 +269,9 @@ def components(edges: DataFrame) -> DataFrame:
         big = split_join(both, least, ["a"], "b", 2 * seen[0]).where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").distinct()
         low = big.groupBy("a").agg(F.min("b").alias("m"), F.count("*").alias("n"))
         small = split_join(big, low, ["a"], "b", 2 * seen[0]).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a != b").union(low.select("a", F.col("m").alias("b")))
-        edges = stored(small.distinct(), "edges")
+        old = folder
+        edges, folder = written(small.distinct(), "edges")
+        removed(edges.sparkSession, old)
         now = mark(edges)
         if now == seen:
             break
@@ -258,31 +279,40 @@ def components(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("node"), F.col("b").alias("component"))
 
 
-def grouped(sig: DataFrame, tables_for, radius: int, width: int, key: str = "doc_id") -> DataFrame:
-    """key, f0.., component_id (smallest key reachable over links) of every row. tables_for(n): the keys for n distinct fingerprints."""
-    names = [f"f{w}" for w in range(width)]
-    nodes = stored(sig.groupBy(*names).agg(F.min(key).alias("node"), F.count("*").alias("n")), "fingerprints")
-    n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    comp = components(bucket_edges(nodes, tables_for(n_nodes), radius, width))
-    of = stored(nodes.join(comp, "node", "left").select(*names, F.coalesce("component", "node").alias("component_id"), "n"), "classes")
-    return split_join(sig, of, names, key, total)
+def first_of(*more: str):
+    """The least key, null only if there is no other, with ``more`` of its row."""
+    return F.min(F.struct(F.col("key").isNull().alias("none"), "key", *more)).alias("first")
+
+
+def classes(nodes: DataFrame, comp: DataFrame) -> DataFrame:
+    """node, first (of the whole component), n (rows of the node). nodes: node, first, n; a large component's nodes are dealt out."""
+    of = stored(nodes.join(comp, "node", "left").select("node", "first", F.col("n").alias("rows"), F.coalesce("component", "node").alias("c")), "classes")
+    least = of.groupBy("c").agg(F.min("first").alias("first"), F.count("*").alias("n"))
+    return stored(split_join(of.select("node", "rows", "c"), least, ["c"], "node", of.count()).select("node", "first", F.col("rows").alias("n")), "classes")
 
 
 def near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, fingerprint (16 hex digits), component_id for every document; links are fingerprints at most ``radius`` bits apart, none is lost.
+    """key, fingerprint (16 hex digits), component_id (smallest key reachable) for every row; links are fingerprints at most ``radius`` bits apart, none is lost.
 
-    Null and empty texts have fingerprint zero and are linked like any other. Ties and repeated
-    rows give equal rows (a repeated key too); an empty table gives an empty one; other columns are left out.
+    Null and empty texts have fingerprint zero and are linked like any other. A row without a key is
+    linked too and gets its group's smallest key (null if nobody there has one). Ties and repeated
+    rows give equal rows (a repeated key too); keys may be numbers or strings; an empty table gives an empty one; other columns are left out.
     """
-    sig = stored(signatures(docs, shingle, 1, text, key), "signatures")
-    out = grouped(sig, lambda n: exact_tables(n, radius), radius, 1, key)
-    return out.select(key, F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), "component_id")
+    sig = stored(signatures(docs, shingle, text, key).withColumn("row", F.monotonically_increasing_id()), "signatures")
+    nodes = stored(sig.groupBy("f0").agg(first_of(), F.count("*").alias("n")).withColumn("node", F.col("f0")), "fingerprints")
+    n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    comp = components(bucket_edges(nodes, exact_tables(n_nodes, radius), radius, 1))
+    of = classes(nodes, comp).withColumnRenamed("node", "f0")
+    out = split_join(sig, of, ["f0"], "row", total)
+    return out.select(F.col("key").alias(key), F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), F.col("first.key").alias("component_id"))
 
 
-#: Bits of the map of wanted sets, a fixed size: where it is full, more sets are shuffled and none is lost.
+#: Bits of the map of wanted rows, a fixed size: where it is full, more sets are shuffled and none is lost.
 WANTED = 1 << 26
 #: Keys of the first round, which joins most of what is near.
 FIRST = 16
+#: What a marked table has besides the documents' own columns.
+ROW, NODE, SIZE, BITS = "_simhash_row", "_simhash_node", "_simhash_size", "_simhash_f"
 
 
 def shingle_sets(texts: list[str | None], n: int) -> tuple[list[np.ndarray], np.ndarray]:
@@ -291,28 +321,28 @@ def shingle_sets(texts: list[str | None], n: int) -> tuple[list[np.ndarray], np.
     return sets, np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
 
 
-def set_signatures(docs: DataFrame, n: int, width: int, text: str, key: str) -> DataFrame:
-    """key, node (digest of the text's shingle set), m (size of the set), f0.. (of the set)."""
-    kept = docs.select(key, text)
-    names = [key, "node", "m", *(f"f{w}" for w in range(width))]
+def marked(docs: DataFrame, n: int, width: int, text: str) -> DataFrame:
+    """The documents, all columns, and of each row's set of shingles the digest, the size and the fingerprint; rows are numbered. Written once."""
+    own = [NODE, SIZE, *(f"{BITS}{w}" for w in range(width))]
+    at = docs.columns.index(text)
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets, node = shingle_sets(part.column(1).to_pylist(), n)
+            sets, node = shingle_sets(part.column(at).to_pylist(), n)
             f = fingerprints(sets, width).view(np.int64)
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(f[:, w]) for w in range(width))], names=names)
+            return pa.RecordBatch.from_arrays([*part.columns, pa.array(node), pa.array([len(s) for s in sets], pa.int64()), *(pa.array(f[:, w]) for w in range(width))], names=[*part.schema.names, *own])
 
         return run
 
-    return kept.mapInArrow(by_slices(make, 256), f"`{key}` {kept.schema[0].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names[1:]))
+    schema = T.StructType([*docs.schema.fields, *(T.StructField(x, T.LongType()) for x in own)])
+    return stored(docs.mapInArrow(by_slices(make, 256), schema).withColumn(ROW, F.monotonically_increasing_id()), "marked")
 
 
-def wanted_sets(docs: DataFrame, pairs: DataFrame, n: int, text: str) -> DataFrame:
-    """node, s (its shingle hashes) once for each node of the pairs."""
-    nodes = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    at = F.pmod("node", F.lit(WANTED)) + 1
+def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
+    """node, s (its shingle hashes) for each wanted (node, row), from the marked documents: shingles are made for the wanted rows only."""
+    at = F.pmod(F.xxhash64("row"), F.lit(WANTED))
     bits = np.zeros(WANTED // 8, np.uint8)
-    for r in nodes.groupBy(F.bitmap_bucket_number(at).alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+    for r in wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
         bits[(r.k - 1) * 4096 : r.k * 4096] = np.frombuffer(r.bits, np.uint8)
     sent = docs.sparkSession.sparkContext.broadcast(bits)
 
@@ -320,25 +350,25 @@ def wanted_sets(docs: DataFrame, pairs: DataFrame, n: int, text: str) -> DataFra
         bits = sent.value
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
-            sets, node = shingle_sets(part.column(0).to_pylist(), n)
-            where = node % WANTED
-            some = np.flatnonzero(bits[where >> 3] >> (where & 7).astype(np.uint8) & 1)
-            some = some[np.unique(node[some], return_index=True)[1]]
-            flat = np.concatenate([np.empty(0, np.uint64), *(sets[i] for i in some)]).view(np.int64)
-            ends = np.cumsum([0, *(len(sets[i]) for i in some)])
-            return pa.RecordBatch.from_arrays([pa.array(node[some]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], names=["node", "s"])
+            where = part.column(1).to_numpy()
+            part = part.take(pa.array(np.flatnonzero(bits[where >> 3] >> (where & 7).astype(np.uint8) & 1)))
+            sets, node = shingle_sets(part.column(2).to_pylist(), n)
+            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))], names=["row", "node", "s"])
 
         return run
 
-    found = docs.select(text).mapInArrow(by_slices(make, 256), "node long, s array<long>")
-    return found.join(nodes, "node", "left_semi").groupBy("node").agg(F.first("s").alias("s"))
+    found = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).select("row", at.alias("at"), "text").mapInArrow(by_slices(make, 256), "row long, node long, s array<long>")
+    return found.join(wanted, ["row", "node"], "left_semi").select("node", "s")
 
 
-def alike(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
+def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
     """The pairs whose shingle sets have the Jaccard similarity, exactly counted. A node of many pairs is dealt out."""
     pairs = stored(pairs, "pairs")
     total = pairs.count()
-    sets = stored(wanted_sets(docs, pairs, n, text), "sets")
+    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    wanted = stored(nodes.select("node", F.col("first.row").alias("row")).join(asked, "node", "left_semi"), "wanted")
+    sets = stored(wanted_sets(docs, wanted, n, text), "sets")
     for x, other in (("a", "b"), ("b", "a")):
         one = sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("n")), x)
         pairs_with = split_join(pairs if x == "a" else pairs_with, one, [x], other, total)
@@ -347,27 +377,43 @@ def alike(docs: DataFrame, pairs: DataFrame, n: int, similarity: float, text: st
     return stored(pairs_with.where((both >= similarity * sizes - 1e-9) | (sizes == 0)).select("a", "b"), "alike")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 4, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, component_id (smallest key) of every row; links are pairs of texts whose sets of shingles have this Jaccard similarity at least.
+def similar_rows(docs: DataFrame, shingle: int, similarity: float, width: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
+    """The marked documents, and row, key, first (least key of the group and its first row) of every row.
 
+    Links are pairs of texts whose sets of shingles have this Jaccard similarity at least.
     No other pair is linked: fingerprints only propose pairs, which are then counted exactly. Of pairs at exactly
     ``similarity`` 0.99 or more are proposed, of closer ones more. Texts with equal sets are one node. A first round takes
     each node's nearest and least neighbour; the second takes every pair that is not joined by then.
     """
-    share = apart(similarity)
-    radius = math.ceil(64 * width * share + 3 * math.sqrt(64 * width * share * (1 - share)))
+    shares = apart(similarity, True), apart(similarity)
+    wide, tight = (reach(s, 64 * width) for s in shares)
     names = [f"f{w}" for w in range(width)]
-    sig = stored(set_signatures(docs, shingle, width, text, key), "signatures")
-    nodes = stored(sig.groupBy("node", "m", *names).agg(F.min(key).alias("least"), F.count("*").alias("n")), "fingerprints")
+    docs = marked(docs, shingle, width, text)
+    sig = docs.select(F.col(ROW).alias("row"), F.col(key).alias("key"), F.col(NODE).alias("node"), F.col(SIZE).alias("m"), *(F.col(f"{BITS}{w}").alias(x) for w, x in enumerate(names)))
+    nodes = stored(sig.groupBy("node").agg(F.first("m").alias("m"), *(F.first(x).alias(x) for x in names), first_of("row"), F.count("*").alias("n")), "fingerprints")
     n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    tables = sampled_tables(n_nodes, width, share, radius)
-    edges, of = None, nodes.withColumn("c", F.col("node"))
-    for some, every in ((tables[:FIRST], False), (tables, True)):
-        more = alike(docs, bucket_edges(of, some, radius, width, similarity, every), shingle, similarity, text)
+    tables = sampled_tables(n_nodes, width, shares[0], wide)
+    some = len(sampled_tables(n_nodes, width, shares[1], tight))
+    edges, comp, of = None, None, nodes.withColumn("c", F.col("node"))
+    for given, every in ((tables[:FIRST], False), (tables, True)):
+        more = alike(docs, nodes, bucket_edges(of, given, wide, width, (similarity, tight, some), every), shingle, similarity, text)
         edges = more if edges is None else edges.union(more)
         comp = components(edges)
-        of = stored(nodes.join(comp, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("c")), "classes")
-    least = of.groupBy("c").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
-    of = split_join(of.select("node", "c", F.col("n").alias("rows")), least, ["c"], "node", n_nodes)
-    of = stored(of.select("node", "component_id", F.col("rows").alias("n")), "classes")
-    return split_join(sig.select(key, "node"), of, ["node"], key, total).select(key, "component_id")
+        if not every:
+            of = stored(nodes.join(comp, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("c")), "joined")
+    return docs, split_join(sig.select("row", "key", "node"), classes(nodes.select("node", "first", "n"), comp), ["node"], "row", total).drop("node")
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, component_id (smallest key of the group, null if nobody there has one) of every row: see similar_rows().
+
+    Texts without words are one group. Repeated rows give equal rows; an empty table gives an empty one; other columns are left out.
+    """
+    return similar_rows(docs, shingle, similarity, width, text, key)[1].select(F.col("key").alias(key), F.col("first.key").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """The documents, all columns, exactly one row of each group: that with the smallest key, of repeated or missing keys the first row. See similar_rows()."""
+    rows, found = similar_rows(docs, shingle, similarity, width, text, key)
+    gone = stored(found.where("row != first.row").select(F.col("row").alias(ROW)), "near-duplicates")
+    return rows.join(gone, ROW, "left_anti").select(*docs.columns)

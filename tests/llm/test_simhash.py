@@ -107,3 +107,60 @@ def test_similar_groups_count_a_repeated_shingle_once(spark):
     rows = [(i, " ".join(own[i] + line * 200)) for i in range(2)] + [(2, " ".join(own[0] + line * 20)), (3, " ".join(own[1] + line * 3))]
     got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {0: 0, 1: 1, 2: 0, 3: 1}
+
+
+def brute_groups(rows, n=5, similarity=0.8):
+    """Smallest key of every row's group by all pairs; rows: (key or None, text)."""
+    sets = [set(simhash.shingle_hashes(t, n).tolist()) for _, t in rows]
+    comp = list(range(len(rows)))
+    for _ in rows:
+        old = list(comp)
+        for a in range(len(rows)):
+            for b in range(a):
+                union = len(sets[a] | sets[b])
+                if not union or len(sets[a] & sets[b]) / union >= similarity - 1e-12:
+                    comp[a] = comp[b] = min(comp[a], comp[b])
+        if comp == old:
+            break
+    return comp
+
+
+def test_null_and_repeated_keys(spark):
+    """Rows without a key and with repeated keys, near and equal, against all pairs; exactly one row of a group stays."""
+    rng = random.Random(11)
+    words = [f"w{k}" for k in range(400)]
+    texts = []
+    for g in range(12):
+        w = [rng.choice(words) for _ in range(120)]
+        for c in range(4):
+            w = list(w)
+            w[rng.randrange(120)] = f"x{g}{c}"
+            texts.append(" ".join(w))
+    keys = [None, 5, 5, 9] * 6 + [None, None, None, None] * 2 + [7, 7, None, 7] * 4
+    rows = list(zip(keys, texts)) + [(5, texts[1]), (None, texts[1]), (3, None), (None, ""), (3, " ")]
+    df = spark.createDataFrame([(k, t, i, 0) for i, (k, t) in enumerate(rows)], "doc_id long, text string, row int, node int")
+    comp = brute_groups(rows)
+    least = {c: min((k for k, d in zip((k for k, _ in rows), comp) if d == c and k is not None), default=None) for c in comp}
+    got = sorted((str(r.doc_id), str(r.component_id)) for r in simhash.similar_groups(df).collect())
+    assert got == sorted((str(k), str(least[c])) for (k, _), c in zip(rows, comp))
+    kept = simhash.one_of_each(df)
+    assert kept.columns == df.columns
+    seen = [(comp[r.row], r.doc_id) for r in kept.collect()]
+    assert sorted(map(str, seen)) == sorted(str((c, least[c])) for c in set(comp))
+    near = simhash.near_copies(df)
+    want = brute([(i, t) for i, (_, t) in enumerate(rows)])
+    least = {c: min((rows[i][0] for i in want if want[i][1] == c and rows[i][0] is not None), default=None) for _, c in want.values()}
+    assert sorted((str(r.doc_id), r.fingerprint, str(r.component_id)) for r in near.collect()) == sorted((str(rows[i][0]), f, str(least[c])) for i, (f, c) in want.items())
+    named = spark.createDataFrame([(f"k{k}" if k is not None else None, t) for k, t in rows], "doc_id string, text string")
+    assert simhash.near_copies(named).count() == len(rows) == simhash.similar_groups(named).count()
+
+
+def test_recall_against_all_pairs(spark, sf):
+    """The groups of the given documents are those of all pairs; 0.9 of the links at least is asked for."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()]
+    comp = brute_groups(rows)
+    want = {k: min(rows[j][0] for j, d in enumerate(comp) if d == comp[i]) for i, (k, _) in enumerate(rows)}
+    got = {r.doc_id: r.component_id for r in simhash.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(want[i] == want[c] for i, c in got.items())
+    linked = [i for i in want if want[i] != i]
+    assert linked and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
