@@ -16,23 +16,33 @@ def made(n=60, seed=2):
     return rng, vocab, [(i, text(rng.randint(10, 100))) for i in range(n)]
 
 
-def test_wand_and_gate_lose_nothing():
+def indexed(items, threshold=dc.THRESHOLD):
+    parts = [s for _, t in items for s in dc.segments(dc.words(t))]
+    df = dc.Counter(t for s in parts for t in set(s))
+    return dc.Index(items, df, len(parts), sum(map(len, parts)) / len(parts), threshold), parts, df
+
+
+def test_search_loses_nothing(monkeypatch):
+    """Every segment's score by the plain formula, against what the block bounds let through."""
     rng, vocab, items = made()
-    index = dc.Index(items, 0.2)
-    full = {}
-    for t, (seg, val) in enumerate(index.post):
-        for s, v in zip(seg.tolist(), val.tolist()):
-            full[t, s] = v
-    for _ in range(300):
-        w = dc.words(rng.choice(items)[1])[: rng.randint(3, 40)] + [rng.choice(vocab) for _ in range(30)]
-        w = w[: dc.WINDOW]
+    index, parts, df = indexed(items, 0.2)
+    n, mean = len(parts), sum(map(len, parts)) / len(parts)
+    weights = []
+    for s in parts:
+        raw = {t: dc.math.log(1 + (n - df[t] + 0.5) / (df[t] + 0.5)) * c * (dc.K1 + 1) / (c + dc.K1 * (1 - dc.B + dc.B * len(s) / mean)) for t, c in dc.Counter(s).items()}
+        weights.append({t: v / sum(raw.values()) for t, v in raw.items()})
+    seen = 0
+    for k in range(300):
+        monkeypatch.setattr(dc, "CELLS", (1 << 21, 64)[k % 2])
+        w = [*dc.words(rng.choice(items)[1])[: rng.randint(3, 40)], *(rng.choice(vocab) for _ in range(30))][: dc.WINDOW]
         ids = np.array([index.term.get(x, -1) for x in w])
-        terms = sorted(set(ids[ids >= 0].tolist()))
-        score = {s: sum(full.get((t, s), 0) for t in terms) for s in range(index.n)}
-        want = {s for s, v in score.items() if v >= 0.2}
-        assert {s for s, _ in index.search(terms)} == want
-        if want:
-            assert len(index.passing(ids, np.zeros(len(ids), np.int64)))
+        want = {s: v for s, own in enumerate(weights) if (v := sum(own.get(t, 0.0) for t in set(w))) >= 0.2}
+        window, seg, score = index.search(ids, np.full(len(ids), 7))
+        for at in (6, 7):
+            got = dict(zip(seg[window == at].tolist(), score[window == at].tolist()))
+            assert set(got) == set(want) and all(abs(got[s] - want[s]) < 1e-9 for s in got)
+        seen += len(want)
+    assert seen > 300
 
 
 def brute(docs, items):
@@ -65,8 +75,15 @@ def test_planted_and_edges(spark, monkeypatch):
         want.add((i, i))
     docs += [(100, None), (101, ""), (102, "?!"), (103, "x " * 50000 + items[3][1])]
     want.add((103, 3))
+    docs += [(None, "before " + items[4][1]), (None, "nothing here"), (104, items[5][1]), (104, items[5][1])]
+    want |= {(None, 4), (104, 5)}
     d, b = spark.createDataFrame([(*x, 7) for x in docs], "doc_id long, text string, item_id int"), spark.createDataFrame([*items, (900, None), (901, "")], "item_id long, text string")
-    assert {(r.doc_id, r.item_id) for r in dc.contaminated(d, b).collect()} == want
-    monkeypatch.setattr(dc, "SHARD", 5000)
-    assert {(r.doc_id, r.item_id) for r in dc.contaminated(d, b).collect()} == want
+    rows = sorted((tuple(r) for r in dc.contaminated(d, b).collect()), key=str)
+    assert {r[:2] for r in rows} == want and len(rows) == len(want) + 1
+    kept = sorted((r.doc_id or -1, r.item_id) for r in dc.without_contaminated(d, b).collect())
+    assert kept == sorted((i or -1, 7) for i, t in docs if (i, t) == (None, "nothing here") or i is not None and not any(i == j for j, _ in want))
+    monkeypatch.setattr(dc, "SHARD", 2000)
+    assert sorted((tuple(r) for r in dc.contaminated(d, b).collect()), key=str) == rows
+    assert sorted((r.doc_id or -1, r.item_id) for r in dc.without_contaminated(d, b).collect()) == kept
     assert dc.contaminated(d.limit(0), b).count() == 0 and dc.contaminated(d, b.limit(0)).count() == 0
+    assert dc.without_contaminated(d, b.limit(0)).count() == len(docs)
