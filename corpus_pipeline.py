@@ -27,16 +27,13 @@ def toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest doc_id) of each group that hangs together by five-word shingle similarity of 0.8; rows without doc_id stay."""
-    groups = simhash.similar_groups(docs)
-    gone = stored(groups.where("doc_id != component_id").select("doc_id").distinct(), "near-duplicates")
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """Exactly one row of each group that hangs together by five-word shingle similarity of 0.8: that with the smallest doc_id, of repeated or missing doc_ids the first row."""
+    return simhash.one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no test item."""
-    held = stored(decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark")).select("doc_id").distinct(), "leaks")
-    return docs.join(held, "doc_id", "left_anti").select(*docs.columns)
+    """Documents that hold no test item, whatever their doc_id."""
+    return decontaminate.without_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
