@@ -3,19 +3,21 @@
 The model is a trie of byte contexts up to an order, as counts of (context,
 next byte). A byte seen in the longest known context is coded there; else an
 escape (method C) leads to the next shorter context, where the bytes of the
-longer one are excluded. As the model is fixed while it scores, everything that
-an escape needs depends on the longer context alone and is worked out once.
-
-Counting is a shuffle with sums made in every task first. Tables are written to
-the shared folder. Scoring tasks read the trie whole (its order falls until it
-has at most MOST_GRAMS entries, and at order 2 it cannot have more than 2^24).
-Of the word counts of the base score they get the frequent ones only, whose
-number is bounded by what frequent means; rarer words are joined by a shuffle,
-in which no key can be hot, and no task ever reads the vocabulary.
+longer one are excluded. As the model is fixed while it scores, the probability
+of a byte depends on its context alone: it is worked out once for every
+(context, byte) that any text has, the order being the same at every size.
+
+Counting is a shuffle with sums made in every task first. Contexts that share
+their last two bytes meet in one task with all that is longer (at most 2^24
+entries, a fixed bound); the two shortest orders are 2^16 counts that all tasks
+get. Scoring tasks hold the most frequent entries and words, at most so many;
+what is rarer is joined by a shuffle, in which no key can be hot, and no task
+ever reads the whole trie or vocabulary.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 from collections import Counter, defaultdict
@@ -25,21 +27,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.dataset as pads
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import scratch, slices, stored
 from quire.llm.toxicity import held_out
 
-ORDER, MOST_GRAMS = 4, 4_000_000
+#: Bytes of the longest context (at least two, at most six), and the most entries of the trie and words that every scoring task holds.
+ORDER, GRAMS_HELD, WORDS_HELD = 4, 2_000_000, 200_000
+#: Distinct entries that a counting task holds before it passes them on, and entries of whole groups that are worked out at once.
+MOST_GRAMS, CHUNK = 4_000_000, 1 << 19
 #: Two bytes that UTF-8 never has: before a text's first byte, and after its last.
 BEFORE, END = 0xFF, 0xFE
 SYMBOLS = 255
-#: Bytes worked on at once.
-PIECE = 1 << 21
-#: A word is frequent if it is more than one in so many training tokens (so there are fewer such words), and bytes from which a digest stands for a word.
-FREQUENT, LONG = 200_000, 32
-NONE = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Bytes worked on at once, and bytes from which a digest stands for a word.
+PIECE, LONG = 1 << 21, 32
 
 
 def grams(texts: list[bytes], order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -108,13 +110,21 @@ class Index:
 
 
 class Model:
-    """Log10 probabilities of grams from the counts of grams of the highest order."""
+    """Log10 probabilities of grams from the counts of grams of the highest order.
 
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int):
+    The counts may be those of some contexts only, if all contexts that end in the same two bytes are there; ``low`` are
+    then the counts of all pairs (byte, byte) of the corpus.
+    """
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, order: int, low: np.ndarray | None = None):
         self.order, self.levels = order, []
         per: list[tuple] = []
         for k in range(order, -1, -1):
-            g, c = summed([keys & np.uint64((1 << 8 * (k + 1)) - 1)], [counts.astype(np.int64)])
+            if k < 2 and low is not None:
+                pairs = np.flatnonzero(low)
+                g, c = summed([pairs.astype(np.uint64) & np.uint64((1 << 8 * (k + 1)) - 1)], [low[pairs]])
+            else:
+                g, c = summed([keys & np.uint64((1 << 8 * (k + 1)) - 1)], [counts.astype(np.int64)])
             ctx, start, which = np.unique(g >> np.uint64(8), return_index=True, return_inverse=True)
             n, d = (np.add.reduceat(c, start), np.diff(np.r_[start, len(g)])) if len(g) else (c, c)
             per.append((g, c, ctx, n, d, which))
@@ -166,30 +176,81 @@ def _columns(folder: str) -> pads.Dataset:
     return pads.dataset([f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
 
 
-def count_grams(docs: DataFrame, order: int, text: str) -> DataFrame:
-    """gram, n over all texts."""
+def count_grams(docs: DataFrame, order: int, text: str, held: Column) -> DataFrame:
+    """gram, n (times in what is learned from), every (times in all texts) of every gram of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, held = [], [], 0
+        keys, counts, size = [], [], 0
         for part in slices(batches, 512):
-            texts = [(t or "").encode() for t in part.column(0).to_pylist()]
+            texts, learn = [(t or "").encode() for t in part.column(0).to_pylist()], ~part.column(1).to_numpy(zero_copy_only=False)
             for a, b in pieces(texts):
-                k, c = np.unique(grams(texts[a:b], order)[0], return_counts=True)
+                g, owner = grams(texts[a:b], order)
+                k, c = np.unique(g << np.uint64(1) | learn[a:b][owner].astype(np.uint64), return_counts=True)
                 keys.append(k)
                 counts.append(c)
-                held += len(k)
-                if held > MOST_GRAMS:
+                size += len(k)
+                if size > MOST_GRAMS:
                     k, c = summed(keys, counts)
-                    keys, counts, held = [k], [c], len(k)
-                    if held > MOST_GRAMS // 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(c.astype(np.int64))], names=["gram", "n"])
-                        keys, counts, held = [], [], 0
+                    keys, counts, size = [k], [c], len(k)
+                    if size > MOST_GRAMS // 2:
+                        yield from emitted(k, c)
+                        keys, counts, size = [], [], 0
         if keys:
-            k, c = summed(keys, counts)
-            for at in range(0, len(k), 1 << 18):
-                yield pa.RecordBatch.from_arrays([pa.array(k[at : at + (1 << 18)].view(np.int64)), pa.array(c[at : at + (1 << 18)].astype(np.int64))], names=["gram", "n"])
+            yield from emitted(*summed(keys, counts))
+
+    def emitted(k: np.ndarray, c: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(k), 1 << 18):
+            part, n = k[at : at + (1 << 18)], c[at : at + (1 << 18)].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array((part >> np.uint64(1)).view(np.int64)), pa.array(np.where(part & np.uint64(1), n, 0)), pa.array(n)], names=["gram", "n", "every"])
 
-    return docs.select(text).mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    return docs.select(text, held.alias("held")).mapInArrow(run, "gram long, n long, every long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+
+
+def probabilities(counts: DataFrame, order: int) -> DataFrame:
+    """gram, every, logp (log10 probability of its byte in its context) of every counted gram."""
+    low = np.zeros(1 << 16, np.int64)
+    for r in counts.where("n > 0").groupBy(F.col("gram").bitwiseAND(F.lit(0xFFFF)).alias("pair")).agg(F.sum("n").alias("n")).collect():
+        low[r.pair] = r.n
+    dealt = counts.select(F.shiftright("gram", 8).bitwiseAND(F.lit(0xFFFF)).alias("ends"), "gram", "n", "every").repartition("ends").sortWithinPartitions("ends")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[list[np.ndarray]] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rest.append([x.to_numpy() for x in batch.columns])
+            if sum(len(x[0]) for x in rest) >= CHUNK:
+                cols = [np.concatenate(x) for x in zip(*rest)]
+                cut = int(np.searchsorted(cols[0], cols[0][-1]))  # the last group may go on
+                if cut:
+                    yield from done([x[:cut] for x in cols])
+                rest = [[x[cut:] for x in cols]]
+        if rest:
+            yield from done([np.concatenate(x) for x in zip(*rest)])
+
+    def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        _, g, n, every = cols
+        keys = g.view(np.uint64)
+        logp = Model(keys[n > 0], n[n > 0], order, low).logp(keys)
+        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(every), pa.array(logp)], names=["gram", "every", "logp"])
+
+    return dealt.mapInArrow(run, "gram long, every long, logp double")
+
+
+def threshold(counts: DataFrame, count: str, most: int) -> int:
+    """The smallest power of two that at most ``most`` rows' counts reach. Who does not reach it has under 2 / most of the sum."""
+    bits = {r.b: r["count"] for r in counts.groupBy(F.length(F.bin(count)).alias("b")).count().collect()}
+    b = max(bits, default=0) + 1
+    while b > 1 and sum(n for k, n in bits.items() if k >= b - 1) <= most:
+        b -= 1
+    return 1 << (b - 1)
+
+
+@functools.lru_cache(maxsize=1)
+def held_grams(folder: str) -> tuple[Index, np.ndarray]:
+    """The most frequent grams and their log10 probabilities, read once by a Python worker."""
+    table = _columns(folder).to_table()
+    return Index(table.column("gram").to_numpy().astype(np.int64).view(np.uint64)), table.column("logp").to_numpy().astype(float)
 
 
 def short(word: bytes) -> bytes:
@@ -220,44 +281,49 @@ def count_words(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(text).mapInArrow(run, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-def score(docs: DataFrame, modulus: int = 7, rest: int = 2, order: int = ORDER, text: str = "text", key: str = "doc_id", frequent: int = FREQUENT) -> DataFrame:
+def score(docs: DataFrame, modulus: int = 7, rest: int = 2, order: int = ORDER, text: str = "text", key: str = "doc_id", grams_held: int = GRAMS_HELD, words_held: int = WORDS_HELD) -> DataFrame:
     """key, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text.
 
-    Both models learn from all rows whose crc32 of the key as text, modulo ``modulus``, is not ``rest``. score is the
+    Both models learn from all rows whose crc32 of the key as text, modulo ``modulus``, is not ``rest`` (rows without a key too). score is the
     log10 probability of the text's bytes and its end under the trie; base_score that of its words and
-    one end by counts plus one. Null text: as empty (one token, the end). Repeated rows count and score as often as
+    one end by counts plus one. ``grams_held`` and ``words_held`` bound what a task holds and change no score. Null text: as empty (one token, the end). Repeated rows count and score as often as
     they stand; an empty table gives an empty one (with nothing to learn from every byte is equally likely); other columns are left out.
     """
     spark = docs.sparkSession
-    learn = docs.where(~held_out(key, modulus, rest))
-    top = scratch(spark, "ppm")
-    for order in range(order, 1, -1):
-        count_grams(learn, order, text).write.parquet(f"{top}/grams-{order}")
-        if order == 2 or spark.read.parquet(f"{top}/grams-{order}").count() <= MOST_GRAMS:
-            break
+    held = held_out(key, modulus, rest)
+    learn = docs.where(~held)
+    counts = stored(count_grams(docs, order, text, held), "grams")
+    known = stored(probabilities(counts, order), "probabilities")
+    folder, often = scratch(spark, "held-grams"), F.col("every") >= threshold(counts, "every", grams_held)
+    known.where(often).select("gram", "logp").repartition(4).write.parquet(folder)
     vocabulary = stored(count_words(learn, text), "words")
     n_words, n_distinct = vocabulary.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     ends = learn.count()
     tokens, distinct = n_words + ends, n_distinct + (ends > 0)
-    common = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.n + 1) for r in vocabulary.where(F.col("n") > n_words // frequent).collect()})
-    kept = docs.select(key, text)
+    frequent = F.col("n") >= threshold(vocabulary, "n", words_held)
+    common = spark.sparkContext.broadcast({bytes(r.word): math.log10(r.n + 1) for r in vocabulary.where(frequent).collect()})
+    kept = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
     kind = kept.schema[0].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = _columns(f"{top}/grams-{order}").to_table()
-        model = Model(table.column("gram").to_numpy().astype(np.int64).view(np.uint64), table.column("n").to_numpy(), order)
-        del table
+        index, logp = held_grams(folder)
         log_of = common.value.get
         for part in slices(batches, 512):
             texts = [(t or "").encode() for t in part.column(1).to_pylist()]
-            scores = []
+            scores, rare_grams, gram_times, gram_owner = [], [], [], []
             for a, b in pieces(texts):
                 g, owner = grams(texts[a:b], order)
-                scores.append(np.bincount(owner, model.logp(g), minlength=b - a))
+                at = index.find(g)
+                scores.append(np.bincount(owner, np.where(at >= 0, logp[at] if len(logp) else 0.0, 0.0), minlength=b - a))
+                if (at < 0).any():
+                    own, first, c = np.unique(np.stack([owner[at < 0], g[at < 0].view(np.int64)], 1), axis=0, return_index=True, return_counts=True)
+                    rare_grams.append(own[:, 1])
+                    gram_times.append(c)
+                    gram_owner.append(own[:, 0] + a)
             rows, rare, times, ends_at = [], [], [], [0]
             for t in texts:
                 words = t.lower().split()
-                known, logs = 0, 0.0
+                seen, logs = 0, 0.0
                 for w, c in Counter(words).items():
                     k = short(w)
                     log = log_of(k)
@@ -265,20 +331,24 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, order: int = ORDER,
                         rare.append(k)
                         times.append(c)
                     else:
-                        known += c
+                        seen += c
                         logs += c * log
                 ends_at.append(len(rare))
-                rows.append((len(words) + 1, known, logs))
-            lists = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "c"]))
-            n, known, logs = zip(*rows)
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(known, pa.int64()), pa.array(logs, pa.float64()), pa.array(np.concatenate(scores)), lists], names=[key, "n_tokens", "known", "logs", "score", "rare"])
-
-    made = kept.mapInArrow(run, f"`{key}` {kind}, n_tokens long, known long, logs double, score double, rare array<struct<word: binary, c: int>>")
-    made = stored(made.withColumn("_row", F.monotonically_increasing_id()), "scores")  # numbers are settled once written
-    rare = made.select("_row", F.explode("rare").alias("_w")).select("_row", "_w.word", "_w.c").join(vocabulary, "word")
-    rare = rare.groupBy("_row").agg(F.sum("c").alias("rare_known"), F.sum(F.col("c") * F.log10(F.col("n") + 1)).alias("rare_logs"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    n_known = F.col("known") + zero("rare_known") + int(ends > 0)
-    base = F.col("logs") + zero("rare_logs") + math.log10(ends + 1) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
-    out = made.drop("rare").join(rare, "_row", "left")
-    return out.select(key, held_out(key, modulus, rest).alias("held_out"), "n_tokens", n_known.cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+                rows.append((len(words) + 1, seen, logs))
+            whole = lambda x: np.concatenate([np.empty(0, np.int64), *x]).astype(np.int64)
+            of_words = pa.ListArray.from_arrays(pa.array(ends_at, pa.int32()), pa.StructArray.from_arrays([pa.array(rare, pa.binary()), pa.array(times, pa.int32())], names=["word", "c"]))
+            sizes = np.bincount(whole(gram_owner), minlength=len(texts))
+            of_grams = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)], pa.int32()), pa.StructArray.from_arrays([pa.array(whole(rare_grams)), pa.array(whole(gram_times))], names=["gram", "c"]))
+            n, seen, logs = zip(*rows)
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(n, pa.int64()), pa.array(seen, pa.int64()), pa.array(logs, pa.float64()), pa.array(np.concatenate(scores)), of_words, of_grams], names=["key", "n_tokens", "seen", "logs", "score", "words", "grams"])
+
+    made = kept.mapInArrow(run, f"key {kind}, n_tokens long, seen long, logs double, score double, words array<struct<word: binary, c: int>>, grams array<struct<gram: bigint, c: bigint>>")
+    made = stored(made.withColumn("row", F.monotonically_increasing_id()), "scores")  # numbers are settled once written
+    zero = F.lit(0.0)
+    rare = made.select("row", F.explode("words").alias("w")).select("row", "w.*").join(vocabulary.where(~frequent), "word").select("row", F.col("c").cast("long").alias("seen"), (F.col("c") * F.log10(F.col("n") + 1)).alias("logs"), zero.alias("score"))
+    rare_grams = made.select("row", F.explode("grams").alias("g")).select("row", "g.*").join(known.where(~often), "gram").select("row", F.lit(0).cast("long").alias("seen"), zero.alias("logs"), (F.col("c") * F.col("logp")).alias("score"))
+    # what a row has in one of its own columns comes from the tables here: sums by row, made in every task first
+    out = made.select("row", "seen", "logs", "score").unionByName(rare).unionByName(rare_grams).groupBy("row").agg(F.sum("seen").alias("seen"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
+    out = made.select("row", F.col("key").alias(key), "n_tokens").join(out, "row")
+    base = F.col("logs") + math.log10(ends + 1) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
+    return out.select(key, held.alias("held_out"), "n_tokens", (F.col("seen") + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -70,13 +70,30 @@ def test_probabilities_of_a_context_sum_to_one(order):
         assert p.sum() == pytest.approx(1)
 
 
-def test_rare_words_join_as_frequent_ones_do(spark):
-    rows = [(i, " ".join(["often"] * 9 + [f"w{i % 11}", f"only{i}", "long" * 50 + str(i % 3)])) for i in range(80)] + [(5, "again again"), (5, "again again")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    few, all_of_them = (sorted(tuple(r) for r in ppm.score(docs, frequent=n).drop("score").collect()) for n in (3, 10**9))
-    assert [r[:5] for r in few] == [r[:5] for r in all_of_them] and len(few) == len(rows)
-    assert [r[5] for r in few] == pytest.approx([r[5] for r in all_of_them])
-    assert any(r[3] < r[2] for r in few)
+def test_what_tasks_hold_changes_no_score(spark, sf, monkeypatch):
+    """Few words and entries held, most joined by shuffles and worked out in small groups, against all held."""
+    rows = [(i, " ".join(["often"] * 9 + [f"w{i % 11}", f"only{i}", "long" * 50 + str(i % 3)])) for i in range(80)] + [(5, "again again"), (5, "again again"), (None, "no key"), (None, None)]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), spark.read.parquet(f"{sf}/documents.parquet")):
+        every = sorted((tuple(r) for r in ppm.score(docs, grams_held=10**9, words_held=10**9).collect()), key=str)
+        monkeypatch.setattr(ppm, "CHUNK", 50)
+        few = sorted((tuple(r) for r in ppm.score(docs, grams_held=100, words_held=3).collect()), key=str)
+        none = sorted((tuple(r) for r in ppm.score(docs, grams_held=0, words_held=0).collect()), key=str)
+        for other in (few, none):
+            assert [r[:5] for r in other] == [r[:5] for r in every] and len(other) == docs.count()
+            assert [x for r in other for x in r[5:]] == pytest.approx([x for r in every for x in r[5:]])
+        assert any(r[3] < r[2] for r in few)
+
+
+def test_a_group_of_contexts_is_worked_out_as_the_whole_trie():
+    texts = [b"abracadabra", b"abcabd", b"the cat sat on the mat", b""]
+    k, c = np.unique(ppm.grams(texts, 4)[0], return_counts=True)
+    low = np.bincount((k & np.uint64(0xFFFF)).astype(int), c, minlength=1 << 16).astype(np.int64)
+    asked = np.unique(np.r_[k, ppm.grams([b"abrbcadxthe bat \xc3\xa9"], 4)[0]])
+    ends = asked >> np.uint64(8) & np.uint64(0xFFFF)
+    whole = ppm.Model(k, c, 4).logp(asked)
+    for e in np.unique(ends):
+        mine = k >> np.uint64(8) & np.uint64(0xFFFF) == e
+        assert ppm.Model(k[mine], c[mine], 4, low).logp(asked[ends == e]) == pytest.approx(whole[ends == e])
 
 
 def test_edges(spark):
