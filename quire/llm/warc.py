@@ -1,11 +1,11 @@
 """WARC archives: write whole-file gzip, normalise to one member a record with an offset index, read back.
 
-``write`` gives each partition one ``.warc.gz`` that is a single gzip stream,
-as some crawlers leave them. ``normalise`` inflates each such stream once,
-rewrites every record as its own gzip member and writes a sidecar index
-(``.idx``: file, offset, length, record id, type). ``read`` seeks by the index.
-Every file is made under another name and renamed when whole, so that a task
-that runs again leaves the same files. Files live in the shared folder.
+``write`` gives each partition of pages one ``.warc.gz`` that is a single gzip stream with every payload in it,
+as some crawlers leave them, and tells each record's place and digest. Which records repeat a payload is found on
+those places and digests alone. ``normalise`` inflates each stream once, rewrites every record as its own gzip
+member, a repeated one as a revisit, and writes a sidecar index (``.idx``: file, offset, length, record id, type).
+``read`` seeks by the index. Payloads never pass a shuffle.
+Every file is made under a name of its own attempt or renamed when whole, so that a task that runs again does no harm. Files live in the shared folder.
 """
 
 from __future__ import annotations
@@ -22,11 +22,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, stored
+from quire.llm.common import removed, scratch, split_join, stored
 
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 DATE = "1970-01-01T00:00:00Z"
 CHUNK = 1 << 18
+#: Bytes of archive that a reading task has, at most about.
+READ = 64 << 20
 INDEX = "file string, offset long, length long, page_id long, record_type string"
 RESULT = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, url string"
 
@@ -35,18 +37,25 @@ def base32_sha1(data: bytes) -> str:
     return base64.b32encode(hashlib.sha1(data).digest()).decode()
 
 
-def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
-    """A response record, or a revisit of another page's record: its HTTP head is kept, its payload is not."""
-    head = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {len(payload)}\r\n\r\n".encode()
+def head(fields: dict[str, str], size: int, refers_to: int | None = None, payload: bytes = b"") -> bytes:
+    """A record by its fields: a response, or a revisit, which keeps the HTTP head alone. size: bytes of the payload."""
+    block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: {size}\r\n\r\n".encode() + payload
     revisit = refers_to is not None
-    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: <urn:page:{'' if page_id is None else page_id}>", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: sha1:{digest}"]
-    if url is not None:
-        lines.append("WARC-Target-URI: " + url.replace("\r", "%0D").replace("\n", "%0A"))
+    lines = ["WARC/1.1", f"WARC-Type: {'revisit' if revisit else 'response'}", f"WARC-Record-ID: {fields['warc-record-id']}", f"WARC-Date: {DATE}", f"WARC-Payload-Digest: {fields['warc-payload-digest']}"]
+    if "warc-target-uri" in fields:
+        lines.append("WARC-Target-URI: " + fields["warc-target-uri"])
     if revisit:
         lines += [f"WARC-Refers-To: <urn:page:{refers_to}>", f"WARC-Profile: {PROFILE}"]
-    body = head if revisit else head + payload
-    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(body)}"]
-    return "\r\n".join(lines).encode() + b"\r\n\r\n" + body + b"\r\n\r\n"
+    lines += ["Content-Type: application/http; msgtype=response", f"Content-Length: {len(block)}"]
+    return "\r\n".join(lines).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
+
+
+def record(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
+    """A response record of a page, or a revisit of another page's record."""
+    fields = {"warc-record-id": f"<urn:page:{'' if page_id is None else page_id}>", "warc-payload-digest": f"sha1:{digest}"}
+    if url is not None:
+        fields["warc-target-uri"] = url.replace("\r", "%0D").replace("\n", "%0A")
+    return head(fields, len(payload), refers_to, b"" if refers_to is not None else payload)
 
 
 def parsed(data: bytes) -> tuple[dict[str, str], bytes]:
@@ -62,39 +71,39 @@ def _page(fields: dict[str, str], name: str) -> int | None:
     return int(got) if got else None
 
 
-def plan(pages: DataFrame) -> DataFrame:
-    """page_id, url, payload, refers_to: of equal payloads that of the largest page_id is the response, all others refer to it."""
-    p = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
-    p = p.withColumn("_d", F.sha2("payload", 256))
-    top = p.groupBy("_d").agg(F.max("page_id").alias("_top"))
-    return p.join(top, "_d").select("page_id", "url", "payload", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("_top")), F.col("_top")).alias("refers_to"))
-
-
-def _rename(fs: pafs.FileSystem, made: str, name: str) -> None:
-    fs.move(made, name)
-
-
-def write(records: DataFrame, folder: str, level: int = 1) -> DataFrame:
-    """One monolithic .warc.gz for each partition; returns file, n_records."""
+def write(pages: DataFrame, folder: str, level: int = 1) -> DataFrame:
+    """One monolithic .warc.gz for each partition, all records responses; returns file, place (from 0), page_id, digest of each record."""
+    kept = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", F.encode(F.coalesce("html", F.lit("")), "UTF-8").alias("payload"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         fs.create_dir(root, recursive=True)
-        name = f"part-{TaskContext.get().partitionId():06d}.warc.gz"
-        made, n, out, gz = f"{root}/.{name}-{uuid.uuid4().hex}", 0, None, zlib.compressobj(level, zlib.DEFLATED, 31)
+        # the name is this attempt's own: of a task that runs twice only the rows of one are kept, and they name its file
+        name = f"part-{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex[:12]}.warc.gz"
+        n, out, gz = 0, None, zlib.compressobj(level, zlib.DEFLATED, 31)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
-                for r in batch.slice(at, 256).to_pylist():
-                    out = out or fs.open_output_stream(made, compression=None)
-                    out.write(gz.compress(record(r["page_id"], r["url"], r["payload"], base32_sha1(r["payload"]), r["refers_to"])))
-                    n += 1
+                rows = batch.slice(at, 256).to_pylist()
+                out = out or fs.open_output_stream(f"{root}/{name}", compression=None)
+                for r in rows:
+                    out.write(gz.compress(record(r["page_id"], r["url"], r["payload"], base32_sha1(r["payload"]), None)))
+                digests = [hashlib.sha256(r["payload"]).digest() for r in rows]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(rows)), pa.array(range(n, n + len(rows)), pa.int64()), pa.array([r["page_id"] for r in rows], pa.int64()), pa.array(digests, pa.binary())], names=["file", "place", "page_id", "digest"])
+                n += len(rows)
         if out:
             out.write(gz.flush())
             out.close()
-            _rename(fs, made, f"{root}/{name}")
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([n], pa.int64())})
 
-    return stored(records.mapInArrow(run, "file string, n_records long"), "warc-files")
+    return stored(kept.mapInArrow(run, "file string, place long, page_id long, digest binary"), "warc-places")
+
+
+def repeats(places: DataFrame) -> DataFrame:
+    """file, place, refers_to of every record that revisits another: of equal payloads that of the largest page_id is the response. A common payload's records are dealt out."""
+    top = stored(places.groupBy("digest").agg(F.max("page_id").alias("top"), F.count("*").alias("n")), "warc-payloads")
+    # a payload that stands once, or once for each null, has nothing to refer to
+    again = top.where("n > 1 and top is not null")
+    both = split_join(places, again, ["digest"], "place", places.count())
+    return both.where("page_id is null or page_id != top").select("file", "place", F.col("top").alias("refers_to"))
 
 
 def inflated(source) -> Iterator[bytes]:
@@ -133,36 +142,55 @@ def split_records(chunks: Iterator[bytes]) -> Iterator[bytes]:
         del held[: size + 4]
 
 
-def normalise(files: DataFrame, source: str, folder: str, level: int = 6) -> DataFrame:
-    """Each monolithic archive as an archive of one member a record, with its sidecar index; returns file, n_records."""
+def revisit(data: bytes, refers_to: int) -> bytes:
+    """The revisit record of a response record: its heads are kept, its payload is not."""
+    fields, block = parsed(data)
+    size = int(block.partition(b"\r\n\r\n")[0].rpartition(b"Content-Length: ")[2])
+    return head(fields, size, refers_to).removesuffix(b"\r\n\r\n")
+
+
+def normalise(places: DataFrame, again: DataFrame, source: str, folder: str, level: int = 6) -> DataFrame:
+    """Each monolithic archive as an archive of one member a record, with its sidecar index; returns file, n_records, n_bytes.
+
+    A task reads whole archives, each once, beside the list of their repeated records in order.
+    """
+    files = places.select("file").distinct().select("file", F.lit(-1).cast("long").alias("place"), F.lit(None).cast("long").alias("refers_to"))
+    number = files.count()
+    work = files.unionByName(again).repartition(max(1, number), "file").sortWithinPartitions("file", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fs, root = pafs.FileSystem.from_uri(folder)
         _, old = pafs.FileSystem.from_uri(source)
         fs.create_dir(root, recursive=True)
-        for name in (x for b in batches for x in b.column(0).to_pylist()):
-            made, lines, at = f"{root}/.{name}-{uuid.uuid4().hex}", [], 0
-            with fs.open_input_stream(f"{old}/{name}", compression=None) as src, fs.open_output_stream(made, compression=None) as out:
+        rows = ((f, p, r) for b in batches for f, p, r in zip(*(x.to_pylist() for x in b.columns)))
+        row = next(rows, None)
+        while row:
+            name, n, at = row[0], 0, 0
+            row = next(rows, None)
+            made = f"{root}/.{name}-{uuid.uuid4().hex}"
+            with fs.open_input_stream(f"{old}/{name}", compression=None) as src, fs.open_output_stream(made, compression=None) as out, fs.open_output_stream(f"{made}.idx", compression=None) as index:
                 for data in split_records(inflated(src)):
+                    if row and row[0] == name and row[1] == n:
+                        data, row = revisit(data, row[2]), next(rows, None)
                     gz = zlib.compressobj(level, zlib.DEFLATED, 31)
                     member = gz.compress(data + b"\r\n\r\n") + gz.flush()
                     out.write(member)
                     fields, _ = parsed(data)
                     page = _page(fields, "warc-record-id")
-                    lines.append(f"{name}\t{at}\t{len(member)}\t{'' if page is None else page}\t{fields['warc-type']}\n")
+                    index.write(f"{name}\t{at}\t{len(member)}\t{'' if page is None else page}\t{fields['warc-type']}\n".encode())
                     at += len(member)
-            index = f"{made}.idx"
-            with fs.open_output_stream(index, compression=None) as out:
-                out.write("".join(lines).encode())
-            _rename(fs, made, f"{root}/{name}")
-            _rename(fs, index, f"{root}/{name.removesuffix('.warc.gz')}.idx")
-            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([len(lines)], pa.int64())})
+                    n += 1
+            fs.move(made, f"{root}/{name}")
+            fs.move(f"{made}.idx", f"{root}/{name.removesuffix('.warc.gz')}.idx")
+            yield pa.RecordBatch.from_pydict({"file": [name], "n_records": pa.array([n], pa.int64()), "n_bytes": pa.array([at], pa.int64())})
+
+    return stored(work.mapInArrow(run, "file string, n_records long, n_bytes long"), "warc-members")
 
-    return stored(files.select("file").repartition(F.col("file")).mapInArrow(run, "file string, n_records long"), "warc-members")
 
+def read(spark: SparkSession, folder: str, n_bytes: int) -> DataFrame:
+    """Every record of the archives (n_bytes in all), found by the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
 
-def read(spark: SparkSession, folder: str) -> DataFrame:
-    """Every record of the archives, found by the index: page_id, payload_bytes, payload_digest, record_type, refers_to, url.
+    The index is dealt so that a task has about READ bytes of neighbouring records, however many lines they take.
 
     A response's payload is hashed again and held against its header; a revisit tells both values in its heads.
     """
@@ -189,7 +217,8 @@ def read(spark: SparkSession, folder: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url"])
 
     index = spark.read.schema(INDEX).option("sep", "\t").csv(f"{folder}/*.idx")
-    return index.mapInArrow(run, RESULT)
+    tasks = max(spark.sparkContext.defaultParallelism, -(-n_bytes // READ))
+    return index.repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset").mapInArrow(run, RESULT)
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -202,10 +231,9 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark = pages.sparkSession
     top = scratch(spark, "warc")
-    files = write(plan(pages), f"{top}/whole")
-    if files.isEmpty():
+    places = write(pages, f"{top}/whole")
+    if places.isEmpty():
         return spark.createDataFrame([], RESULT)
-    normalise(files, f"{top}/whole", f"{top}/members")
-    fs, root = pafs.FileSystem.from_uri(f"{top}/whole")
-    fs.delete_dir(root)
-    return read(spark, f"{top}/members")
+    made = normalise(places, repeats(places), f"{top}/whole", f"{top}/members")
+    removed(spark, f"{top}/whole")
+    return read(spark, f"{top}/members", made.agg(F.sum("n_bytes")).first()[0])

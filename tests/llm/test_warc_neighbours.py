@@ -28,6 +28,32 @@ def test_warc_edges(spark):
     assert warc.round_trip(df.limit(0)).count() == 0
 
 
+def test_warc_repeated_and_missing_page_ids(spark, monkeypatch):
+    """Common payloads dealt out, null and repeated page_ids, records spread over many archives."""
+    from quire.llm import common
+
+    monkeypatch.setattr(common, "TOGETHER", 4)
+    rows = [(k, f"p{k % 3}" if k % 2 else "same") for k in range(60)] + [(None, "same"), (None, "lone"), (None, "nobody"), (None, "nobody"), (59, "p2"), (59, "p2")]
+    df = spark.createDataFrame([(i, "u", h) for i, h in rows], "page_id long, url string, html string").repartition(5)
+    top = {h: max((i for i, x in rows if x == h and i is not None), default=None) for _, h in rows}
+    want = sorted(str((i, len(h), "response" if i == top[h] else "revisit", None if i == top[h] else top[h])) for i, h in rows)
+    assert sorted(str((r.page_id, r.payload_bytes, r.record_type, r.refers_to)) for r in warc.round_trip(df).collect()) == want
+
+
+def test_warc_index_and_members(spark, tmp_path):
+    """The index names every member's place; a revisit keeps its heads and drops its payload."""
+    df = spark.createDataFrame([(k, None if k % 4 == 0 else f"http://h/{k}", f"page {k % 7} " * 50) for k in range(40)], "page_id long, url string, html string").repartition(3)
+    places = warc.write(df, f"file://{tmp_path}/whole")
+    made = warc.normalise(places, warc.repeats(places), f"file://{tmp_path}/whole", f"file://{tmp_path}/members").collect()
+    lines = [x.split("\t") for f in (tmp_path / "members").glob("*.idx") for x in f.read_text().splitlines()]
+    assert len(lines) == 40 == sum(r.n_records for r in made)
+    for name, offset, length, page, kind in lines:
+        data = gzip.decompress((tmp_path / "members" / name).read_bytes()[int(offset) : int(offset) + int(length)])
+        fields, block = warc.parsed(data)
+        assert fields["warc-record-id"] == f"<urn:page:{page}>" and fields["warc-type"] == kind == ("response" if int(page) >= 33 else "revisit")
+        assert (f"page {int(page) % 7} ".encode() in block) == (kind == "response") and ("warc-target-uri" in fields) == (int(page) % 4 > 0)
+
+
 def test_split_records_at_any_cut():
     recs = [warc.record(i, "u", b"p" * i, "D", None if i % 2 else 9) for i in range(20)]
     data = gzip.compress(b"".join(recs[:10])) + gzip.compress(b"".join(recs[10:]))
