@@ -1,15 +1,12 @@
 """Byte-level BPE by a lazily determinised transducer, and streaming decoding.
 
-A byte-level BPE result is fixed by its neighbours: a sequence of tokens is
-the encoding of its bytes exactly if each adjacent pair is stable, that is if
-merging the pair's bytes leaves the pair. So encoding is a transduction whose
-state is the last token. From a state the machine looks ahead at most one
-longest token: the longest match at the current byte is the input symbol, and
-the moves on it are its stable prefixes, longest first. These moves are worked
-out when a (state, symbol) pair is first met and kept while they fit a bound:
-the nondeterministic machine over all merges is never built. A guess that
-leads nowhere is undone; as the encoding of every prefix is unique, no byte
-position is entered twice, so the time is linear in the text.
+A byte-level BPE result is fixed by its neighbours: a sequence of tokens is the encoding of its bytes exactly if each
+adjacent pair is stable, that is if merging the pair's bytes leaves the pair. So the merges are a nondeterministic
+transducer over bytes: it stands behind a token, reads the bytes of another that is stable after it, and writes that. A
+state of the deterministic machine is the set of all ways that are open after some bytes: for each, the tokens not written
+yet, the last token, and the bytes read of the next. What all ways have in common is written at once, so a token leaves
+after a lookahead bounded by the longest token, and nothing written is taken back. States and their moves are made when
+first met and kept while they fit a bound; the machine over all merges is never built.
 
 Decoding joins token bytes chunk by chunk and runs a UTF-8 state machine that
 keeps its state between chunks, so a character may be cut anywhere.
@@ -21,8 +18,11 @@ import base64
 import functools
 import hashlib
 import re
-from collections.abc import Iterable, Iterator
+import sys
+from array import array
+from collections.abc import Iterable, Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -64,17 +64,50 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in steps(ranks, data)[0]]
 
 
+#: A way: the place in the tree of tokens that the bytes read of the next one lead to, the last token, the tokens not written yet.
+Way = tuple[int, int, tuple[int, ...]]
+
+
 class Transducer:
     """Bytes to token ids. ``max_moves`` bounds the moves kept at once, ``max_pieces`` the pieces remembered whole."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 500_000, max_pieces: int = 500_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 200_000):
         self.ranks, self.max_moves, self.max_pieces = ranks, max_moves, max_pieces
         self.token = {i: t for t, i in ranks.items()}
-        self.prefixes = {t[:n] for t in ranks for n in range(1, len(t) + 1)}
+        # the tree of tokens: place << 8 | byte -> place, the token that ends there (-1: none), whether it goes on
+        self.child: dict[int, int] = {}
+        self.ends_here, self.goes_on = [-1], bytearray(1)
+        for t, i in ranks.items():
+            at = 0
+            for byte in t:
+                self.goes_on[at] = 1
+                to = self.child.get(at << 8 | byte)
+                if to is None:
+                    to = self.child[at << 8 | byte] = len(self.ends_here)
+                    self.ends_here.append(-1)
+                    self.goes_on.append(0)
+                at = to
+            self.ends_here[at] = i
         self.traces: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
-        self.moves: dict[tuple[int, bytes], tuple[int, ...]] = {}
+        self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
         self.older: dict[str, tuple[int, ...]] = {}  # pieces of the generation before: what is met again moves on
+        self._clear()
+
+    def _clear(self) -> None:
+        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.ids: dict[tuple[Way, ...], int] = {}
+        self.states: list[tuple[Way, ...]] = []
+        self.ends: list[tuple[int, ...] | None] = []
+        self._state(((0, START, ()),))
+
+    def _state(self, ways: tuple[Way, ...]) -> int:
+        got = self.ids.get(ways)
+        if got is None:
+            got = self.ids[ways] = len(self.states)
+            self.states.append(ways)
+            self.ends.append(next((rest for at, _, rest in ways if not at), None))
+        return got
 
     def _trace(self, t: int) -> list[tuple[int, bytes, bytes]] | None:
         """The joins that make the token from its bytes; None if its bytes encode to something else."""
@@ -85,8 +118,14 @@ class Transducer:
 
     def _stable(self, a: int, b: int) -> bool:
         """Whether a and b stay apart: the joins of both run side by side, lowest rank and leftmost first, and none across the border comes first."""
-        left, right, rank = self._trace(a), self._trace(b), self.ranks.get
-        i = j = 0
+        if len(self.pairs) >= self.max_moves:
+            self.pairs.clear()
+        right = self._trace(b)
+        got = self.pairs[a << 32 | b] = right is not None and (a == START or self._apart(self._trace(a), right))
+        return got
+
+    def _apart(self, left: list[tuple[int, bytes, bytes]], right: list[tuple[int, bytes, bytes]]) -> bool:
+        i, j, rank = 0, 0, self.ranks.get
         while True:
             across, x, y = rank(left[i][2] + right[j][1], NEVER), left[i + 1][0], right[j + 1][0]
             if across < x and across <= y:
@@ -98,16 +137,34 @@ class Transducer:
             else:
                 j += 1
 
-    def _moves(self, last: int, match: bytes) -> tuple[int, ...]:
-        """Tokens that may follow ``last`` where ``match`` is the longest match, longest first."""
-        out = []
-        for n in range(len(match), 0, -1):
-            t = self.ranks.get(match[:n])
-            if t is not None and self._trace(t) is not None and (last == START or self._stable(last, t)):
-                out.append(t)
-        if len(self.moves) >= self.max_moves:
-            self.moves.clear()
-        got = self.moves[last, match] = tuple(out)
+    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
+        """The state after one more byte and the tokens written; None if no way is open (ranks that do not come from merges)."""
+        ways: list[Way] = []
+        child, pairs = self.child.get, self.pairs.get
+        for at, last, rest in self.states[state]:
+            to = child(at << 8 | byte)
+            if to is None:
+                continue
+            if (t := self.ends_here[to]) >= 0:
+                stable = pairs(last << 32 | t)
+                if self._stable(last, t) if stable is None else stable:
+                    ways.append((0, t, (*rest, t)))
+            if self.goes_on[to]:
+                ways.append((to, last, rest))
+        if not ways:
+            return None
+        first, n = ways[0][2], 0
+        if first and all(rest and rest[0] == first[0] for _, _, rest in ways):
+            n, most = 1, min(len(rest) for _, _, rest in ways)
+            while n < most and all(rest[n] == first[n] for _, _, rest in ways):
+                n += 1
+            ways = [(at, last, rest[n:]) for at, last, rest in ways]
+        full = len(self.moves) >= self.max_moves
+        if full:
+            self._clear()
+        got = self._state(tuple(ways)), first[:n]
+        if not full:
+            self.moves[state << 8 | byte] = got
         return got
 
     def piece(self, text: str) -> tuple[int, ...]:
@@ -115,37 +172,24 @@ class Transducer:
         data = text.encode()
         if (t := self.ranks.get(data)) is not None:
             return (t,)  # what the merges' definition does first with a piece that is a token
-        prefixes, known, size = self.prefixes, self.moves, len(data)
-        ids: list[int] = []
-        left: list[Iterator[int]] = []  # the moves not tried yet, for each step on the way
-        failed: set[int] = set()
-        last, at = START, 0
-        while at < size:
-            end = at + 1
-            while end < size and data[at : end + 1] in prefixes:
-                end += 1
-            match = data[at:end]
-            moves = known.get((last, match))
-            left.append(iter(self._moves(last, match) if moves is None else moves))
-            while True:
-                for t in left[-1]:
-                    to = at + len(self.token[t])
-                    if to not in failed:
-                        break
-                else:
-                    left.pop()
-                    if not ids:
-                        return tuple(merged(self.ranks, data))  # ranks that do not come from merges
-                    failed.add(at)
-                    at -= len(self.token[ids.pop()])
-                    continue
-                break
-            ids.append(t)
-            last, at = t, to
-        return tuple(ids)
-
-    def encode(self, pieces: Iterable[str]) -> list[int]:
-        known, ids = self.pieces, []
+        out: list[int] = []
+        state, moves = 0, self.moves
+        for byte in data:
+            got = moves.get(state << 8 | byte)
+            if got is None:
+                got = self._move(state, byte)
+                if got is None:
+                    return tuple(merged(self.ranks, data))
+                moves = self.moves
+            state, said = got
+            if said:
+                out += said
+        end = self.ends[state]
+        return tuple(merged(self.ranks, data)) if end is None else (*out, *end)
+
+    def encode(self, pieces: Iterable[str], ids: array | None = None) -> array:
+        """Token ids of the pieces, as they come."""
+        known, ids = self.pieces, array("i") if ids is None else ids
         for p in pieces:
             got = known.get(p)
             if got is None:
@@ -155,7 +199,7 @@ class Transducer:
                         self.older, self.pieces = known, {}
                         known = self.pieces
                     known[p] = got
-            ids += got
+            ids.extend(got)
         return ids
 
 
@@ -222,11 +266,26 @@ class Utf8Machine:
         return "".join(out)
 
 
-def decode_stream(token: dict[int, bytes], ids: list[int], chunk: int = 4096) -> Iterator[bytes]:
+def decode_stream(token: dict[int, bytes], ids: Sequence[int], chunk: int = 4096) -> Iterator[bytes]:
     for at in range(0, len(ids), chunk):
         yield b"".join(map(token.__getitem__, ids[at : at + chunk]))
 
 
+def decoded(token: dict[int, bytes], ids: Sequence[int], text: str) -> tuple[str, bool]:
+    """SHA-256 of the decoded bytes, and whether they are UTF-8 and the text; nothing but a chunk is held of them."""
+    sha, utf8, at, same = hashlib.sha256(), Utf8Machine(), 0, True
+    for data in decode_stream(token, ids):
+        sha.update(data)
+        back = utf8.feed(data)
+        same = same and text.startswith(back, at)
+        at += len(back)
+    return sha.hexdigest(), not utf8.end() and utf8.ok and same and at == len(text)
+
+
+#: Characters from which the pieces of a text are made one after the other, not all at once.
+LONG = 1 << 18
+
+
 @functools.lru_cache(maxsize=2)
 def transducer(rank_file: bytes) -> Transducer:
     """One machine a Python worker: what it has worked out serves the worker's later tasks too."""
@@ -241,7 +300,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
     (the decoded bytes are valid UTF-8 and equal the text); with_ids adds
     token_ids array<int>. Null text: as empty (no tokens, hash of nothing).
     No shuffle; the rank file is read once by the driver and broadcast, its
-    size is fixed. Very long texts stream, repeated rows give equal rows, an
+    size is fixed. Of very long texts the pieces and the decoded bytes stream; the ids are held, four bytes each. Rows without a key and repeated rows give rows like any other, an
     empty table gives an empty one, other columns are left out.
     """
     spark = docs.sparkSession
@@ -253,23 +312,23 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
 
     def make():
         machine = transducer(sent.value)
-        cut = regex.compile(pattern).findall
+        split = regex.compile(pattern)
 
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             n, enc, dec, good, all_ids = [], [], [], [], []
             for x in part.column(len(keep)).to_pylist():
-                ids = machine.encode(cut(x)) if x else []
+                x = x or ""
+                ids = machine.encode(split.findall(x) if len(x) < LONG else (m[0] for m in split.finditer(x)))
                 n.append(len(ids))
-                enc.append(hashlib.sha256(pa.array(ids, pa.uint32()).buffers()[1].to_pybytes()[: 4 * len(ids)] if ids else b"").hexdigest())
-                sha, utf8, back = hashlib.sha256(), Utf8Machine(), []
-                for data in decode_stream(machine.token, ids):
-                    sha.update(data)
-                    back.append(utf8.feed(data))
-                back.append(utf8.end())
-                dec.append(sha.hexdigest())
-                good.append(utf8.ok and "".join(back) == (x or ""))
+                little = ids if sys.byteorder == "little" else array("i", ids)
+                if little is not ids:
+                    little.byteswap()
+                enc.append(hashlib.sha256(little.tobytes()).hexdigest())
+                sha, ok = decoded(machine.token, ids, x)
+                dec.append(sha)
+                good.append(ok)
                 if with_ids:
-                    all_ids.append(ids)
+                    all_ids.append(np.frombuffer(ids, np.int32) if ids else ())
             cols = [part.column(i) for i in range(len(keep))] + [pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string()), pa.array(good, pa.bool_())] + [pa.array(all_ids, pa.list_(pa.int32()))] * with_ids
             return pa.RecordBatch.from_arrays(cols, names=[*keep, "n_tokens", "ids_sha256", "decoded_sha256", "utf8_ok"] + ["token_ids"] * with_ids)
 

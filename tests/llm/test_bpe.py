@@ -34,6 +34,28 @@ def test_edges(spark):
     assert bpe.encode_decode(spark.createDataFrame([], "doc_id int, text string"), FILE, P.PATTERN).count() == 0
 
 
+def test_tokens_leave_after_bounded_lookahead():
+    """Byte by byte: what is written is a prefix of the result, never taken back, and lags by no more than two longest tokens."""
+    one = bpe.Transducer(RANKS, max_moves=3000)
+    longest = max(map(len, RANKS))
+    for text in ("a" * 3000, "internationalization" * 40, "0123456789" * 99, "нация" * 300, "zqxjk" * 500, "=" * 999):
+        want, state, out, size = ENC._encode_single_piece(text), 0, [], 0
+        for n, byte in enumerate(text.encode(), 1):
+            state, said = one.moves.get(state << 8 | byte) or one._move(state, byte)
+            out += said
+            size += sum(len(one.token[t]) for t in said)
+            assert n - size <= 2 * longest
+        assert [*out, *one.ends[state]] == want == list(one.piece(text))
+        assert len(one.moves) <= 3000
+
+
+def test_ranks_that_are_no_merges():
+    ranks = {bytes([b]): b for b in range(256)} | {b"abc": 256, b"bc": 300, b"ab": 301, b"zzz": 302}
+    own, enc = bpe.Transducer(ranks), tiktoken.Encoding("odd", pat_str=r"[a-z]+|[^a-z]+", mergeable_ranks=ranks, special_tokens={})
+    for text in ("abc", "abcabc", "xabcx", "zzz", "zzzz", "abzzzbc", "bcab"):
+        assert list(own.piece(text)) == enc.encode_ordinary(text)
+
+
 machine, cut = bpe.Transducer(RANKS, max_moves=500, max_pieces=50), regex.compile(P.PATTERN).findall
 
 
@@ -41,7 +63,7 @@ machine, cut = bpe.Transducer(RANKS, max_moves=500, max_pieces=50), regex.compil
 @given(st.text(max_size=80))
 def test_random_text(text):
     ids = machine.encode(cut(text))
-    assert ids == ENC.encode_ordinary(text)
+    assert list(ids) == ENC.encode_ordinary(text)
     data, utf8 = b"".join(bpe.decode_stream(machine.token, ids, 3)), bpe.Utf8Machine()
     assert "".join([*(utf8.feed(data[i : i + 1]) for i in range(len(data))), utf8.end()]) == text and utf8.ok
 
