@@ -3,8 +3,8 @@
 A layer is a text with a map from its spans to spans of the layer it was
 found in. Layers come from URL or Unicode escapes, undone in the whole text, and
 from long base64 runs, also over wrapped lines, whose bytes may be compressed. A layer equal to one of those it
-came from ends there (a cycle); otherwise unwrapping goes on until nothing
-decodes. Spans are in code points of the document's own text.
+came from ends there (a cycle); one equal to a layer done before is not scanned again, its spans are mapped to the new
+place; otherwise unwrapping goes on until nothing decodes. Spans are in code points of the document's own text.
 """
 
 from __future__ import annotations
@@ -17,7 +17,6 @@ import lzma
 import re
 import zlib
 from bisect import bisect_right
-from collections import deque
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
@@ -40,10 +39,13 @@ WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])(?:[A-Za-z0-9+/_-]{16,}\r?\n[ \t]*)+[
 LINE = re.compile(r"[A-Za-z0-9+/_=-]+")
 #: Bytes that are not UTF-8 as a whole are a layer if they hold such a run: no secret is shorter.
 RUN = re.compile(rb"[\x20-\x7e]{16,}")
-PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-ESCAPE = re.compile(r"\\u\{([0-9A-Fa-f]{1,6})\}|\\u([0-9A-Fa-f]{4})|\\U([0-9A-Fa-f]{8})|\\x([0-9A-Fa-f]{2})|&#x([0-9A-Fa-f]{1,6});|&#([0-9]{1,7});")
+#: One character each: what is no UTF-8 beside it stays as it stands.
+PERCENT = re.compile(r"%(?:[0-7][0-9A-F]|[CD][0-9A-F]%[89AB][0-9A-F]|E[0-9A-F](?:%[89AB][0-9A-F]){2}|F[0-7](?:%[89AB][0-9A-F]){3})", re.I)
+ESCAPE = re.compile(r"\\u([dD][89abAB]X{2})\\u([dD][c-fC-F]X{2})|\\u\{(X{1,6})\}|\\u(X{4})|\\U(X{8})|\\x(X{2})|&#x(X{1,6});|&#([0-9]{1,7});".replace("X", "[0-9A-Fa-f]"))
 #: A layer that inflates to more is scanned in chunks of so many bytes that share OVERLAP, one at a time, and counted in n_cut.
 MAX_LAYER, OVERLAP = 16 << 20, 1 << 20
+#: Characters of layers that are read of one document at most; only nested compression bombs have more. Layers beyond it are counted in n_left.
+MAX_WORK = 1 << 30
 
 Span = tuple[str, int, int]
 
@@ -131,7 +133,9 @@ def _url(m: re.Match) -> str | None:
 
 
 def _unicode(m: re.Match) -> str | None:
-    code = int(m[6]) if m[6] else int(next(g for g in m.groups() if g), 16)
+    if m[1]:
+        return chr(0x10000 + (int(m[1], 16) - 0xD800 << 10) + int(m[2], 16) - 0xDC00)
+    code = int(m[8]) if m[8] else int(next(g for g in m.groups() if g), 16)
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
@@ -167,39 +171,62 @@ def unwrapped(text: str) -> Iterator[tuple[str, str, Callable[[int, int], tuple[
                 yield "base64", layer, to, False
 
 
-def scan_text(text: str) -> tuple[list[Span], list[Span], int, int]:
-    """Base spans, spans found in layers (kind: encodings joined by '+', '.', base kind), layers read, layers in chunks.
+class Layer:
+    """A layer on the worklist: what is still to unwrap in it, and the spans seen in it and below: (base kind, start, end) to encodings."""
 
-    A span that an earlier layer (or the text itself) shows is not given again.
+    def __init__(self, text: str, name: str, to: Callable | None):
+        self.name, self.to, self.left = name, to, unwrapped(text)
+        self.key = digest(text)
+        self.spans: dict[Span, tuple[str, ...]] = {s: () for s in base_spans(text)}
+
+    def take(self, name: str, to: Callable, spans: dict[Span, tuple[str, ...]]) -> None:
+        """Spans of a layer found in this one; of two ways to one span the shorter chain of encodings counts, then the first by name."""
+        for (kind, s, e), names in spans.items():
+            span, chain = (kind, *to(s, e)), (name, *names)
+            old = self.spans.get(span)
+            if old is None or (len(chain), chain) < (len(old), old):
+                self.spans[span] = chain
+
+
+def digest(text: str) -> bytes:
+    return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=16).digest()
+
+
+def scan_text(text: str) -> tuple[list[Span], list[Span], int, int, int]:
+    """Base spans, spans found in layers (kind: encodings joined by '+', '.', base kind), layers read, layers in chunks, layers left.
+
+    A span that the text itself shows is not given again. The worklist goes deepest first, so that of a layer that inflates in
+    chunks one is done before the next is made; layers that are equal are read once.
     """
-    base = base_spans(text)
-    known = set(base)
-    more: set[Span] = set()
-    layers = cut = 0
-
-    def walk(*first) -> None:
-        nonlocal layers, cut
-        work: deque = deque([first])
-        while work:
-            at, maps, above, names = work.popleft()
-            for name, layer, to, short in unwrapped(at):
-                if layer in above:
-                    continue
-                layers, cut, down = layers + 1, cut + short, (*names, name)
-                for kind, s, e in base_spans(layer):
-                    for back in (to, *reversed(maps)):
-                        s, e = back(s, e)
-                    if (kind, s, e) not in known:
-                        known.add((kind, s, e))
-                        more.add((f"{'+'.join(down)}.{kind}", s, e))
-                inner = layer, (*maps, to), above | {layer}, down
-                if short:  # a chunk is done with before the next is made
-                    walk(*inner)
-                else:
-                    work.append(inner)
-
-    walk(text, (), frozenset((text,)), ())
-    return base, sorted(more, key=lambda s: (s[1], s[0], s[2])), layers, cut
+    top = Layer(text, "", None)
+    work, open_, done = [top], {top.key}, {}
+    layers = cut = left = size = 0
+    while work:
+        at = work[-1]
+        found = next(at.left, None)
+        if found is None:
+            work.pop()
+            open_.discard(at.key)
+            if work:
+                done[at.key] = at.spans
+                work[-1].take(at.name, at.to, at.spans)
+            continue
+        name, layer, to, short = found
+        key = digest(layer)
+        if key in open_:
+            continue
+        if key in done:
+            at.take(name, to, done[key])
+            continue
+        if size + len(layer) > MAX_WORK:
+            left += 1
+            continue
+        layers, cut, size = layers + 1, cut + short, size + len(layer)
+        work.append(Layer(layer, name, to))
+        open_.add(key)
+    base = [s for s, names in top.spans.items() if not names]
+    more = [(f"{'+'.join(names)}.{kind}", s, e) for (kind, s, e), names in top.spans.items() if names]
+    return base, sorted(more, key=lambda s: (s[1], s[0], s[2])), layers, cut, left
 
 
 def joined(spans: list[Span]) -> str:
@@ -220,24 +247,25 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str | N
 
     Returns key, n_assign, n_access, n_hex, base_sha256 (of the base spans,
     joined), spans (base ones and those of unwrapped layers, by start, then
-    kind), n_layers, n_cut (chunks of layers over MAX_LAYER when inflated); with ``mask``
+    kind), n_layers (different ones), n_cut (chunks of layers over MAX_LAYER when inflated), n_left (layers not read, of
+    documents whose layers have over MAX_WORK characters); with ``mask``
     also redacted: the text with every span replaced (null stays null). Null
     text: as empty: no spans. Repeated rows give equal rows, an empty table an
     empty one, other columns are left out. No shuffle.
     """
     kept = docs.select(key, text)
-    schema = f"`{key}` {kept.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_cut long" + ", redacted string" * (mask is not None)
+    schema = f"`{key}` {kept.schema[0].dataType.simpleString()}, n_assign long, n_access long, n_hex long, base_sha256 string, spans string, n_layers long, n_cut long, n_left long" + ", redacted string" * (mask is not None)
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             rows = []
             for x in part.column(1).to_pylist():
-                base, more, layers, cut = scan_text(x or "")
+                base, more, *numbers = scan_text(x or "")
                 count = {k: sum(s[0] == k for s in base) for k in KINDS}
                 every = sorted([*base, *more], key=lambda s: (s[1], KINDS.index(s[0]) if s[0] in KINDS else 3, s[0], s[2]))
-                rows.append((*count.values(), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), layers, cut, *([None if x is None else redacted(x, every, mask)] if mask is not None else [])))
-            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 2 + [pa.string()] * (mask is not None)
-            names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_cut"] + ["redacted"] * (mask is not None)
+                rows.append((*count.values(), hashlib.sha256(joined(base).encode()).hexdigest(), joined(every), *numbers, *([None if x is None else redacted(x, every, mask)] if mask is not None else [])))
+            kinds = [pa.int64()] * 3 + [pa.string()] * 2 + [pa.int64()] * 3 + [pa.string()] * (mask is not None)
+            names = [key, "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_layers", "n_cut", "n_left"] + ["redacted"] * (mask is not None)
             return pa.RecordBatch.from_arrays([part.column(0)] + [pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
         return run

@@ -157,7 +157,32 @@ def test_secret_layers_wider_than_a_word_or_line(monkeypatch):
     for compress in (gzip.compress, bz2.compress, lzma.compress):
         for at in (4090, 4096, 30000):
             deep = base64.b64encode(compress((". " * 20000)[:at].encode() + key.encode() + b" ." * 5000)).decode()
-            _, more, _, cut = secrets.scan_text(f"a {deep} b")
+            _, more, _, cut, _ = secrets.scan_text(f"a {deep} b")
             assert [k for k, *_ in more] == ["base64+compressed.assign"] and cut >= 3, (compress, at)
     two = base64.b64encode(gzip.compress(b"first") + gzip.compress(key.encode())).decode()
     assert [k for k, _ in found(two)] == ["base64+compressed.assign"]
+
+
+def test_secret_layers_of_broken_and_odd_escapes(monkeypatch):
+    """What the escapes hold beside bytes that are no UTF-8, pairs of surrogates, texts that begin with a byte-order mark, equal layers."""
+    kinds = lambda text: [(k, text[s:e]) for k, s, e in secrets.scan_text(text)[1]]
+    text = "x password = hunter%32hunterhunter y"
+    assert kinds(text) == [("url.assign", "password = hunter%32hunterhunter")]
+    text = "secret: %68unter2hunter2hunter2"
+    assert kinds(text) == [("url.assign", text)]
+    text = "%ff%FE%70assword=%61bcdefghijklmn%C3"
+    assert kinds(text) == [("url.assign", text[6:-3])]
+    text = r"\ud83d\ude00 \u0070assword=\x61bcdefghijklmn \ud83d"
+    assert kinds(text) == [("unicode.assign", text[13:-7])]
+    assert secrets._replaced(r"\uD83D\uDE00\ud800\U0001F600\u{41}\u004&#65;", secrets.ESCAPE, secrets._unicode)[0] == "\U0001F600\\ud800\U0001F600A\\u004A"
+    b64 = base64.b64encode("\ufeffpassword=Zbcdxf0123WxyzQXY".encode()).decode()
+    text = f"{b64} and again {b64}"
+    base, more, layers, _, left = secrets.scan_text(text)
+    assert [k for k, *_ in more] == ["base64.assign"] * 2 and more[1][1] - more[0][1] == text.rindex(b64) and (layers, left) == (1, 0)
+    nested = b"password=Zbcdxf0123WxyzQXY"
+    for _ in range(12):  # a layer that holds the one below many times: each is read once
+        nested = base64.b64encode(gzip.compress((nested + b" ") * 50))
+    _, more, layers, _, left = secrets.scan_text("z " + nested.decode())
+    assert [(s, e) for _, s, e in more] == [(2, 2 + len(nested))] and layers <= 24 and left == 0
+    monkeypatch.setattr(secrets, "MAX_WORK", 1000)
+    assert secrets.scan_text("z " + nested.decode())[4] == 1
