@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import by_slices, stored
+from quire.llm.common import by_slices, slices, stored
 
 #: Hash buckets of word parts, n-gram lengths, vector length, and the gain on the mean (the vectors start small).
 BUCKETS, GRAMS, DIM, GAIN = 1 << 17, (4, 5), 6, 20.0
@@ -31,6 +31,8 @@ BUCKETS, GRAMS, DIM, GAIN = 1 << 17, (4, 5), 6, 20.0
 PRIOR = 10
 #: Labelled texts that a model is fitted on, at most (expected: they are drawn by a hash threshold).
 SAMPLE = 12_000
+#: Counts (text, word) that the fitting task holds, at most (expected): of longer texts fewer are drawn.
+COUNTS = 6_000_000
 EPOCHS, BATCH, RATE, FOLD = 20, 256, 0.006, 8
 WORD = re.compile(r"\w+")
 #: A longer run (Chinese, Japanese, Thai, joined by underscores) is cut into pieces of so many characters, which share OVERLAP: no n-gram is lost.
@@ -80,7 +82,7 @@ def fit(words: np.ndarray, doc: np.ndarray, count: np.ndarray, vocabulary: list[
     for w in vocabulary:
         held.extend(ids := parts(w))
         sizes.append(len(ids))
-    flat, size = np.array(held), np.array(sizes, np.int64)
+    flat, size = np.frombuffer(held, np.int32) if held else np.zeros(0, np.int32), np.array(sizes, np.int64)
     start = np.cumsum(size) - size
     rng = np.random.default_rng(7)
     emb, way, bias = rng.normal(0, 0.02, (BUCKETS, DIM)).astype(np.float32), rng.normal(0, 0.5, (DIM, 2)).astype(np.float32), np.zeros((1, 2), np.float32)
@@ -133,7 +135,7 @@ def fit(words: np.ndarray, doc: np.ndarray, count: np.ndarray, vocabulary: list[
 
 
 def train(texts: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> np.ndarray:
-    """Weights fitted on (key, text, label) rows, label 0 or 1; of more than ``sample`` about so many, by a hash of the key.
+    """Weights fitted on (key, text, label) rows, label 0 or 1; of more than ``sample`` about so many, by a hash of the key, of texts with more than COUNTS words in all fewer.
 
     Words are counted in many tasks; the counts of the bounded sample meet in one, which fits. No rows, or one class
     only: a constant score.
@@ -141,39 +143,50 @@ def train(texts: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> np.nda
     rows = texts.where(F.col("label").isNotNull())
     n = rows.count()
     rows = rows.withColumn("_h", F.xxhash64(F.lit(11), key))
+    drawn = lambda bits, share: F.pmod(bits, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     if n > sample:
-        rows = rows.where(F.pmod("_h", F.lit(1_000_000)) < F.lit(int(sample / n * 1_000_000)))
-    counted = rows.select("text", F.col("label").cast("int").alias("label"), (F.pmod(F.shiftright("_h", 24), F.lit(FOLD)) == 0).alias("back"))
+        rows = rows.where(drawn(F.col("_h"), sample / n))
+    counted = rows.select("text", F.col("label").cast("int").alias("label"), (F.pmod(F.shiftright("_h", 24), F.lit(FOLD)) == 0).alias("back"), "_h")
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             counts = [Counter(words_of(t)) for t in part.column(0).to_pylist()]
-            return pa.RecordBatch.from_arrays([pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), part.column(1), part.column(2)], names=["words", "counts", "label", "back"])
+            return pa.RecordBatch.from_arrays([pa.array([list(c) for c in counts], pa.list_(pa.string())), pa.array([list(c.values()) for c in counts], pa.list_(pa.int32())), *part.columns[1:]], names=["words", "counts", "label", "back", "h"])
 
         return run
 
-    bags = stored(counted.mapInArrow(by_slices(make), "words array<string>, counts array<int>, label int, back boolean"), "bags")
+    bags = stored(counted.mapInArrow(by_slices(make), "words array<string>, counts array<int>, label int, back boolean, h long"), "bags")
+    held = bags.agg(F.coalesce(F.sum(F.size("words")), F.lit(0))).first()[0]
+    if held > COUNTS:
+        bags = bags.where(drawn(F.xxhash64(F.lit(12), "h"), COUNTS / held))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        got = pa.Table.from_batches(list(batches) or [pa.RecordBatch.from_pydict({"words": pa.array([], pa.list_(pa.string())), "counts": pa.array([], pa.list_(pa.int32())), "label": pa.array([], pa.int32()), "back": pa.array([], pa.bool_())})])
-        label, back = got.column("label").to_numpy(), got.column("back").to_numpy(zero_copy_only=False).astype(bool)
-        flat = lambda name: pa.concat_arrays([c.flatten() for c in got.column(name).chunks])
-        coded = flat("words").dictionary_encode()
-        sizes = np.concatenate([c.value_lengths().to_numpy() for c in got.column("words").chunks])
+        ids: dict[str, int] = {}
+        words, counts, sizes, label, back = [], [], [], [], []
+        for part in slices(batches):
+            coded = part.column(0).flatten().dictionary_encode()
+            own = np.array([ids.setdefault(w, len(ids)) for w in coded.dictionary.to_pylist()], np.int32)
+            words.append(own[coded.indices.to_numpy()])
+            counts.append(part.column(1).flatten().to_numpy().astype(np.float32))
+            sizes.append(part.column(0).value_lengths().to_numpy())
+            label.append(part.column(2).to_numpy())
+            back.append(part.column(3).to_numpy(zero_copy_only=False))
+        label = np.concatenate([np.empty(0, np.int32), *label])
         if len(set(label.tolist())) < 2:
             weights = np.r_[np.zeros(BUCKETS), -3.0 if not label.any() else 3.0]
         else:
-            weights = fit(coded.indices.to_numpy(), np.repeat(np.arange(len(label)), sizes), flat("counts").to_numpy().astype(float), coded.dictionary.to_pylist(), label, back)
+            doc = np.repeat(np.arange(len(label), dtype=np.int32), np.concatenate(sizes))
+            weights = fit(np.concatenate(words), doc, np.concatenate(counts), list(ids), label, np.concatenate(back))
         yield pa.RecordBatch.from_pydict({"weights": pa.array([weights.tobytes()], pa.binary())})
 
-    first = bags.repartition(1).mapInArrow(one, "weights binary").first()
-    return np.frombuffer(first.weights)
+    first = bags.repartition(1).sortWithinPartitions("h").mapInArrow(one, "weights binary").first()
+    return np.frombuffer(first.weights) if first else np.r_[np.zeros(BUCKETS), -3.0]  # no rows, no task
 
 
 class Scorer:
     """Scores texts; what a word adds is worked out once and kept for a bounded number of words."""
 
-    MOST = 200_000
+    MOST = 100_000
 
     def __init__(self, weights: np.ndarray):
         self.bias, self.of, self.new, self.old = float(weights[-1]), weights[:-1].tolist(), {}, {}
