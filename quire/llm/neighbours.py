@@ -1,7 +1,7 @@
 """Nearest neighbours by a block matrix join: int8 product tiles, error bounds, exact recomputation, heaps.
 
 Queries are dealt into blocks and candidates into groups of bounded size; every
-(block, group) pair is one task's work: tiles of int8 code products (computed in
+(block, group) pair is one task's work: tiles of int8 code products (multiplied as
 float32, where such sums are whole numbers and so exact) with a bound on their quantisation
 error. Only pairs whose upper bound reaches the k-th best lower bound are
 recomputed in double precision from the original vectors; a heap for each query
@@ -19,15 +19,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-QUERY_BLOCK = 2048
-GROUP = 16384
-TILE = 2048
+#: Queries and candidates of one task's block and group, and of a tile in it.
+QUERY_BLOCK, GROUP, TILE = 8192, 16384, 2048
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """int8 codes (as float32) and scale of each row: x is about code * scale, off by at most scale / 2 in each component."""
-    scale = np.abs(x).max(1) / 127.0
-    return np.rint(x / scale[:, None]).astype(np.float32), scale
+    """int8 codes and scale of each row: x is about code * scale, off by at most scale / 2 in each component. The scale is no smaller than a normal number."""
+    scale = np.maximum(np.abs(x).max(1) / 127.0, np.finfo(float).tiny)
+    return np.rint(x / scale[:, None]).astype(np.int8), scale
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -54,29 +53,46 @@ def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray,
     ids, x = ids[keep], x[keep]
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
+    tc, ts = quantised(x)
+    out = []
+    for begin in range(0, len(q_ids), TILE):
+        some = slice(begin, begin + TILE)
+        for i, heap in zip(q_ids[some].tolist(), _tiles(q_ids[some], q[some], ids, x, tc, ts, k)):
+            out += [(i, -v, s) for s, v in heap]
+    return out
+
+
+def _tiles(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, tc: np.ndarray, ts: np.ndarray, k: int) -> list[list[tuple[float, int]]]:
+    """A heap of (score, -id) for each query of a tile row. Bounds that overflow bound nothing; a score that is no number (infinities of both signs) takes no part."""
     qc, qs = quantised(q)
-    q1 = np.abs(q).sum(1)
+    kind = np.float32 if q.shape[1] <= 1000 else np.float64  # sums up to 127 * 127 * 1000 are exact in float32
+    qc, q1 = qc.astype(kind), np.abs(q).sum(1)
     heaps: list[list[tuple[float, int]]] = [[] for _ in q_ids]
     floor = np.full(len(q_ids), -np.inf)
     for at in range(0, len(ids), TILE):
-        t, tid = x[at : at + TILE], ids[at : at + TILE]
-        tc, ts = quantised(t)
-        near = (qc @ tc.T if q.shape[1] <= 1000 else qc.astype(float) @ tc.T.astype(float)).astype(np.float64) * (qs[:, None] * ts)
-        slack = (0.5 * ts * q1[:, None] + 0.5 * qs[:, None] * (ts * np.abs(tc).sum(1))) * (1 + 1e-9) + 1e-300
-        low = np.where(tid == q_ids[:, None], -np.inf, near - slack)
-        if len(tid) > k:
-            floor = np.maximum(floor, np.partition(low, len(tid) - k, axis=1)[:, len(tid) - k])
-        qi, ti = np.nonzero((near + slack >= floor[:, None]) & (tid != q_ids[:, None]))
+        tid, codes, scale = ids[at : at + TILE], tc[at : at + TILE].astype(kind), ts[at : at + TILE]
+        with np.errstate(over="ignore", invalid="ignore"):
+            near = (qc @ codes.T).astype(np.float64) * (qs[:, None] * scale)
+            slack = (0.5 * scale * q1[:, None] + 0.5 * qs[:, None] * (scale * np.abs(codes).sum(1))) * (1 + 1e-9) + 1e-300
+            low = np.where(tid == q_ids[:, None], -np.inf, np.nan_to_num(near - slack, nan=-np.inf, posinf=np.finfo(float).max, neginf=-np.inf))
+            if len(tid) > k:
+                floor = np.maximum(floor, np.partition(low, len(tid) - k, axis=1)[:, len(tid) - k])
+            high = near + slack
+            qi, ti = np.nonzero((np.isnan(high) | (high >= floor[:, None])) & (tid != q_ids[:, None]))
         for part in range(0, len(qi), 1 << 17):
             a, b = qi[part : part + (1 << 17)], ti[part : part + (1 << 17)]
-            for i, v, s in zip(a.tolist(), tid[b].tolist(), exact(q[a], t[b]).tolist()):
+            with np.errstate(over="ignore", invalid="ignore"):
+                scores = exact(q[a], x[at + b])
+            for i, v, s in zip(a.tolist(), tid[b].tolist(), scores.tolist()):
+                if s != s:
+                    continue
                 heap = heaps[i]
                 if len(heap) < k:
                     heapq.heappush(heap, (s, -v))
                 elif (s, -v) > heap[0]:
                     heapq.heapreplace(heap, (s, -v))
         floor = np.maximum(floor, [h[0][0] if len(h) == k else -np.inf for h in heaps])
-    return [(i, -v, s) for i, heap in zip(q_ids.tolist(), heaps) for s, v in heap]
+    return heaps
 
 
 def _matrix(column: pa.ChunkedArray) -> np.ndarray:
@@ -89,8 +105,9 @@ def nearest(vectors: DataFrame, k: int = 20, every: int = 20, key: str = "vec_id
     """query_id, rank, vec_id, score: for each row whose key is divisible by ``every`` its k nearest others by inner product.
 
     Ties go to the smaller id; fewer candidates give fewer rows. Null and zero vectors and those
-    with null or non-finite components take no part; vectors of different lengths do not meet. Keys are
-    taken as unique: of a repeated one each row counts. An empty table gives an empty one; other columns are left out.
+    with null or non-finite components take no part; vectors of different lengths do not meet; a product that overflows is
+    infinite and ranks so, one that is no number (infinities of both signs) is left out. Of a repeated key each row counts as a candidate; rows
+    of a repeated query key ask together (their k nearest pairs), and rows of the query's own key are no candidates. An empty table gives an empty one; other columns are left out.
     """
     e = F.col(vector)
     good = e.isNotNull() & ~F.exists(e, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))) & F.exists(e, lambda c: c != 0)

@@ -84,6 +84,7 @@ def test_neighbours_query(spark, sf, monkeypatch):
     assert {tuple(r) for r in queries.op10_block_matrix(spark, sf).collect()} == want
     monkeypatch.setattr(neighbours, "GROUP", 64)
     monkeypatch.setattr(neighbours, "QUERY_BLOCK", 4)
+    monkeypatch.setattr(neighbours, "TILE", 3)
     assert {tuple(r) for r in queries.op10_block_matrix(spark, sf).collect()} == want
 
 
@@ -93,3 +94,24 @@ def test_neighbours_edges(spark):
     assert {tuple(r) for r in neighbours.nearest(df).collect()} == brute_near(rows, 20)
     assert {tuple(r) for r in neighbours.nearest(df.where("vec_id < 5")).collect()} == brute_near(rows[:5], 20)
     assert neighbours.nearest(df.limit(0)).count() == 0
+
+
+def test_neighbours_of_extreme_numbers(spark):
+    """Products that overflow, numbers under the smallest normal one, components of all sizes, in double precision."""
+    rng = np.random.default_rng(4)
+    rows = [(i, (rng.normal(size=4) * 10.0 ** rng.integers(-320, 200)).tolist()) for i in range(200)]
+    rows += [(200, [1e200, 1e200, 0.0, 0.0]), (201, [1e200, -1e200, 0.0, 0.0]), (202, [5e-324, 0.0, 0.0, 0.0]), (220, [5e-324, 5e-324, 0.0, 0.0]), (240, [1e-310, 1e200, 1.0, -1.0])]
+    want = set()
+    with np.errstate(all="ignore"):
+        for qi, q in rows:
+            if qi % 20 == 0 and any(q):
+                s = [(-float(neighbours.exact(np.array([q]), np.array([x]))[0]), i) for i, x in rows if i != qi and any(x)]
+                want |= {(qi, r + 1, i, -d) for r, (d, i) in enumerate(sorted(x for x in s if x[0] == x[0])[:20])}
+    got = {tuple(r) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()}
+    assert got == want
+
+
+def test_neighbours_of_repeated_keys(spark):
+    rows = [(0, [1.0, 1.0]), (0, [2.0, 0.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (9, [0.0, 5.0])]
+    got = sorted((r.query_id, r.vec_id, r.score) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
+    assert got == sorted((0, i, float(np.dot(q, v))) for k, q in rows[:2] for i, v in rows[2:])
