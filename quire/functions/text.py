@@ -74,7 +74,12 @@ def split_lines(c: Column) -> Column:
 
 
 def word_count(c: Column) -> Column:
-    return F.size(F.filter(F.split(c, f"{WS}+", -1), lambda x: x != ""))
+    return F.regexp_count(c, F.lit(WS.replace("[", "[^", 1) + "+"))
+
+
+def let(value: Column, body) -> Column:
+    """body(value) with the value worked out once, however often the body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def infer_title(filename: Column) -> Column:

@@ -8,7 +8,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 #: What a book's status may be.
 STATUS = ("processing", "extracted", "complete", "rate-limited", "error")
@@ -19,12 +18,11 @@ def _key(name: str) -> str:
 
 
 def upsert(store: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Inserts or overwrites by key; of several updates of one key that with the largest ``order`` holds."""
-    last = updates
-    if order:
-        last = updates.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(F.col(order).desc()))).where("_r = 1").drop("_r")
-    last = last.select(*store.columns)
-    return store.join(last.select(key).distinct(), key, "left_anti").select(*store.columns).unionByName(last)
+    """Inserts or overwrites by key; of several updates of one key the last holds: that with the largest ``order``, and of equal ones (or with no order given) the last in the order of the rows."""
+    row = F.struct(*store.columns).alias("_u")
+    rank = F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id().alias("_n")).alias("_o")
+    last = updates.select(F.col(key).alias("_key"), row, rank).groupBy("_key").agg(F.max_by("_u", "_o").alias("_u")).select("_u.*")
+    return store.join(last.select(key), key, "left_anti").select(*store.columns).unionByName(last)
 
 
 def get_by_book(store: DataFrame, ids: DataFrame, index: str = "index") -> DataFrame:
@@ -35,7 +33,7 @@ def get_by_book(store: DataFrame, ids: DataFrame, index: str = "index") -> DataF
 def pending_chapters(chapters: DataFrame, ids: DataFrame) -> DataFrame:
     """book_id, id, index, error: chapters still to process; a book without any chapter is an error row."""
     todo = chapters.join(ids.select("book_id").distinct(), "book_id", "left_semi").where("not ai_processed").select("book_id", "id", "index", F.lit(None).cast("string").alias("error"))
-    none = ids.select("book_id").distinct().join(chapters.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("index"), F.lit("no chapter data").alias("error"))
+    none = ids.select("book_id").distinct().join(chapters.select("book_id").distinct(), "book_id", "left_anti").select("book_id", F.lit(None).cast("string").alias("id"), F.lit(None).cast("int").alias("index"), F.lit("the book has no chapters").alias("error"))
     return todo.unionByName(none)
 
 

@@ -66,8 +66,9 @@ def group_chapters(chapters: DataFrame, max_groups: int = MAX_GROUPS) -> DataFra
 
 def compress_text(c: Column, target: int = COMPRESSED) -> Column:
     """The text within ``target`` characters: whole paragraphs from front, middle and back, each once, up to the first that does not fit."""
-    clean = tx.normalize_text(c)
-    paras = F.filter(F.transform(F.split(clean, "\n\n", -1), tx.trim), lambda p: (F.length(p) >= LEAST_PARAGRAPH) & ~p.rlike(tx.DIGITS))
+
+    def paragraphs(clean: Column) -> Column:
+        return F.filter(F.transform(F.split(clean, "\n\n", -1), tx.trim), lambda p: (F.length(p) >= LEAST_PARAGRAPH) & ~p.rlike(tx.DIGITS))
 
     def sample(p: Column) -> Column:
         n = F.size(p)
@@ -75,16 +76,21 @@ def compress_text(c: Column, target: int = COMPRESSED) -> Column:
         mid = (F.floor(n / 2) - F.floor(m / 2)).cast("int")
         back = F.ceil(n * 0.2).cast("int")
         some = F.array_distinct(F.concat(F.slice(p, F.lit(1), F.ceil(n * 0.5).cast("int")), F.slice(p, F.greatest(mid, F.lit(0)) + 1, m), F.slice(p, n - back + 1, back)))
-        zero = F.struct(F.lit("").alias("text"), F.lit(False).alias("full"))
+        zero = F.struct(F.lit(0).alias("size"), F.lit(0).alias("n"), F.lit(False).alias("full"))
 
         def add(acc: Column, x: Column) -> Column:
-            longer = F.when(acc["text"] == "", x).otherwise(F.concat(acc["text"], F.lit("\n\n"), x))
-            return F.when(acc["full"] | (F.length(longer) > target), F.struct(acc["text"].alias("text"), F.lit(True).alias("full"))).otherwise(F.struct(longer.alias("text"), F.lit(False).alias("full")))
+            size = acc["size"] + F.when(acc["n"] == 0, 0).otherwise(2) + F.length(x)
+            full = acc["full"] | (size > target)
+            return F.struct(F.when(full, acc["size"]).otherwise(size).alias("size"), (acc["n"] + (~full).cast("int")).alias("n"), full.alias("full"))
+
+        # how many fit is told by their lengths; they are joined once
+        return tx.let(some, lambda s: F.array_join(F.slice(s, F.lit(1), F.aggregate(s, zero, add, lambda acc: acc["n"])), "\n\n"))
 
-        return F.aggregate(some, zero, add, lambda acc: acc["text"])
+    def cut(clean: Column) -> Column:
+        got = tx.let(paragraphs(clean), lambda p: F.when(F.size(p) == 0, F.lit("")).when(F.size(p) == 1, F.substring(F.get(p, F.lit(0)), 1, target)).otherwise(sample(p)))
+        return F.when(F.length(clean) <= target, clean).otherwise(F.coalesce(F.nullif(got, F.lit("")), F.substring(clean, 1, target)))
 
-    got = F.when(F.size(paras) == 0, F.lit("")).when(F.size(paras) == 1, F.substring(F.get(paras, F.lit(0)), 1, target)).otherwise(sample(paras))
-    return F.when(F.length(clean) <= target, clean).otherwise(F.when(got == "", F.substring(clean, 1, target)).otherwise(got))
+    return tx.let(tx.normalize_text(c), cut)
 
 
 def cuts(text: str, target: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:

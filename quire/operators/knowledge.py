@@ -15,7 +15,7 @@ KEY = {"vocabulary": "$.term", "quotes": "$.text"}
 CHAPTER_TOKENS, CHAPTER_TEMPERATURE, SUMMARY_TOKENS, SUMMARY_TEMPERATURE = 1500, 0.2, 1024, 0.25
 SYSTEM = "You extract knowledge from books. Answer only with JSON: summary (string), concepts, principles, actionableIdeas (strings), vocabulary (term, definition), quotes (text, context)."
 #: What a model is asked; the first is followed by title and text, the second by the numbered summaries.
-PROMPT, SUMMARY_PROMPT = "Analyze this book chapter and extract all knowledge.", "Summarize the book from its chapter summaries."
+PROMPT, SUMMARY_PROMPT = "Read the chapter below and list what it teaches.", "Summarize the book from its chapter summaries."
 
 
 def build_chapter_requests(chapters: DataFrame) -> DataFrame:
@@ -47,9 +47,12 @@ def parse_chapter_knowledge(raw: Column) -> Column:
 
 
 def apply_responses(chapters: DataFrame, responses: DataFrame) -> DataFrame:
-    """Chapters with their answer (book_id, chapter_index, raw; raw null: the call failed): a failed call leaves the chapter unprocessed with empty
+    """Chapters with their answer (book_id, chapter_index, raw; raw null: the call failed); of several of one chapter the last holds, by ``attempt`` if there is one, else in
+    the order of the rows. A failed call leaves the chapter unprocessed with empty
     knowledge, an answer that cannot be read processes it with empty knowledge. Chapters without an answer stay as they are."""
-    r = responses.select("book_id", F.col("chapter_index").alias("index"), F.col("raw").alias("_raw"), F.lit(True).alias("_answered"))
+    order = [c for c in ("attempt",) if c in responses.columns]
+    r = responses.select("book_id", F.col("chapter_index").alias("index"), F.struct("raw").alias("_r"), F.struct(*order, F.monotonically_increasing_id().alias("_n")).alias("_o"))
+    r = r.groupBy("book_id", "index").agg(F.max_by("_r", "_o").alias("_r")).select("book_id", "index", F.col("_r.raw").alias("_raw"), F.lit(True).alias("_answered"))
     x = chapters.drop("ai_knowledge").join(r, ["book_id", "index"], "left").withColumn("_k", F.when(F.col("_answered"), F.coalesce(parse_chapter_knowledge(F.col("_raw")), _empty())))
     return x.withColumn("ai_processed", F.when(F.col("_answered"), F.col("_raw").isNotNull()).otherwise(F.col("ai_processed"))).withColumn("summary", F.when(F.col("_answered"), F.col("_k.summary")).otherwise(F.col("summary"))).withColumn("ai_knowledge", F.col("_k")).drop("_raw", "_answered", "_k")
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
@@ -16,6 +16,38 @@ def _has(pages: DataFrame, name: str) -> bool:
     return name in pages.columns
 
 
+#: Lines from a page's top that any operator looks at, with the one after them, and edge lines at top and end.
+TOP, EDGE_HEAD, EDGE_TAIL = 15, 12, 3
+
+
+def page_digest(pages: DataFrame) -> DataFrame:
+    """What the cascade needs of each page, without its text: n_words, n_lines, top (first lines), head and tail (first and last edge lines); of rich pages width, height, the first lines and n_rich.
+
+    Every operator that takes pages takes this as well. A text is split and trimmed once.
+    """
+    lines = pages.select("book_id", "page_num", tx.word_count(F.col("text")).alias("n_words"), tx.split_lines(F.col("text")).alias("_l"), *(c for c in ("width", "height") if _has(pages, c)), *([F.slice("lines", 1, TOP).alias("lines"), F.size("lines").alias("n_rich")] if _has(pages, "lines") else []))
+    edges = lines.withColumn("_e", F.filter("_l", edge_length))
+    own = [F.size("_l").alias("n_lines"), F.slice("_l", 1, TOP).alias("top"), F.slice("_e", 1, EDGE_HEAD).alias("head"), _last(F.col("_e"), EDGE_TAIL).alias("tail")]
+    return edges.select(*(c for c in lines.columns if c != "_l"), *own)
+
+
+def edge_length(line: Column) -> Column:
+    return (F.length(line) > 1) & (F.length(line) < 120)
+
+
+def _last(lines: Column, n: int) -> Column:
+    return F.when(F.size(lines) > 0, F.slice(lines, F.greatest(F.size(lines) - (n - 1), F.lit(1)), n)).otherwise(lines)
+
+
+def words(pages: DataFrame) -> Column:
+    return F.col("n_words") if _has(pages, "n_words") else tx.word_count(F.col("text"))
+
+
+def top_lines(pages: DataFrame, n: int) -> Column:
+    """The first n (TOP at most) lines of the text that are not blank."""
+    return F.slice(F.col("top") if _has(pages, "top") else tx.split_lines(F.col("text")), 1, n)
+
+
 def median_font_size(pages: DataFrame) -> DataFrame:
     """book_id, median_font_size: exact median of positive line sizes, 12 where there is none.
 
@@ -40,11 +72,10 @@ def page_dimensions(pages: DataFrame) -> DataFrame:
 
 def edge_line_frequency(pages: DataFrame, head: int = 3, tail: int = 2) -> DataFrame:
     """book_id, line, n_pages_seen: how many pages carry a line among their first ``head`` or last ``tail`` lines of 2 to 119 characters."""
-    lines = F.filter(F.transform(F.split("text", "\n", -1), tx.trim), lambda x: (F.length(x) > 1) & (F.length(x) < 120))
-    cut = pages.select("book_id", lines.alias("l"))
-    last = F.when(F.size("l") > 0, F.slice("l", F.greatest(F.size("l") - (tail - 1), F.lit(1)), tail)).otherwise(F.col("l"))
-    edge = F.array_distinct(F.concat(F.slice("l", 1, head), last))
-    return cut.select("book_id", F.explode(edge).alias("line")).groupBy("book_id", "line").agg(F.count("*").alias("n_pages_seen"))
+    if not _has(pages, "head"):
+        pages = pages.select("book_id", F.filter(tx.split_lines(F.col("text")), edge_length).alias("head")).withColumn("tail", F.col("head"))
+    edge = F.array_distinct(F.concat(F.slice("head", 1, head), _last(F.col("tail"), tail)))
+    return pages.select("book_id", F.explode(edge).alias("line")).groupBy("book_id", "line").agg(F.count("*").alias("n_pages_seen"))
 
 
 def page_counts(pages: DataFrame) -> DataFrame:

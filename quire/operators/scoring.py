@@ -33,9 +33,14 @@ def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | N
     """
     context = profile.book_context(pages) if context is None else context
     p = pages.join(context, "book_id")
-    plain = F.transform(tx.split_lines(F.col("text")), lambda t, i: F.struct(t.alias("text"), (F.lit(792.0) - i * 12).alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("line_width"), F.col("median_font_size").cast("double").alias("font_size"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
-    lines = F.when(F.size("lines") > 0, F.col("lines").cast(f"array<{LINE}>")).otherwise(plain) if "lines" in pages.columns else plain
-    p = p.select("book_id", "page_num", "median_font_size", "page_width", "page_height", "n_pages", tx.word_count(F.col("text")).alias("n_words"), lines.alias("_l")).withColumn("n_lines", F.size("_l"))
+    short = "top" in pages.columns  # a digest has the first lines only, and their number
+    plain = F.transform(F.col("top") if short else tx.split_lines(F.col("text")), lambda t, i: F.struct(t.alias("text"), (F.lit(792.0) - i * 12).alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("line_width"), F.col("median_font_size").cast("double").alias("font_size"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
+    lines, n = plain, F.col("n_lines") if short else F.size("_l")
+    if "lines" in pages.columns:
+        lines = F.when(F.size("lines") > 0, F.col("lines").cast(f"array<{LINE}>")).otherwise(plain)
+        n = F.when(F.col("n_rich") > 0, F.col("n_rich")).otherwise(n) if short else n
+    kept = [c for c in ("n_lines", "n_rich") if c in pages.columns]
+    p = p.select("book_id", "page_num", "median_font_size", "page_width", "page_height", "n_pages", profile.words(pages).alias("n_words"), lines.alias("_l"), *kept).withColumn("n_lines", n)
 
     def size(l: Column) -> Column:
         return F.when(F.coalesce(l["font_size"], F.lit(0.0)) == 0, F.lit(12.0)).otherwise(l["font_size"])
@@ -47,7 +52,7 @@ def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | N
     rows = F.transform(F.slice("_l", 1, most) if most else F.col("_l"), lambda l, i: F.struct(
         i.alias("line_index"), tx.trim(F.coalesce(l["text"], F.lit(""))).alias("text"), F.length(F.coalesce(l["text"], F.lit(""))).alias("raw_length"), F.coalesce(l["y"], F.lit(0.0)).alias("y"), F.coalesce(l["x"], F.lit(0.0)).alias("x"), F.coalesce(l["line_width"], F.lit(0.0)).alias("line_width"),
         F.when(F.coalesce(l["font_size"], F.lit(0.0)) == 0, F.col("median_font_size")).otherwise(l["font_size"]).alias("font_size"), F.coalesce(l["bold"], F.lit(False)).alias("bold"),
-        gap(i, i - 1, i > 0).alias("gap_above"), gap(i, i + 1, i < F.size("_l") - 1).alias("gap_below")))
+        gap(i, i - 1, i > 0).alias("gap_above"), gap(i, i + 1, i < F.col("n_lines") - 1).alias("gap_below")))
     return p.select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", F.explode(rows).alias("r")).select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", "r.*")
 
 
@@ -160,15 +165,15 @@ def score_pages_at(scored: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     return rows.where("r.x is not null").select("book_id", "page_num", "r.threshold", "r.x.*")
 
 
-def scored_lines(pages: DataFrame) -> DataFrame:
-    """page_lines() and score_lines() with the book's own context and repeated lines."""
-    return score_lines(page_lines(pages), profile.header_lines(pages))
+def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFrame:
+    """page_lines() and score_lines() with the book's own context (if none is given) and repeated lines."""
+    return score_lines(page_lines(pages, context), profile.header_lines(pages))
 
 
 def find_heading(pages: DataFrame) -> DataFrame:
     """book_id, page_num, title by patterns: multi-line, else the first line with a heading pattern, else capitals on a page under 250 words."""
     h = profile.header_lines(pages, 12, 3).where("is_running").select("book_id", F.col("line").alias("text"), "is_running")
-    lines = pages.select("book_id", "page_num", tx.word_count(F.col("text")).alias("n_words"), F.posexplode(F.slice(tx.split_lines(F.col("text")), 1, SCAN + 2)).alias("line_index", "text"))
+    lines = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), F.posexplode(profile.top_lines(pages, SCAN + 2)).alias("line_index", "text"))
     x = lines.join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False))).withColumn("raw_length", F.length("text"))
     multi = multi_line_headings(x).select("book_id", "page_num", F.col("title").alias("m"))
     free = ~F.col("is_running") & ~F.col("text").rlike(tx.DIGITS)

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.functions import text as tx
-from quire.operators import scoring
+from quire.operators import profile, scoring
 from quire.sources.shared import stored
 
 #: Fixed values of the cascade.
@@ -99,7 +99,7 @@ def merge_around_sequence(chapters: DataFrame, sequence: DataFrame, numbered: Da
 def structural_breaks(pages: DataFrame) -> DataFrame:
     """book_id, page_num, title: a page under 60 words after one over 80 whose first line starts with a capital and is short."""
     w = Window.partitionBy("book_id").orderBy("page_num")
-    skinny = pages.select("book_id", "page_num", tx.word_count(F.col("text")).alias("n_words"), F.get(tx.split_lines(F.col("text")), F.lit(0)).alias("title"))
+    skinny = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), F.get(profile.top_lines(pages, 1), F.lit(0)).alias("title"))
     return skinny.withColumn("before", F.lag("n_words").over(w)).where((F.col("before") > 80) & (F.col("n_words") < 60) & F.col("title").rlike("^[A-Z]") & (F.length("title") < 60)).select("book_id", "page_num", "title")
 
 
@@ -142,20 +142,22 @@ def sanity_check(chapters: DataFrame, counts: DataFrame) -> DataFrame:
 
 def diagnostics(chapters: DataFrame, counts: DataFrame) -> DataFrame:
     """book_id, detected_chapters, avg_pages_per_chapter (rounded half up), min_pages, max_pages, warnings; strategy if the chapters have one."""
-    dup = chapters.groupBy("book_id", "title").agg(F.count("*").alias("c"), F.min("chapter_index").alias("i")).where("c > 1").groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda d: F.concat(F.lit('duplicate heading: "'), d["title"], F.lit('"'))).alias("dups"))
+    dup = chapters.groupBy("book_id", "title").agg(F.count("*").alias("c"), F.min("chapter_index").alias("i")).where("c > 1").groupBy("book_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "title"))), lambda d: F.concat(F.lit("title used more than once: "), d["title"])).alias("dups"))
     keep = [F.first("strategy").alias("strategy")] if "strategy" in chapters.columns else []
     x = chapters.groupBy("book_id").agg(F.count("*").cast("int").alias("detected_chapters"), F.min("n_pages").alias("min_pages"), F.max("n_pages").alias("max_pages"), *keep).join(counts.select("book_id", F.col("n_pages").alias("_total")), "book_id").join(dup, "book_id", "left")
     avg = F.floor(F.col("_total") / F.col("detected_chapters") + 0.5).cast("int")
-    warn = F.concat(F.array_compact(F.array(F.when(avg < 4, F.lit("suspicious density: average chapter < 4 pages")), F.when(F.col("min_pages") == 0, F.lit("one or more chapters have 0 pages")))), F.coalesce("dups", F.expr("cast(array() as array<string>)")))
+    warn = F.concat(F.array_compact(F.array(F.when(avg < 4, F.lit("chapters are very short: under 4 pages on average")), F.when(F.col("min_pages") == 0, F.lit("a chapter holds no page")))), F.coalesce("dups", F.expr("cast(array() as array<string>)")))
     return x.select("book_id", *(["strategy"] if keep else []), "detected_chapters", avg.alias("avg_pages_per_chapter"), "min_pages", "max_pages", warn.alias("warnings"))
 
 
 def stage_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """The chapters of every stage that found any, with its number in ``stage``. Starts and intervals are skinny, used several times and written to the shared folder."""
+    """The chapters of every stage that found any, with its number in ``stage``. Texts are read once, for the pages' digest; starts and intervals are skinny, used several times and written to the shared folder."""
+    context = stored(profile.book_context(pages), "contexts") if "lines" in pages.columns else None
+    pages = stored(profile.page_digest(pages), "digests")
     index = stored(page_index(pages), "page-index")
     skinny = ["book_id", "page_num", "title"]
-    both = scoring.score_pages_at(scoring.scored_lines(pages), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
-    # the texts are read for these rows only; all that follows works on them
+    both = scoring.score_pages_at(stored(scoring.scored_lines(pages, context), "scored-lines"), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
+    # all that follows works on these rows
     starts = stored(both.unionByName(scoring.find_heading(pages).select(*skinny, F.lit(5).alias("stage"))).unionByName(structural_breaks(pages).select(*skinny, F.lit(6).alias("stage"))), "chapter-starts")
     of = lambda stage: starts.where(F.col("stage") == stage)
     enough = lambda c: c.join(c.groupBy("book_id").count().where("count >= 2").select("book_id"), "book_id", "left_semi")

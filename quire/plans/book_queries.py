@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from quire.functions import text as tx
 from quire.operators import archive, audit, calls, compact, knowledge, layout, profile, quality, scoring, segment
 from quire.plans import views
-from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, trim, words
+from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, number, quoted, trim, words
 from quire.sources import shared, stores
 from quire.streaming import streams
 
@@ -41,9 +41,9 @@ LINES_SQL = f"""{ITEMS}, runs AS (SELECT *, item_seq // 10 AS line FROM text_ite
       bool_or(font_name <> 'Times-Italic') AS bold, bool_or(font_name = 'Times-Italic') AS italic FROM clustered GROUP BY ALL)"""
 
 
-@query(f"{LINES_SQL} SELECT book_id, page_num, bucket, count(*) AS n, min(leader_y) AS leader_y FROM clustered GROUP BY ALL")
+@query(f"{LINES_SQL} SELECT book_id, page_num, item_seq, str, bucket, leader_y FROM clustered")
 def l1_cluster_items(spark, sf_dir):
-    return layout.cluster_items_to_lines(views.text_items(spark, sf_dir)).groupBy("book_id", "page_num", "bucket").agg(F.count("*").alias("n"), F.min("leader_y").alias("leader_y"))
+    return layout.cluster_items_to_lines(views.text_items(spark, sf_dir)).select("book_id", "page_num", "item_seq", "str", "bucket", "leader_y")
 
 
 @query(f"{LINES_SQL} SELECT * FROM made")
@@ -79,11 +79,11 @@ def s3_flatten_outline(spark, sf_dir):
 # --- profile and scores -------------------------------------------------------------
 
 
-def edges(head: int, tail: int) -> str:
+def edges(head: int, tail: int, n: str = "") -> str:
     cut = f"list_filter(list_transform(string_split(text, chr(10)), lambda x: {trim('x')}), lambda x: length(x) > 1 AND length(x) < 120)"
-    return f"""cut AS (SELECT book_id, {cut} AS l FROM book_pages),
-    freq AS (SELECT book_id, line, count(*) AS n_pages_seen FROM (SELECT book_id, unnest(list_distinct(list_concat(l[1:{head}], l[greatest(1, len(l) - {tail - 1}):]))) AS line FROM cut) GROUP BY ALL),
-    counts AS (SELECT book_id, count(*) AS n_pages FROM book_pages GROUP BY ALL)"""
+    return f"""cut{n} AS (SELECT book_id, {cut} AS l FROM book_pages),
+    freq{n} AS (SELECT book_id, line, count(*) AS n_pages_seen FROM (SELECT book_id, unnest(list_distinct(list_concat(l[1:{head}], l[greatest(1, len(l) - {tail - 1}):]))) AS line FROM cut{n}) GROUP BY ALL),
+    counts{n} AS (SELECT book_id, count(*) AS n_pages FROM book_pages GROUP BY ALL)"""
 
 
 RUNNING = "n_pages_seen >= greatest(3, n_pages * 0.2::DOUBLE)"
@@ -116,9 +116,10 @@ def p4_running_headers(spark, sf_dir):
     return profile.running_headers(profile.edge_line_frequency(p, 12, 3), profile.page_counts(p))
 
 
-@query(f"{PAGES}, {edges(3, 2)} SELECT book_id, line, n_pages_seen FROM freq JOIN counts USING (book_id) WHERE {EVERY}")
+@query(f"{PAGES.replace('book_pages AS (', 'first_pages AS (')}, book_pages AS (SELECT book_id || '.' || page_num // 2 AS book_id, page_num, 'Of ' || book_id || chr(10) || text AS text FROM first_pages), {edges(3, 2)} SELECT book_id, line, n_pages_seen FROM freq JOIN counts USING (book_id) WHERE {EVERY}")
 def p5_every_page_lines(spark, sf_dir):
-    p = pages(spark, sf_dir)
+    """Of books of two pages, each with a line of its book at the top."""
+    p = pages(spark, sf_dir).withColumn("text", F.concat(F.lit("Of "), "book_id", F.lit("\n"), "text")).withColumn("book_id", F.concat("book_id", F.lit("."), F.expr("page_num div 2").cast("string")))
     return profile.every_page_lines(profile.edge_line_frequency(p), profile.page_counts(p))
 
 
@@ -127,7 +128,23 @@ def p6_book_context(spark, sf_dir):
     return profile.book_context(pages(spark, sf_dir))
 
 
-def _score_sql() -> str:
+def styled_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The books' pages with lines of a look that depends on their places: some first lines are large, bold or centered."""
+    first = lambda i, m: (i == 0) & (F.col("page_num") % m == 0)
+    line = F.transform(tx.split_lines(F.col("text")), lambda t, i: F.struct(
+        t.alias("text"), (F.lit(792.0) - i * 12).alias("y"), F.when(first(i, 3), 250.0).otherwise(72.0).alias("x"), F.when(first(i, 3), 100.0).otherwise(468.0).alias("line_width"),
+        F.when(first(i, 5), 18.0).when(first(i, 4), 15.0).when((i % 9 == 8), 13.5).otherwise(12.0).alias("font_size"), first(i, 7).alias("bold"), F.lit(False).alias("italic")))
+    return pages(spark, sf_dir).withColumn("width", F.lit(612.0)).withColumn("height", F.lit(792.0)).withColumn("lines", line)
+
+
+#: Rules of the look, as the styled pages show them (the median size is 12).
+STYLE = {
+    "LARGE_FONT_BIG": "line_index = 0 AND page_num % 5 = 0", "LARGE_FONT": "line_index = 0 AND page_num % 4 = 0 AND page_num % 5 <> 0", "LARGE_FONT_SMALL": "line_index % 9 = 8",
+    "BOLD": "line_index = 0 AND page_num % 7 = 0", "CENTERED": "line_index = 0 AND page_num % 3 = 0",
+}
+
+
+def _score_sql(rich: bool = False) -> str:
     w, caps, short = scoring.WEIGHTS, mostly_caps("text"), "length(text) < 60"
     above, below = "line_index = 0", "line_index = n_lines - 1"
     when = {
@@ -135,6 +152,8 @@ def _score_sql() -> str:
         "SPARSE_PAGE": f"n_words < 200 AND ({caps} OR {short})", "ROMAN_NUMERAL": is_match("text", tx.ROMAN_HEADING), "WORD_NUMBER": is_match("text", tx.NUMBER_PREFIX), "ISOLATED": f"{above} AND {below} AND {short}",
         "RUNNING_HEADER": "is_running", "EVERY_PAGE": "is_every", "LOWERCASE_START": "regexp_matches(text, '^[a-z]')", "PROSE_LENGTH": "length(text) > 120", "BOTTOM_QUARTER": "792 - 12 * line_index < 198",
     }
+    when |= STYLE if rich else {}
+    when = {r: when[r] for r in w if r in when}
     total = " + ".join(f"CASE WHEN {c} THEN {w[r]} ELSE 0 END" for r, c in when.items())
     reasons = "list_filter([" + ", ".join(f"CASE WHEN {c} THEN '{r}' END" for r, c in when.items()) + "], lambda x: x IS NOT NULL)"
     return f"""{edges(3, 2)}, heads AS (SELECT book_id, line, {RUNNING} AS is_running, {EVERY} AS is_every FROM freq JOIN counts USING (book_id)),
@@ -144,7 +163,7 @@ def _score_sql() -> str:
     scored AS (SELECT *, greatest(0, least(100, {total})) AS score, {reasons} AS reasons FROM flagged)"""
 
 
-SCORED = f"{PAGES}, {_score_sql()}"
+SCORED, STYLED = f"{PAGES}, {_score_sql()}", f"{PAGES}, {_score_sql(rich=True)}"
 GATE = "(n_words < 200 OR list_has_any(reasons, ['CHAPTER_KEYWORD', 'LARGE_FONT', 'LARGE_FONT_BIG', 'BOLD', 'ALL_CAPS', 'ROMAN_NUMERAL', 'MULTI_LINE_HEADING']))"
 
 
@@ -158,9 +177,13 @@ def candidates_sql(threshold: int, name: str = "cands") -> str:
       SELECT book_id, page_num, text, score, reasons, 2 FROM caps_{name} c WHERE NOT EXISTS (SELECT 1 FROM best_{name} b WHERE b.book_id = c.book_id AND b.page_num = c.page_num))"""
 
 
-@query(f"{SCORED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_words AS INTEGER) AS n_words FROM scored")
+@query(
+    f"""{STYLED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, CAST(length(text) AS INTEGER) AS raw_length, CAST(n_lines AS INTEGER) AS n_lines, CAST(n_words AS INTEGER) AS n_words, (792 - 12 * line_index)::DOUBLE AS y,
+      CASE WHEN {STYLE['CENTERED']} THEN 250 ELSE 72 END::DOUBLE AS x, CASE WHEN {STYLE['CENTERED']} THEN 100 ELSE 468 END::DOUBLE AS line_width, CASE WHEN {STYLE['LARGE_FONT_BIG']} THEN 18 WHEN {STYLE['LARGE_FONT']} THEN 15 WHEN {STYLE['LARGE_FONT_SMALL']} THEN 13.5 ELSE 12 END::DOUBLE AS font_size,
+      {STYLE['BOLD']} AS bold, 12.0::DOUBLE AS median_font_size, 612.0::DOUBLE AS page_width, 792.0::DOUBLE AS page_height FROM scored"""
+)
 def c1_page_lines(spark, sf_dir):
-    return scoring.page_lines(pages(spark, sf_dir)).select("book_id", "page_num", "line_index", "text", "n_lines", "n_words")
+    return scoring.page_lines(styled_pages(spark, sf_dir)).drop("gap_above", "gap_below")
 
 
 @query(f"{SCORED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, CASE WHEN line_index = 0 THEN 30.0 ELSE 0.0 END::DOUBLE AS gap_above, CASE WHEN line_index = n_lines - 1 THEN 30.0 ELSE 0.0 END::DOUBLE AS gap_below FROM scored")
@@ -177,10 +200,19 @@ def c3_score_lines(spark, sf_dir):
     return scored(spark, sf_dir).select("book_id", "page_num", "line_index", "text", "score", F.array_join("reasons", ",").alias("reasons"))
 
 
-@query(f"{PAGES} SELECT book_id, page_num, 'CHAPTER ' || (page_num % 90 + 1) || ' — ' || book_id AS title, 85 AS score FROM book_pages WHERE page_num % 6 <> 5")
+@query(f"{STYLED} SELECT book_id, page_num, CAST(line_index AS INTEGER) AS line_index, text, score, array_to_string(reasons, ',') AS reasons FROM scored")
+def c3_score_styled_lines(spark, sf_dir):
+    return scoring.scored_lines(styled_pages(spark, sf_dir)).select("book_id", "page_num", "line_index", "text", "score", F.array_join("reasons", ",").alias("reasons"))
+
+
+@query(
+    f"""{PAGES}, l AS (SELECT book_id, page_num, CASE page_num % 6 WHEN 5 THEN 'chapters' WHEN 4 THEN 'Part' ELSE 'CHAPTER' END AS label, CASE WHEN page_num % 8 = 3 THEN 'Twenty-two' ELSE '' || (page_num % 90 + 1) END AS n, ({lines('text')})[1] AS third FROM book_pages)
+    SELECT book_id, page_num, label || ' ' || n || CASE WHEN third IS NOT NULL AND length(third) < 80 AND NOT {is_match('third', tx.NUMBER_LINE)} THEN ' — ' || third ELSE '' END AS title, 85 AS score FROM l WHERE label <> 'chapters'"""
+)
 def c4_multi_line_headings(spark, sf_dir):
-    label = F.when(F.col("page_num") % 6 == 5, F.lit("chapters")).otherwise(F.lit("CHAPTER"))
-    p = pages(spark, sf_dir).withColumn("text", F.concat_ws("\n", label, (F.col("page_num") % 90 + 1).cast("string"), F.col("book_id"), F.lit("")))
+    k = F.col("page_num")
+    label = F.when(k % 6 == 5, F.lit("chapters")).when(k % 6 == 4, "Part").otherwise(F.lit("CHAPTER"))
+    p = pages(spark, sf_dir).withColumn("text", F.concat_ws("\n", label, F.when(k % 8 == 3, "Twenty-two").otherwise((k % 90 + 1).cast("string")), "text"))
     none = spark.createDataFrame([], "book_id string, line string, is_running boolean, is_every boolean")
     return scoring.multi_line_headings(scoring.score_lines(scoring.page_lines(p), none)).drop("reasons")
 
@@ -195,20 +227,20 @@ def c6_meaningful_signal_gate(spark, sf_dir):
     return scoring.meaningful_signal_gate(scoring.best_line_per_page(scored(spark, sf_dir))).select("book_id", "page_num", "title", "score")
 
 
-@query(f"{SCORED}, {candidates_sql(40)} SELECT book_id, page_num, text AS title, score FROM caps_cands")
+@query(f"{SCORED}, {candidates_sql(40)} SELECT book_id, page_num, text AS title, score, array_to_string(reasons, ',') AS reasons FROM caps_cands")
 def c7_sparse_caps_candidates(spark, sf_dir):
-    return scoring.sparse_caps_candidates(scored(spark, sf_dir)).drop("reasons")
+    return scoring.sparse_caps_candidates(scored(spark, sf_dir)).withColumn("reasons", F.array_join("reasons", ","))
 
 
-@query(f"{SCORED}, {candidates_sql(25)} SELECT book_id, page_num, title, score, pass FROM cands")
+@query(f"{SCORED}, {candidates_sql(25)} SELECT book_id, page_num, title, score, pass, array_to_string(reasons, ',') AS reasons FROM cands")
 def c8_score_pages_relaxed(spark, sf_dir):
-    return scoring.score_pages(scored(spark, sf_dir), scoring.RELAXED).drop("reasons")
+    return scoring.score_pages(scored(spark, sf_dir), scoring.RELAXED).withColumn("reasons", F.array_join("reasons", ","))
 
 
-FOUND = f"""{edges(12, 3)}, heads AS (SELECT book_id, line, true AS is_running FROM freq JOIN counts USING (book_id) WHERE {RUNNING}),
-    split AS (SELECT book_id, page_num, {words('text')} AS n_words, {lines('text')} AS l FROM book_pages),
-    rows_ AS (SELECT book_id, page_num, n_words, unnest(range(least(12, len(l)))) AS i, unnest(l[1:12]) AS text FROM split),
-    free AS (SELECT r.* FROM rows_ r LEFT JOIN heads h ON r.book_id = h.book_id AND r.text = h.line WHERE h.line IS NULL AND NOT regexp_matches(text, '^[0-9]+$')),
+FOUND = f"""{edges(12, 3, '_f')}, heads_f AS (SELECT book_id, line, true AS is_running FROM freq_f JOIN counts_f USING (book_id) WHERE {RUNNING}),
+    split_f AS (SELECT book_id, page_num, {words('text')} AS n_words, {lines('text')} AS l FROM book_pages),
+    rows_f AS (SELECT book_id, page_num, n_words, unnest(range(least(12, len(l)))) AS i, unnest(l[1:12]) AS text FROM split_f),
+    free AS (SELECT r.* FROM rows_f r LEFT JOIN heads_f h ON r.book_id = h.book_id AND r.text = h.line WHERE h.line IS NULL AND NOT regexp_matches(text, '^[0-9]+$')),
     found AS (SELECT book_id, page_num, coalesce(min_by(text, CASE WHEN length(text) BETWEEN 2 AND 120 AND {heading('text')} IS NOT NULL THEN i END), min_by(text, CASE WHEN i < 8 AND n_words < 250 AND {all_caps('text')} THEN i END)) AS title FROM free GROUP BY ALL HAVING title IS NOT NULL)"""
 
 
@@ -252,58 +284,72 @@ def g3_segment_by_patterns(spark, sf_dir):
     return segment.segment_by_patterns(pages(spark, sf_dir)).select(*OUT)
 
 
-@query(
-    f"""{PATTERNS} SELECT book_id, chapter_index, title, CASE WHEN {is_match('title', tx.NUMBER_RULES[0][2])} THEN 'chapter' ELSE 'roman' END AS kind, CAST((page_end + 3) // 4 AS INTEGER) AS value FROM ch
-    WHERE ({is_match('title', tx.NUMBER_RULES[0][2])} OR title LIKE '%. Title')"""
-)
+def sequence_sql(ch: str, name: str) -> str:
+    """The numbered sequence of the chapters in ``ch``: {name}_num, {name}_cont, {name}_best, and the merged chapters in {name}."""
+    rank = "CASE kind " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in segment.KINDS.items()) + " END"
+    return f"""{name}_num AS (SELECT * EXCLUDE (x), x.value AS value, x.kind AS kind FROM (SELECT *, {number('title')} AS x FROM {ch}) WHERE x IS NOT NULL),
+    {name}_step AS (SELECT *, value - lag(value) OVER (PARTITION BY book_id, kind ORDER BY chapter_index) AS step FROM {name}_num),
+    {name}_cont AS (SELECT book_id, kind, count(*) AS n, coalesce(sum(CASE WHEN step = 1 THEN 1.0::DOUBLE WHEN step = 2 THEN 0.6::DOUBLE WHEN step IS NOT NULL THEN 0.0::DOUBLE END) / nullif(count(*) - 1, 0), 0.0::DOUBLE) AS continuity FROM {name}_step GROUP BY ALL),
+    {name}_ok AS (SELECT book_id FROM (SELECT book_id, count(*) AS n_all FROM {ch} GROUP BY ALL) JOIN (SELECT book_id, count(*) AS n_num FROM {name}_num GROUP BY ALL) USING (book_id) WHERE n_all >= 2 AND n_num >= 2 AND n_num / n_all >= 0.6::DOUBLE),
+    {name}_best AS (SELECT book_id, kind, continuity FROM {name}_cont SEMI JOIN {name}_ok USING (book_id) WHERE n >= 2 AND continuity >= 0.75::DOUBLE QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY {rank} DESC) = 1),
+    {name}_all AS (SELECT book_id, min(page_start) AS lo, max(page_end) AS hi FROM {ch} GROUP BY ALL),
+    {name}_row AS (SELECT n.*, lo, hi, row_number() OVER w - 1 AS i, count(*) OVER (PARTITION BY book_id) AS c FROM {name}_num n SEMI JOIN {name}_best b ON n.book_id = b.book_id AND n.kind = b.kind JOIN {name}_all USING (book_id) WINDOW w AS (PARTITION BY book_id ORDER BY chapter_index)),
+    {name} AS (SELECT book_id, CAST(i AS INTEGER) AS chapter_index, title, CAST(CASE WHEN i = 0 THEN lo ELSE page_start END AS INTEGER) AS page_start, CAST(CASE WHEN i = c - 1 THEN hi ELSE page_end END AS INTEGER) AS page_end, hi - lo + 1 AS n_all FROM {name}_row)"""
+
+
+SEQUENCE = f"{PATTERNS}, {sequence_sql('ch', 'seq')}"
+
+
+@query(f"{SEQUENCE} SELECT book_id, chapter_index, title, kind, value FROM seq_num")
 def g4_annotate_numbers(spark, sf_dir):
-    x = segment.annotate_numbers(segment.segment_by_patterns(pages(spark, sf_dir))).where("title rlike '^Chapter ' or title like '%. Title'")
-    # the value comes from the title, the SQL's from the page: they agree where a chapter ends before the next heading
-    return x.select("book_id", "chapter_index", "title", "kind", "value")
+    return segment.annotate_numbers(patterns(spark, sf_dir)).select("book_id", "chapter_index", "title", "kind", "value")
 
 
 def patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.segment_by_patterns(pages(spark, sf_dir))
 
 
-@query()
+@query(f"{SEQUENCE} SELECT * FROM seq_cont")
 def g5_sequence_continuity(spark, sf_dir):
     return segment.sequence_continuity(segment.annotate_numbers(patterns(spark, sf_dir)))
 
 
-@query()
+@query(f"{SEQUENCE} SELECT * FROM seq_best")
 def g6_best_sequence(spark, sf_dir):
     return segment.best_sequence(patterns(spark, sf_dir))
 
 
-@query()
+@query(f"{SEQUENCE} SELECT book_id, chapter_index, title, page_start, page_end, CAST(page_end - page_start + 1 AS INTEGER) AS n_pages, page_start AS start_pos, page_end AS end_pos, CAST(n_all - sum(page_end - page_start + 1) OVER (PARTITION BY book_id) AS INTEGER) AS dropped_pages FROM seq")
 def g7_merge_around_sequence(spark, sf_dir):
-    c = patterns(spark, sf_dir)
+    c = shared.stored(patterns(spark, sf_dir), "pattern-chapters")
     return segment.merge_around_sequence(c, segment.best_sequence(c))
 
 
-@query(
-    f"""{PAGES}, w AS (SELECT book_id, page_num, {words('text')} AS n_words, ({lines('text')})[1] AS title FROM book_pages), p AS (SELECT *, lag(n_words) OVER (PARTITION BY book_id ORDER BY page_num) AS before FROM w)
-    SELECT book_id, page_num, title FROM p WHERE before > 80 AND n_words < 60 AND regexp_matches(title, '^[A-Z]') AND length(title) < 60"""
-)
+BREAKS = f"""brk_w AS (SELECT book_id, page_num, {words('text')} AS n_words, ({lines('text')})[1] AS title FROM book_pages), brk_p AS (SELECT *, lag(n_words) OVER (PARTITION BY book_id ORDER BY page_num) AS before FROM brk_w),
+    breaks AS (SELECT book_id, page_num, title FROM brk_p WHERE before > 80 AND n_words < 60 AND regexp_matches(title, '^[A-Z]') AND length(title) < 60)"""
+
+
+@query(f"{PAGES}, {BREAKS} SELECT * FROM breaks")
 def g8_structural_breaks(spark, sf_dir):
     return segment.structural_breaks(pages(spark, sf_dir))
 
 
-@query(
-    f"""{PAGES}, t AS (SELECT book_id, page_num, count(*) OVER (PARTITION BY book_id) AS n FROM book_pages), i AS (SELECT *, (page_num - 1) // CAST(ceil(n / least(20, greatest(5, n // 20))) AS INTEGER) AS i FROM t WHERE n >= 20)
-    SELECT book_id, CAST(i AS INTEGER) AS chapter_index, 'Section ' || CAST(i + 1 AS INTEGER) || ' (pp. ' || min(page_num) || '–' || max(page_num) || ')' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM i GROUP BY book_id, i"""
-)
+NINE = """nine_t AS (SELECT book_id, page_num, count(*) OVER (PARTITION BY book_id) AS n FROM book_pages), nine_i AS (SELECT *, (page_num - 1) // CAST(ceil(n / least(20, greatest(5, n // 20))) AS INTEGER) AS i FROM nine_t WHERE n >= 20),
+    nine AS (SELECT book_id, CAST(i AS INTEGER) AS chapter_index, 'Section ' || CAST(i + 1 AS INTEGER) || ' (pp. ' || min(page_num) || '–' || max(page_num) || ')' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM nine_i GROUP BY book_id, i)"""
+WHOLE = "whole AS (SELECT book_id, 0 AS chapter_index, 'Full Book' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM book_pages GROUP BY ALL)"
+
+
+@query(f"{PAGES}, {NINE} SELECT * FROM nine")
 def g9_n_page_sections(spark, sf_dir):
     return segment.n_page_sections(segment.page_index(pages(spark, sf_dir))).select(*OUT)
 
 
-@query(f"{PAGES} SELECT book_id, 0 AS chapter_index, 'Full Book' AS title, min(page_num) AS page_start, max(page_num) AS page_end FROM book_pages GROUP BY ALL")
+@query(f"{PAGES}, {WHOLE} SELECT * FROM whole")
 def g10_whole_book(spark, sf_dir):
     return segment.whole_book(segment.page_index(pages(spark, sf_dir))).select(*OUT)
 
 
-FACTS = f"""{PATTERNS}, d AS (SELECT book_id, title, count(*) AS c FROM ch GROUP BY ALL), f AS (SELECT book_id, sum(c) AS n, sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS dup FROM d GROUP BY ALL), z AS (SELECT c.book_id, c.n_pages, n, dup FROM counts c LEFT JOIN f USING (book_id))"""
+FACTS = f"""{PATTERNS}, d AS (SELECT book_id, title, count(*) AS c FROM ch GROUP BY ALL), f AS (SELECT book_id, sum(c) AS n, sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS dup FROM d GROUP BY ALL), z AS (SELECT c.book_id, c.n_pages, n, dup FROM counts_f c LEFT JOIN f USING (book_id))"""
 
 
 @query(f"{FACTS} SELECT book_id, (CASE WHEN n_pages / n > 80 THEN 0.8::DOUBLE WHEN n_pages / n < 4 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END) * 0.7::DOUBLE + least(1.0::DOUBLE, n / 5) * 0.3::DOUBLE AS quality FROM z WHERE n IS NOT NULL")
@@ -319,24 +365,56 @@ def g12_sanity_check(spark, sf_dir):
 
 
 @query(
-    f"""{PATTERNS}, a AS (SELECT c.book_id, count(*) AS n, min(page_end - page_start + 1) AS lo, max(page_end - page_start + 1) AS hi, min(n_pages) AS total FROM ch c JOIN counts USING (book_id) GROUP BY ALL)
-    SELECT book_id, CAST(n AS INTEGER) AS detected_chapters, CAST(floor(total / n + 0.5) AS INTEGER) AS avg_pages_per_chapter, CAST(lo AS INTEGER) AS min_pages, CAST(hi AS INTEGER) AS max_pages FROM a"""
+    f"""{PATTERNS}, a AS (SELECT c.book_id, count(*) AS n, min(page_end - page_start + 1) AS lo, max(page_end - page_start + 1) AS hi, min(n_pages) AS total FROM ch c JOIN counts_f USING (book_id) GROUP BY ALL),
+    d AS (SELECT book_id, list('title used more than once: ' || title ORDER BY i) AS dups FROM (SELECT book_id, title, min(chapter_index) AS i FROM ch GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL)
+    SELECT book_id, array_to_string(list_concat(list_filter([CASE WHEN floor(total / n + 0.5) < 4 THEN 'chapters are very short: under 4 pages on average' END, CASE WHEN lo = 0 THEN 'a chapter holds no page' END], lambda x: x IS NOT NULL), coalesce(dups, [])), '|') AS warnings, CAST(n AS INTEGER) AS detected_chapters, CAST(floor(total / n + 0.5) AS INTEGER) AS avg_pages_per_chapter, CAST(lo AS INTEGER) AS min_pages, CAST(hi AS INTEGER) AS max_pages FROM a LEFT JOIN d USING (book_id)"""
 )
 def g13_diagnostics(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return segment.diagnostics(segment.segment_by_patterns(p), profile.page_counts(p)).drop("warnings")
-
-
-@query()
+    return segment.diagnostics(segment.segment_by_patterns(p), profile.page_counts(p)).withColumn("warnings", F.array_join("warnings", "|"))
+
+
+def cascade_sql(outlined: bool = False, scored: str = _score_sql()) -> str:
+    """All stages' chapters in ``staged``, their facts in ``stages``, the first valid stage of each book in ``first``, and its chapters in ``chosen``."""
+    two = lambda name, source: f"{name} AS (SELECT * FROM {source} WHERE book_id IN (SELECT book_id FROM {source} GROUP BY book_id HAVING count(*) >= 2))"
+    of = {2: "st2", 3: "st3", 5: "st5", 6: "st6", 7: "nine", 8: "whole", 1: "seq2", 4: "seq5"} | ({0: "outlined"} if outlined else {})
+    columns = "book_id, chapter_index, title, page_start, page_end"
+    every = " UNION ALL ".join(f"SELECT {columns}, {stage} AS stage FROM {name}" for stage, name in of.items())
+    names = "CASE stage " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in segment.STAGES.items()) + " END"
+    return f"""{scored}, {candidates_sql(40)}, {candidates_sql(25, 'relaxed')}, {FOUND}, {BREAKS}, {NINE}, {WHOLE},
+    {chapters_sql('cands', 'cut2')}, {two('st2', 'cut2')}, {chapters_sql('relaxed', 'cut3')}, cut3b AS (SELECT * FROM cut3 WHERE book_id IN (SELECT book_id FROM cands GROUP BY book_id HAVING count(*) >= 2)), {two('st3', 'cut3b')},
+    {chapters_sql('found', 'cut5')}, {two('st5', 'cut5')}, {chapters_sql('breaks', 'cut6')}, {two('st6', 'cut6')}, {sequence_sql('st2', 'seq2')}, {sequence_sql('st5', 'seq5')},
+    {OUTLINED + ',' if outlined else ''} staged AS ({every}),
+    titles AS (SELECT book_id, stage, title, count(*) AS c FROM staged GROUP BY ALL),
+    facts AS (SELECT book_id, stage, sum(c) AS n, sum(CASE WHEN c > 1 THEN c ELSE 0 END) AS dup, min(n_pages) AS total FROM titles JOIN counts USING (book_id) GROUP BY ALL),
+    rated AS (SELECT *, (CASE WHEN total / n > 80 THEN 0.8::DOUBLE WHEN total / n < 4 THEN 0.6::DOUBLE ELSE 1.0::DOUBLE END) * 0.7::DOUBLE + least(1.0::DOUBLE, n / 5) * 0.3::DOUBLE AS quality, total / n >= 1.5 AND NOT (n = 1 AND total > 30) AND dup / n <= 0.4::DOUBLE AS sane FROM facts),
+    stages AS (SELECT *, {names} AS strategy, CASE WHEN stage IN (1, 4) THEN sane AND quality >= 0.35::DOUBLE AND n >= 2 WHEN stage IN (2, 3, 5) THEN sane AND quality >= 0.25::DOUBLE ELSE true END AS valid FROM rated),
+    first AS (SELECT book_id, min(stage) AS stage FROM stages WHERE valid GROUP BY ALL),
+    chosen AS (SELECT {columns}, {names} AS strategy FROM staged SEMI JOIN first USING (book_id, stage))"""
+
+
+OUTLINED = OUTLINE.removeprefix(f"{PAGES}, ") + """, marks AS (SELECT *, lead(page_num) OVER (PARTITION BY book_id ORDER BY page_num, seq) AS nxt FROM flat),
+    marked AS (SELECT m.*, n_pages FROM marks m JOIN counts USING (book_id) WHERE m.page_num <= n_pages AND coalesce(nxt - 1, n_pages) >= m.page_num),
+    outlined AS (SELECT book_id, CAST(row_number() OVER (PARTITION BY book_id ORDER BY page_num) - 1 AS INTEGER) AS chapter_index, title, page_num AS page_start, CAST(coalesce(nxt - 1, n_pages) AS INTEGER) AS page_end FROM marked QUALIFY count(*) OVER (PARTITION BY book_id) >= 2)"""
+CASCADE, OUTLINE_CASCADE = f"{PAGES}, {cascade_sql()}", f"{PAGES}, {cascade_sql(True)}"
+CHOSEN = "SELECT *, CAST(page_end - page_start + 1 AS INTEGER) AS n_pages, page_start AS start_pos, page_end AS end_pos FROM chosen"
+
+
+@query(f"{CASCADE} {CHOSEN}")
 def g14_detect_chapters(spark, sf_dir):
     return segment.detect_chapters(pages(spark, sf_dir))
 
 
-@query()
+@query(f"{OUTLINE_CASCADE} {CHOSEN}")
 def g14_detect_with_outline(spark, sf_dir):
     return segment.detect_chapters(pages(spark, sf_dir), layout.flatten_outline(outline(spark, sf_dir)))
 
 
+@query(f"{PAGES}, {cascade_sql(scored=_score_sql(rich=True))} {CHOSEN}")
+def g14_detect_styled(spark, sf_dir):
+    return segment.detect_chapters(styled_pages(spark, sf_dir))
+
+
 # --- compaction -----------------------------------------------------------------------
 
 
@@ -354,9 +432,25 @@ def k1_chapter_text(spark, sf_dir):
     return compact.chapter_text(segment.page_chapter(p, whole(spark, sf_dir)), p)
 
 
-@query()
+def recursive(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+def groups_sql(ch: str, most: int) -> str:
+    """Chapters of ``ch`` merged to at most ``most`` a book: one pair of neighbours after the other."""
+    return f"""merging AS (
+      SELECT book_id, list(page_end - page_start + 1 ORDER BY chapter_index) AS sizes, list(chapter_index ORDER BY chapter_index) AS starts FROM {ch} GROUP BY book_id
+      UNION ALL SELECT book_id, list_concat(list_append(sizes[1:j - 1], sizes[j] + sizes[j + 1]), sizes[j + 2:]), list_concat(starts[1:j], starts[j + 2:])
+      FROM (SELECT *, list_position(sums, list_min(sums)) AS j FROM (SELECT *, list_transform(range(1, len(sizes)), lambda i: sizes[i] + sizes[i + 1]) AS sums FROM merging WHERE len(sizes) > {most}))),
+    begun AS (SELECT book_id, unnest(range(len(starts))) AS g, unnest(starts) AS first_index, unnest(list_append(starts[2:], 1000000000)) AS upto FROM merging WHERE len(sizes) <= {most}),
+    groups AS (SELECT b.book_id, CAST(g AS INTEGER) AS chapter_index, min_by(title, c.chapter_index) AS title, min(page_start) AS page_start, max_by(page_end, c.chapter_index) AS page_end, CAST(sum(page_end - page_start + 1) AS INTEGER) AS n_pages, count(*) > 1 AS merged,
+      string_agg(title, '|' ORDER BY c.chapter_index) AS merged_originals, min(page_start) AS start_pos, max(page_end) AS end_pos, min(c.chapter_index) AS first_index, max(c.chapter_index) AS last_index, list(title ORDER BY c.chapter_index) AS own
+      FROM begun b JOIN {ch} c ON b.book_id = c.book_id AND c.chapter_index >= first_index AND c.chapter_index < upto GROUP BY b.book_id, g)"""
+
+
+@query(recursive(f"{PATTERNS}, {groups_sql('ch', 5)} SELECT * EXCLUDE (own) FROM groups"))
 def k2_group_chapters(spark, sf_dir):
-    return compact.group_chapters(patterns(spark, sf_dir), 5).drop("merged_originals")
+    return compact.group_chapters(patterns(spark, sf_dir), 5).withColumn("merged_originals", F.array_join("merged_originals", "|"))
 
 
 @query(
@@ -375,19 +469,51 @@ def k3_compress_text(spark, sf_dir):
     return compact.chapter_text(segment.page_chapter(p, whole(spark, sf_dir)), p).select("book_id", "chapter_index", compact.compress_text(F.col("text")).alias("text"))
 
 
-@query()
+def chunks_sql(source: str) -> str:
+    """Pieces of the chapters in ``source`` (book_id, chapter_index, title, page_start, page_end, text), cut one after the other."""
+    size, share, back = compact.CHUNK, compact.BREAK_SHARE, compact.OVERLAP
+    end = f"least(at_ + {size}, length(text))"
+    sub = f"substr(text, at_ + 1, {end} + 2 - at_)"
+    blank = f"at_ + length({sub}) - strpos(reverse({sub}), chr(10) || chr(10)) - 1"
+    stop = f"CASE WHEN {end} < length(text) AND strpos(reverse({sub}), chr(10) || chr(10)) > 0 AND {blank} > at_ + {size} * {share}::DOUBLE THEN {blank} ELSE {end} END"
+    return f"""pieces AS (
+      SELECT book_id, chapter_index, text, at_, {stop} AS stop FROM (SELECT book_id, chapter_index, text, 0::BIGINT AS at_ FROM {source} WHERE text <> '')
+      UNION ALL SELECT book_id, chapter_index, text, at_, {stop} FROM (SELECT book_id, chapter_index, text, CASE WHEN stop - {back} > at_ THEN stop - {back} ELSE stop END AS at_ FROM pieces) WHERE at_ < length(text)),
+    trimmed AS (SELECT book_id, chapter_index, at_, {trim('substr(text, at_ + 1, stop - at_)')} AS text FROM pieces),
+    cut_up AS (SELECT book_id, chapter_index, CAST(row_number() OVER (PARTITION BY book_id, chapter_index ORDER BY at_) - 1 AS INTEGER) AS chunk_index, text FROM trimmed WHERE text <> ''
+      UNION ALL SELECT book_id, chapter_index, 0, '' FROM {source} WHERE {trim('text')} = ''),
+    chunks AS (SELECT book_id || '-' || chapter_index || '-' || chunk_index AS id, book_id, chapter_index, chunk_index, s.title AS chapter_title, s.page_start, s.page_end, c.text FROM cut_up c JOIN (SELECT book_id, chapter_index, title, page_start, page_end FROM {source}) s USING (book_id, chapter_index))"""
+
+
+def texts_sql(ch: str, name: str) -> str:
+    return f"""{name} AS (SELECT c.book_id, c.chapter_index, any_value(c.title) AS title, any_value(c.page_start) AS page_start, any_value(c.page_end) AS page_end, coalesce(string_agg(p.text, chr(10) || chr(10) ORDER BY p.page_num), '') AS text
+      FROM {ch} c LEFT JOIN book_pages p ON c.book_id = p.book_id AND p.page_num BETWEEN c.page_start AND c.page_end GROUP BY c.book_id, c.chapter_index)"""
+
+
+@query(recursive(f"{PAGES}, {NINE}, {texts_sql('nine', 'nine_text')}, {chunks_sql('nine_text')} SELECT * FROM chunks"))
 def k4_chunk_chapters(spark, sf_dir):
     return compact.chunk_chapters(compact.with_text(whole(spark, sf_dir), pages(spark, sf_dir))).drop("summary")
 
 
-@query()
+@query(recursive(f"{CASCADE}, {texts_sql('chosen', 'chosen_text')}, {chunks_sql('chosen_text')} SELECT * FROM chunks"))
 def k5_build_chunks(spark, sf_dir):
     return compact.build_chunks(pages(spark, sf_dir)).drop("summary")
 
 
-@query()
+GROUPED = recursive(f"{CASCADE}, {groups_sql('chosen', compact.MAX_GROUPS)}")
+
+
+@query(
+    f"""{GROUPED} SELECT g.book_id AS id, array_to_string(list_transform(string_split(replace(g.book_id, '-', ' '), ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title, g.book_id AS filename, CAST(any_value(n_pages) AS INTEGER) AS page_count, CAST(any_value(n) AS INTEGER) AS chapter_count, 'extracted' AS status,
+      CAST(any_value(n) + 1 AS INTEGER) AS ai_calls_total FROM (SELECT book_id, count(*) AS n FROM groups GROUP BY book_id) g JOIN counts USING (book_id) GROUP BY g.book_id"""
+)
 def k6_prepare_books(spark, sf_dir):
-    return compact.prepare_books(pages(spark, sf_dir))[0].select("id", "title", "page_count", "chapter_count", "status", "pipeline_metrics.ai_calls_total")
+    return compact.prepare_books(pages(spark, sf_dir))[0].select("id", "title", "filename", "page_count", "chapter_count", "status", "pipeline_metrics.ai_calls_total")
+
+
+@query(f"{GROUPED} SELECT book_id || '-ch-' || chapter_index AS id, book_id, chapter_index AS index, title, page_start, page_end, false AS ai_processed FROM groups")
+def k6_prepare_chapters(spark, sf_dir):
+    return compact.prepare_books(pages(spark, sf_dir))[1].drop("compressed_text", "summary")
 
 
 # --- knowledge --------------------------------------------------------------------------
@@ -403,25 +529,28 @@ ITEMS_SQL = f"""{ANSWERS}, items AS (
 
 
 @query(
-    r"""SELECT 'b' || conv_id || '-ch-' || turn AS request_id, 'b' || conv_id AS book_id, CAST(turn AS INTEGER) AS chapter_index, 'Analyze this book chapter and extract all knowledge.' || chr(10) || chr(10) || 'CHAPTER: "Turn ' || turn || '"' || chr(10) || chr(10) || 'TEXT:' || chr(10) || coalesce(text, '') AS prompt, 1500 AS max_tokens, 0.2::DOUBLE AS temperature FROM conversations"""
+    f"""SELECT 'b' || conv_id || '-ch-' || turn AS request_id, 'b' || conv_id AS book_id, CAST(turn AS INTEGER) AS chapter_index, {quoted(knowledge.PROMPT)} || chr(10) || chr(10) || 'CHAPTER: "Turn ' || turn || '"' || chr(10) || chr(10) || 'TEXT:' || chr(10) || coalesce(text, '') AS prompt, 1500 AS max_tokens, 0.2::DOUBLE AS temperature, {quoted(knowledge.SYSTEM)} AS system FROM conversations"""
 )
 def w1_build_chapter_requests(spark, sf_dir):
-    return knowledge.build_chapter_requests(views.chapters(spark, sf_dir)).drop("system")
+    return knowledge.build_chapter_requests(views.chapters(spark, sf_dir))
 
 
 def answered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return knowledge.apply_responses(views.chapters(spark, sf_dir), views.responses(spark, sf_dir))
+    """Each chapter's answer is its second attempt; the first of every third failed or said something else."""
+    r = views.responses(spark, sf_dir).withColumn("attempt", F.lit(2))
+    old = r.where("chapter_index % 3 = 0").withColumn("attempt", F.lit(1)).withColumn("raw", F.when(F.col("chapter_index") % 2 == 0, '{"summary": "an older answer"}'))
+    return knowledge.apply_responses(views.chapters(spark, sf_dir), r.unionByName(old))
 
 
-@query(f"{ANSWERS}, s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS i FROM a WHERE good) SELECT book_id, '{knowledge.SUMMARY_PROMPT}' || chr(10) || chr(10) || 'CHAPTER SUMMARIES:' || chr(10) || string_agg('[Chapter ' || i || '] ' || w0, chr(10) || chr(10) ORDER BY i) AS prompt FROM s GROUP BY book_id HAVING count(*) >= 2")
+@query(f"{ANSWERS}, s AS (SELECT *, row_number() OVER (PARTITION BY book_id ORDER BY chapter_index) AS i FROM a WHERE good) SELECT book_id, {quoted(knowledge.SUMMARY_PROMPT)} || chr(10) || chr(10) || 'CHAPTER SUMMARIES:' || chr(10) || string_agg('[Chapter ' || i || '] ' || w0, chr(10) || chr(10) ORDER BY i) AS prompt, {quoted(knowledge.SYSTEM)} AS system, 1024 AS max_tokens, 0.25::DOUBLE AS temperature FROM s GROUP BY book_id HAVING count(*) >= 2")
 def w2_build_book_summary_requests(spark, sf_dir):
-    return knowledge.build_book_summary_requests(answered(spark, sf_dir)).select("book_id", "prompt")
+    return knowledge.build_book_summary_requests(answered(spark, sf_dir))
 
 
-@query(f"{ANSWERS} SELECT book_id, chapter_index, CASE WHEN good THEN w0 END AS summary, CASE WHEN good THEN w1 || '|' || upper(w1) || '|' || w2 END AS concepts, CASE WHEN good THEN 0 END AS n_actions FROM a")
+@query(f"{ANSWERS} SELECT book_id, chapter_index, CASE WHEN good THEN w0 END AS summary, CASE WHEN good THEN w1 || '|' || upper(w1) || '|' || w2 END AS concepts, CASE WHEN good THEN w3 END AS principles, CASE WHEN good THEN '' END AS actionable_ideas, CASE WHEN good THEN '{{\"term\":\"' || w4 || '\",\"definition\":\"d\"}}|' || w4 END AS vocabulary, CASE WHEN good THEN '{{\"text\":\"' || w5 || '\",\"context\":\"c\"}}' END AS quotes FROM a")
 def w3_parse_chapter_knowledge(spark, sf_dir):
     r = views.responses(spark, sf_dir).withColumn("k", knowledge.parse_chapter_knowledge(F.col("raw")))
-    return r.select("book_id", "chapter_index", "k.summary", F.when(F.col("k").isNotNull(), F.array_join("k.concepts", "|")).alias("concepts"), F.when(F.col("k").isNotNull(), F.size("k.actionable_ideas")).alias("n_actions"))
+    return r.select("book_id", "chapter_index", "k.summary", *(F.array_join(f"k.{c}", "|").alias(c) for c in knowledge.CAPS))
 
 
 @query(f"{ANSWERS} SELECT book_id || '-ch-' || chapter_index AS id, answered_ok AS ai_processed, CASE WHEN good THEN w0 ELSE '' END AS summary, CASE WHEN good THEN 3 ELSE 0 END AS n_concepts FROM a")
@@ -518,7 +647,7 @@ def v2_get_by_book(spark, sf_dir):
     return archive.get_by_book(views.chapters(spark, sf_dir), chosen(spark, sf_dir)).select("book_id", "index")
 
 
-@query(f"{ANSWERS} SELECT book_id, book_id || '-ch-' || chapter_index AS id, NULL AS error FROM a WHERE NOT answered_ok AND CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1 UNION ALL SELECT 'gone' || conv_id, NULL, 'no chapter data' FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 = 1)")
+@query(f"{ANSWERS} SELECT book_id, book_id || '-ch-' || chapter_index AS id, NULL AS error FROM a WHERE NOT answered_ok AND CAST(regexp_extract(book_id, '([0-9]+)', 1) AS INTEGER) % 4 = 1 UNION ALL SELECT 'gone' || conv_id, NULL, {quoted('the book has no chapters')} FROM (SELECT DISTINCT conv_id FROM conversations WHERE conv_id % 4 = 1)")
 def v3_pending_chapters(spark, sf_dir):
     ids = chosen(spark, sf_dir)
     return archive.pending_chapters(answered(spark, sf_dir), ids.unionByName(ids.select(F.regexp_replace("book_id", "^b", "gone").alias("book_id")))).select("book_id", "id", "error")
@@ -623,21 +752,20 @@ def r4_stream_call_rate(spark, sf_dir):
 def r5_stream_responses(spark, sf_dir):
     """Answers as a stream, applied to the stored chapters until none is left; the chapters of the last version."""
     top = shared.new_folder(spark, "chapter-versions")
-    views.chapters(spark, sf_dir).write.parquet(f"{top}/v0")
+    stores.write_versions(views.chapters(spark, sf_dir), "book_id", top, 16)
     answers = views.responses(spark, sf_dir).select("book_id", "chapter_index", "raw")
     answers.write.parquet(f"{top}-answers")
-    run = streams.stream_responses(spark.readStream.schema(answers.schema).parquet(f"{top}-answers"), spark, top, f"{top}-state")
+    run = streams.stream_responses(spark.readStream.schema(answers.schema).parquet(f"{top}-answers"), spark, top, f"{top}-state", 16)
     run.awaitTermination()
-    last = max((p["batchId"] for p in run.recentProgress if p["numInputRows"]), default=-1) + 1
-    return spark.read.parquet(f"{top}/v{last}").select("id", "ai_processed", "summary")
+    return stores.latest(spark, top).select("id", "ai_processed", "summary")
 
 
 # --- audit -----------------------------------------------------------------------------------
 
 
-def audited(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
-    p = pages(spark, sf_dir)
-    s = scoring.scored_lines(p)
+def audited(spark: SparkSession, sf_dir: str, of: Callable = pages) -> dict[str, DataFrame]:
+    p = of(spark, sf_dir)
+    s = shared.stored(scoring.scored_lines(p), "scored-lines")
     c = shared.stored(audit.candidates(s), "candidates")
     ch = shared.stored(segment.detect_chapters(p), "chapters")
     g = shared.stored(compact.group_chapters(ch), "groups")
@@ -654,7 +782,29 @@ def a1_audit_pages(spark, sf_dir):
     return audit.audit_pages(s, audit.candidates(s)).select("book_id", "page_num", "line_index", "text", "score", "is_winner")
 
 
-@query()
+KEPT = "(outcome <> 'REJECTED')"
+KEYED = "list_has_any(reasons, ['CHAPTER_KEYWORD', 'MULTI_LINE_HEADING'])"
+CONFIDENCE = f"CASE WHEN {KEYED} THEN CASE WHEN score >= 80 THEN 'High' WHEN score >= 60 THEN 'Medium-High' ELSE 'Medium' END ELSE CASE WHEN score >= 70 THEN 'Medium-High' WHEN score >= 55 THEN 'Medium' ELSE 'Low' END END"
+
+
+def outcomes_sql(cascade: str) -> str:
+    """Candidates of a cascade with their outcome, near misses and numbers of each book."""
+    why = "CASE WHEN both_ THEN 'joined to its neighbour by grouping' WHEN strategy = 'numbered-sequence' THEN CASE WHEN inside THEN 'in the numbered sequence' ELSE 'outside the numbered sequence' END WHEN inside THEN 'kept by strategy ' || strategy ELSE 'left out by the strategy' END"
+    return recursive(f"""{PAGES}, {cascade}, {groups_sql('chosen', compact.MAX_GROUPS)},
+    strat AS (SELECT book_id, any_value(strategy) AS strategy, count(*) AS chapters FROM chosen GROUP BY ALL), later AS (SELECT DISTINCT book_id, unnest(own[2:]) AS title FROM groups WHERE merged),
+    fate AS (SELECT c.*, strategy, {KEYED} AS has_keyword, {CONFIDENCE} AS confidence, strategy = 'scoring' OR EXISTS (SELECT 1 FROM chosen f WHERE f.book_id = c.book_id AND f.title = c.title AND f.page_start = c.page_num) AS inside,
+      EXISTS (SELECT 1 FROM later m WHERE m.book_id = c.book_id AND m.title = c.title) AS joined FROM cands c JOIN strat USING (book_id)),
+    fates AS (SELECT *, inside AND joined AS both_, CASE WHEN both_ THEN 'ACCEPTED-MERGED' WHEN inside THEN 'ACCEPTED' ELSE 'REJECTED' END AS outcome, {why} AS outcome_reason FROM fate),
+    near AS (SELECT book_id, page_num, line_index, text, score FROM scored s WHERE line_index < 12 AND length(text) BETWEEN 2 AND 120 AND NOT regexp_matches(text, '^[0-9]+$') AND score >= 15 AND score < 40 AND NOT EXISTS (SELECT 1 FROM cands c WHERE c.book_id = s.book_id AND c.page_num = s.page_num)),
+    told AS (SELECT book_id, count(*) AS candidates, count(*) FILTER (outcome <> 'REJECTED') AS accepted, count(*) FILTER (outcome = 'REJECTED') AS rejected, count(*) FILTER (outcome <> 'REJECTED' AND has_keyword) AS with_keyword, count(*) FILTER (outcome <> 'REJECTED' AND NOT has_keyword) AS without_keyword FROM fates GROUP BY ALL),
+    numbers AS (SELECT k.book_id, n_pages, strategy, coalesce(chapters, 0) AS chapters, coalesce(n_groups, 0) AS groups, coalesce(near_misses, 0) AS near_misses, coalesce(candidates, 0) AS candidates, coalesce(accepted, 0) AS accepted, coalesce(rejected, 0) AS rejected, coalesce(with_keyword, 0) AS with_keyword, coalesce(without_keyword, 0) AS without_keyword
+      FROM counts k LEFT JOIN told USING (book_id) LEFT JOIN strat USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS n_groups FROM groups GROUP BY ALL) USING (book_id) LEFT JOIN (SELECT book_id, count(*) AS near_misses FROM near GROUP BY ALL) USING (book_id))""")
+
+
+OUTCOMES, STYLED_OUTCOMES = outcomes_sql(cascade_sql()), outcomes_sql(cascade_sql(scored=_score_sql(rich=True)))
+
+
+@query(f"{OUTCOMES} SELECT book_id, page_num, title, score, outcome, outcome_reason FROM fates")
 def a2_candidate_outcomes(spark, sf_dir):
     return audited(spark, sf_dir)["outcomes"].select("book_id", "page_num", "title", "score", "outcome", "outcome_reason")
 
@@ -665,7 +815,7 @@ def a3_near_misses(spark, sf_dir):
     return audit.near_misses(s, audit.candidates(s))
 
 
-@query()
+@query(f"{OUTCOMES}, r AS (SELECT book_id, has_keyword, unnest(reasons) AS rule FROM fates WHERE outcome <> 'REJECTED') SELECT book_id, rule, count(*) AS n_accepted, count(*) FILTER (NOT has_keyword) AS n_without_keyword FROM r WHERE rule IN ({', '.join(map(quoted, audit.POSITIVE))}) GROUP BY ALL")
 def a4_rule_frequency(spark, sf_dir):
     return audit.rule_frequency(audited(spark, sf_dir)["outcomes"])
 
@@ -675,38 +825,54 @@ def a5_score_histogram(spark, sf_dir):
     return audit.score_histogram(scoring.score_pages(scored(spark, sf_dir)))
 
 
-@query()
+@query(f"{OUTCOMES} SELECT book_id, {', '.join(f'coalesce(avg(score) FILTER ({c}), 0)::DOUBLE AS {n}' for n, c in {'avg_accepted': KEPT, 'avg_with_keyword': f'{KEPT} AND has_keyword', 'avg_without_keyword': f'{KEPT} AND NOT has_keyword', 'avg_rejected': f'NOT {KEPT}'}.items())} FROM fates GROUP BY book_id")
 def a6_score_averages(spark, sf_dir):
     return audit.score_averages(audited(spark, sf_dir)["outcomes"])
 
 
-@query()
+@query(f"{OUTCOMES} SELECT book_id, {', '.join(f'count(*) FILTER ({KEPT} AND confidence = {quoted(c)}) AS {c.lower().replace(chr(45), chr(95))}' for c in audit.LABELS)} FROM fates GROUP BY book_id")
 def a7_confidence_distribution(spark, sf_dir):
     return audit.confidence_distribution(audited(spark, sf_dir)["outcomes"])
 
 
-@query()
+@query(f"{STYLED_OUTCOMES} SELECT book_id, page_num, title, score FROM fates WHERE {KEPT} AND NOT has_keyword AND list_has_all(reasons, ['CENTERED', 'TOP_QUARTER', 'STARTS_PAGE']) AND NOT list_contains(reasons, 'LARGE_FONT')")
 def a8_layout_only_suspects(spark, sf_dir):
-    return audit.layout_only_suspects(audited(spark, sf_dir)["outcomes"]).select("book_id", "page_num", "title", "score")
+    return audit.layout_only_suspects(audited(spark, sf_dir, styled_pages)["outcomes"]).select("book_id", "page_num", "title", "score")
 
 
 def stats(a: dict[str, DataFrame]) -> DataFrame:
     return audit.audit_stats(a["outcomes"], a["near"], a["chapters"], a["groups"], profile.page_counts(a["pages"]))
 
 
-@query()
+@query(f"{OUTCOMES} SELECT strategy, count(*) AS books, {', '.join(f'CAST(sum({c}) AS BIGINT) AS {c}' for c in ('candidates', 'accepted', 'rejected', 'without_keyword', 'near_misses', 'chapters', 'groups'))}, count(*) FILTER (chapters > {compact.MAX_GROUPS}) AS cap_hits FROM numbers GROUP BY ROLLUP (strategy)")
 def a9_audit_stats(spark, sf_dir):
     return audit.corpus_stats(stats(audited(spark, sf_dir)))
 
 
-@query()
+@query(
+    f"""{OUTLINE_CASCADE}, every AS (SELECT book_id, stage, CASE stage {' '.join(f"WHEN {k} THEN '{v}'" for k, v in segment.STAGES.items())} END AS strategy FROM counts, unnest(range(9)) t(stage))
+    SELECT book_id, CAST(stage AS INTEGER) AS stage, e.strategy, CASE WHEN s.stage IS NULL THEN 'none' WHEN valid THEN 'ok' ELSE 'rejected' END AS result, CAST(coalesce(n, 0) AS INTEGER) AS n_chapters, coalesce(stage = f.stage, false) AS selected FROM every e LEFT JOIN stages s USING (book_id, stage) LEFT JOIN first f USING (book_id)"""
+)
 def a10_decision_log(spark, sf_dir):
-    return audit.decision_log(pages(spark, sf_dir))
+    return audit.decision_log(pages(spark, sf_dir), layout.flatten_outline(outline(spark, sf_dir)))
 
 
-@query()
+def _impact(c: str) -> str:
+    return f"CAST(floor({c} + 0.5) AS INTEGER)"
+
+
+@query(
+    f"""{STYLED_OUTCOMES}, lay AS (SELECT book_id, bool_or(rule = 'CENTERED') AS c, bool_or(rule = 'TOP_QUARTER') AS t FROM (SELECT book_id, unnest(reasons) AS rule FROM fates WHERE {KEPT} AND NOT has_keyword) GROUP BY ALL),
+    dups AS (SELECT book_id, count(*) AS d FROM (SELECT book_id, title FROM cands GROUP BY ALL HAVING count(*) > 1) GROUP BY ALL), x AS (SELECT n.*, greatest(1, accepted) AS total, coalesce(c, false) AS c, coalesce(t, false) AS t, coalesce(d, 0) AS d FROM numbers n LEFT JOIN lay USING (book_id) LEFT JOIN dups USING (book_id)),
+    y AS (SELECT *, without_keyword > 0 AS r1, c AND t AND without_keyword > 2 AS r2, with_keyword / total >= 0.4::DOUBLE AND coalesce(strategy, '') <> 'numbered-sequence' AS r3, d > 1 AS r4, chapters > {compact.MAX_GROUPS} AS r5, r1::INTEGER + r2::INTEGER + r3::INTEGER AS n3 FROM x)
+    SELECT book_id, 1 AS rank, 'require a keyword for borderline scores' AS title, least(90, {_impact('without_keyword / total * 100')}) AS estimated_impact_pct FROM y WHERE r1
+    UNION ALL SELECT book_id, 2, 'lower the weight of centered lines at the top', 60 FROM y WHERE r2
+    UNION ALL SELECT book_id, 3, 'lower the coverage of the numbered sequence', {_impact('coalesce(without_keyword / nullif(accepted, 0) * 100, 0) * 0.7::DOUBLE')} FROM y WHERE r3
+    UNION ALL SELECT book_id, n3 + 1, 'reject repeated titles', {_impact('d / total * 100')} FROM y WHERE r4
+    UNION ALL SELECT book_id, n3 + r4::INTEGER + 1, 'lower the chapter cap', 0 FROM y WHERE r5"""
+)
 def a11_recommendations(spark, sf_dir):
-    a = audited(spark, sf_dir)
+    a = audited(spark, sf_dir, styled_pages)
     return audit.recommendations(stats(a), audit.rule_frequency(a["outcomes"]), a["cands"])
 
 
@@ -764,22 +930,22 @@ def q3_qa_summary(spark, sf_dir):
     return quality.qa_summary(s).withColumn("mean_score_pct", F.round("mean_score_pct", 6))
 
 
-@query(f"{SCORES} SELECT slug, round(1 - overall_score, 6) AS delta FROM o WHERE round(1 - overall_score, 9) > 0.05")
+@query(f"{SCORES} SELECT slug, round(1 - overall_score, 6) AS delta FROM o WHERE 1 - overall_score > 0.05::DOUBLE")
 def q4_detect_regressions(spark, sf_dir):
     s = quality.score_books(expected(spark, sf_dir), actual(spark, sf_dir))
     old = s.select(F.lit("a").alias("git_hash"), F.lit(1).cast("long").alias("timestamp"), "slug", F.lit(0.0).alias("overall_score"))
     last = s.select(F.lit("b").alias("git_hash"), F.lit(2).cast("long").alias("timestamp"), "slug", F.lit(1.0).alias("overall_score"))
-    return quality.detect_regressions(s, old.unionByName(last)).where(F.round("delta", 9) > quality.DROP).select("slug", F.round("delta", 6).alias("delta"))
+    return quality.detect_regressions(s, old.unionByName(last)).select("slug", F.round("delta", 6).alias("delta"))
 
 
 # --- sources and stores -----------------------------------------------------------------------
 
 
-@query(f"{PAGES} SELECT book_id, page_num, length(text) AS n, NULL::DOUBLE AS width FROM book_pages")
+@query(f"{PAGES} SELECT book_id, page_num, text, NULL::DOUBLE AS width FROM book_pages")
 def s1_read_pages(spark, sf_dir):
     path = shared.new_folder(spark, "pages")
     pages(spark, sf_dir).write.json(path)
-    return stores.read_pages(spark, path, "json").select("book_id", "page_num", F.length("text").cast("long").alias("n"), "width")
+    return stores.read_pages(spark, path, "json").select("book_id", "page_num", "text", "width")
 
 
 @query(f"{ITEMS} SELECT book_id, page_num, item_seq, str, y FROM text_items")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -56,6 +57,28 @@ def all_caps(c: str) -> str:
     return f"(length({c}) BETWEEN 3 AND 80 AND {words(c)} BETWEEN 1 AND 12 AND {is_match(c, tx.CAPS_LINE)} AND regexp_matches({c}, '[A-Z]{{2,}}'))"
 
 
+def case_of(c: str, values: dict[str, int]) -> str:
+    return f"CASE {c} " + " ".join(f"WHEN {quoted(k)} THEN {v}" for k, v in values.items()) + " END"
+
+
+def roman(c: str) -> str:
+    """Right to left, less than the largest so far is taken off."""
+    v = f"list_transform(string_split(reverse(upper({c})), ''), lambda x: {case_of('x', tx.ROMANS)})"
+    total = "list_transform([%s], lambda v: list_sum(list_transform(range(1, len(v) + 1), lambda i: CASE WHEN v[i] < coalesce(list_max(v[1:i - 1]), 0) THEN -v[i] ELSE v[i] END)))[1]" % v
+    return f"CASE WHEN regexp_matches(upper({c}), '^[IVXLCDM]+$') AND {total} BETWEEN 1 AND 500 THEN {total} END"
+
+
+def number(c: str) -> str:
+    """{value, kind} by the first of the rules that matches and has a value."""
+    tries = []
+    for kind, how, pattern in tx.NUMBER_RULES:
+        g = f"regexp_extract({trim(c)}, {quoted(pattern)}, 1)"
+        word = f"regexp_replace(lower({g}), {quoted(tx.WS + '+')}, '-', 'g')"
+        value = {"arabic": f"try_cast(nullif({g}, '') AS INTEGER)", "word": case_of(word, tx.NUMBERS), "roman": f"CASE WHEN {g} <> '' THEN {roman(g)} END"}[how]
+        tries.append(f"CASE WHEN ({value}) IS NOT NULL THEN {{'value': CAST(({value}) AS INTEGER), 'kind': {quoted(kind)}}} END")
+    return f"coalesce({', '.join(tries)})"
+
+
 PAGES = f"WITH {views.BOOK_PAGES_SQL}"
 LINES = f"{PAGES}, lines AS (SELECT book_id, page_num, unnest({lines('text')}) AS line FROM book_pages)"
 
@@ -75,11 +98,11 @@ def t3_word_count(spark, sf_dir):
 
 
 @query(
-    r"""WITH f AS (SELECT doc_id, replace(replace(lang || '-' || source || '_' || substr(regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), 1, 30), '-', ' '), '_', ' ') AS s FROM documents)
+    r"""WITH f AS (SELECT doc_id, replace(replace(lang || '-' || source || '_' || regexp_replace(text, '[^A-Za-z0-9 ]', ' ', 'g'), '-', ' '), '_', ' ') AS s FROM documents)
     SELECT doc_id, array_to_string(list_transform(string_split(s, ' '), lambda x: upper(x[1]) || x[2:]), ' ') AS title FROM f"""
 )
 def t4_infer_title(spark, sf_dir):
-    name = F.concat("lang", F.lit("-"), "source", F.lit("_"), F.substring(F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), 1, 30), F.lit(".PDF"))
+    name = F.concat("lang", F.lit("-"), "source", F.lit("_"), F.regexp_replace("text", "[^A-Za-z0-9 ]", " "), F.lit(".PDF"))
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.infer_title(name).alias("title"))
 
 
@@ -104,9 +127,9 @@ def t6_roman_to_int(spark, sf_dir):
     return p.select("book_id", "page_num", roman.alias("roman"), tx.roman_to_int(F.lower(roman)).alias("value"))
 
 
-@query(f"{LINES} SELECT {heading('line')} AS pattern, count(*) AS n FROM lines GROUP BY ALL")
+@query(f"{LINES} SELECT book_id, page_num, line, {heading('line')} AS pattern FROM lines")
 def t7_heading_pattern(spark, sf_dir):
-    return page_lines(spark, sf_dir).groupBy(tx.heading_pattern(F.col("line")).alias("pattern")).agg(F.count("*").alias("n"))
+    return page_lines(spark, sf_dir).withColumn("pattern", tx.heading_pattern(F.col("line")))
 
 
 @query(f"{LINES} SELECT book_id, page_num, line FROM lines WHERE {all_caps('line')}")
@@ -119,13 +142,36 @@ def t9_is_mostly_caps(spark, sf_dir):
     return page_lines(spark, sf_dir).where(tx.is_mostly_caps(F.col("line")))
 
 
-@query(
-    f"""{LINES}, t AS (SELECT book_id, page_num, line, CASE WHEN {is_match('line', tx.NUMBER_RULES[0][2])} THEN 'chapter' WHEN {is_match('line', tx.NUMBER_RULES[6][2])} THEN 'roman' WHEN {is_match('line', tx.NUMBER_RULES[7][2])} THEN 'arabic-bare' END AS kind FROM lines)
-    SELECT book_id, page_num, line, kind, CASE WHEN kind = 'roman' THEN CAST((page_num + 3) // 4 AS INTEGER) ELSE CAST(regexp_extract(line, '([0-9]+)', 1) AS INTEGER) END AS value FROM t WHERE kind IS NOT NULL AND (kind <> 'roman' OR line LIKE '%. Title')"""
-)
+#: Every line as it stands, and with a heading of each kind before it: all eight rules meet texts.
+NUMBERED = ("", "Chapter {n} ", "ch. {n}: ", "CHAPTER {w} ", "Chapter {r}: ", "Part {n} ", "part {w} ", "PART {r} - ", "{r}. ", "{n}. ")
+
+
+def _roman_text(n: int) -> str:
+    return views.ROMAN_TENS[n // 10] + views.ROMAN_ONES[n % 10]
+
+
+def _prefix_sql() -> str:
+    parts = {i: "''" if not p else " || ".join({"{n}": "CAST(n AS VARCHAR)", "{w}": "word", "{r}": "roman"}.get(x, quoted(x)) for x in re.split(r"(\{.\})", p) if x) for i, p in enumerate(NUMBERED)}
+    return "CASE how " + " ".join(f"WHEN {i} THEN {v}" for i, v in parts.items()) + " END"
+
+
+_WORDS = sorted(tx.NUMBERS.items(), key=lambda x: x[1])
+NUMBERED_SQL = f"""{LINES}, w(word, n, roman) AS (VALUES {", ".join(f"('{w}', {n}, '{_roman_text(n)}')" for w, n in _WORDS)}),
+    few AS (SELECT book_id, page_num, line, length(line) % {len(NUMBERED)} AS how, length(line) % 30 + 1 AS n FROM lines),
+    said AS (SELECT book_id, page_num, {_prefix_sql()} || line AS line FROM few JOIN w USING (n))"""
+
+
+@query(f"{NUMBERED_SQL} SELECT book_id, page_num, line, x.kind AS kind, x.value AS value FROM (SELECT *, {number('line')} AS x FROM said) WHERE x IS NOT NULL")
 def t10_extract_chapter_num(spark, sf_dir):
-    x = page_lines(spark, sf_dir).withColumn("n", tx.extract_chapter_num(F.col("line"))).where("n is not null")
-    return x.select("book_id", "page_num", "line", "n.kind", "n.value").where("kind != 'roman' or line like '%. Title'")
+    n = F.length("line") % 30 + 1
+    of = lambda values: F.get(F.array(*map(F.lit, values)), n - 1)
+    marks = {"{n}": n.cast("string"), "{w}": of([w for w, _ in _WORDS]), "{r}": of([_roman_text(v) for _, v in _WORDS])}
+    before = F.lit("")
+    for i, p in enumerate(NUMBERED):
+        said = F.concat(F.lit(""), *(marks.get(x, F.lit(x)) for x in re.split(r"(\{.\})", p)))
+        before = F.when(F.length("line") % len(NUMBERED) == i, said).otherwise(before)
+    x = page_lines(spark, sf_dir).withColumn("line", F.concat(before, "line")).withColumn("n", tx.extract_chapter_num(F.col("line"))).where("n is not null")
+    return x.select("book_id", "page_num", "line", "n.kind", "n.value")
 
 
 @query(f"SELECT doc_id, {trim('''regexp_replace(regexp_replace(replace(text || chr(13) || chr(10) || chr(10) || chr(10) || chr(10) || text, chr(13) || chr(10), chr(10)), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g')''')} AS text FROM documents")
@@ -133,10 +179,17 @@ def t12_normalize_text(spark, sf_dir):
     return views.table(spark, sf_dir, "documents").select("doc_id", tx.normalize_text(F.concat("text", F.lit("\r\n\n\n\n"), "text")).alias("text"))
 
 
-@query(f"WITH {views.CALLS_SQL} SELECT call_id, http_status = 429 AS limited FROM calls")
+#: Providers, statuses and messages as they may come, by the call's number.
+PROVIDERS, CODES, SAID = ("gemini", "anthropic", "openai", "other"), (200, 429, 500, 503, 529), ("", "Quota exceeded", "RESOURCE_EXHAUSTED", "a Rate Limit", "Overloaded", "failed")
+_PICK = {name: f"({list(values)})[call_id // {by} % {len(values)} + 1]" for name, values, by in (("provider", PROVIDERS, 1), ("status", CODES, 4), ("message", SAID, 20))}
+_LIMITED = " ".join(f"WHEN provider = '{p}' THEN status IN {codes if len(codes) > 1 else f'({codes[0]})'} OR " + " OR ".join(f"contains(lower(message), '{x}')" for x in said) for p, (codes, said) in tx.RATE_LIMITS.items())
+
+
+@query(f"WITH {views.CALLS_SQL}, c AS (SELECT call_id, {', '.join(f'{v} AS {k}' for k, v in _PICK.items())} FROM calls) SELECT call_id, provider, status, message, CASE {_LIMITED} ELSE false END AS limited FROM c")
 def t17_is_rate_limit_error(spark, sf_dir):
-    c = views.calls(spark, sf_dir)
-    return c.select("call_id", tx.is_rate_limit_error(F.col("provider"), F.col("http_status"), F.col("message")).alias("limited"))
+    pick = lambda values, by: F.get(F.array(*map(F.lit, values)), (F.expr(f"call_id div {by}") % len(values)).cast("int"))
+    c = views.calls(spark, sf_dir).select("call_id", pick(PROVIDERS, 1).alias("provider"), pick(CODES, 4).alias("status"), pick(SAID, 20).alias("message"))
+    return c.withColumn("limited", tx.is_rate_limit_error(F.col("provider"), F.col("status"), F.col("message")))
 
 
 @query(

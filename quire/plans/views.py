@@ -14,20 +14,24 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Documents that a book may hold at most: a source of any size is many books, so no book grows with the tables.
+BOOK = 4000
+
+
 def book_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A book for each source, a page for each of its documents in order; every fourth page gets a first line that depends on the book's number."""
-    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
-    x = d.withColumn("page_num", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).withColumn("style", F.expr("cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4")).withColumn("n", F.expr("(page_num + 3) div 4"))
+    """A book for each source and BOOK doc_ids, a page for each of its documents in order; every fourth page gets a first line that depends on the source's number."""
+    d = table(spark, sf_dir, "documents").select(F.concat("source", F.lit("-"), F.expr(f"doc_id div {BOOK}").cast("string")).alias("book_id"), "doc_id", "text", "lang", "source")
+    x = d.withColumn("page_num", F.row_number().over(Window.partitionBy("book_id").orderBy("doc_id"))).withColumn("style", F.expr("cast(regexp_extract(source, '([0-9]+)', 1) as int) % 4")).withColumn("n", F.expr("(page_num + 3) div 4"))
     arr = lambda xs: F.array(*map(F.lit, xs))
     roman = F.concat(F.repeat(F.lit("C"), F.floor(F.col("n") / 100).cast("int")), F.get(arr(ROMAN_TENS), (F.floor(F.col("n") / 10) % 10).cast("int")), F.get(arr(ROMAN_ONES), (F.col("n") % 10).cast("int")))
     head = F.when(F.col("page_num") % 4 != 1, F.lit("")).when(F.col("style") == 0, F.concat(F.lit("Chapter "), F.col("n").cast("string"), F.lit(": "), F.upper("lang"), F.lit("\n"))).when(F.col("style") == 1, F.lit("")).when(F.col("style") == 2, F.concat(roman, F.lit(". Title\n")))
     head = head.otherwise(F.when(F.col("n") % 2 == 0, F.lit("Interlude\n")).otherwise(F.concat(F.lit("THE "), F.upper("lang"), F.lit(" PART\n"))))
-    return x.select(F.col("source").alias("book_id"), "page_num", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
+    return x.select("book_id", "page_num", F.concat(head, F.coalesce("text", F.lit(""))).alias("text"))
 
 
 BOOK_PAGES_SQL = f"""
     book_pages_raw AS (
-      SELECT source AS book_id, CAST(row_number() OVER (PARTITION BY source ORDER BY doc_id) AS INTEGER) AS page_num, coalesce(text, '') AS body, lang,
+      SELECT source || '-' || doc_id // {BOOK} AS book_id, CAST(row_number() OVER (PARTITION BY source, doc_id // {BOOK} ORDER BY doc_id) AS INTEGER) AS page_num, coalesce(text, '') AS body, lang,
         CAST(regexp_extract(source, '([0-9]+)', 1) AS INTEGER) % 4 AS style FROM documents),
     book_pages_n AS (SELECT *, (page_num + 3) // 4 AS n FROM book_pages_raw),
     book_pages AS (

@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quire.operators import archive
+from quire.sources.shared import children
 
 LINE = "struct<text:string,y:double,x:double,line_width:double,font_size:double,bold:boolean,italic:boolean>"
 PAGES = f"book_id string, page_num int, text string, width double, height double, lines array<{LINE}>"
 ITEMS = "book_id string, page_num int, item_seq int, str string, x double, y double, scale_x double, scale_y double, width double, font_name string"
 STORES = ("books", "chunks", "chapters", "knowledge")
-BUCKETS = 64
+#: Fewest buckets of a store, and records of a bucket, about: a store of any size has buckets of one size.
+BUCKETS, BUCKET_ROWS = 64, 250_000
 
 
 def _read(spark: SparkSession, path: str, fmt: str, schema: str) -> DataFrame:
@@ -30,19 +32,38 @@ def read_text_items(spark: SparkSession, path: str, fmt: str = "parquet") -> Dat
     return _read(spark, path, fmt, ITEMS)
 
 
-def write_store(df: DataFrame, store: str, path: str) -> None:
-    """Writes a store below path, partitioned by a hash of its book so that upserts of few books touch few folders."""
+def bucket_of(key: str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+
+
+def write_store(df: DataFrame, store: str, path: str, buckets: int | None = None) -> None:
+    """Writes a store below path, in buckets by a hash of its book so that upserts of few books touch few folders; as many as its size asks for, if none are given."""
     if store not in STORES:
         raise ValueError(f"no store {store!r}")
     key = "id" if store == "books" else "book_id"
-    bucket = F.pmod(F.xxhash64(key), F.lit(BUCKETS)).cast("int")
-    df.withColumn("bucket", bucket).repartition("bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{store}")
+    buckets = buckets or max(BUCKETS, -(-df.count() // BUCKET_ROWS))
+    df.withColumn("bucket", bucket_of(key, buckets)).repartition(buckets, "bucket").write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/{store}")
 
 
 def read_store(spark: SparkSession, store: str, path: str) -> DataFrame:
     return spark.read.parquet(f"{path}/{store}").drop("bucket")
 
 
+def write_versions(df: DataFrame, key: str, path: str, buckets: int, version: int = 0) -> None:
+    """Writes the buckets that df has rows in as a version; other buckets keep theirs. Writing a version again replaces it."""
+    out = df.withColumn("bucket", bucket_of(key, buckets)).withColumn("v", F.lit(version)).repartition("bucket")
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "v").parquet(path)
+
+
+def latest(spark: SparkSession, path: str, upto: int | None = None, buckets: list[int] | None = None) -> DataFrame:
+    """The newest version (no newer than ``upto``) of every bucket, or of those given. Only those folders are read."""
+    names = [f"bucket={b}" for b in buckets] if buckets is not None else [n for n in children(spark, path) if n.startswith("bucket=")]
+    found = {n: max((v for v in (int(c[2:]) for c in children(spark, f"{path}/{n}") if c.startswith("v=")) if upto is None or v <= upto), default=None) for n in names}
+    paths = [f"{path}/{n}/v={v}" for n, v in found.items() if v is not None]
+    whole = spark.read.option("basePath", path).parquet(*(paths or [path]))
+    return (whole if paths else whole.limit(0)).drop("bucket", "v")
+
+
 def export_archive(stores: dict[str, DataFrame], path: str, exported_at_ms: int) -> None:
     """One JSON data set for each store and a manifest of one row; settings never."""
     for name, df in stores.items():

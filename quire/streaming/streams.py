@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from quire.operators import archive, knowledge
+from quire.sources import stores
 
 
 def stream_call_rate(calls: DataFrame, late: str = "1 minute") -> DataFrame:
@@ -14,18 +15,21 @@ def stream_call_rate(calls: DataFrame, late: str = "1 minute") -> DataFrame:
     return calls.withWatermark("started_at", late).groupBy("key", F.window("started_at", "1 minute", "10 seconds")).agg(F.count("*").alias("n_calls")).select("key", F.col("window.start").alias("window_start"), F.col("window.end").alias("window_end"), "n_calls")
 
 
-def stream_responses(responses: DataFrame, spark: SparkSession, chapters_path: str, checkpoint: str) -> StreamingQuery:
-    """Applies answers (book_id, chapter_index, raw) to the chapters stored as versions below chapters_path, batch by batch.
+def stream_responses(responses: DataFrame, spark: SparkSession, chapters_path: str, checkpoint: str, buckets: int = stores.BUCKETS) -> StreamingQuery:
+    """Applies answers (book_id, chapter_index, raw) to the chapters that stores.write_versions() put below chapters_path in ``buckets``, batch by batch.
 
     A chapter that is processed is never done again; of several answers of one batch that with text holds. A
-    batch writes version ``v<batch+1>`` from ``v<batch>``, so that running it again gives the same.
+    batch reads and writes the buckets of its own books alone: version batch + 1 from those before it, so that running it again gives the same.
     """
 
     def batch(df: DataFrame, n: int) -> None:
-        held = spark.read.parquet(f"{chapters_path}/v{n}")
+        touched = [r.b for r in df.select(stores.bucket_of("book_id", buckets).alias("b")).distinct().collect()]
+        if not touched:
+            return
+        held = stores.latest(spark, chapters_path, n, touched)
         one = df.groupBy("book_id", "chapter_index").agg(F.max("raw").alias("raw"))
         todo = held.where("not ai_processed").join(one.select("book_id", F.col("chapter_index").alias("index")), ["book_id", "index"], "left_semi")
         done = knowledge.apply_responses(todo, one).select(*held.columns)
-        archive.upsert(held, done, "id").write.mode("overwrite").parquet(f"{chapters_path}/v{n + 1}")
+        stores.write_versions(archive.upsert(held, done, "id"), "book_id", chapters_path, buckets, n + 1)
 
     return responses.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
