@@ -3,9 +3,10 @@
 A byte-level BPE result is fixed by its neighbours: a sequence of tokens is the encoding of its bytes exactly if each
 adjacent pair is stable, that is if merging the pair's bytes leaves the pair. So the merges are a nondeterministic
 transducer over bytes: it stands behind a token, reads the bytes of another that is stable after it, and writes that. A
-state of the deterministic machine is the set of all ways that are open after some bytes: for each, the tokens not written
-yet, the last token, and the bytes read of the next. What all ways have in common is written at once, so a token leaves
-after a lookahead bounded by the longest token, and nothing written is taken back. States and their moves are made when
+state of the deterministic machine is the set of all ways that are open after some bytes: for each, the last token and the
+bytes read of the next. A move tells the next state and the token that ends with its byte, which is the same for all ways
+as encodings are unique. A token is settled and leaves as soon as all open ways go back to it, which is after a lookahead
+bounded by the lengths of tokens; nothing that has left is taken back. States and their moves are made when
 first met and kept while they fit a bound; the machine over all merges is never built.
 
 Decoding joins token bytes chunk by chunk and runs a UTF-8 state machine that
@@ -64,19 +65,23 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in steps(ranks, data)[0]]
 
 
-#: A way: the place in the tree of tokens that the bytes read of the next one lead to, the last token, the tokens not written yet.
-Way = tuple[int, int, tuple[int, ...]]
+#: A way: the place in the tree of tokens that the bytes read of the next one lead to, and the last token.
+Way = tuple[int, int]
+#: A move is the next state << TOKEN | token that ends there + 1 (0: none).
+TOKEN = 24
+#: Bytes of one piece after which settled tokens leave.
+FLUSH = 1 << 14
 
 
 class Transducer:
     """Bytes to token ids. ``max_moves`` bounds the moves kept at once, ``max_pieces`` the pieces remembered whole."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 200_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 250_000, max_pieces: int = 120_000):
         self.ranks, self.max_moves, self.max_pieces = ranks, max_moves, max_pieces
         self.token = {i: t for t, i in ranks.items()}
         # the tree of tokens: place << 8 | byte -> place, the token that ends there (-1: none), whether it goes on
         self.child: dict[int, int] = {}
-        self.ends_here, self.goes_on = [-1], bytearray(1)
+        self.ends_here, self.goes_on, self.depth = [-1], bytearray(1), array("i", [0])
         for t, i in ranks.items():
             at = 0
             for byte in t:
@@ -86,6 +91,7 @@ class Transducer:
                     to = self.child[at << 8 | byte] = len(self.ends_here)
                     self.ends_here.append(-1)
                     self.goes_on.append(0)
+                    self.depth.append(self.depth[at] + 1)
                 at = to
             self.ends_here[at] = i
         self.traces: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
@@ -95,18 +101,16 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        self.moves: dict[int, tuple[int, tuple[int, ...]]] = {}
+        self.moves: dict[int, int] = {}
         self.ids: dict[tuple[Way, ...], int] = {}
         self.states: list[tuple[Way, ...]] = []
-        self.ends: list[tuple[int, ...] | None] = []
-        self._state(((0, START, ()),))
+        self._state(((0, START),))
 
     def _state(self, ways: tuple[Way, ...]) -> int:
         got = self.ids.get(ways)
         if got is None:
             got = self.ids[ways] = len(self.states)
             self.states.append(ways)
-            self.ends.append(next((rest for at, _, rest in ways if not at), None))
         return got
 
     def _trace(self, t: int) -> list[tuple[int, bytes, bytes]] | None:
@@ -137,55 +141,77 @@ class Transducer:
             else:
                 j += 1
 
-    def _move(self, state: int, byte: int) -> tuple[int, tuple[int, ...]] | None:
-        """The state after one more byte and the tokens written; None if no way is open (ranks that do not come from merges)."""
+    def _move(self, state: int, byte: int) -> int:
+        """The move by one more byte; -1 if no way is open or two tokens end at once (ranks that do not come from merges)."""
         ways: list[Way] = []
-        child, pairs = self.child.get, self.pairs.get
-        for at, last, rest in self.states[state]:
+        child, pairs, ended = self.child.get, self.pairs.get, -1
+        for at, last in self.states[state]:
             to = child(at << 8 | byte)
             if to is None:
                 continue
             if (t := self.ends_here[to]) >= 0:
                 stable = pairs(last << 32 | t)
                 if self._stable(last, t) if stable is None else stable:
-                    ways.append((0, t, (*rest, t)))
+                    if ended >= 0:
+                        return -1
+                    ended = t
+                    ways.append((0, t))
             if self.goes_on[to]:
-                ways.append((to, last, rest))
+                ways.append((to, last))
         if not ways:
-            return None
-        first, n = ways[0][2], 0
-        if first and all(rest and rest[0] == first[0] for _, _, rest in ways):
-            n, most = 1, min(len(rest) for _, _, rest in ways)
-            while n < most and all(rest[n] == first[n] for _, _, rest in ways):
-                n += 1
-            ways = [(at, last, rest[n:]) for at, last, rest in ways]
+            return -1
+        ways.sort()
         full = len(self.moves) >= self.max_moves
         if full:
             self._clear()
-        got = self._state(tuple(ways)), first[:n]
+        got = self._state(tuple(ways)) << TOKEN | ended + 1
         if not full:
             self.moves[state << 8 | byte] = got
         return got
 
+    def settled(self, state: int, ended: list[int]) -> int:
+        """The number of bytes whose tokens all open ways go back to. ended: the token that ends with each byte read, or -1."""
+        at = sorted({len(ended) - self.depth[place] for place, _ in self.states[state]})
+        while len(at) > 1:
+            last = at.pop()
+            back = last - len(self.token[ended[last - 1]])
+            if back not in at:
+                at.append(back)
+                at.sort()
+        return at[0]
+
+    def _back(self, ended: list[int], to: int, since: int = 0) -> list[int]:
+        """Tokens of the bytes from ``since`` to ``to``."""
+        out = []
+        while to > since:
+            out.append(t := ended[to - 1])
+            to -= len(self.token[t])
+        out.reverse()
+        return out
+
     def piece(self, text: str) -> tuple[int, ...]:
         """Token ids of one piece of the pre-tokeniser."""
         data = text.encode()
         if (t := self.ranks.get(data)) is not None:
             return (t,)  # what the merges' definition does first with a piece that is a token
         out: list[int] = []
+        ended: list[int] = []
         state, moves = 0, self.moves
         for byte in data:
             got = moves.get(state << 8 | byte)
             if got is None:
                 got = self._move(state, byte)
-                if got is None:
+                if got < 0:
                     return tuple(merged(self.ranks, data))
                 moves = self.moves
-            state, said = got
-            if said:
-                out += said
-        end = self.ends[state]
-        return tuple(merged(self.ranks, data)) if end is None else (*out, *end)
+            state = got >> TOKEN
+            ended.append((got & 0xFFFFFF) - 1)
+            if len(ended) > FLUSH and (to := self.settled(state, ended)) > FLUSH // 2:
+                out += self._back(ended, to)
+                del ended[:to]
+        if ended and ended[-1] < 0:
+            return tuple(merged(self.ranks, data))
+        return (*out, *self._back(ended, len(ended)))
 
     def encode(self, pieces: Iterable[str], ids: array | None = None) -> array:
         """Token ids of the pieces, as they come."""
