@@ -4,7 +4,9 @@ import public_tokenizers as P
 import tiktoken
 
 import corpus_pipeline as cp
-from quire.llm import bpe, secrets
+from quire.llm import bpe, secrets, toxicity
+from tests.llm.test_decontaminate import brute as leaked
+from tests.llm.test_simhash import brute_groups
 
 
 def test_run_and_columns(spark, sf):
@@ -34,3 +36,28 @@ def test_stages_on_edges(spark, sf):
             if name == "secrets" and given is docs:
                 assert "token=" not in "".join(r.text or "" for r in got.collect()) and n == len(rows)
         assert cp.STAGES[-1][1](spark, given, sf).count() == given.count()
+
+
+def test_first_stages_against_brute_force(spark, sf):
+    """Toxicity, near duplicates and contamination, each on the given documents with null and repeated doc_ids among them."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
+    rows = [tuple(r) for r in docs.collect()]
+    at = docs.columns.index("doc_id"), docs.columns.index("text")
+    other = lambda row, i, text: tuple(i if k == at[0] else text if k == at[1] else v for k, v in enumerate(row))
+    long = max(rows, key=lambda r: min(len(r[at[1]] or ""), 5000))
+    rows += [other(long, None, long[at[1]] + " more"), other(long, long[at[0]], long[at[1]]), other(rows[0], None, "see " + items[0][1]), other(rows[0], None, "a text of its own without a key")]
+    given = spark.createDataFrame(rows, docs.schema)
+    key = lambda df: sorted(str((r.doc_id, r.text)) for r in df.collect())
+    said = lambda kept: sorted(str((r[at[0]], r[at[1]])) for r in kept)
+    weights = toxicity.fitted(given, spark.read.parquet(f"{sf}/labels.parquet"))
+    scorer = toxicity.Scorer(weights)
+    assert key(cp.toxic(spark, given, sf)) == said([r for r in rows if scorer.score(r[at[1]]) < cp.REJECT])
+    found = {t for t in {r[at[1]] for r in rows} if leaked([(0, t)], items)}
+    assert key(cp.decontaminated(spark, given, sf)) == said([r for r in rows if r[at[1]] not in found]) and "see " + items[0][1] in found
+    comp = brute_groups([(r[at[0]], r[at[1]]) for r in rows])
+    want = {c: min(((rows[i][at[0]] is None, rows[i][at[0]] or 0, i) for i in range(len(rows)) if comp[i] == c)) for c in set(comp)}
+    got = cp.near_duplicates(spark, given, sf).collect()
+    least = [rows[i] for *_, i in want.values()]
+    extra = sorted(set(str((r.doc_id, r.text)) for r in got) - set(said(least)))
+    assert len(got) - len(least) <= 0.1 * (len(rows) - len(least)) and len(extra) <= len(got) - len(least)
