@@ -65,10 +65,11 @@ def merged(ranks: dict[bytes, int], data: bytes) -> list[int]:
     return [ranks[p] for p in steps(ranks, data)[0]]
 
 
-#: A way: the place in the tree of tokens that the bytes read of the next one lead to, and the last token.
-Way = tuple[int, int]
+#: A way is one number: the place in the tree of tokens that the bytes read of the next one lead to << WAY | the last token + 1 (0: none).
+WAY = 32
 #: A move is the next state << TOKEN | token that ends there + 1 (0: none).
 TOKEN = 24
+ENDED = (1 << TOKEN) - 1
 #: Bytes of one piece after which settled tokens leave.
 FLUSH = 1 << 14
 
@@ -76,7 +77,7 @@ FLUSH = 1 << 14
 class Transducer:
     """Bytes to token ids. ``max_moves`` bounds the moves kept at once, ``max_pieces`` the pieces remembered whole."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 250_000, max_pieces: int = 120_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 300_000):
         self.ranks, self.max_moves, self.max_pieces = ranks, max_moves, max_pieces
         self.token = {i: t for t, i in ranks.items()}
         # the tree of tokens: place << 8 | byte -> place, the token that ends there (-1: none), whether it goes on
@@ -94,6 +95,9 @@ class Transducer:
                     self.depth.append(self.depth[at] + 1)
                 at = to
             self.ends_here[at] = i
+        self.length = array("i", [0]) * (max(self.token) + 2)  # by token + 1
+        for t, i in ranks.items():
+            self.length[i + 1] = len(t)
         self.traces: dict[int, list[tuple[int, bytes, bytes]] | None] = {}
         self.pairs: dict[int, bool] = {}
         self.pieces: dict[str, tuple[int, ...]] = {}
@@ -101,12 +105,14 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
+        """Begins a new generation of states and moves; what is met again moves on from the one before."""
+        self.older_ids, self.older_states, self.older_moves = getattr(self, "ids", {}), getattr(self, "states", []), getattr(self, "moves", {})
         self.moves: dict[int, int] = {}
-        self.ids: dict[tuple[Way, ...], int] = {}
-        self.states: list[tuple[Way, ...]] = []
-        self._state(((0, START),))
+        self.ids: dict[tuple[int, ...], int] = {}
+        self.states: list[tuple[int, ...]] = []
+        self._state((0,))
 
-    def _state(self, ways: tuple[Way, ...]) -> int:
+    def _state(self, ways: tuple[int, ...]) -> int:
         got = self.ids.get(ways)
         if got is None:
             got = self.ids[ways] = len(self.states)
@@ -125,7 +131,7 @@ class Transducer:
         if len(self.pairs) >= self.max_moves:
             self.pairs.clear()
         right = self._trace(b)
-        got = self.pairs[a << 32 | b] = right is not None and (a == START or self._apart(self._trace(a), right))
+        got = self.pairs[a + 1 << 32 | b] = right is not None and (a == START or self._apart(self._trace(a), right))
         return got
 
     def _apart(self, left: list[tuple[int, bytes, bytes]], right: list[tuple[int, bytes, bytes]]) -> bool:
@@ -143,51 +149,60 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """The move by one more byte; -1 if no way is open or two tokens end at once (ranks that do not come from merges)."""
-        ways: list[Way] = []
+        at = self.states[state]
+        known = self.older_moves.get(old << 8 | byte) if (old := self.older_ids.get(at)) is not None else None
+        if known is None:
+            ways, ended = self._ways(at, byte)
+            if not ways:
+                return -1
+        else:
+            ways, ended = self.older_states[known >> TOKEN], (known & ENDED) - 1
+        if len(self.moves) >= self.max_moves // 2:
+            self._clear()
+            state = self._state(at)
+        got = self.moves[state << 8 | byte] = self._state(ways) << TOKEN | ended + 1
+        return got
+
+    def _ways(self, ways: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
+        """The ways open after one more byte, and the token that ends with it or -1."""
+        out: list[int] = []
         child, pairs, ended = self.child.get, self.pairs.get, -1
-        for at, last in self.states[state]:
-            to = child(at << 8 | byte)
+        for way in ways:
+            last = way & 0xFFFFFFFF
+            to = child(way >> WAY << 8 | byte)
             if to is None:
                 continue
             if (t := self.ends_here[to]) >= 0:
                 stable = pairs(last << 32 | t)
-                if self._stable(last, t) if stable is None else stable:
+                if self._stable(last - 1, t) if stable is None else stable:
                     if ended >= 0:
-                        return -1
+                        return (), -1
                     ended = t
-                    ways.append((0, t))
+                    out.append(t + 1)
             if self.goes_on[to]:
-                ways.append((to, last))
-        if not ways:
-            return -1
-        ways.sort()
-        full = len(self.moves) >= self.max_moves
-        if full:
-            self._clear()
-        got = self._state(tuple(ways)) << TOKEN | ended + 1
-        if not full:
-            self.moves[state << 8 | byte] = got
-        return got
+                out.append(to << WAY | last)
+        out.sort()
+        return tuple(out), ended
 
-    def settled(self, state: int, ended: list[int]) -> int:
-        """The number of bytes whose tokens all open ways go back to. ended: the token that ends with each byte read, or -1."""
-        at = sorted({len(ended) - self.depth[place] for place, _ in self.states[state]})
+    def settled(self, state: int, made: list[int]) -> int:
+        """The number of bytes whose tokens all open ways go back to. made: the move by each byte read."""
+        at = sorted({len(made) - self.depth[way >> WAY] for way in self.states[state]})
         while len(at) > 1:
             last = at.pop()
-            back = last - len(self.token[ended[last - 1]])
+            back = last - self.length[made[last - 1] & ENDED]
             if back not in at:
                 at.append(back)
                 at.sort()
         return at[0]
 
-    def _back(self, ended: list[int], to: int, since: int = 0) -> list[int]:
-        """Tokens of the bytes from ``since`` to ``to``."""
-        out = []
-        while to > since:
-            out.append(t := ended[to - 1])
-            to -= len(self.token[t])
+    def _back(self, made: list[int], to: int) -> list[int]:
+        """Tokens of the first bytes."""
+        out, length = [], self.length
+        while to:
+            out.append(t := made[to - 1] & ENDED)
+            to -= length[t]
         out.reverse()
-        return out
+        return [t - 1 for t in out]
 
     def piece(self, text: str) -> tuple[int, ...]:
         """Token ids of one piece of the pre-tokeniser."""
@@ -195,27 +210,30 @@ class Transducer:
         if (t := self.ranks.get(data)) is not None:
             return (t,)  # what the merges' definition does first with a piece that is a token
         out: list[int] = []
-        ended: list[int] = []
-        state, moves = 0, self.moves
-        for byte in data:
-            got = moves.get(state << 8 | byte)
-            if got is None:
-                got = self._move(state, byte)
-                if got < 0:
-                    return tuple(merged(self.ranks, data))
-                moves = self.moves
-            state = got >> TOKEN
-            ended.append((got & 0xFFFFFF) - 1)
-            if len(ended) > FLUSH and (to := self.settled(state, ended)) > FLUSH // 2:
-                out += self._back(ended, to)
-                del ended[:to]
-        if ended and ended[-1] < 0:
+        made: list[int] = []
+        state, moves, add = 0, self.moves, made.append
+        for at in range(0, len(data), FLUSH):
+            for byte in data[at : at + FLUSH]:
+                try:
+                    got = moves[state << 8 | byte]
+                except KeyError:
+                    got = self._move(state, byte)
+                    if got < 0:
+                        return tuple(merged(self.ranks, data))
+                    moves = self.moves
+                add(got)
+                state = got >> TOKEN
+            if len(data) > at + FLUSH:
+                to = self.settled(state, made)
+                out += self._back(made, to)
+                del made[:to]
+        if made and not made[-1] & ENDED:
             return tuple(merged(self.ranks, data))
-        return (*out, *self._back(ended, len(ended)))
+        return (*out, *self._back(made, len(made)))
 
-    def encode(self, pieces: Iterable[str], ids: array | None = None) -> array:
+    def encode(self, pieces: Iterable[str]) -> list[int]:
         """Token ids of the pieces, as they come."""
-        known, ids = self.pieces, array("i") if ids is None else ids
+        known, ids = self.pieces, []
         for p in pieces:
             got = known.get(p)
             if got is None:
@@ -225,7 +243,7 @@ class Transducer:
                         self.older, self.pieces = known, {}
                         known = self.pieces
                     known[p] = got
-            ids.extend(got)
+            ids += got
         return ids
 
 
@@ -344,7 +362,7 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
             n, enc, dec, good, all_ids = [], [], [], [], []
             for x in part.column(len(keep)).to_pylist():
                 x = x or ""
-                ids = machine.encode(split.findall(x) if len(x) < LONG else (m[0] for m in split.finditer(x)))
+                ids = array("i", machine.encode(split.findall(x) if len(x) < LONG else (m[0] for m in split.finditer(x))))
                 n.append(len(ids))
                 little = ids if sys.byteorder == "little" else array("i", ids)
                 if little is not ids:
