@@ -13,6 +13,7 @@ from pyspark.sql.window import Window
 
 from quire.functions import text as tx
 from quire.operators import profile
+from quire.sources.shared import stored
 
 #: Lines looked at, thresholds, rule weights.
 SCAN, CAPS_SCAN, SPARSE, SPARSE_PATTERN = 12, 8, 200, 250
@@ -166,7 +167,10 @@ def score_pages_at(scored: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
 
 
 def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFrame:
-    """page_lines() and score_lines() with the book's own context (if none is given) and repeated lines."""
+    """page_lines() and score_lines() with the book's own context (if none is given) and repeated lines. Texts are read once, for the pages' digest."""
+    if "top" not in pages.columns:
+        context = stored(profile.book_context(pages), "contexts") if context is None and "lines" in pages.columns else context
+        pages = stored(profile.page_digest(pages), "digests")
     return score_lines(page_lines(pages, context), profile.header_lines(pages))
 
 
