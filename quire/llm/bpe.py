@@ -16,7 +16,6 @@ keeps its state between chunks, so a character may be cut anywhere.
 from __future__ import annotations
 
 import base64
-import functools
 import hashlib
 import re
 import sys
@@ -28,7 +27,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from quire.llm.common import by_slices
+from quire.llm.common import by_slices, held
 
 START = -1
 
@@ -77,7 +76,7 @@ FLUSH = 1 << 14
 class Transducer:
     """Bytes to token ids. ``max_moves`` bounds the moves kept at once, ``max_pieces`` the pieces remembered whole."""
 
-    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 300_000):
+    def __init__(self, ranks: dict[bytes, int], max_moves: int = 400_000, max_pieces: int = 200_000):
         self.ranks, self.max_moves, self.max_pieces = ranks, max_moves, max_pieces
         self.token = {i: t for t, i in ranks.items()}
         # the tree of tokens: place << 8 | byte -> place, the token that ends there (-1: none), whether it goes on
@@ -330,10 +329,9 @@ def decoded(token: dict[int, bytes], ids: Sequence[int], text: str) -> tuple[str
 LONG = 1 << 18
 
 
-@functools.lru_cache(maxsize=2)
 def transducer(rank_file: bytes) -> Transducer:
     """One machine a Python worker: what it has worked out serves the worker's later tasks too."""
-    return Transducer(read_ranks(rank_file))
+    return held(f"transducer {hashlib.sha256(rank_file).hexdigest()}", lambda: Transducer(read_ranks(rank_file)))
 
 
 def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "text", keep: tuple[str, ...] = ("doc_id",), with_ids: bool = False) -> DataFrame:
@@ -378,4 +376,4 @@ def encode_decode(docs: DataFrame, rank_file: str, pattern: str, text: str = "te
 
         return run
 
-    return kept.mapInArrow(by_slices(make), schema)
+    return kept.mapInArrow(by_slices(make, keeps=True), schema)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -89,10 +90,33 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.Re
             yield batch.slice(at, rows)
 
 
-def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 512):
-    """A function for mapInArrow: make() runs once a task, its result on every slice."""
+#: The one large object that a Python worker keeps from task to task: what it is, and itself.
+_HELD: dict[str, object] = {}
+
+
+def held(what: str, make: Callable[[], object]):
+    """A large object that later tasks of this Python worker use again. A worker keeps one: that of another operator goes."""
+    if _HELD.get("what") != what:
+        released()
+        _HELD.update(what=what, value=make())
+    return _HELD["value"]
+
+
+def released() -> None:
+    """Drops what the worker holds and gives freed memory back to the system, where its C library can."""
+    if _HELD:
+        _HELD.clear()
+        trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+        if trim:
+            trim(0)
+
+
+def by_slices(make: Callable[[], Callable[[pa.RecordBatch], pa.RecordBatch]], rows: int = 512, keeps: bool = False):
+    """A function for mapInArrow: make() runs once a task, its result on every slice. Unless it keeps a held object, the worker's goes first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        if not keeps:
+            released()
         f = make()
         for part in slices(batches, rows):
             out = f(part)

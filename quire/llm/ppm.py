@@ -17,7 +17,6 @@ ever reads the whole trie or vocabulary.
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections import Counter, defaultdict
@@ -30,7 +29,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import scratch, slices, stored
+from quire.llm.common import held, scratch, slices, stored
 from quire.llm.toxicity import held_out
 
 #: Bytes of the longest context (at least two, at most six), and the most entries of the trie and words that every scoring task holds.
@@ -176,7 +175,7 @@ def _columns(folder: str) -> pads.Dataset:
     return pads.dataset([f.path for f in fs.get_file_info(pafs.FileSelector(root)) if f.path.endswith(".parquet")], filesystem=fs, format="parquet")
 
 
-def count_grams(docs: DataFrame, order: int, text: str, held: Column) -> DataFrame:
+def count_grams(docs: DataFrame, order: int, text: str, left_out: Column) -> DataFrame:
     """gram, n (times in what is learned from), every (times in all texts) of every gram of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +202,7 @@ def count_grams(docs: DataFrame, order: int, text: str, held: Column) -> DataFra
             part, n = k[at : at + (1 << 18)], c[at : at + (1 << 18)].astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array((part >> np.uint64(1)).view(np.int64)), pa.array(np.where(part & np.uint64(1), n, 0)), pa.array(n)], names=["gram", "n", "every"])
 
-    return docs.select(text, held.alias("held")).mapInArrow(run, "gram long, n long, every long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
+    return docs.select(text, left_out.alias("left_out")).mapInArrow(run, "gram long, n long, every long").groupBy("gram").agg(F.sum("n").alias("n"), F.sum("every").alias("every"))
 
 
 def probabilities(counts: DataFrame, order: int) -> DataFrame:
@@ -246,11 +245,14 @@ def threshold(counts: DataFrame, count: str, most: int) -> int:
     return 1 << (b - 1)
 
 
-@functools.lru_cache(maxsize=1)
 def held_grams(folder: str) -> tuple[Index, np.ndarray]:
     """The most frequent grams and their log10 probabilities, read once by a Python worker."""
-    table = _columns(folder).to_table()
-    return Index(table.column("gram").to_numpy().astype(np.int64).view(np.uint64)), table.column("logp").to_numpy().astype(float)
+
+    def read() -> tuple[Index, np.ndarray]:
+        table = _columns(folder).to_table()
+        return Index(table.column("gram").to_numpy().astype(np.int64).view(np.uint64)), table.column("logp").to_numpy().astype(float)
+
+    return held(folder, read)
 
 
 def short(word: bytes) -> bytes:
@@ -290,9 +292,9 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, order: int = ORDER,
     they stand; an empty table gives an empty one (with nothing to learn from every byte is equally likely); other columns are left out.
     """
     spark = docs.sparkSession
-    held = held_out(key, modulus, rest)
-    learn = docs.where(~held)
-    counts = stored(count_grams(docs, order, text, held), "grams")
+    left_out = held_out(key, modulus, rest)
+    learn = docs.where(~left_out)
+    counts = stored(count_grams(docs, order, text, left_out), "grams")
     known = stored(probabilities(counts, order), "probabilities")
     folder, often = scratch(spark, "held-grams"), F.col("every") >= threshold(counts, "every", grams_held)
     known.where(often).select("gram", "logp").repartition(4).write.parquet(folder)
@@ -351,4 +353,4 @@ def score(docs: DataFrame, modulus: int = 7, rest: int = 2, order: int = ORDER,
     out = made.select("row", "seen", "logs", "score").unionByName(rare).unionByName(rare_grams).groupBy("row").agg(F.sum("seen").alias("seen"), F.sum("logs").alias("logs"), F.sum("score").alias("score"))
     out = made.select("row", F.col("key").alias(key), "n_tokens").join(out, "row")
     base = F.col("logs") + math.log10(ends + 1) - F.col("n_tokens") * math.log10(tokens + distinct + 1)
-    return out.select(key, held.alias("held_out"), "n_tokens", (F.col("seen") + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")
+    return out.select(key, left_out.alias("held_out"), "n_tokens", (F.col("seen") + int(ends > 0)).cast("long").alias("n_known"), F.lit(tokens).cast("long").alias("train_tokens"), base.alias("base_score"), "score")

@@ -140,7 +140,7 @@ def counts(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
         return run
 
     versions = F.create_map(*(x for name in (*(n for n, _ in PATTERNS), MODEL) for x in (F.lit(name), F.col(f"`{name}`"))))
-    made = kept.mapInArrow(by_slices(make), schema).select(F.monotonically_increasing_id().alias("key"), "source", "lang", "h", "estimate", versions.alias("tokens"))
+    made = kept.mapInArrow(by_slices(make, keeps=True), schema).select(F.monotonically_increasing_id().alias("key"), "source", "lang", "h", "estimate", versions.alias("tokens"))
     return stored(made, "token-counts")  # keys are settled once written
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import by_slices, slices, stored
+from quire.llm.common import by_slices, released, slices, stored
 
 #: Hash buckets of word parts, n-gram lengths, vector length, and the gain on the mean (the vectors start small).
 BUCKETS, GRAMS, DIM, GAIN = 1 << 17, (4, 5), 6, 20.0
@@ -161,6 +161,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> np.nda
         bags = bags.where(drawn(F.xxhash64(F.lit(12), "h"), COUNTS / held))
 
     def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        released()
         ids: dict[str, int] = {}
         words, counts, sizes, label, back = [], [], [], [], []
         for part in slices(batches):
