@@ -146,7 +146,7 @@ def train(texts: DataFrame, sample: int = SAMPLE, key: str = "doc_id") -> np.nda
     drawn = lambda bits, share: F.pmod(bits, F.lit(1 << 40)) < F.lit(int(share * (1 << 40)))
     if n > sample:
         rows = rows.where(drawn(F.col("_h"), sample / n))
-    counted = rows.select("text", F.col("label").cast("int").alias("label"), (F.pmod(F.shiftright("_h", 24), F.lit(FOLD)) == 0).alias("back"), "_h")
+    counted = rows.select("text", F.col("label").cast("int").alias("label"), (F.pmod(F.shiftright("_h", 48), F.lit(FOLD)) == 0).alias("back"), "_h")
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
