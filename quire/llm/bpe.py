@@ -7,7 +7,8 @@ state of the deterministic machine is the set of all ways that are open after so
 bytes read of the next. A move tells the next state and the token that ends with its byte, which is the same for all ways
 as encodings are unique. A token is settled and leaves as soon as all open ways go back to it, which is after a lookahead
 bounded by the lengths of tokens; nothing that has left is taken back. States and their moves are made when
-first met and kept while they fit a bound; the machine over all merges is never built.
+first met and kept up to a bound; from there on others are made and dropped, until they have come to as many as are kept and
+a new machine begins. The machine over all merges is never built.
 
 Decoding joins token bytes chunk by chunk and runs a UTF-8 state machine that
 keeps its state between chunks, so a character may be cut anywhere.
@@ -104,11 +105,10 @@ class Transducer:
         self._clear()
 
     def _clear(self) -> None:
-        """Begins a new generation of states and moves; what is met again moves on from the one before."""
-        self.older_ids, self.older_states, self.older_moves = getattr(self, "ids", {}), getattr(self, "states", []), getattr(self, "moves", {})
         self.moves: dict[int, int] = {}
         self.ids: dict[tuple[int, ...], int] = {}
         self.states: list[tuple[int, ...]] = []
+        self.spared = 0  # moves made and not kept
         self._state((0,))
 
     def _state(self, ways: tuple[int, ...]) -> int:
@@ -148,19 +148,20 @@ class Transducer:
 
     def _move(self, state: int, byte: int) -> int:
         """The move by one more byte; -1 if no way is open or two tokens end at once (ranks that do not come from merges)."""
-        at = self.states[state]
-        known = self.older_moves.get(old << 8 | byte) if (old := self.older_ids.get(at)) is not None else None
-        if known is None:
-            ways, ended = self._ways(at, byte)
-            if not ways:
-                return -1
-        else:
-            ways, ended = self.older_states[known >> TOKEN], (known & ENDED) - 1
-        if len(self.moves) >= self.max_moves // 2:
+        ways, ended = self._ways(self.states[state], byte)
+        if not ways:
+            return -1
+        if len(self.moves) < self.max_moves:
+            got = self.moves[state << 8 | byte] = self._state(ways) << TOKEN | ended + 1
+            return got
+        self.spared += 1
+        if self.spared >= self.max_moves:
             self._clear()
-            state = self._state(at)
-        got = self.moves[state << 8 | byte] = self._state(ways) << TOKEN | ended + 1
-        return got
+            to = self._state(ways)
+        elif (to := self.ids.get(ways)) is None:
+            to = len(self.states)  # a state for this piece only
+            self.states.append(ways)
+        return to << TOKEN | ended + 1
 
     def _ways(self, ways: tuple[int, ...], byte: int) -> tuple[tuple[int, ...], int]:
         """The ways open after one more byte, and the token that ends with it or -1."""
@@ -208,6 +209,7 @@ class Transducer:
         data = text.encode()
         if (t := self.ranks.get(data)) is not None:
             return (t,)  # what the merges' definition does first with a piece that is a token
+        del self.states[len(self.ids) :]  # those of the piece before only
         out: list[int] = []
         made: list[int] = []
         state, moves, add = 0, self.moves, made.append
