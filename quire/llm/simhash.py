@@ -309,6 +309,8 @@ def near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str =
 
 #: Bits of the map of wanted rows, a fixed size: where it is full, more sets are shuffled and none is lost.
 WANTED = 1 << 26
+#: Words of the fingerprint that decides which pairs are counted exactly.
+WIDE = 32
 #: Keys of the first round, which joins most of what is near.
 FIRST = 16
 #: What a marked table has besides the documents' own columns.
@@ -339,7 +341,7 @@ def marked(docs: DataFrame, n: int, width: int, text: str) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
-    """node, s (its shingle hashes) for each wanted (node, row), from the marked documents: shingles are made for the wanted rows only."""
+    """node, m (size), s (its shingle hashes), w (their fingerprint of 64 * WIDE bits) for each wanted (node, row), from the marked documents: shingles are made for the wanted rows only."""
     at = F.pmod(F.xxhash64("row"), F.lit(WANTED))
     bits = np.zeros(WANTED // 8, np.uint8)
     for r in wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
@@ -354,12 +356,19 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFr
             part = part.take(pa.array(np.flatnonzero(bits[where >> 3] >> (where & 7).astype(np.uint8) & 1)))
             sets, node = shingle_sets(part.column(2).to_pylist(), n)
             flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat))], names=["row", "node", "s"])
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat)), pa.array([x.tobytes() for x in fingerprints(sets, WIDE)], pa.binary())], names=["row", "node", "m", "s", "w"])
 
         return run
 
-    found = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).select("row", at.alias("at"), "text").mapInArrow(by_slices(make, 256), "row long, node long, s array<long>")
-    return found.join(wanted, ["row", "node"], "left_semi").select("node", "s")
+    found = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).select("row", at.alias("at"), "text").mapInArrow(by_slices(make, 256), "row long, node long, m long, s array<long>, w binary")
+    return found.join(wanted, ["row", "node"], "left_semi").select("node", "m", "s", "w")
+
+
+def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """a, b, ma, mb and the number of bits in which the wide fingerprints wa and wb differ."""
+    for part in batches:
+        a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wa", "wb"))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "ma", "mb")), pa.array(np.bitwise_count(a ^ b).sum(1), pa.int32())], names=["a", "b", "ma", "mb", "d"])
 
 
 def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
@@ -369,9 +378,22 @@ def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, similarit
     asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
     wanted = stored(nodes.select("node", F.col("first.row").alias("row")).join(asked, "node", "left_semi"), "wanted")
     sets = stored(wanted_sets(docs, wanted, n, text), "sets")
-    for x, other in (("a", "b"), ("b", "a")):
-        one = sets.select(F.col("node").alias(x), F.col("s").alias(f"s{x}")).join(pairs.groupBy(x).agg(F.count("*").alias("n")), x)
-        pairs_with = split_join(pairs if x == "a" else pairs_with, one, [x], other, total)
+
+    def with_both(pairs: DataFrame, of: DataFrame, total: int) -> DataFrame:
+        """The pairs with what ``of`` tells of either node, named with a and b."""
+        for x, other in (("a", "b"), ("b", "a")):
+            one = of.select(*(F.col(c).alias(x if c == "node" else c + x) for c in of.columns)).join(pairs.groupBy(x).agg(F.count("*").alias("n")), x)
+            pairs = split_join(pairs, one, [x], other, total)
+        return pairs
+
+    # a wide fingerprint tells most pairs apart, so that few whole sets are moved
+    wide, tight = (reach(apart(similarity, small), 64 * WIDE) for small in (True, False))
+    within = F.when(F.least("ma", "mb") < SMALL, wide).otherwise(tight)
+    close = with_both(pairs, sets.select("node", "m", "w"), total).mapInArrow(_distances, "a long, b long, ma long, mb long, d int")
+    pairs = stored(close.where(F.col("d") <= within).select("a", "b"), "close-pairs")
+    total = pairs.count()
+    left = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    pairs_with = with_both(pairs, sets.select("node", "s").join(left, "node", "left_semi"), total)
     sizes = F.size("sa") + F.size("sb")
     both = (1 + similarity) * F.size(F.array_intersect("sa", "sb"))
     return stored(pairs_with.where((both >= similarity * sizes - 1e-9) | (sizes == 0)).select("a", "b"), "alike")
