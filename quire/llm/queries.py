@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.llm import bpe, decontaminate, licenses, manifest, neighbours, ppm, prefixes, rollup, secrets, simhash, toxicity, warc
+from quire.llm import bpe, decontaminate, licenses, manifest, neighbours, ppm, prefixes, rollup, secrets, simhash, toxicity, warc, wrappers
 from quire.llm.common import table
 
 
@@ -51,6 +51,10 @@ def op10_block_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.nearest(table(spark, sf_dir, "embeddings"))
 
 
+def op11_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(table(spark, sf_dir, "pages"))
+
+
 def op12_merkle_postorder(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest.proved(table(spark, sf_dir, "documents"))
 
@@ -106,7 +110,7 @@ TRIE_SQL = f"""
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op4_bm25_wand, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op9_delta_rollup, op10_block_matrix, op12_merkle_postorder, op13_prefix_skeleton)}
+    return {f.__name__: f for f in (op1_subword_softmax, op2_warc_members, op3_license_rules, op4_bm25_wand, op5_secret_layers, op6_bpe_transducer, op7_simhash_pivots, op8_ppm_trie, op9_delta_rollup, op10_block_matrix, op11_wrapper_induction, op12_merkle_postorder, op13_prefix_skeleton)}
 
 
 def oracle_sql() -> dict[str, str]:
