@@ -723,12 +723,25 @@ def r2_min_gap_violations(spark, sf_dir):
     return calls.min_gap_violations(views.calls(spark, sf_dir))
 
 
+#: A retry comes within four days of the failure before it: the given events are that far apart.
+RETRY_S = 4 * 86400
+RUNS_SQL = f"""{CALLS}, l AS (SELECT *, http_status IN (200, 429) AS ends, lag(http_status IN (200, 429)) OVER w AS prev_ends, epoch_us(started_at) - epoch_us(lag(ended_at) OVER w) AS gap FROM calls WINDOW w AS (PARTITION BY key, label ORDER BY started_at, call_id)),
+    g AS (SELECT *, sum(CASE WHEN prev_ends IS NULL OR prev_ends OR gap > {RETRY_S}000000 THEN 1 ELSE 0 END) OVER (PARTITION BY key, label ORDER BY started_at, call_id ROWS UNBOUNDED PRECEDING) AS seg FROM l),
+    p AS (SELECT *, row_number() OVER (PARTITION BY key, label, seg ORDER BY started_at, call_id) - 1 AS i FROM g),
+    r AS (SELECT *, CAST(sum(CASE WHEN i % 2 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY key, label ORDER BY started_at, call_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS run, CAST(i % 2 + 1 AS INTEGER) AS attempt FROM p)"""
+
+
+@query(f"{RUNS_SQL} SELECT call_id, key, label, run, attempt FROM r")
+def r3_call_runs(spark, sf_dir):
+    return calls.call_runs(views.calls(spark, sf_dir), within_s=RETRY_S).select("call_id", "key", "label", "run", "attempt")
+
+
 @query(
-    f"""{CALLS}, n AS (SELECT *, row_number() OVER (PARTITION BY key, label ORDER BY started_at, call_id) AS a FROM calls), f AS (SELECT key, label, max(CASE WHEN a = 1 THEN http_status END) AS s1, max(CASE WHEN a = 2 THEN http_status END) AS s2 FROM n GROUP BY ALL)
-    SELECT key, label, CASE WHEN s1 = 500 AND s2 IS NOT NULL THEN 2 ELSE 1 END AS attempts, CASE coalesce(CASE WHEN s1 = 500 THEN s2 END, s1) WHEN 200 THEN 'ok' WHEN 429 THEN 'rate-limited' ELSE 'exhausted' END AS outcome, CASE WHEN s1 = 500 AND s2 IS NOT NULL THEN 3 ELSE 0 END AS backoff_s FROM f"""
+    f"""{RUNS_SQL} SELECT key, label, run, min_by(call_id, attempt) AS first_call_id, CAST(count(*) AS INTEGER) AS attempts, CAST(3 * (count(*) - 1) AS INTEGER) AS backoff_s,
+      CASE max_by(http_status, attempt) WHEN 200 THEN 'ok' WHEN 429 THEN 'rate-limited' ELSE CASE WHEN count(*) = 2 THEN 'exhausted' ELSE 'unfinished' END END AS outcome FROM r GROUP BY key, label, run"""
 )
 def r3_call_outcomes(spark, sf_dir):
-    return calls.call_outcomes(views.calls(spark, sf_dir))
+    return calls.call_outcomes(views.calls(spark, sf_dir), within_s=RETRY_S).drop("started_at")
 
 
 @query(f"{CALLS}, s AS (SELECT key, CAST(epoch_us(started_at) // 10000000 * 10 AS BIGINT) - 10 * unnest(range(6)) AS window_start FROM calls) SELECT key, window_start, window_start + 60 AS window_end, count(*) AS n_calls FROM s GROUP BY ALL")
