@@ -8,9 +8,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from quire.functions import text as tx
-from quire.operators import segment
+from quire.operators import segment, spans
 from quire.sources.shared import stored
 
 #: Budgets and shares of the sample.
@@ -93,6 +94,76 @@ def compress_text(c: Column, target: int = COMPRESSED) -> Column:
     return tx.let(tx.normalize_text(c), cut)
 
 
+def _paragraphs(core: Column) -> Column:
+    """All paragraphs of a page as they are compared, good or not."""
+    return F.transform(F.split(core, "\n\n", -1), tx.trim)
+
+
+def _good(p: Column) -> Column:
+    return (F.length(p) >= LEAST_PARAGRAPH) & ~p.rlike(tx.DIGITS)
+
+
+def _core(text: Column) -> Column:
+    """A page's part of its chapter's clean text: pages are joined by a blank line, so line ends at its ends say nothing, nor does a carriage return that would meet one."""
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\\z", ""), "\r\n", "\n"), "[ \t]+", " ")
+    return F.regexp_replace(F.regexp_replace(one, "\n{3,}", "\n\n"), "^\n+|\n+\\z", "")
+
+
+#: Ranks of one block of packing.
+PACK = 512
+
+
+def compress_chapters(page_chapter: DataFrame, pages: DataFrame, target: int = COMPRESSED) -> DataFrame:
+    """book_id, chapter_index, text: what compress_text() makes of each chapter's text, without a chapter's text ever being one value.
+
+    A paragraph never crosses pages. Pages give lengths and paragraphs' digests; front, middle and back are ranks in the chapter, repeats go by
+    digest (128 bits), what fits is a running sum of lengths in two levels, and only what was chosen is read again: ``target`` characters a chapter, about.
+    """
+    key = ["book_id", "chapter_index"]
+    core = _core(F.col("text"))
+    digest = lambda p: F.struct(F.length(p).alias("n"), F.xxhash64(p).alias("h"), F.xxhash64(p, F.lit(1)).alias("g"), _good(p).alias("good"))
+    facts = pages.select("book_id", "page_num", core.alias("core"))
+    trimmed = tx.trim(F.col("core"))
+    lead = F.length("core") - F.length(F.regexp_replace("core", rf"^{tx.WS}+", ""))
+    facts = facts.select("book_id", "page_num", F.length("core").alias("n"), (trimmed == "").alias("blank"), lead.alias("lead"), (F.length("core") - lead - F.length(trimmed)).alias("trail"), F.filter(F.transform(_paragraphs(F.col("core")), lambda p, i: F.struct(i.alias("k"), digest(p).alias("p"))), lambda x: x["p"]["good"]).alias("ps"))
+    facts = stored(page_chapter.select(*key, "page_num").join(facts, ["book_id", "page_num"]), "page-facts")
+
+    # the clean text runs from the first page that says something to the last one
+    ends = facts.where("not blank").groupBy(*key).agg(F.min("page_num").alias("first"), F.max("page_num").alias("last"), F.min_by("lead", "page_num").alias("lead0"), F.max_by("trail", "page_num").alias("trail0"))
+    inside = facts.where("n > 0").join(ends, key).where("page_num between first and last")
+    size = stored(inside.groupBy(*key, "first", "last", "lead0", "trail0").agg(F.sum(F.col("n") + 2).alias("size")).withColumn("size", F.col("size") - 2 - F.col("lead0") - F.col("trail0")), "chapter-sizes")
+    fits = size.where(F.col("size") <= target)
+    long = size.where(F.col("size") > target).select(*key, "first", "last", "lead0")
+
+    # paragraphs of long chapters by rank
+    p = facts.join(long.select(*key), key).select(*key, "page_num", F.explode("ps").alias("x")).select(*key, "page_num", "x.k", "x.p.n", "x.p.h", "x.p.g")
+    p = spans.numbered(p, key, spans.block_of("page_num", 256), ["page_num", "k"]).withColumn("r", F.col("pos") - 1)
+    n = F.col("of")
+    m = F.least(F.lit(6), F.ceil(n * 0.1))
+    mid = F.greatest(F.floor(n / 2) - F.floor(m / 2), F.lit(0))
+    chosen = p.where((F.col("r") < F.ceil(n * 0.5)) | ((F.col("r") >= mid) & (F.col("r") < mid + m)) | (F.col("r") >= n - F.ceil(n * 0.2)))
+    once = stored(chosen.groupBy(*key, "n", "h", "g").agg(F.min("r").alias("r"), F.min_by(F.struct("page_num", "k"), "r").alias("at"), F.first("of").alias("of")).withColumn("b", F.col("r").bitwiseAND(~(PACK - 1))), "paragraphs")
+    blocks = once.groupBy(*key, "b").agg(F.sum(F.col("n") + 2).alias("s")).withColumn("before", F.sum("s").over(Window.partitionBy(*key).orderBy("b")) - F.col("s")).where(F.col("before") <= target)
+    packed = once.join(blocks, [*key, "b"]).withColumn("upto", F.col("before") + F.sum(F.col("n") + 2).over(Window.partitionBy(*key, "b").orderBy("r")) - 2)
+    take = stored(packed.where((F.col("upto") <= target) | (F.col("of") == 1)).select(*key, "r", "at.page_num", "at.k"), "packed")
+    asked = take.groupBy("book_id", "page_num", "chapter_index").agg(F.collect_list(F.struct("r", "k")).alias("ks"))
+    got = pages.select("book_id", "page_num", core.alias("core")).join(asked, ["book_id", "page_num"]).withColumn("ps", _paragraphs(F.col("core"))).select(*key, F.explode(F.transform("ks", lambda x: F.struct(x["r"].alias("r"), F.get(F.col("ps"), x["k"]).alias("t")))).alias("x"))
+    sampled = got.groupBy(*key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n"), 1, target).alias("text"))
+
+    # short chapters whole, and the beginning of long ones of which no paragraph fits
+    bare = long.join(take.select(*key).distinct(), key, "left_anti")
+    at = inside.select(*key, "page_num", "n").join(bare, key).withColumn("b", spans.block_of("page_num"))
+    by = at.groupBy(*key, "b").agg(F.sum(F.col("n") + 2).alias("s")).withColumn("before", F.sum("s").over(Window.partitionBy(*key).orderBy("b")) - F.col("s"))
+    most = F.col("lead0") + target
+    begun = at.join(by, [*key, "b"]).where(F.col("before") < most).withColumn("off", F.col("before") + F.sum(F.col("n") + 2).over(Window.partitionBy(*key, "b").orderBy("page_num")) - F.col("n") - 2).where(F.col("off") < most)
+    whole = inside.select(*key, "page_num").join(fits.select(*key), key).withColumn("most", F.lit(None).cast("int")).unionByName(begun.select(*key, "page_num", most.cast("int").alias("most")))
+    texts = pages.select("book_id", "page_num", core.alias("core")).join(whole, ["book_id", "page_num"]).withColumn("core", F.when(F.col("most").isNull(), F.col("core")).otherwise(F.substr("core", F.lit(1), F.col("most"))))
+    plain = texts.groupBy(*key, "most").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "core"))), lambda x: x["core"]), "\n\n").alias("t"))
+    plain = plain.select(*key, F.when(F.col("most").isNull(), tx.trim(F.col("t"))).otherwise(F.substring(F.regexp_replace("t", rf"^{tx.WS}+", ""), 1, target)).alias("text"))
+    every = page_chapter.select(*key).distinct()
+    return every.join(sampled.unionByName(plain), key, "left").withColumn("text", F.coalesce("text", F.lit("")))
+
+
 def cuts(text: str, target: int = CHUNK, overlap: int = OVERLAP) -> list[tuple[int, int]]:
     """Start and end of each piece: cut at the target, or at the last blank line before it if that is beyond three fifths; the next piece goes back by the overlap."""
     out, at, size = [], 0, len(text)
@@ -139,7 +210,7 @@ def prepare_books(pages: DataFrame, outline: DataFrame | None = None, filenames:
     raw = stored(segment.detect_chapters(pages, outline), "chapters")
     grouped = group_chapters(raw)
     member = segment.page_chapter(pages, raw).join(grouped.select("book_id", F.col("chapter_index").alias("g"), F.explode(F.sequence("first_index", "last_index")).alias("chapter_index")), ["book_id", "chapter_index"]).select("book_id", "page_num", F.col("g").alias("chapter_index"))
-    texts = chapter_text(member, pages).select("book_id", "chapter_index", compress_text(F.col("text")).alias("compressed_text"))
+    texts = compress_chapters(member, pages).withColumnRenamed("text", "compressed_text")
     ch = grouped.join(texts, ["book_id", "chapter_index"], "left").select(
         F.concat_ws("-ch-", "book_id", F.col("chapter_index").cast("string")).alias("id"), "book_id", F.col("chapter_index").alias("index"), "title", "page_start", "page_end", F.coalesce("compressed_text", F.lit("")).alias("compressed_text"), F.lit(False).alias("ai_processed"), F.lit(None).cast("string").alias("summary"),
     )

@@ -1,18 +1,18 @@
 """Pages to chapters: every strategy set-wise on skinny rows, then one choice a book.
 
 Chapters are intervals of page positions, so nothing is assigned page by page
-until a strategy is chosen, and pages meet chapters by a running window, not a
-range join.
+until a strategy is chosen, and pages meet chapters by a running value, not a
+range join. Pages, starts and chapters of a book are dealt to blocks (see ``spans``),
+so a book of any size is many tasks.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quire.functions import text as tx
-from quire.operators import profile, scoring
+from quire.operators import profile, scoring, spans
 from quire.sources.shared import stored
 
 #: Fixed values of the cascade.
@@ -21,38 +21,35 @@ SEQUENCE_QUALITY, PLAIN_QUALITY = 0.35, 0.25
 KINDS = {"chapter": 4, "part": 3, "roman": 2, "arabic-bare": 1}
 #: Stage number to the strategy it reports, in the order of preference.
 STAGES = {0: "pdf-outline", 1: "numbered-sequence", 2: "scoring", 3: "scoring", 4: "numbered-sequence", 5: "patterns", 6: "structural-fallback", 7: "n-page-sections", 8: "single-section"}
+#: What pages, starts and chapters are numbered within.
+BOOK = ("book_id",)
 CHAPTER = ("book_id", "chapter_index", "title", "page_start", "page_end", "n_pages", "start_pos", "end_pos")
 
 
 def page_index(pages: DataFrame) -> DataFrame:
     """book_id, page_num, pos (from 1), prev_page_num, first_page_num, last_page_num, n_pages: skinny rows."""
-    w = Window.partitionBy("book_id").orderBy("page_num")
-    every = Window.partitionBy("book_id")
-    return pages.select("book_id", "page_num").select("book_id", "page_num", F.row_number().over(w).alias("pos"), F.lag("page_num").over(w).alias("prev_page_num"), F.min("page_num").over(every).alias("first_page_num"), F.max("page_num").over(every).alias("last_page_num"), F.count("*").over(every).alias("n_pages"))
+    x = spans.numbered(pages.select("book_id", "page_num"), ["book_id"], spans.block_of("page_num"), ["page_num"], lags={"prev_page_num": "page_num"}, whole={"first_page_num": ("min", "page_num"), "last_page_num": ("max", "page_num")})
+    return x.select("book_id", "page_num", F.col("pos").cast("int").alias("pos"), "prev_page_num", "first_page_num", "last_page_num", F.col("of").alias("n_pages"))
 
 
-def segment_by_candidates(index: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Chapters from (book_id, page_num, title) starts: pages before the first join it, the end is the last real page."""
-    w = Window.partitionBy("book_id").orderBy("pos")
-    at = candidates.select("book_id", "page_num", "title").join(index, ["book_id", "page_num"])
-    x = at.withColumn("i", F.row_number().over(w) - 1).withColumn("next", F.lead("pos").over(w)).withColumn("before_next", F.lead("prev_page_num").over(w))
+def segment_by_candidates(index: DataFrame, candidates: DataFrame, keys: tuple[str, ...] = BOOK) -> DataFrame:
+    """Chapters from (book_id, page_num, title) starts: pages before the first join it, the end is the last real page. With further ``keys`` of the starts (as a stage) a set of chapters for each."""
+    at = stored(candidates.select(*keys, "page_num", "title").join(index, ["book_id", "page_num"]).withColumnRenamed("pos", "at"), "starts")
+    x = spans.numbered(at, list(keys), spans.block_of("at"), ["at"], leads={"next": "at", "before_next": "prev_page_num"}).withColumn("i", (F.col("pos") - 1).cast("int"))
     first = F.col("i") == 0
-    start, end = F.when(first, F.lit(1)).otherwise(F.col("pos")), F.coalesce(F.col("next") - 1, F.col("n_pages")).cast("int")
-    return x.select("book_id", F.col("i").alias("chapter_index"), "title", F.when(first, F.col("first_page_num")).otherwise(F.col("page_num")).alias("page_start"), F.coalesce("before_next", "last_page_num").alias("page_end"), (end - start + 1).cast("int").alias("n_pages"), start.cast("int").alias("start_pos"), end.alias("end_pos"))
+    start, end = F.when(first, F.lit(1)).otherwise(F.col("at")), F.coalesce(F.col("next") - 1, F.col("n_pages")).cast("int")
+    return x.select(*keys, F.col("i").alias("chapter_index"), "title", F.when(first, F.col("first_page_num")).otherwise(F.col("page_num")).alias("page_start"), F.coalesce("before_next", "last_page_num").alias("page_end"), (end - start + 1).cast("int").alias("n_pages"), start.cast("int").alias("start_pos"), end.alias("end_pos"))
 
 
 def segment_by_outline(index: DataFrame, outline: DataFrame) -> DataFrame:
     """Chapters from (book_id, seq, title, page_num) bookmarks, at least two: each runs to the next one's page less one, one without pages goes,
     pages before the first are in none, the end is the nominal one. Books with fewer than two chapters left have none."""
-    order = Window.partitionBy("book_id").orderBy("page_num", "seq")
-    marks = outline.select("book_id", "page_num", "title", "seq").withColumn("next", F.lead("page_num").over(order)).withColumn("n", F.count("*").over(Window.partitionBy("book_id"))).where("n >= 2")
+    marks = spans.numbered(outline.select("book_id", "page_num", "title", "seq"), ["book_id"], spans.block_of("page_num"), ["page_num", "seq"], leads={"next": "page_num"}).where("of >= 2").drop("pos", "of")
     pages = index.select("book_id", "page_num", "pos", "last_page_num", F.lit(1).alias("is_page"), F.lit(None).cast("int").alias("seq"), F.lit(None).cast("struct<seq:int,title:string,page_num:int,next:int>").alias("m"))
     rows = marks.select("book_id", "page_num", F.lit(None).cast("int").alias("pos"), F.lit(None).cast("int").alias("last_page_num"), F.lit(0).alias("is_page"), F.col("seq").cast("int").alias("seq"), F.struct(F.col("seq").cast("int").alias("seq"), "title", F.col("page_num").cast("int").alias("page_num"), F.col("next").cast("int").alias("next")).alias("m"))
-    run = Window.partitionBy("book_id").orderBy("page_num", "is_page", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    got = pages.unionByName(rows).withColumn("m", F.last("m", ignorenulls=True).over(run)).where("is_page = 1 and m is not null")
+    got = spans.carried(pages.unionByName(rows), ["book_id"], spans.block_of("page_num"), ["page_num", "is_page", "seq"], "m").where("is_page = 1 and m is not null")
     ch = got.groupBy("book_id", "m").agg(F.min("pos").alias("start_pos"), F.max("pos").alias("end_pos"), F.count("*").cast("int").alias("n_pages"), F.max("last_page_num").alias("last"))
-    by = Window.partitionBy("book_id").orderBy("start_pos")
-    ch = ch.withColumn("i", F.row_number().over(by) - 1).withColumn("n", F.count("*").over(Window.partitionBy("book_id"))).where("n >= 2")
+    ch = spans.numbered(stored(ch, "outline-chapters"), ["book_id"], spans.block_of("start_pos"), ["start_pos"]).withColumn("i", (F.col("pos") - 1).cast("int")).where("of >= 2")
     return ch.select("book_id", F.col("i").alias("chapter_index"), F.col("m.title").alias("title"), F.col("m.page_num").alias("page_start"), F.coalesce(F.col("m.next") - 1, F.col("last")).alias("page_end"), "n_pages", "start_pos", "end_pos")
 
 
@@ -65,42 +62,46 @@ def annotate_numbers(chapters: DataFrame) -> DataFrame:
     return chapters.withColumn("_n", tx.extract_chapter_num(F.col("title"))).where("_n is not null").withColumn("value", F.col("_n.value")).withColumn("kind", F.col("_n.kind")).drop("_n")
 
 
-def sequence_continuity(numbered: DataFrame) -> DataFrame:
+def sequence_continuity(numbered: DataFrame, keys: tuple[str, ...] = BOOK) -> DataFrame:
     """book_id, kind, n, continuity: steps of one count 1, of two 0.6, over all steps; 0 for a single number."""
-    step = F.col("value") - F.lag("value").over(Window.partitionBy("book_id", "kind").orderBy("chapter_index"))
-    good = numbered.withColumn("_g", F.when(step == 1, 1.0).when(step == 2, 0.6).when(step.isNotNull(), 0.0))
-    return good.groupBy("book_id", "kind").agg(F.count("*").alias("n"), F.coalesce(F.sum("_g") / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(0.0)).alias("continuity"))
+    by = [*keys, "kind"]
+    x = spans.numbered(numbered.select(*by, "chapter_index", "value"), by, spans.block_of("chapter_index"), ["chapter_index"], lags={"_before": "value"})
+    step = F.col("value") - F.col("_before")
+    good = x.withColumn("_g", F.when(step == 1, 1.0).when(step == 2, 0.6).when(step.isNotNull(), 0.0))
+    return good.groupBy(*by).agg(F.count("*").alias("n"), F.coalesce(F.sum("_g") / F.nullif(F.count("*") - 1, F.lit(0)), F.lit(0.0)).alias("continuity"))
 
 
-def best_sequence(chapters: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+def best_sequence(chapters: DataFrame, numbered: DataFrame | None = None, keys: tuple[str, ...] = BOOK) -> DataFrame:
     """book_id, kind, continuity of the preferred kind that runs on, where numbered chapters cover three fifths."""
-    numbered = annotate_numbers(chapters) if numbered is None else numbered
-    total = chapters.groupBy("book_id").agg(F.count("*").alias("n_all"))
-    some = numbered.groupBy("book_id").agg(F.count("*").alias("n_num"))
-    ok = total.join(some, "book_id").where((F.col("n_all") >= 2) & (F.col("n_num") >= 2) & (F.col("n_num") / F.col("n_all") >= COVERAGE)).select("book_id")
+    by = list(keys)
+    numbered = stored(annotate_numbers(chapters), "numbered") if numbered is None else numbered
+    total = chapters.groupBy(*by).agg(F.count("*").alias("n_all"))
+    some = numbered.groupBy(*by).agg(F.count("*").alias("n_num"))
+    ok = total.join(some, by).where((F.col("n_all") >= 2) & (F.col("n_num") >= 2) & (F.col("n_num") / F.col("n_all") >= COVERAGE)).select(*by)
     rank = F.coalesce(*(F.when(F.col("kind") == k, F.lit(v)) for k, v in KINDS.items()))
-    good = sequence_continuity(numbered).where((F.col("n") >= 2) & (F.col("continuity") >= CONTINUITY)).join(ok, "book_id")
-    return good.groupBy("book_id").agg(F.max_by(F.struct("kind", "continuity"), rank).alias("b")).select("book_id", "b.kind", "b.continuity")
+    good = sequence_continuity(numbered, keys).where((F.col("n") >= 2) & (F.col("continuity") >= CONTINUITY)).join(ok, by)
+    return good.groupBy(*by).agg(F.max_by(F.struct("kind", "continuity"), rank).alias("b")).select(*by, "b.kind", "b.continuity")
 
 
-def merge_around_sequence(chapters: DataFrame, sequence: DataFrame, numbered: DataFrame | None = None) -> DataFrame:
+def merge_around_sequence(chapters: DataFrame, sequence: DataFrame, numbered: DataFrame | None = None, keys: tuple[str, ...] = BOOK) -> DataFrame:
     """The sequence's chapters: what stands before the first joins it, what stands after the last joins the last, others between lose
     their pages; dropped_pages counts those for the book."""
-    both = (annotate_numbers(chapters) if numbered is None else numbered).join(sequence.select("book_id", "kind"), ["book_id", "kind"])
-    whole = chapters.groupBy("book_id").agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"), F.min("page_start").alias("lo_page"), F.max_by("page_end", "end_pos").alias("hi_page"))
-    w, every = Window.partitionBy("book_id").orderBy("chapter_index"), Window.partitionBy("book_id")
-    x = both.join(whole, "book_id").withColumn("i", F.row_number().over(w) - 1).withColumn("n", F.count("*").over(every))
-    first, last = F.col("i") == 0, F.col("i") == F.col("n") - 1
+    by = list(keys)
+    both = (annotate_numbers(chapters) if numbered is None else numbered).join(sequence.select(*by, "kind"), [*by, "kind"])
+    whole = chapters.groupBy(*by).agg(F.min("start_pos").alias("lo"), F.max("end_pos").alias("hi"), F.min("page_start").alias("lo_page"), F.max_by("page_end", "end_pos").alias("hi_page"))
+    x = spans.numbered(stored(both.join(whole, by), "members"), by, spans.block_of("chapter_index"), ["chapter_index"]).withColumn("i", (F.col("pos") - 1).cast("int"))
+    first, last = F.col("i") == 0, F.col("pos") == F.col("of")
     start, end = F.when(first, F.col("lo")).otherwise(F.col("start_pos")), F.when(last, F.col("hi")).otherwise(F.col("end_pos"))
-    out = x.select("book_id", F.col("i").alias("chapter_index"), "title", F.when(first, F.col("lo_page")).otherwise(F.col("page_start")).alias("page_start"), F.when(last, F.col("hi_page")).otherwise(F.col("page_end")).alias("page_end"), (end - start + 1).cast("int").alias("n_pages"), start.alias("start_pos"), end.alias("end_pos"), (F.col("hi") - F.col("lo") + 1).alias("_all"))
-    return out.withColumn("dropped_pages", (F.col("_all") - F.sum("n_pages").over(every)).cast("int")).drop("_all")
+    out = x.select(*by, F.col("i").alias("chapter_index"), "title", F.when(first, F.col("lo_page")).otherwise(F.col("page_start")).alias("page_start"), F.when(last, F.col("hi_page")).otherwise(F.col("page_end")).alias("page_end"), (end - start + 1).cast("int").alias("n_pages"), start.alias("start_pos"), end.alias("end_pos"), (F.col("hi") - F.col("lo") + 1).alias("_all"))
+    kept = out.groupBy(*by).agg(F.sum("n_pages").alias("_kept"))
+    return out.join(kept, by).withColumn("dropped_pages", (F.col("_all") - F.col("_kept")).cast("int")).drop("_all", "_kept")
 
 
 def structural_breaks(pages: DataFrame) -> DataFrame:
     """book_id, page_num, title: a page under 60 words after one over 80 whose first line starts with a capital and is short."""
-    w = Window.partitionBy("book_id").orderBy("page_num")
     skinny = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), F.get(profile.top_lines(pages, 1), F.lit(0)).alias("title"))
-    return skinny.withColumn("before", F.lag("n_words").over(w)).where((F.col("before") > 80) & (F.col("n_words") < 60) & F.col("title").rlike("^[A-Z]") & (F.length("title") < 60)).select("book_id", "page_num", "title")
+    x = spans.numbered(stored(skinny, "page-words"), ["book_id"], spans.block_of("page_num"), ["page_num"], lags={"before": "n_words"})
+    return x.where((F.col("before") > 80) & (F.col("n_words") < 60) & F.col("title").rlike("^[A-Z]") & (F.length("title") < 60)).select("book_id", "page_num", "title")
 
 
 def n_page_sections(index: DataFrame) -> DataFrame:
@@ -159,20 +160,19 @@ def stage_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFr
     both = scoring.score_pages_at(stored(scoring.scored_lines(pages, context), "scored-lines"), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
     # all that follows works on these rows
     starts = stored(both.unionByName(scoring.find_heading(pages).select(*skinny, F.lit(5).alias("stage"))).unionByName(structural_breaks(pages).select(*skinny, F.lit(6).alias("stage"))), "chapter-starts")
-    of = lambda stage: starts.where(F.col("stage") == stage)
-    enough = lambda c: c.join(c.groupBy("book_id").count().where("count >= 2").select("book_id"), "book_id", "left_semi")
-    plain = {stage: enough(segment_by_candidates(index, of(stage))) for stage in (2, 3, 5, 6)} | {7: n_page_sections(index), 8: whole_book(index)}
-    # the relaxed stage is for books that had two candidates at the full threshold
-    plain[3] = plain[3].join(of(2).groupBy("book_id").count().where("count >= 2").select("book_id"), "book_id", "left_semi")
+    # a stage of starts needs two of them; the relaxed one is for books that had two at the full threshold
+    n = starts.groupBy("book_id", "stage").count().where("count >= 2").select("book_id", "stage")
+    ok = n.where("stage != 3").unionByName(n.where("stage = 3").join(n.where("stage = 2").select("book_id"), "book_id", "left_semi"))
+    every = ("book_id", "stage")
+    plain = segment_by_candidates(index, starts.join(ok, list(every)), every).unionByName(_staged({7: n_page_sections(index), 8: whole_book(index)}))
     if outline is not None:
-        plain[0] = segment_by_outline(index, outline)
-    first = stored(_staged(plain), "plain-chapters")
-    made = {}
-    for stage, source in ((1, 2), (4, 5)):
-        chapters = first.where(F.col("stage") == source).drop("stage")
-        numbered = annotate_numbers(chapters)
-        made[stage] = merge_around_sequence(chapters, best_sequence(chapters, numbered), numbered)
-    return first.unionByName(stored(_staged(made), "sequences"))
+        plain = plain.unionByName(_staged({0: segment_by_outline(index, outline)}))
+    first = stored(plain.select(*CHAPTER, "stage"), "plain-chapters")
+    # the sequences of the scored chapters and of those by patterns
+    source = first.where("stage in (2, 5)").withColumn("stage", F.col("stage") - 1)
+    numbered = stored(annotate_numbers(source), "numbered")
+    made = merge_around_sequence(source, stored(best_sequence(source, numbered, every), "best-sequences"), numbered, every)
+    return first.unionByName(stored(made.select(*CHAPTER, "stage"), "sequences"))
 
 
 def _staged(made: dict[int, DataFrame]) -> DataFrame:
@@ -201,8 +201,7 @@ def detect_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataF
 
 
 def page_chapter(pages: DataFrame, chapters: DataFrame) -> DataFrame:
-    """book_id, page_num, chapter_index: each page's chapter by a running window; pages that no chapter holds are left out."""
+    """book_id, page_num, chapter_index: each page's chapter by the last start at or before it; pages that no chapter holds are left out."""
     index = page_index(pages).select("book_id", "page_num", "pos", F.lit(1).alias("is_page"), F.lit(None).cast("struct<chapter_index:int,end_pos:int>").alias("c"))
     starts = chapters.select("book_id", F.lit(None).cast("int").alias("page_num"), F.col("start_pos").alias("pos"), F.lit(0).alias("is_page"), F.struct(F.col("chapter_index").cast("int").alias("chapter_index"), F.col("end_pos").cast("int").alias("end_pos")).alias("c"))
-    w = Window.partitionBy("book_id").orderBy("pos", "is_page").rowsBetween(Window.unboundedPreceding, 0)
-    return index.unionByName(starts).withColumn("c", F.last("c", ignorenulls=True).over(w)).where((F.col("is_page") == 1) & (F.col("pos") <= F.col("c.end_pos"))).select("book_id", "page_num", F.col("c.chapter_index").alias("chapter_index"))
+    return spans.carried(stored(index.unionByName(starts), "pages-and-starts"), ["book_id"], spans.block_of("pos"), ["pos", "is_page"], "c").where((F.col("is_page") == 1) & (F.col("pos") <= F.col("c.end_pos"))).select("book_id", "page_num", F.col("c.chapter_index").alias("chapter_index"))

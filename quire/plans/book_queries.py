@@ -466,7 +466,7 @@ def k2_group_chapters(spark, sf_dir):
 )
 def k3_compress_text(spark, sf_dir):
     p = pages(spark, sf_dir)
-    return compact.chapter_text(segment.page_chapter(p, whole(spark, sf_dir)), p).select("book_id", "chapter_index", compact.compress_text(F.col("text")).alias("text"))
+    return compact.compress_chapters(segment.page_chapter(p, whole(spark, sf_dir)), p)
 
 
 def chunks_sql(source: str) -> str:
