@@ -18,10 +18,13 @@ def _key(name: str) -> str:
 
 
 def upsert(store: DataFrame, updates: DataFrame, key: str, order: str | None = None) -> DataFrame:
-    """Inserts or overwrites by key; of several updates of one key the last holds: that with the largest ``order``, and of equal ones (or with no order given) the last in the order of the rows."""
-    row = F.struct(*store.columns).alias("_u")
-    rank = F.struct(*([F.col(order)] if order else []), F.monotonically_increasing_id().alias("_n")).alias("_o")
-    last = updates.select(F.col(key).alias("_key"), row, rank).groupBy("_key").agg(F.max_by("_u", "_o").alias("_u")).select("_u.*")
+    """Inserts or overwrites by key; of several updates of one key that with the largest ``order`` holds. With no order given, or where it is equal, two different updates of a key are an error: rows have no order of their own."""
+    row = F.struct(*store.columns)
+    x = updates.select(F.col(key).alias("_key"), row.alias("_u"), (F.col(order) if order else F.lit(0)).alias("_o"), F.to_json(row).alias("_j"))
+    best = x.groupBy("_key").agg(F.max("_o").alias("_o"))
+    same = F.col("_key").eqNullSafe(F.col("_key0")) & F.col("_o").eqNullSafe(F.col("_o0"))
+    last = x.join(best.select(F.col("_key").alias("_key0"), F.col("_o").alias("_o0")), same).groupBy("_key").agg(F.first("_u").alias("_u"), (F.min("_j") != F.max("_j")).alias("_two"))
+    last = last.where(F.when(F.col("_two"), F.raise_error(F.lit("a key has several updates and no order tells the last")).cast("boolean")).otherwise(F.lit(True))).select("_u.*")
     return store.join(last.select(key), key, "left_anti").select(*store.columns).unionByName(last)
 
 

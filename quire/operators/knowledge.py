@@ -47,14 +47,28 @@ def parse_chapter_knowledge(raw: Column) -> Column:
 
 
 def apply_responses(chapters: DataFrame, responses: DataFrame) -> DataFrame:
-    """Chapters with their answer (book_id, chapter_index, raw; raw null: the call failed); of several of one chapter the last holds, by ``attempt`` if there is one, else in
-    the order of the rows. A failed call leaves the chapter unprocessed with empty
-    knowledge, an answer that cannot be read processes it with empty knowledge. Chapters without an answer stay as they are."""
-    order = [c for c in ("attempt",) if c in responses.columns]
-    r = responses.select("book_id", F.col("chapter_index").alias("index"), F.struct("raw").alias("_r"), F.struct(*order, F.monotonically_increasing_id().alias("_n")).alias("_o"))
-    r = r.groupBy("book_id", "index").agg(F.max_by("_r", "_o").alias("_r")).select("book_id", "index", F.col("_r.raw").alias("_raw"), F.lit(True).alias("_answered"))
-    x = chapters.drop("ai_knowledge").join(r, ["book_id", "index"], "left").withColumn("_k", F.when(F.col("_answered"), F.coalesce(parse_chapter_knowledge(F.col("_raw")), _empty())))
-    return x.withColumn("ai_processed", F.when(F.col("_answered"), F.col("_raw").isNotNull()).otherwise(F.col("ai_processed"))).withColumn("summary", F.when(F.col("_answered"), F.col("_k.summary")).otherwise(F.col("summary"))).withColumn("ai_knowledge", F.col("_k")).drop("_raw", "_answered", "_k")
+    """Chapters with their answer (book_id, chapter_index, raw; raw null: the call failed); of several of one chapter that of the largest ``attempt`` holds
+    (without such a column two answers of a chapter are an error). A processed chapter is never done again, whatever is answered. A failed call leaves a chapter
+    unprocessed with empty knowledge, an answer that cannot be read processes it with empty knowledge. Chapters without an answer stay as they are."""
+    key = [F.col("book_id"), F.col("chapter_index").alias("index")]
+    if "attempt" in responses.columns:
+        r = responses.select(*key, F.struct("raw").alias("_r"), F.struct("attempt", "raw").alias("_o")).groupBy("book_id", "index").agg(F.max_by("_r", "_o").alias("_r"))
+    else:
+        r = responses.select(*key, F.struct("raw").alias("_r")).groupBy("book_id", "index").agg(F.max("_r").alias("_r"), F.count("*").alias("_n")).where(_single("a chapter has several answers and there is no attempt to choose by"))
+    r = r.select("book_id", "index", F.col("_r.raw").alias("_raw"), F.lit(True).alias("_there"))
+    x = chapters.join(r, ["book_id", "index"], "left").withColumn("_new", F.coalesce("_there", F.lit(False)) & ~F.coalesce("ai_processed", F.lit(False)))
+    k = F.when(F.col("_new"), F.coalesce(parse_chapter_knowledge(F.col("_raw")), _empty()))
+    x = x.withColumn("_k", k)
+    old = F.col("ai_knowledge").cast(x.schema["_k"].dataType) if "ai_knowledge" in chapters.columns else F.lit(None).cast(x.schema["_k"].dataType)
+    new = {"ai_processed": F.col("_raw").isNotNull(), "summary": F.col("_k.summary"), "ai_knowledge": F.col("_k")}
+    for name, value in new.items():
+        x = x.withColumn(name, F.when(F.col("_new"), value).otherwise(old if name == "ai_knowledge" else F.col(name)))
+    return x.drop("_raw", "_there", "_new", "_k")
+
+
+def _single(what: str) -> Column:
+    """True where _n is one, an error elsewhere."""
+    return F.when(F.col("_n") > 1, F.raise_error(F.lit(what)).cast("boolean")).otherwise(F.lit(True))
 
 
 def explode_knowledge(chapters: DataFrame) -> DataFrame:
@@ -105,15 +119,24 @@ def choose_book_summary(books: DataFrame, chapters: DataFrame, responses: DataFr
     return x.select("id", F.when(F.coalesce("_own", F.lit("")) != "", F.col("_own")).when(F.col("_n") == 1, F.col("_first")).when(F.col("_n") > 1, F.coalesce("_raw", "_first")).otherwise(F.lit("")).alias("summary"))
 
 
+def _tried(chapters: DataFrame) -> Column:
+    """Chapters that were asked for: a failed call leaves empty knowledge, one that was never made none."""
+    return F.count_if(F.coalesce("ai_processed", F.lit(False)) | (F.col("ai_knowledge").isNotNull() if "ai_knowledge" in chapters.columns else F.lit(False)))
+
+
 def call_metrics(chapters: DataFrame) -> DataFrame:
-    """book_id, chapters, ai_calls_total (one more than chapters), ai_calls_done."""
-    return chapters.groupBy("book_id").agg(F.count("*").cast("int").alias("chapters"), (F.count("*") + 1).cast("int").alias("ai_calls_total"), F.count_if("ai_processed").cast("int").alias("ai_calls_done"))
+    """book_id, chapters, ai_calls_total (one more than chapters), ai_calls_done: a call for every chapter that was tried, failed ones too."""
+    return chapters.groupBy("book_id").agg(F.count("*").cast("int").alias("chapters"), (F.count("*") + 1).cast("int").alias("ai_calls_total"), _tried(chapters).cast("int").alias("ai_calls_done"))
 
 
 def finalize_books(books: DataFrame, chapters: DataFrame, responses: DataFrame) -> DataFrame:
-    """Books with their summary, status ``complete`` and calls done: a call for every chapter, one for the summary where there was any to make it from."""
-    made = chapters.groupBy("book_id").agg((F.count("*") + F.max(F.when(F.coalesce("summary", F.lit("")) != "", 1).otherwise(0))).cast("int").alias("_done"))
+    """Books with their summary, status ``complete`` and calls done: one for every chapter that was tried and one for a summary that was
+    made now, be it from a book's only chapter summary. A summary that was there, or whose call failed, is no call done."""
+    some = F.coalesce("summary", F.lit("")) != ""
+    made = chapters.groupBy("book_id").agg(_tried(chapters).cast("int").alias("_done"), F.count_if(some).alias("_n"))
     s = choose_book_summary(books, chapters, responses).withColumnRenamed("summary", "_s")
-    x = books.join(s, "id").join(made, books["id"] == made["book_id"], "left").drop("book_id")
-    done = (F.coalesce("_done", F.lit(0)) - F.when(F.coalesce("summary", F.lit("")) != "", F.coalesce(F.least("_done", F.lit(1)), F.lit(0))).otherwise(0)).cast("int")
-    return x.withColumn("pipeline_metrics", F.col("pipeline_metrics").withField("ai_calls_done", done)).withColumn("summary", F.col("_s")).withColumn("status", F.lit("complete")).drop("_s", "_done")
+    told = responses.where("raw is not null").select("book_id", F.lit(1).alias("_told")).distinct()
+    x = books.join(s, "id").join(made, books["id"] == made["book_id"], "left").drop("book_id").join(told, books["id"] == told["book_id"], "left").drop("book_id")
+    one = F.when(some, 0).when(F.col("_n") == 1, 1).when(F.col("_n") > 1, F.coalesce("_told", F.lit(0))).otherwise(0)
+    x = x.withColumn("pipeline_metrics", F.col("pipeline_metrics").withField("ai_calls_done", (F.coalesce("_done", F.lit(0)) + one).cast("int")))
+    return x.withColumn("summary", F.col("_s")).withColumn("status", F.lit("complete")).drop("_s", "_done", "_n", "_told")

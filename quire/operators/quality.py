@@ -22,10 +22,9 @@ def _ratio(a: Column, e: Column) -> Column:
 
 
 def score_books(expected: DataFrame, actual: DataFrame) -> DataFrame:
-    """slug, six scores, overall_score, passed; a book without an actual row scores nothing."""
-    x = expected.join(actual.withColumn("_there", F.lit(True)), "slug", "left")
+    """slug, six scores, overall_score, passed; a book without an actual row counts as one that found nothing, by the same formulas."""
+    x = expected.join(actual, "slug", "left")
     a = lambda c: F.coalesce(F.col(c), F.lit(0))
-    there = F.coalesce("_there", F.lit(False))
     e = a("expected_chapter_count")
     scores = {
         "chapter_score": F.when(e == 0, F.when(a("chapter_count") > 0, 1.0).otherwise(0.0)).otherwise(F.least(F.lit(1.0), a("chapter_count") / F.nullif(e, F.lit(0)))),
@@ -35,7 +34,7 @@ def score_books(expected: DataFrame, actual: DataFrame) -> DataFrame:
         "quote_score": _ratio(a("quote_count"), a("expected_quote_count")),
         "ai_call_score": F.when(a("ai_calls") == a("expected_ai_calls"), 1.0).otherwise(0.5),
     }
-    x = x.select("slug", *(F.when(there, c).otherwise(0.0).alias(n) for n, c in scores.items()))
+    x = x.select("slug", *(c.alias(n) for n, c in scores.items()))
     total = sum((F.col(n) * w for n, w in WEIGHTS.items()), F.lit(0.0))
     return x.withColumn("overall_score", total).withColumn("passed", F.col("overall_score") >= PASS)
 

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from quire.operators import archive, audit, compact, knowledge, profile, scoring, segment
 from quire.sources import stores
 from tests.test_books import DENSE, SPARSE, book
@@ -9,10 +11,35 @@ from tests.test_books import DENSE, SPARSE, book
 
 def test_last_write_wins(spark):
     store = spark.createDataFrame([("a", "old", 0), ("b", "old", 0)], "id string, status string, n int")
-    updates = spark.createDataFrame([("a", "first", 1), ("a", "second", 1), ("c", "x", 5), ("c", "y", 4), ("a", "third", 1)], store.schema).coalesce(1)
-    assert {tuple(r)[:2] for r in archive.upsert(store, updates, "id").collect()} == {("a", "third"), ("b", "old"), ("c", "y")}
-    assert {tuple(r)[:2] for r in archive.upsert(store, updates, "id", "n").collect()} == {("a", "third"), ("b", "old"), ("c", "x")}
+    updates = spark.createDataFrame([("a", "first", 1), ("a", "second", 3), ("c", "x", 5), ("c", "y", 4), ("a", "third", 2), ("a", "second", 3)], store.schema)
+    assert {tuple(r)[:2] for r in archive.upsert(store, updates, "id", "n").collect()} == {("a", "second"), ("b", "old"), ("c", "x")}
     assert archive.upsert(store, updates.limit(0), "id").count() == 2
+    # rows have no order of their own: without one, different updates of a key are an error, equal ones are not
+    with pytest.raises(Exception, match="no order tells the last"):
+        archive.upsert(store, updates, "id").collect()
+    assert archive.upsert(store, updates.where("n = 3"), "id").count() == 2
+
+
+def test_finished_chapters_stay(spark):
+    """A processed chapter is never done again; a failed call leaves empty knowledge and is a call done; an untouched chapter has none."""
+    chapters = spark.createDataFrame([("b", i, i == 0, "kept" if i == 0 else None) for i in range(4)], "book_id string, index int, ai_processed boolean, summary string")
+    first = knowledge.apply_responses(chapters, spark.createDataFrame([("b", 0, None), ("b", 1, '{"summary": "s", "concepts": ["c"]}'), ("b", 2, None)], "book_id string, chapter_index int, raw string"))
+    again = knowledge.apply_responses(first, spark.createDataFrame([("b", 1, None), ("b", 2, "no json")], "book_id string, chapter_index int, raw string"))
+    got = {r["index"]: (r.ai_processed, r.summary, r.ai_knowledge and r.ai_knowledge.concepts) for r in again.collect()}
+    assert got == {0: (True, "kept", None), 1: (True, "s", ["c"]), 2: (True, "", []), 3: (False, None, None)}
+    assert knowledge.call_metrics(again).first().ai_calls_done == 3 == knowledge.call_metrics(first).first().ai_calls_done
+    with pytest.raises(Exception, match="no attempt to choose by"):
+        knowledge.apply_responses(chapters, spark.createDataFrame([("b", 1, "x"), ("b", 1, "y")], "book_id string, chapter_index int, raw string")).collect()
+
+
+def test_calls_of_a_finished_book(spark):
+    """A summary that was there or failed is no call done; one made now, or taken from the only chapter summary, is."""
+    books = spark.createDataFrame([(k, s, (4, 4, 5, 0)) for k, s in (("had", "old"), ("told", None), ("failed", None), ("one", None), ("none", ""))], "id string, summary string, pipeline_metrics struct<pages:int,chapters:int,ai_calls_total:int,ai_calls_done:int>")
+    n = {"had": 2, "told": 2, "failed": 2, "one": 1, "none": 0}
+    chapters = spark.createDataFrame([(b, i, i < n[b], f"s{i}" if i < n[b] else None) for b in n for i in range(3)], "book_id string, index int, ai_processed boolean, summary string")
+    told = spark.createDataFrame([("told", "S"), ("failed", None)], "book_id string, raw string")
+    got = {r.id: (r.summary, r.pipeline_metrics.ai_calls_done) for r in knowledge.finalize_books(books, chapters, told).collect()}
+    assert got == {"had": ("old", 2), "told": ("S", 3), "failed": ("s0", 2), "one": ("s0", 2), "none": ("", 0)}
 
 
 def test_last_attempt_wins(spark):
