@@ -11,8 +11,9 @@ unbounded group and no pair is lost.
 
 Two plans of keys: ``exact_tables`` (pigeonhole: any two fingerprints within
 the radius share at least one key) and ``sampled_tables`` (bit sampling for a
-wide fingerprint, with a stated recall). The second only proposes pairs: they
-are decided by their exact shingle similarity, before components are built.
+wide fingerprint, with a stated recall). The second only proposes clusters: their
+members' shingle sets meet in blocks, where pairs are decided by exact similarity,
+and a block again gives the spanning forest of what it links, never its pairs.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quire.llm.common import by_slices, removed, split_join, stored, written
+from quire.llm.common import by_slices, removed, slices, split_join, stored, written
 
 SEED = 42
 #: Rows of a bucket above which it is split into chunk pairs.
@@ -154,8 +155,8 @@ def near_pairs(f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray
             yield a, a + d
 
 
-def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges (node, smallest node it hangs together with in these buckets)."""
+def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray, m: np.ndarray | None = None, similarity: float = 0.0, tight: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Edges (node, smallest node it hangs together with in these buckets). With sizes m only pairs whose sizes allow the similarity count, and those of which neither is small must lie within ``tight``."""
     parent = np.arange(len(node))
 
     def root(x: int) -> int:
@@ -165,9 +166,13 @@ def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivo
         return x
 
     for a, b in near_pairs(f, group, radius, pivots):
-        apart = parent[a] != parent[b]
-        if apart.any():
-            for x, y in zip(a[apart].tolist(), b[apart].tolist()):
+        open_ = parent[a] != parent[b]
+        if m is not None and open_.any():
+            a, b = a[open_], b[open_]
+            least = np.minimum(m[a], m[b])
+            open_ = (least >= similarity * np.maximum(m[a], m[b]) - 1e-9) & ((np.bitwise_count(f[a] ^ f[b]).sum(1) <= tight) | (least < SMALL))
+        if open_.any():
+            for x, y in zip(a[open_].tolist(), b[open_].tolist()):
                 x, y = root(x), root(y)
                 if x != y:
                     if node[y] < node[x]:
@@ -179,38 +184,12 @@ def forest(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivo
     return node[own], node[parent[own]]
 
 
-def choices(node: np.ndarray, f: np.ndarray, group: np.ndarray, radius: int, pivots: np.ndarray, c: np.ndarray, m: np.ndarray, similarity: float, tight: int, every: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Near pairs of different c whose sizes m allow the similarity: every one, or each row's nearest and its least node only.
-
-    Pairs of which neither is small must lie within ``tight``.
-    """
-    near, who, low = np.full(len(node), 1 << 20), np.full(len(node), -1), node.copy()
-    for a, b in near_pairs(f, group, radius, pivots):
-        ok = (c[a] != c[b]) & (np.minimum(m[a], m[b]) >= similarity * np.maximum(m[a], m[b]) - 1e-9)
-        a, b = a[ok], b[ok]
-        d = np.bitwise_count(f[a] ^ f[b]).sum(1)
-        ok = (d <= tight) | (np.minimum(m[a], m[b]) < SMALL)
-        a, b, d = a[ok], b[ok], d[ok]
-        if every:
-            yield node[a], node[b]
-            continue
-        for x, y in ((a, b), (b, a)):  # a row stands in each of them once at most
-            closer = (d < near[x]) | (d == near[x]) & (node[y] < node[who[x]])
-            near[x[closer]], who[x[closer]] = d[closer], y[closer]
-            low[x] = np.minimum(low[x], node[y])
-    if not every:
-        own = who >= 0
-        yield node[own], node[who[own]]
-        own = low != node
-        yield node[own], low[own]
-
-
-def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int, alike: tuple[float, int, int] | None = None, every: bool = False) -> DataFrame:
+def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, width: int, alike: tuple[float, int, int] | None = None) -> DataFrame:
     """Edges (a, b), a > b, whose components are those of all near pairs that share a key. nodes: node, f0..
 
-    With alike = (similarity, radius of sets that are not small, number of tables they need): the pairs that choices() gives; nodes: node, f0.., c, m.
+    With alike = (similarity, radius of sets that are not small, number of tables they need) only pairs whose sizes m allow the similarity count; nodes: node, f0.., m.
     """
-    names = [f"f{w}" for w in range(width)] + (["c", "m"] if alike else [])
+    names = [f"f{w}" for w in range(width)] + (["m"] if alike else [])
     keys = [F.struct(F.lit(t).alias("t"), F.col(f"f{w}").bitwiseAND(F.lit(_signed(mask))).alias("k")) for t, (w, mask) in enumerate(tables)]
     every_key = F.array(*keys)
     if alike and alike[2] < len(keys):  # who may meet a small set takes all tables
@@ -245,9 +224,9 @@ def bucket_edges(nodes: DataFrame, tables: list[tuple[int, int]], radius: int, w
 
     def done(cols: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
         given = cols[1], np.stack(cols[2 : 2 + width], 1).view(np.uint64), cols[0], radius, pivots
-        for a, b in choices(*given, *cols[2 + width :], *alike[:2], every) if alike else [forest(*given)]:
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
+        a, b = forest(*given, *cols[2 + width :], *alike[:2]) if alike else forest(*given)
+        if len(a):
+            yield pa.RecordBatch.from_arrays([pa.array(np.maximum(a, b)), pa.array(np.minimum(a, b))], names=["a", "b"])
 
     return dealt.mapInArrow(run, "a long, b long").where("a != b").distinct()
 
@@ -311,8 +290,8 @@ def near_copies(docs: DataFrame, shingle: int = 4, radius: int = 4, text: str =
 WANTED = 1 << 26
 #: Words of the fingerprint that decides which pairs are counted exactly.
 WIDE = 32
-#: Keys of the first round, which joins most of what is near.
-FIRST = 16
+#: Shingles and texts of a part of a cluster, about: a larger cluster is many parts, and every two of them are a block.
+PART, PART_ROWS = 500_000, 1024
 #: What a marked table has besides the documents' own columns.
 ROW, NODE, SIZE, BITS = "_simhash_row", "_simhash_node", "_simhash_size", "_simhash_f"
 
@@ -341,7 +320,7 @@ def marked(docs: DataFrame, n: int, width: int, text: str) -> DataFrame:
 
 
 def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFrame:
-    """node, m (size), s (its shingle hashes), w (their fingerprint of 64 * WIDE bits) for each wanted (node, row), from the marked documents: shingles are made for the wanted rows only."""
+    """wanted (node, row, others) with s, the row's shingle hashes, from the marked documents: shingles are made for the wanted rows only."""
     at = F.pmod(F.xxhash64("row"), F.lit(WANTED))
     bits = np.zeros(WANTED // 8, np.uint8)
     for r in wanted.select((at + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
@@ -354,79 +333,91 @@ def wanted_sets(docs: DataFrame, wanted: DataFrame, n: int, text: str) -> DataFr
         def run(part: pa.RecordBatch) -> pa.RecordBatch:
             where = part.column(1).to_numpy()
             part = part.take(pa.array(np.flatnonzero(bits[where >> 3] >> (where & 7).astype(np.uint8) & 1)))
-            sets, node = shingle_sets(part.column(2).to_pylist(), n)
-            flat = np.concatenate([np.empty(0, np.uint64), *sets]).view(np.int64)
-            return pa.RecordBatch.from_arrays([part.column(0), pa.array(node), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, sets)]), pa.int32()), pa.array(flat)), pa.array([x.tobytes() for x in fingerprints(sets, WIDE)], pa.binary())], names=["row", "node", "m", "s", "w"])
+            sets = shingle_sets(part.column(2).to_pylist(), n)[0]
+            return pa.RecordBatch.from_arrays([part.column(0), pa.array([x.tobytes() for x in sets], pa.binary())], names=["row", "s"])
 
         return run
 
-    found = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).select("row", at.alias("at"), "text").mapInArrow(by_slices(make, 256), "row long, node long, m long, s array<long>, w binary")
-    return found.join(wanted, ["row", "node"], "left_semi").select("node", "m", "s", "w")
+    found = docs.select(F.col(ROW).alias("row"), F.col(text).alias("text")).select("row", at.alias("at"), "text").mapInArrow(by_slices(make, 256), "row long, s binary")
+    return found.join(wanted, "row")
+
+
+def linked(nodes: list[int], sets: list[np.ndarray], side: list[int], similarity: float) -> Iterator[tuple[int, int]]:
+    """A spanning forest of the pairs whose sets have the Jaccard similarity, exactly counted; between two sides only, if there are two.
 
+    A wide fingerprint tells most pairs apart, and a row is held only against nodes that it does not hang together with yet, nearest first.
+    """
+    f, m, side = fingerprints(sets, WIDE), np.array([len(x) for x in sets]), np.array(side)
+    wide, tight = (reach(apart(similarity, small), 64 * WIDE) for small in (True, False))
+    two, label = bool((side != side[0]).any()), np.arange(len(nodes))
+    for i in range(len(nodes)):
+        rest = np.flatnonzero(label[i + 1 :] != label[i]) + i + 1
+        if two:
+            rest = rest[side[rest] != side[i]]
+        least, most = np.minimum(m[rest], m[i]), np.maximum(m[rest], m[i])
+        rest, least = (x[least >= similarity * most - 1e-9] for x in (rest, least))
+        d = np.bitwise_count(f[rest] ^ f[i]).sum(1)
+        ok = d <= np.where(least < SMALL, wide, tight)
+        for j in rest[ok][np.argsort(d[ok], kind="stable")].tolist():
+            if label[j] == label[i]:
+                continue
+            total = m[i] + m[j]
+            if not total or (1 + similarity) * len(np.intersect1d(sets[i], sets[j], assume_unique=True)) >= similarity * total - 1e-9:
+                label[label == label[j]] = label[i]
+                yield max(nodes[i], nodes[j]), min(nodes[i], nodes[j])
 
-def _distances(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """a, b, ma, mb and the number of bits in which the wide fingerprints wa and wb differ."""
-    for part in batches:
-        a, b = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint64).reshape(-1, WIDE) for c in ("wa", "wb"))
-        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in ("a", "b", "ma", "mb")), pa.array(np.bitwise_count(a ^ b).sum(1), pa.int32())], names=["a", "b", "ma", "mb", "d"])
 
+def alike(docs: DataFrame, nodes: DataFrame, loose: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
+    """Edges between nodes of one cluster (loose: node, component) whose sets are alike. A cluster's nodes meet in blocks of two parts of about PART shingles, or PART_ROWS texts, each."""
+    of = stored(loose.union(loose.select(F.col("component").alias("node"), "component")).distinct().join(nodes.select("node", "m", F.col("first.row").alias("row")), "node"), "clusters")
+    sizes = of.groupBy("component").agg(F.ceil(F.greatest(F.sum("m") / PART, F.count("*") / PART_ROWS)).cast("int").alias("parts"), F.count("*").alias("n"))
+    wanted = split_join(of.select("node", "row", "component"), sizes, ["component"], "node", of.count())
+    wanted = stored(wanted.select("node", "row", "component", "parts", F.pmod(F.xxhash64("node"), "parts").cast("int").alias("r")), "wanted")
+    met = wanted_sets(docs, wanted, n, text).withColumn("o", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    met = met.select(F.col("component").alias("g"), F.least("r", "o").alias("p"), F.greatest("r", "o").alias("q"), "r", "node", "s").repartition("g", "p", "q").sortWithinPartitions("g", "p", "q", "node")
 
-def alike(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, n: int, similarity: float, text: str) -> DataFrame:
-    """The pairs whose shingle sets have the Jaccard similarity, exactly counted. A node of many pairs is dealt out."""
-    pairs = stored(pairs, "pairs")
-    total = pairs.count()
-    asked = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = stored(nodes.select("node", F.col("first.row").alias("row")).join(asked, "node", "left_semi"), "wanted")
-    sets = stored(wanted_sets(docs, wanted, n, text), "sets")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
 
-    def with_both(pairs: DataFrame, of: DataFrame, total: int) -> DataFrame:
-        """The pairs with what ``of`` tells of either node, named with a and b."""
-        for x, other in (("a", "b"), ("b", "a")):
-            one = of.select(*(F.col(c).alias(x if c == "node" else c + x) for c in of.columns)).join(pairs.groupBy(x).agg(F.count("*").alias("n")), x)
-            pairs = split_join(pairs, one, [x], other, total)
-        return pairs
+        def edges() -> Iterator[pa.RecordBatch]:
+            if len(held) > 1:
+                got = list(linked([x[1] for x in held], [np.frombuffer(x[2], np.uint64) for x in held], [x[0] for x in held], similarity))
+                if got:
+                    yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in got], pa.int64()) for i in (0, 1)], names=["a", "b"])
 
-    # a wide fingerprint tells most pairs apart, so that few whole sets are moved
-    wide, tight = (reach(apart(similarity, small), 64 * WIDE) for small in (True, False))
-    within = F.when(F.least("ma", "mb") < SMALL, wide).otherwise(tight)
-    close = with_both(pairs, sets.select("node", "m", "w"), total).mapInArrow(_distances, "a long, b long, ma long, mb long, d int")
-    pairs = stored(close.where(F.col("d") <= within).select("a", "b"), "close-pairs")
-    total = pairs.count()
-    left = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    pairs_with = with_both(pairs, sets.select("node", "s").join(left, "node", "left_semi"), total)
-    sizes = F.size("sa") + F.size("sb")
-    both = (1 + similarity) * F.size(F.array_intersect("sa", "sb"))
-    return stored(pairs_with.where((both >= similarity * sizes - 1e-9) | (sizes == 0)).select("a", "b"), "alike")
+        for batch in slices(batches):
+            for g, p, q, *row in zip(*(c.to_pylist() for c in batch.columns)):
+                if (g, p, q) != key:
+                    yield from edges()
+                    key, held = (g, p, q), []
+                held.append(row)
+        yield from edges()
+
+    return stored(met.mapInArrow(run, "a long, b long"), "alike")
 
 
 def similar_rows(docs: DataFrame, shingle: int, similarity: float, width: int, text: str, key: str) -> tuple[DataFrame, DataFrame]:
     """The marked documents, and row, key, first (least key of the group and its first row) of every row.
 
     Links are pairs of texts whose sets of shingles have this Jaccard similarity at least.
-    No other pair is linked: fingerprints only propose pairs, which are then counted exactly. Of pairs at exactly
-    ``similarity`` 0.99 or more are proposed, of closer ones more. Texts with equal sets are one node. A first round takes
-    each node's nearest and least neighbour; the second takes every pair that is not joined by then.
+    No other pair is linked: fingerprints only propose which texts may hang together, and all pairs of what they join are then decided by exact counts. Of pairs at exactly
+    ``similarity`` 0.99 or more are proposed, of closer ones more. Texts with equal sets are one node.
     """
     shares = apart(similarity, True), apart(similarity)
     wide, tight = (reach(s, 64 * width) for s in shares)
     names = [f"f{w}" for w in range(width)]
     docs = marked(docs, shingle, width, text)
-    sig = docs.select(F.col(ROW).alias("row"), F.col(key).alias("key"), F.col(NODE).alias("node"), F.col(SIZE).alias("m"), *(F.col(f"{BITS}{w}").alias(x) for w, x in enumerate(names)))
+    sig = docs.select(F.col(ROW).alias("row"), F.col(key).alias("key"), F.col(NODE).alias("node"), F.col(SIZE).cast("int").alias("m"), *(F.col(f"{BITS}{w}").alias(x) for w, x in enumerate(names)))
     nodes = stored(sig.groupBy("node").agg(F.first("m").alias("m"), *(F.first(x).alias(x) for x in names), first_of("row"), F.count("*").alias("n")), "fingerprints")
     n_nodes, total = nodes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     tables = sampled_tables(n_nodes, width, shares[0], wide)
     some = len(sampled_tables(n_nodes, width, shares[1], tight))
-    edges, comp, of = None, None, nodes.withColumn("c", F.col("node"))
-    for given, every in ((tables[:FIRST], False), (tables, True)):
-        more = alike(docs, nodes, bucket_edges(of, given, wide, width, (similarity, tight, some), every), shingle, similarity, text)
-        edges = more if edges is None else edges.union(more)
-        comp = components(edges)
-        if not every:
-            of = stored(nodes.join(comp, "node", "left").select(*nodes.columns, F.coalesce("component", "node").alias("c")), "joined")
+    loose = components(bucket_edges(nodes, tables, wide, width, (similarity, tight, some)))
+    comp = components(alike(docs, nodes, loose, shingle, similarity, text))
     return docs, split_join(sig.select("row", "key", "node"), classes(nodes.select("node", "first", "n"), comp), ["node"], "row", total).drop("node")
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 6, text: str = "text", key: str = "doc_id") -> DataFrame:
     """key, component_id (smallest key of the group, null if nobody there has one) of every row: see similar_rows().
 
     Texts without words are one group. Repeated rows give equal rows; an empty table gives an empty one; other columns are left out.
@@ -434,7 +425,7 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, w
     return similar_rows(docs, shingle, similarity, width, text, key)[1].select(F.col("key").alias(key), F.col("first.key").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 8, text: str = "text", key: str = "doc_id") -> DataFrame:
+def one_of_each(docs: DataFrame, shingle: int = 5, similarity: float = 0.8, width: int = 6, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The documents, all columns, exactly one row of each group: that with the smallest key, of repeated or missing keys the first row. See similar_rows()."""
     rows, found = similar_rows(docs, shingle, similarity, width, text, key)
     gone = stored(found.where("row != first.row").select(F.col("row").alias(ROW)), "near-duplicates")

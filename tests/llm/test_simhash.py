@@ -164,3 +164,34 @@ def test_recall_against_all_pairs(spark, sf):
     assert all(want[i] == want[c] for i, c in got.items())
     linked = [i for i in want if want[i] != i]
     assert linked and sum(got[i] == want[i] for i in linked) >= 0.9 * len(linked)
+
+
+def test_clusters_in_parts(spark, monkeypatch):
+    """One topic's texts, many of them alike at 0.5 to 0.9 to one another: the same groups as by all pairs, in one block or in many."""
+    rng = random.Random(8)
+    base = [f"t{k}" for k in range(60)]
+    rows = []
+    for k in range(90):
+        words = list(base)
+        for at in rng.sample(range(60), rng.choice([0, 1, 2, 3])):
+            words[at] = f"own{k}x{at}"
+        rows.append((k, " ".join(words)))
+    comp = brute_groups(rows)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for shingles, texts in ((500_000, 1024), (300, 1024), (500_000, 7)):
+        monkeypatch.setattr(simhash, "PART", shingles)
+        monkeypatch.setattr(simhash, "PART_ROWS", texts)
+        assert {r.doc_id: r.component_id for r in simhash.similar_groups(df).collect()} == dict(enumerate(comp))
+    assert 3 < len(set(comp)) < 80
+
+
+def test_linked_is_a_forest():
+    rng = random.Random(4)
+    sets = [np.unique(np.array([rng.randrange(40) for _ in range(60)], np.uint64)) for _ in range(40)]
+    nodes = [1000 - k for k in range(40)]
+    for side in ([0] * 40, [k % 2 for k in range(40)]):
+        got = list(simhash.linked(nodes, sets, side, 0.8))
+        assert len(got) < 40 and len({*got}) == len(got) and all(a > b for a, b in got)
+        for a, b in got:
+            x, y = (set(sets[nodes.index(n)].tolist()) for n in (a, b))
+            assert len(x & y) >= 0.8 * len(x | y) and (side[0] == side[1] or (a - b) % 2)
