@@ -38,18 +38,23 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def first_copies(ids: np.ndarray, x: np.ndarray, most: int) -> np.ndarray:
-    """Rows that may count: of equal vectors only the ``most`` smallest ids can be among the nearest."""
+    """Rows that may count: of equal vectors only the ``most`` smallest ids can be among the nearest, rows of the query's own id, whichever that is, not counted."""
     _, which = np.unique(np.ascontiguousarray(x).view(np.dtype((np.void, x.dtype.itemsize * x.shape[1]))).ravel(), return_inverse=True)
     order = np.lexsort((ids, which))
-    w = which[order]
+    w, i = which[order].astype(np.int64), ids[order]
     start = np.r_[0, np.flatnonzero(w[1:] != w[:-1]) + 1]
     rank = np.arange(len(w)) - np.repeat(start, np.diff(np.r_[start, len(w)]))
-    return np.sort(order[rank < most])
+    # rows of one id, and the most rows that one smaller id has among the equal vectors
+    first = np.r_[0, np.flatnonzero((w[1:] != w[:-1]) | (i[1:] != i[:-1])) + 1]
+    size, of = np.diff(np.r_[first, len(w)]), w[first] * (len(w) + 1)
+    upto = np.maximum.accumulate(of + size)
+    before = np.maximum(np.r_[0, upto[:-1]] - of, 0)
+    return np.sort(order[rank - np.repeat(before, size) < most])
 
 
 def block_top(q_ids: np.ndarray, q: np.ndarray, ids: np.ndarray, x: np.ndarray, k: int) -> list[tuple[int, int, float]]:
     """(query id, id, score) of the k nearest candidates of each query, its own id aside."""
-    keep = first_copies(ids, x, k + 1)
+    keep = first_copies(ids, x, k)
     ids, x = ids[keep], x[keep]
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]

@@ -115,3 +115,20 @@ def test_neighbours_of_repeated_keys(spark):
     rows = [(0, [1.0, 1.0]), (0, [2.0, 0.0]), (7, [3.0, 1.0]), (7, [3.0, 1.0]), (9, [0.0, 5.0])]
     got = sorted((r.query_id, r.vec_id, r.score) for r in neighbours.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>")).collect())
     assert got == sorted((0, i, float(np.dot(q, v))) for k, q in rows[:2] for i, v in rows[2:])
+
+
+def test_copies_behind_a_repeated_id():
+    """Equal vectors whose smallest ids are the query's own, many times, still give other ids; against all rows."""
+    rng = np.random.default_rng(6)
+    for _ in range(30):
+        x = rng.integers(1, 3, (80, 2)).astype(float)
+        ids = rng.choice([20, 20, 20, 20, 7, 40, 41, 60, 90], 80)
+        for k in (1, 3, 20):
+            got = {}
+            for q, v, s in neighbours.block_top(np.array([20, 40]), x[:2], ids, x, k):
+                got.setdefault(q, []).append((-s, v))
+            for n, q in enumerate((20, 40)):
+                want = sorted((-float(x[n] @ c), int(i)) for i, c in zip(ids, x) if i != q)[:k]
+                assert sorted(got.get(q, [])) == want
+    ids = np.array([20] * 25 + [40])
+    assert neighbours.block_top(np.array([20]), np.ones((1, 4)), ids, np.ones((26, 4)), 20) == [(20, 40, 4.0)]
