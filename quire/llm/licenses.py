@@ -29,25 +29,25 @@ PHRASES = (("under the mit license", "mit"), ("apache license version 2", "apach
 FAMILIES = (
     ("mit", r"(?:mit|expat|mit x11)", r"mit", False),
     ("mit-0", r"mit no attribution", r"mit 0", False),
-    ("apache-1.1", r"apache(?: software)?(?: license| licence)?(?: version)? 1 1", r"apache 1 1", True),
-    ("apache-2", r"apache(?: software)?(?: license| licence)?(?: version)? 2(?: 0)?", r"apache 2 0", True),
+    ("apache-1.1", r"apache(?: software)?(?: license| licence)?(?: version)? 1 1", r"apache (?:software )?(?:licen[cs]e )?(?:version )?1 1", True),
+    ("apache-2", r"apache(?: software)?(?: license| licence)?(?: version)? 2(?: 0)?", r"(?:apache 2 0|apache (?:software )?licen[cs]e (?:version )?2(?: 0)?)", True),
     ("apache", r"apache(?: software)?", r"apache", False),
-    ("gpl-1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", r"gpl 1 0(?: only| or later)?", True),
-    ("gpl-2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: only)?", r"gpl 2 0(?: only)?", True),
-    ("gpl-2-or-later", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?)", r"gpl 2 0 or later", True),
-    ("gpl-3", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: only)?", r"gpl 3 0(?: only)?", True),
-    ("gpl-3-or-later", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?)", r"gpl 3 0 or later", True),
+    ("gpl-1", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?1(?: 0)?", r"gpl ?v? ?1(?: 0)?(?: only| or later)?", True),
+    ("gpl-2", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: only)?", r"gpl ?v? ?2(?: 0)?(?: only)?", True),
+    ("gpl-2-or-later", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?2(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?)", r"gpl ?v? ?2(?: 0)? or later", True),
+    ("gpl-3", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: only)?", r"gpl ?v? ?3(?: 0)?(?: only)?", True),
+    ("gpl-3-or-later", r"(?:gnu )?(?:general public license|gpl)(?: version| v)? ?3(?: 0)?(?: or(?: at your option)?(?: any)? later(?: version)?)", r"gpl ?v? ?3(?: 0)? or later", True),
     ("gpl", r"(?:gnu )?(?:general public|gpl)", r"gpl", False),
-    ("lgpl-2", r"(?:gnu )?(?:library|lesser) general public license(?: version| v)? ?2(?: 0)?", r"lgpl 2 0(?: only| or later)?", True),
-    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", r"lgpl 2 1(?: only| or later)?", True),
-    ("lgpl-3", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", r"lgpl 3 0(?: only| or later)?", True),
+    ("lgpl-2", r"(?:gnu )?(?:library|lesser) general public license(?: version| v)? ?2(?: 0)?", r"lgpl ?v? ?2(?: 0)?(?: only| or later)?", True),
+    ("lgpl-2.1", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?2 1", r"lgpl ?v? ?2 1(?: only| or later)?", True),
+    ("lgpl-3", r"(?:gnu )?(?:lesser general public license|lgpl)(?: version| v)? ?3(?: 0)?", r"lgpl ?v? ?3(?: 0)?(?: only| or later)?", True),
     ("lgpl", r"(?:gnu )?(?:lesser general public|lgpl)", r"lgpl", False),
     ("agpl-3", r"(?:gnu )?affero general public license(?: version| v)? ?3(?: 0)?", r"agpl 3 0(?: only| or later)?", False),
-    ("agpl", r"agpl(?: v)? ?3?", r"agpl(?: 3 0)?(?: only| or later)?", True),
+    ("agpl", r"agpl(?: v)? ?3?", r"agpl(?: ?v? ?3(?: 0)?)?(?: only| or later)?", True),
     ("gfdl", r"gnu free documentation", r"gfdl(?: 1 [123])?(?: only| or later)?", False),
-    ("bsd-2", r"(?:simplified|freebsd|2 clause|two clause)(?: bsd)?|bsd 2 clause", r"bsd 2 clause", True),
-    ("bsd-3", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause", r"bsd 3 clause", True),
-    ("bsd-4", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", r"bsd 4 clause", True),
+    ("bsd-2", r"(?:simplified|2 clause|two clause) bsd|freebsd|bsd 2 clause", r"(?:bsd 2 clause|(?:2|two) clause bsd)", True),
+    ("bsd-3", r"(?:new|modified|revised|3 clause|three clause) bsd|bsd 3 clause", r"(?:bsd 3 clause|(?:3|three) clause bsd)", True),
+    ("bsd-4", r"(?:original|4 clause|four clause) bsd|bsd 4 clause", r"(?:bsd 4 clause|(?:4|four) clause bsd)", True),
     ("bsd-0", r"(?:zero clause|0 clause) bsd", r"0bsd", True),
     ("bsd", r"(?:berkeley software distribution|bsd)(?: style)?", r"bsd", False),
     ("isc", r"(?:isc|internet systems consortium)", r"isc", False),
@@ -60,9 +60,9 @@ FAMILIES = (
     ("cddl", r"(?:common development and distribution license )?cddl(?: version)?(?: 1 [01])?", r"cddl 1 [01]", True),
     ("cpl-1", r"common public license(?: version)?(?: 1(?: 0)?)?", r"cpl 1 0", False),
     ("eupl", r"european union public license?c?e?(?: version)?(?: 1 [012])?", r"eupl 1 [012]", False),
-    ("artistic-1", r"artistic(?: license)?(?: version)? 1(?: 0)?", r"artistic 1 0", True),
-    ("artistic-2", r"artistic(?: license)?(?: version)? 2(?: 0)?", r"artistic 2 0", True),
-    ("artistic", r"(?:perl )?artistic", r"artistic", False),
+    ("artistic-1", r"artistic(?: license)?(?: version)? 1(?: 0)?", r"artistic (?:licen[cs]e )?(?:version )?1 0", True),
+    ("artistic-2", r"artistic(?: license)?(?: version)? 2(?: 0)?", r"artistic (?:licen[cs]e )?(?:version )?2 0", True),
+    ("artistic", r"(?:the )?perl artistic|the artistic", r"artistic", False),
     ("zlib", r"zlib(?: libpng)?", r"zlib", False),
     ("libpng", r"libpng", r"libpng(?: 2 0)?", False),
     ("boost-1", r"boost software license(?: version)?(?: 1(?: 0)?)?", r"bsl 1 0", False),
@@ -90,7 +90,7 @@ FAMILIES = (
     ("bsl-1.1", r"business source license(?: version)?(?: 1 1)?", r"busl 1 1", False),
     ("sspl-1", r"server side public license(?: version| v)?(?: 1)?", r"sspl 1 0", False),
     ("elastic-2", r"elastic license(?: version)?(?: 2(?: 0)?)?", r"elastic 2 0", False),
-    ("jpl", r"json", r"json", False),
+    ("json", r"json", r"json", False),
 )
 
 #: Sentences of license texts and notices, as words. label, regex, priority, score; what many texts share comes late.
@@ -166,7 +166,7 @@ SIGNATURES = (
     ("bsl-1.1", r"the licensor hereby grants you the right to copy modify create derivative works redistribute and make non production use of the licensed work", 1, 0.98),
     ("sspl-1", r"if you make the functionality of the program or a modified version available to third parties as a service", 1, 0.97),
     ("elastic-2", r"you may not provide the software to third parties as a hosted or managed service", 1, 0.97),
-    ("jpl", r"the software shall be used for good not evil", 1, 0.97),
+    ("json", r"the software shall be used for good not evil", 1, 0.97),
     ("ms-pl", r"this license governs use of the accompanying software if you use the software you accept this license", 2, 0.85),
     ("beerware", r"as long as you retain this notice you can do whatever you want with this stuff", 1, 0.97),
     ("public-domain", r"(?:is|are|been) (?:hereby )?(?:placed|released|dedicated|put) (?:in|into|to) the public domain", 2, 0.9),
@@ -183,6 +183,9 @@ FORMS = (
     ("named", r"(?:{n}) licen[cs]e", 4, 0.8),
 )
 ALONE = ("alone", r"(?:{i}|{n})", 5, 0.6)
+#: Families whose names are plain prose too: of these only the identifier, which holds a version, tells alone.
+PROSE = frozenset(("apache-1.1", "apache-2", "bsd-2", "bsd-3", "bsd-4", "mpl", "epl", "artistic-1", "artistic-2"))
+UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def needed(regex: str) -> list[str]:
@@ -217,6 +220,8 @@ def rules() -> list[dict]:
     out = [{"id": i, "label": label, "keywords": needed(regex), "regex": whole(regex), "priority": priority, "score": score, "form": "sentence"} for i, (label, regex, priority, score) in enumerate(SIGNATURES)]
     for label, name, ident, tells in FAMILIES:
         for form, around, priority, score in (*FORMS, ALONE)[: 6 if tells else 5]:
+            if form == ALONE[0] and label in PROSE:
+                around = "{i}"
             told = "|".join(x for mark, x in (("{i}", ident), ("{n}", name)) if mark in around)
             out.append({"id": len(out), "label": label, "keywords": needed(told), "regex": whole(around.replace("{n}", name).replace("{i}", ident)), "priority": priority, "score": score, "form": form})
     return out
@@ -268,7 +273,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     score 0. Repeated rows give equal rows, an empty table an empty one, other
     columns are left out. No shuffle, no Python: one pass over the text.
     """
-    low = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, F.lower(F.trim(F.regexp_replace("_t", NOT_WORD, " "))).alias("_w"))
+    low = docs.select(key, F.coalesce(F.col(text), F.lit("")).alias("_t")).select(key, F.translate(F.trim(F.regexp_replace("_t", NOT_WORD, " ")), UPPER, LOWER).alias("_w"))
     low = low.select(key, F.when(F.col("_w") == "", F.lit(0)).otherwise(spaces(F.col("_w")) + 1).cast("long").alias("n_words"), "_w")
     parts = low.select("*", *(F.when(F.contains(F.col("_w"), F.lit(p)), F.split("_w", f"(?<![^ ]){p}(?![^ ])", -1)).alias(f"_p{i}") for i, (p, _) in enumerate(PHRASES)))
     n = [F.when(F.col(f"_p{i}").isNull(), F.lit(0)).otherwise(F.size(F.col(f"_p{i}")) - 1) for i in range(len(PHRASES))]

@@ -20,6 +20,7 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from itertools import accumulate
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
@@ -46,6 +47,10 @@ ESCAPE = re.compile(r"\\u([dD][89abAB]X{2})\\u([dD][c-fC-F]X{2})|\\u\{(X{1,6})\}
 MAX_LAYER, OVERLAP = 16 << 20, 1 << 20
 #: Characters of layers that are read of one document at most; only nested compression bombs have more. Layers beyond it are counted in n_left.
 MAX_WORK = 1 << 30
+#: Memory that a compressed stream's dictionary may ask for (that of xz -9 is half of it); one that asks for more is not read and counted in n_left.
+MAX_DICTIONARY = 128 << 20
+#: Kind of a place whose inside was not read.
+UNREAD = "unread"
 
 Span = tuple[str, int, int]
 
@@ -69,16 +74,20 @@ def _text(data: bytes) -> str | None:
         return data.decode("utf-8", "surrogateescape") if RUN.search(data) else None
 
 
-def _inflated(data: bytes) -> Iterator[tuple[bytes, bool]]:
-    """The inflated bytes, in overlapping chunks, and whether there is more than one; nothing if the bytes are not compressed. A broken stream ends where it breaks."""
-    make = (lambda: zlib.decompressobj(47)) if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0 else bz2.BZ2Decompressor if data[:3] == b"BZh" else lzma.LZMADecompressor if data[:6] == b"\xfd7zXZ\0" else None
+def _inflated(data: bytes) -> Iterator[tuple[bytes | None, bool]]:
+    """The inflated bytes, in overlapping chunks, and whether there is more than one; nothing if the bytes are not compressed. A broken stream ends where it breaks; None for what asks for a dictionary over MAX_DICTIONARY."""
+    make = (lambda: zlib.decompressobj(47)) if data[:2] == b"\x1f\x8b" or data[:1] == b"\x78" and int.from_bytes(data[:2], "big") % 31 == 0 else bz2.BZ2Decompressor if data[:3] == b"BZh" else (lambda: lzma.LZMADecompressor(memlimit=MAX_DICTIONARY)) if data[:6] == b"\xfd7zXZ\0" else None
     if make is None:
         return
     head, made, held, chunks = data[:2], make(), b"", 0
     while True:
         try:
             got = made.decompress(data, MAX_LAYER)
-        except (zlib.error, OSError, lzma.LZMAError, EOFError):
+        except lzma.LZMAError as error:
+            if "limit" in str(error).lower():
+                yield None, False
+            break
+        except (zlib.error, OSError, EOFError):
             break
         held += got
         if made.eof:
@@ -139,8 +148,25 @@ def _unicode(m: re.Match) -> str | None:
     return chr(code) if code < 0x110000 and not 0xD800 <= code < 0xE000 else None
 
 
-def unwrapped(text: str) -> Iterator[tuple[str, str, Callable[[int, int], tuple[int, int]], bool]]:
-    """Layers directly inside a text: encoding, layer, map of spans to the text's, whether it was cut."""
+def _bytes_before(layer: str) -> Callable[[int], int]:
+    """The number of UTF-8 bytes before a place of the layer; counted once, when first asked for."""
+    if layer.isascii():
+        return lambda i: i
+    counts: list[np.ndarray] = []
+
+    def before(i: int) -> int:
+        if not counts:
+            codes = np.frombuffer(layer.encode("utf-32-le", "surrogatepass"), "<u4")
+            wide = 1 + (codes >= 0x80).astype(np.int64) + (codes >= 0x800) + (codes >= 0x10000)
+            wide[(codes >= 0xDC80) & (codes <= 0xDCFF)] = 1  # a byte that stands for itself
+            counts.append(np.concatenate(([0], np.cumsum(wide))))
+        return int(counts[0][i])
+
+    return before
+
+
+def unwrapped(text: str) -> Iterator[tuple[str, str | None, Callable[[int, int], tuple[int, int]], bool]]:
+    """Layers directly inside a text: encoding, layer (None: not read), map of spans to the text's, whether it was cut."""
     for name, marks, pattern, value in (("url", ("%",), PERCENT, _url), ("unicode", ("\\", "&#"), ESCAPE, _unicode)):
         if any(mark in text for mark in marks) and (got := _replaced(text, pattern, value)):
             yield name, *got, False
@@ -157,14 +183,14 @@ def unwrapped(text: str) -> Iterator[tuple[str, str, Callable[[int, int], tuple[
             packed = False
             for part, short in _inflated(data):
                 packed = True
-                if (layer := _text(part)) is not None:
+                if part is None or (layer := _text(part)) is not None:
+                    layer = None if part is None else layer
                     yield "base64+compressed", layer, (lambda s, e, run=run: run.span()), short
             if not packed and (layer := _text(data)) is not None:
                 begins = list(accumulate((len(x) for _, x in lines[:-1]), initial=0))
 
-                def to(s: int, e: int, layer: str = layer, lines: list = lines, begins: list = begins) -> tuple[int, int]:
-                    a = len(layer[:s].encode("utf-8", "surrogateescape"))
-                    b = a + len(layer[s:e].encode("utf-8", "surrogateescape"))
+                def to(s: int, e: int, before: Callable[[int], int] = _bytes_before(layer), lines: list = lines, begins: list = begins) -> tuple[int, int]:
+                    a, b = before(s), before(e)
                     place = lambda i: lines[k := bisect_right(begins, i) - 1][0] + i - begins[k]
                     return place(a * 8 // 6), place(-(-b * 8 // 6) - 1) + 1
 
@@ -195,7 +221,7 @@ def digest(text: str) -> bytes:
 def scan_text(text: str) -> tuple[list[Span], list[Span], int, int, int]:
     """Base spans, spans found in layers (kind: encodings joined by '+', '.', base kind), layers read, layers in chunks, layers left.
 
-    A span that the text itself shows is not given again. The worklist goes deepest first, so that of a layer that inflates in
+    The place of a layer that is left is a span of kind ``unread``, so that what masks spans masks it whole. A span that the text itself shows is not given again. The worklist goes deepest first, so that of a layer that inflates in
     chunks one is done before the next is made; layers that are equal are read once.
     """
     top = Layer(text, "", None)
@@ -212,6 +238,10 @@ def scan_text(text: str) -> tuple[list[Span], list[Span], int, int, int]:
                 work[-1].take(at.name, at.to, at.spans)
             continue
         name, layer, to, short = found
+        if layer is None:
+            left += 1
+            at.take(name, to, {(UNREAD, 0, 0): ()})
+            continue
         key = digest(layer)
         if key in open_:
             continue
@@ -220,6 +250,7 @@ def scan_text(text: str) -> tuple[list[Span], list[Span], int, int, int]:
             continue
         if size + len(layer) > MAX_WORK:
             left += 1
+            at.take(name, to, {(UNREAD, 0, len(layer)): ()})
             continue
         layers, cut, size = layers + 1, cut + short, size + len(layer)
         work.append(Layer(layer, name, to))
@@ -247,8 +278,8 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str | N
 
     Returns key, n_assign, n_access, n_hex, base_sha256 (of the base spans,
     joined), spans (base ones and those of unwrapped layers, by start, then
-    kind), n_layers (different ones), n_cut (chunks of layers over MAX_LAYER when inflated), n_left (layers not read, of
-    documents whose layers have over MAX_WORK characters); with ``mask``
+    kind), n_layers (different ones), n_cut (chunks of layers over MAX_LAYER when inflated), n_left (layers not read, as
+    the document's layers have over MAX_WORK characters or a stream asks for over MAX_DICTIONARY; each place is in spans, as ``unread``); with ``mask``
     also redacted: the text with every span replaced (null stays null). Null
     text: as empty: no spans. Repeated rows give equal rows, an empty table an
     empty one, other columns are left out. No shuffle.
@@ -274,7 +305,7 @@ def scan(docs: DataFrame, text: str = "text", key: str = "doc_id", mask: str | N
 
 
 def masked(docs: DataFrame, mask: str, text: str = "text") -> DataFrame:
-    """The documents, all columns, with every span that scan() finds replaced by ``mask``; null texts stay null."""
+    """The documents, all columns, with every span that scan() finds replaced by ``mask``, places of layers that were not read (``unread``) too; null texts stay null."""
 
     def make():
         def run(part: pa.RecordBatch) -> pa.RecordBatch:

@@ -93,6 +93,15 @@ def test_license_rules_find_their_own_samples(spark):
     assert all(got[t][1] for t in said)
 
 
+def test_license_names_alone_are_no_license(spark):
+    """Words of plain prose that are also a part of a license's name; what holds a version stays."""
+    plain = ["a simplified view of the model", "two clause sentences", "FreeBSD servers", "the EPL season", "Apache 2 helicopters", "artistic 2 dancers", "he took some artistic license", "creative commons people", "MPL lab", "a new BSD kernel", "the Mozilla team", "ruby and json"]
+    told = {"GPLv3": "gpl-3", "GPL-2.0-or-later": "gpl-2-or-later", "LGPLv2.1": "lgpl-2.1", "the simplified BSD license": "bsd-2", "under the FreeBSD license": "bsd-2", "the Perl artistic license": "artistic", "BSD-2-Clause": "bsd-2", "SPDX-License-Identifier: JSON": "json", "\u212a MIT license": "mit"}
+    rows = [(t, t) for t in [*plain, *told]]
+    got = {r.id: r.labels for r in licenses.scan(spark.createDataFrame(rows, "text string, id string"), key="id").collect()}
+    assert got == {t: told.get(t, "") for t in got}
+
+
 def test_license_plan_is_native(spark, sf):
     plan = queries.op3_license_rules(spark, sf)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
@@ -190,4 +199,31 @@ def test_secret_layers_of_broken_and_odd_escapes(monkeypatch):
     _, more, layers, _, left = secrets.scan_text("z " + nested.decode())
     assert [(s, e) for _, s, e in more] == [(2, 2 + len(nested))] and layers <= 24 and left == 0
     monkeypatch.setattr(secrets, "MAX_WORK", 1000)
-    assert secrets.scan_text("z " + nested.decode())[4] == 1
+    _, more, _, _, left = secrets.scan_text("z " + nested.decode())
+    assert left == 1 and more == [("base64+compressed.unread", 2, 2 + len(nested))]
+    assert secrets.redacted("z " + nested.decode(), more, "*") == "z *"
+
+
+def test_secret_streams_that_ask_for_much_memory(spark):
+    """A stream whose header asks for a dictionary over the bound is not read, counted, and masked whole; others in the same text are read."""
+    wide = lzma.compress(b"password=Zbcdxf0123WxyzQXY", filters=[{"id": lzma.FILTER_LZMA2, "preset": 1, "dict_size": 256 << 20}])
+    usual = base64.b64encode(lzma.compress(b"password=Zbcdxf0123WxyzQXY", preset=9)).decode()
+    b64 = base64.b64encode(wide).decode()
+    text = f"a {b64} b {usual} c"
+    base, more, _, _, left = secrets.scan_text(text)
+    assert left == 1 and [k for k, *_ in more] == ["base64+compressed.unread", "base64+compressed.assign"] and text[more[0][1] : more[0][2]] == b64
+    out = secrets.masked(spark.createDataFrame([(1, text)], "doc_id long, text string"), "*").first()
+    assert out.text == "a * b * c"
+
+
+def test_secret_maps_of_layers_with_many_spans():
+    """A wide layer of many spans and characters of every width: each span's place decodes to it."""
+    layer = " ".join(f"é日\U0001f600 password=Zbcdxf{k:012d}" for k in range(20000))
+    b64 = base64.b64encode(layer.encode()).decode()
+    _, more, *_ = secrets.scan_text(f"x {b64}")
+    assert len(more) == 20000
+    for _, s, e in more[:: len(more) // 50]:
+        a = (s - 2) // 4 * 4
+        assert b"password=Zbcdxf" in base64.b64decode(b64[a : a + 60])
+    before = secrets._bytes_before("aé日\U0001f600\udcffz")
+    assert [before(i) for i in range(7)] == [0, 1, 3, 6, 10, 11, 12]
