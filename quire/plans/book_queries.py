@@ -998,6 +998,36 @@ def s4_write_store(spark, sf_dir):
     return stores.read_store(spark, "books", path).select("id", "status", "created_at")
 
 
+#: For every fourth book a line cut short and a record without a key.
+BROKEN = ('{"id":"b%d","title":"cut', '{"title":"no key %d"}')
+
+
+@query(
+    f"""{ITEMS_SQL}, {BOOKS}, r AS (SELECT *, row_number() OVER (PARTITION BY book_id, category ORDER BY chapter_index, position) AS rank FROM deduped)
+    SELECT 'books' AS store, id AS key, n || '/' || (n + 1) || '/' || status AS detail FROM b
+    UNION ALL SELECT 'chapters', book_id || '-ch-' || chapter_index, CASE WHEN good THEN w1 || '|' || upper(w1) || '|' || w2 ELSE '' END FROM a
+    UNION ALL SELECT 'knowledge', b.id, coalesce(string_agg(item, '|' ORDER BY rank) FILTER (category = 'vocabulary' AND rank <= 20), '') FROM b LEFT JOIN r ON r.book_id = b.id GROUP BY b.id
+    UNION ALL SELECT 'rejected books', NULL, replace(line, '%d', CAST(k AS VARCHAR)) FROM b, (SELECT unnest(['{BROKEN[0]}', '{BROKEN[1]}']) AS line) WHERE k % 4 = 1"""
+)
+def s5_export_archive(spark, sf_dir):
+    """A dump of the stores (chunks absent), with lines that cannot be read, taken into empty stores."""
+    path, held = shared.new_folder(spark, "dump"), all_stores(spark, sf_dir)
+    stores.export_archive(held, path, 0)
+    k = F.regexp_extract("id", "([0-9]+)", 1)
+    some(held["books"], 1).select(F.explode(F.array(*(F.replace(F.lit(line), F.lit("%d"), k) for line in BROKEN)))).write.mode("append").text(f"{path}/books")
+    empty = {name: spark.createDataFrame([], df.schema) for name, df in held.items()} | {"chunks": spark.createDataFrame([], "id string, book_id string, text string")}
+    got = stores.import_archive(spark, path, empty)
+    m = "pipeline_metrics"
+    detail = {
+        "books": ("id", F.concat_ws("/", f"{m}.pages", f"{m}.ai_calls_total", "status")), "chapters": ("id", F.array_join("ai_knowledge.concepts", "|")),
+        "knowledge": ("book_id", F.array_join("vocabulary", "|")), "chunks": ("id", F.col("text")),
+    }
+    out = stores.rejected_lines(spark, path, empty).select(F.concat(F.lit("rejected "), "store").alias("store"), F.lit(None).cast("string").alias("key"), F.col("line").alias("detail"))
+    for name, (key, c) in detail.items():
+        out = out.unionByName(got[name].select(F.lit(name).alias("store"), F.col(key).alias("key"), c.alias("detail")))
+    return out
+
+
 @query(f"WITH {BOOKS} SELECT id, CASE WHEN k % 4 = 1 THEN 'complete' ELSE status END AS status FROM b")
 def s6_exchange_archive(spark, sf_dir):
     path, b = shared.new_folder(spark, "dump"), books(spark, sf_dir)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 from pyspark.sql.window import Window
 
 from quire.operators import archive
@@ -73,13 +74,39 @@ def export_archive(stores: dict[str, DataFrame], path: str, exported_at_ms: int)
     spark.createDataFrame([(exported_at_ms, sorted(set(stores) & set(STORES)))], "exported_at long, stores array<string>").coalesce(1).write.mode("overwrite").json(f"{path}/manifest")
 
 
-def import_archive(spark: SparkSession, path: str, stores: dict[str, DataFrame]) -> dict[str, DataFrame]:
-    """The stores with a dump's records over those of the same key; a store the dump does not have stays."""
+def _record_key(store: str) -> str:
+    return "book_id" if store == "knowledge" else "id"
+
+
+def _dumped(spark: SparkSession, path: str, store: str, schema: StructType) -> DataFrame:
+    """line, record, fits: the lines of a dumped store that are not blank; one that is no JSON of this schema, or has no key, does not fit."""
+    bad = "_corrupt_line"
+    record = F.from_json("line", StructType([*schema.fields, StructField(bad, StringType())]), {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": bad})
+    x = spark.read.text(f"{path}/{store}").select(F.col("value").alias("line")).where(F.trim("line") != "").select("line", record.alias("r"))
+    fits = F.col(f"r.{bad}").isNull() & F.col(f"r.{_record_key(store)}").isNotNull()
+    return x.select("line", F.struct(*(F.col(f"r.{c}").alias(c) for c in schema.names)).alias("record"), fits.alias("fits"))
+
+
+def _dumped_stores(spark: SparkSession, path: str, stores: dict[str, DataFrame]) -> list[str]:
+    """Those of the stores that the dump's manifest names and that have a folder in it."""
     named = spark.read.schema("exported_at long, stores array<string>").json(f"{path}/manifest").select(F.explode("stores")).collect()
+    return [name for (name,) in named if name in stores and children(spark, f"{path}/{name}")]
+
+
+def import_archive(spark: SparkSession, path: str, stores: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """The stores with a dump's records over those of the same key; a store the dump does not have stays. A line that cannot be read as a record is left out, see rejected_lines(); all others go in."""
     out = dict(stores)
-    for (name,) in named:
-        if name in stores:
-            out[name] = archive.upsert(stores[name], spark.read.schema(stores[name].schema).json(f"{path}/{name}"), "book_id" if name == "knowledge" else "id")
+    for name in _dumped_stores(spark, path, stores):
+        records = _dumped(spark, path, name, stores[name].schema).where("fits").select("record.*")
+        out[name] = archive.upsert(stores[name], records, _record_key(name))
+    return out
+
+
+def rejected_lines(spark: SparkSession, path: str, stores: dict[str, DataFrame]) -> DataFrame:
+    """store, line: what import_archive() leaves out of a dump."""
+    out = spark.createDataFrame([], "store string, line string")
+    for name in _dumped_stores(spark, path, stores):
+        out = out.unionByName(_dumped(spark, path, name, stores[name].schema).where("not fits").select(F.lit(name).alias("store"), "line"))
     return out
 
 

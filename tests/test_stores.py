@@ -86,3 +86,21 @@ def test_decisions_and_report(spark):
     assert (numbers["n_pages"], numbers["chapters"], numbers["accepted"], numbers["candidates"]) == (6, 3, 3, len(seen))
     want = sorted((r.page_num, r.line_index, r.text, r.score) for r in near.collect() if r.book_id == "b")[:50]
     assert [(x["page_num"], x["line_index"], x["text"], x["score"]) for x in report["b"].get("near_misses", [])] == want
+
+
+def test_dump_with_lines_that_cannot_be_read(spark, tmp_path):
+    """Lines that are cut short, of other types, without a key or blank do not hinder the others; a store without a folder or outside the manifest stays."""
+    path = f"file://{tmp_path}/dump"
+    held = {
+        "books": spark.createDataFrame([("a", "A\nline", (1, 2)), ("b", None, None)], "id string, title string, pipeline_metrics struct<pages:int,chapters:int>"),
+        "knowledge": spark.createDataFrame([("a", ["x", "y"])], "book_id string, concepts array<string>"),
+        "chunks": spark.createDataFrame([("c", "a")], "id string, book_id string"),
+    }
+    stores.export_archive({k: held[k] for k in ("books", "knowledge")}, path, 7)
+    bad = ['{"id":"z","title":"cut', '{"title":"no key"}', '{"id":"n","pipeline_metrics":{"pages":"many"}}', "[]", "null"]
+    (tmp_path / "dump/books/more.json").write_text("\n".join(["", *bad, "  ", '{"id":"late","title":"L","unknown":1}']) + "\n")
+    old = {"books": spark.createDataFrame([("a", "old", None), ("kept", "K", None)], held["books"].schema), "knowledge": held["knowledge"].limit(0), "chunks": held["chunks"]}
+    got = stores.import_archive(spark, path, old)
+    assert {(r.id, r.title, r.pipeline_metrics and tuple(r.pipeline_metrics)) for r in got["books"].collect()} == {("a", "A\nline", (1, 2)), ("b", None, None), ("kept", "K", None), ("late", "L", None)}
+    assert [tuple(r) for r in got["knowledge"].collect()] == [("a", ["x", "y"])] and got["chunks"] is old["chunks"]
+    assert sorted(tuple(r) for r in stores.rejected_lines(spark, path, old).collect()) == sorted(("books", b) for b in bad)
