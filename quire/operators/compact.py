@@ -198,10 +198,6 @@ def with_text(chapters: DataFrame, pages: DataFrame) -> DataFrame:
     return chapters.join(t, ["book_id", "chapter_index"], "left").withColumn("text", F.coalesce("text", F.lit("")))
 
 
-def build_chunks(pages: DataFrame) -> DataFrame:
-    return chunk_chapters(with_text(stored(segment.detect_chapters(pages), "chapters"), pages))
-
-
 def prepare_books(pages: DataFrame, outline: DataFrame | None = None, filenames: DataFrame | None = None, prior: DataFrame | None = None, now_ms: int = 0) -> tuple[DataFrame, DataFrame]:
     """(books, chapters) ready for the model: grouped, sampled, status ``extracted``; a prior title and created_at stay.
 

@@ -56,6 +56,14 @@ def numbered(df: DataFrame, keys: list[str], block: Column, order: list[str], la
     return x.select(*mine, "pos", "of", *(F.col(f"_prev.{n}").alias(n) for n in lags), *(F.col(f"_next.{n}").alias(n) for n in leads), *whole)
 
 
+def summed(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str, before: str, total: str) -> DataFrame:
+    """df with the sum of ``value`` (never null) over the rows of the key that stand before a row, and over all of them. ``order`` must be total in a key."""
+    x = _dealt(df, keys, block)
+    rows, blocks, key = _windows()
+    s = x.groupBy("_k", "_b").agg(F.sum(value).alias("_s")).select("_k", "_b", (F.sum("_s").over(blocks) - F.col("_s")).alias("_before"), F.sum("_s").over(key).alias(total))
+    return _joined(x, s).withColumn(before, F.col("_before") + F.sum(value).over(rows.orderBy(*order)) - F.col(value)).drop("_k", "_b", "_before")
+
+
 def carried(df: DataFrame, keys: list[str], block: Column, order: list[str], value: str) -> DataFrame:
     """df with null in ``value`` filled by the last value that stands before it in the key."""
     x = _dealt(df, keys, block)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
-from quire.operators import archive, audit, calls, compact, knowledge, layout, profile, quality, scoring, segment
+from quire.operators import archive, audit, calls, chunking, compact, knowledge, layout, profile, quality, scoring, segment
 from quire.plans import views
 from quire.plans.text_queries import all_caps, heading, is_match, lines, mostly_caps, number, quoted, trim, words
 from quire.sources import shared, stores
@@ -492,12 +492,13 @@ def texts_sql(ch: str, name: str) -> str:
 
 @query(recursive(f"{PAGES}, {NINE}, {texts_sql('nine', 'nine_text')}, {chunks_sql('nine_text')} SELECT * FROM chunks"))
 def k4_chunk_chapters(spark, sf_dir):
-    return compact.chunk_chapters(compact.with_text(whole(spark, sf_dir), pages(spark, sf_dir))).drop("summary")
+    chapters, p = whole(spark, sf_dir), pages(spark, sf_dir)
+    return chunking.chunk_pages(chapters, segment.page_chapter(p, chapters), p).drop("summary")
 
 
 @query(recursive(f"{CASCADE}, {texts_sql('chosen', 'chosen_text')}, {chunks_sql('chosen_text')} SELECT * FROM chunks"))
 def k5_build_chunks(spark, sf_dir):
-    return compact.build_chunks(pages(spark, sf_dir)).drop("summary")
+    return chunking.build_chunks(pages(spark, sf_dir)).drop("summary")
 
 
 GROUPED = recursive(f"{CASCADE}, {groups_sql('chosen', compact.MAX_GROUPS)}")
