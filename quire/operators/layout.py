@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,17 +15,29 @@ TOLERANCE = 3.0
 
 
 def leader_buckets(ys: list[float], tol: float) -> list[int]:
-    """Bucket of each value in arrival order: the first whose leader is within tol, else a new one."""
-    leaders: list[float] = []
-    out = []
+    """Bucket of each value in arrival order: the first whose leader is within tol, else a new one. A value that is no number is a bucket of its own.
+
+    Leaders are kept in order of value, so that only those next to a value are looked at; as leaders lie over tol apart these are two, about.
+    """
+    leaders: list[tuple[float, int]] = []
+    out, n = [], 0
     for y in ys:
-        for i, leader in enumerate(leaders):
-            if abs(leader - y) <= tol:
-                out.append(i)
-                break
-        else:
-            out.append(len(leaders))
-            leaders.append(y)
+        if y is None or y != y:
+            out.append(n)
+            n += 1
+            continue
+        i = bisect_left(leaders, (y, -1))
+        near, j, k = [], i, i - 1
+        while j < len(leaders) and leaders[j][0] - y <= tol:
+            near.append(leaders[j][1])
+            j += 1
+        while k >= 0 and y - leaders[k][0] <= tol:
+            near.append(leaders[k][1])
+            k -= 1
+        if not near:
+            leaders.insert(i, (y, n))
+            near, n = [n], n + 1
+        out.append(min(near))
     return out
 
 
