@@ -913,10 +913,36 @@ def a11_recommendations(spark, sf_dir):
     return audit.recommendations(stats(a), audit.rule_frequency(a["outcomes"]), a["cands"])
 
 
-@query()
+#: What of each section of a report is compared: place, text, number and a remark.
+REPORTED = {
+    "decisions": ("stage", "strategy", "n_chapters", "result"),
+    "candidates": ("page_num", "title", "score", "outcome"),
+    "near_misses": ("page_num", "text", "score", "line_index"),
+    "groups": ("chapter_index", "title", "n_pages", "page_start"),
+    "statistics": ("n_pages", "strategy", "chapters", "concat_ws('/', candidates, accepted, rejected, with_keyword, without_keyword, near_misses, groups)"),
+}
+REPORTED_SQL = {"decisions": "every_stage", "candidates": "fates", "near_misses": "first_near", "groups": "groups", "statistics": "numbers"}
+
+
+@query(
+    f"""{OUTCOMES}, every AS (SELECT book_id, stage, CASE stage {' '.join(f"WHEN {k} THEN '{v}'" for k, v in segment.STAGES.items())} END AS strategy FROM counts, unnest(range(9)) t(stage)),
+    every_stage AS (SELECT book_id, stage, e.strategy, CASE WHEN s.stage IS NULL THEN 'none' WHEN valid THEN 'ok' ELSE 'rejected' END AS result, coalesce(n, 0) AS n_chapters FROM every e LEFT JOIN stages s USING (book_id, stage)),
+    first_near AS (SELECT * FROM near QUALIFY row_number() OVER (PARTITION BY book_id ORDER BY page_num, line_index) <= {stores.NEAR_MISSES}),
+    told_rows AS ({' UNION ALL '.join(f"SELECT book_id, '{s}' AS section, CAST({a} AS BIGINT) AS place, {b} AS text, CAST({c} AS BIGINT) AS number, CAST({d} AS VARCHAR) AS remark FROM {REPORTED_SQL[s]}" for s, (a, b, c, d) in REPORTED.items())})
+    SELECT *, count(*) OVER (PARTITION BY book_id, section) AS n_section FROM told_rows"""
+)
 def s7_audit_report(spark, sf_dir):
+    """The report written, and its records read back beside the manifest's numbers."""
     a = audited(spark, sf_dir)
-    return stores.audit_report(a["outcomes"], a["near"], audit.decision_log(a["pages"]), a["groups"], stats(a))
+    path = shared.new_folder(spark, "audit-report")
+    stores.write_audit_report(stores.audit_report(a["outcomes"], a["near"], audit.decision_log(a["pages"]), a["groups"], stats(a)), path)
+    got = stores.read_audit_report(spark, path)
+    manifest = got["manifest"].select("book_id", F.expr(f"stack({len(REPORTED)}, {', '.join(f'{quoted(s)}, {s}' for s in REPORTED)}) as (section, n_section)"))
+    out = None
+    for s, (place, text, number_, remark) in REPORTED.items():
+        one = got[s].select("book_id", F.lit(s).alias("section"), F.expr(place).cast("long").alias("place"), F.expr(text).alias("text"), F.expr(number_).cast("long").alias("number"), F.expr(remark).cast("string").alias("remark"))
+        out = one if out is None else out.unionByName(one)
+    return out.join(manifest, ["book_id", "section"])
 
 
 # --- quality ---------------------------------------------------------------------------------

@@ -110,21 +110,38 @@ def rejected_lines(spark: SparkSession, path: str, stores: dict[str, DataFrame])
     return out
 
 
+#: What a report tells of a book, section by section; a record is one row.
+REPORT = {
+    "statistics": "book_id string, n_pages long, strategy string, chapters long, groups long, candidates long, accepted long, rejected long, with_keyword long, without_keyword long, near_misses long, suspect_pct double, pages_per_candidate double, pages_per_group double, cap_hit boolean",
+    "decisions": "book_id string, stage int, strategy string, result string, n_chapters int, selected boolean",
+    "candidates": "book_id string, page_num int, title string, score int, confidence string, outcome string, outcome_reason string",
+    "near_misses": "book_id string, page_num int, line_index int, text string, score int",
+    "groups": "book_id string, chapter_index int, title string, page_start int, page_end int, n_pages int",
+}
+NEAR_MISSES = 50
+
+
 def audit_report(outcomes: DataFrame, near: DataFrame, decisions: DataFrame, groups: DataFrame, stats: DataFrame) -> DataFrame:
-    """book_id, report: one JSON text a book of decisions, candidates, the first 50 near misses, groups and statistics."""
+    """book_id, section, record: a JSON text for each decision, candidate, group and near miss (a book's first 50) and one of a book's statistics; no value grows with a book."""
     w = Window.partitionBy("book_id").orderBy("page_num", "line_index")
-    first = near.withColumn("_r", F.row_number().over(w)).where("_r <= 50")
-    lists = {
-        "decisions": decisions.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("stage", "strategy", "result", "n_chapters", "selected"))).alias("decisions")),
-        "candidates": outcomes.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "title", "score", "confidence", "outcome"))).alias("candidates")),
-        "near_misses": first.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("page_num", "line_index", "text", "score"))).alias("near_misses")),
-        "groups": groups.groupBy("book_id").agg(F.array_sort(F.collect_list(F.struct("chapter_index", "title", "page_start", "page_end", "n_pages"))).alias("groups")),
-    }
-    x = stats.select("book_id", F.struct(*(c for c in stats.columns if c != "book_id")).alias("statistics"))
-    for df in lists.values():
-        x = x.join(df, "book_id", "left")
-    return x.select("book_id", F.to_json(F.struct("statistics", *lists)).alias("report"))
+    first = near.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= NEAR_MISSES)
+    out = None
+    for section, df in {"statistics": stats, "decisions": decisions, "candidates": outcomes, "near_misses": first, "groups": groups}.items():
+        names = StructType.fromDDL(REPORT[section]).names
+        one = df.select("book_id", F.lit(section).alias("section"), F.to_json(F.struct(*names)).alias("record"))
+        out = one if out is None else out.unionByName(one)
+    return out
 
 
 def write_audit_report(report: DataFrame, path: str) -> None:
-    report.write.mode("overwrite").json(path)
+    """JSON lines below path, a folder a section, and a manifest: each book with the number of its records in every section."""
+    report.select("section", "record").write.mode("overwrite").partitionBy("section").text(f"{path}/records")
+    written = report.sparkSession.read.schema("record string, section string").text(f"{path}/records").select(F.get_json_object("record", "$.book_id").alias("book_id"), "section")
+    written.groupBy("book_id").agg(*(F.count_if(F.col("section") == s).alias(s) for s in REPORT)).write.mode("overwrite").json(f"{path}/manifest")
+
+
+def read_audit_report(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """The sections of a written report by name (one that nothing was written of is empty), and its ``manifest``."""
+    whole = spark.read.schema("record string, section string").text(f"{path}/records")
+    out = {s: whole.where(F.col("section") == s).select(F.from_json("record", ddl).alias("r")).select("r.*") for s, ddl in REPORT.items()}
+    return out | {"manifest": spark.read.schema("book_id string, " + ", ".join(f"{s} long" for s in REPORT)).json(f"{path}/manifest")}

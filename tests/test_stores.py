@@ -62,7 +62,7 @@ def test_stores_have_as_many_buckets_as_their_size_asks_for(spark, tmp_path, mon
     assert stores.read_store(spark, "books", f"file://{tmp_path}/s").count() == 200
 
 
-def test_decisions_and_report(spark):
+def test_decisions_and_report(spark, tmp_path):
     pages = ["Chapter 1: One\n" + SPARSE, DENSE, "A Lower Part\n" + SPARSE, "Chapter 2: Two\n" + SPARSE, DENSE, "Chapter 3: Three\n" + SPARSE]
     p = book(spark, pages).unionByName(book(spark, [DENSE.lower()] * 3).selectExpr("'c' as book_id", "page_num", "text"))
     log = audit.decision_log(p).collect()
@@ -76,16 +76,33 @@ def test_decisions_and_report(spark):
     groups = compact.group_chapters(chapters)
     outcomes, near = audit.candidate_outcomes(c, chapters, groups), audit.near_misses(s, c)
     stats = audit.audit_stats(outcomes, near, chapters, groups, profile.page_counts(p))
-    report = {r.book_id: json.loads(r.report) for r in stores.audit_report(outcomes, near, audit.decision_log(p), groups, stats).collect()}
-    assert set(report) == {"b", "c"} and [d["stage"] for d in report["b"]["decisions"]] == list(range(9))
-    assert [x["title"] for x in report["b"]["groups"]] == ["Chapter 1: One", "Chapter 2: Two", "Chapter 3: Three"]
-    seen = sorted((r.page_num, r.title, r.outcome) for r in outcomes.collect() if r.book_id == "b")
-    assert seen == [(x["page_num"], x["title"], x["outcome"]) for x in report["b"]["candidates"]]
-    assert {t for _, t, o in seen if o == "ACCEPTED"} == {"Chapter 1: One", "Chapter 2: Two", "Chapter 3: Three"}
-    numbers = report["b"]["statistics"]
-    assert (numbers["n_pages"], numbers["chapters"], numbers["accepted"], numbers["candidates"]) == (6, 3, 3, len(seen))
-    want = sorted((r.page_num, r.line_index, r.text, r.score) for r in near.collect() if r.book_id == "b")[:50]
-    assert [(x["page_num"], x["line_index"], x["text"], x["score"]) for x in report["b"].get("near_misses", [])] == want
+    path = f"file://{tmp_path}/report"
+    stores.write_audit_report(stores.audit_report(outcomes, near, audit.decision_log(p), groups, stats), path)
+    got = stores.read_audit_report(spark, path)
+    report = {name: [r for r in df.collect() if r.book_id == "b"] for name, df in got.items()}
+    assert sorted(d.stage for d in report["decisions"]) == list(range(9)) and {r.book_id for r in got["manifest"].collect()} == {"b", "c"}
+    assert sorted((x.chapter_index, x.title) for x in report["groups"]) == [(0, "Chapter 1: One"), (1, "Chapter 2: Two"), (2, "Chapter 3: Three")]
+    seen = sorted((r.page_num, r.title, r.score, r.confidence, r.outcome) for r in outcomes.collect() if r.book_id == "b")
+    assert seen == sorted((x.page_num, x.title, x.score, x.confidence, x.outcome) for x in report["candidates"])
+    assert {x[1] for x in seen if x[4] == "ACCEPTED"} == {"Chapter 1: One", "Chapter 2: Two", "Chapter 3: Three"}
+    (numbers,) = report["statistics"]
+    assert (numbers.n_pages, numbers.chapters, numbers.accepted, numbers.candidates) == (6, 3, 3, len(seen))
+    assert [tuple(r) for r in report["manifest"]] == [("b", *(len(report[s]) for s in stores.REPORT))]
+    lines = [json.loads(x) for f in (tmp_path / "report/records/section=candidates").glob("*.txt") for x in f.read_text().splitlines()]
+    assert sorted((x["book_id"], x["page_num"]) for x in lines) == sorted((r.book_id, r.page_num) for r in outcomes.collect())
+
+
+def test_report_keeps_a_books_first_near_misses(spark, tmp_path):
+    """Fifty a book by page and line; sections without rows are empty, titles with quotes and line ends come back as they were."""
+    odd = 'a "quoted"\nline \u2028 end'
+    near = spark.createDataFrame([(b, p, line, odd, 20) for b in "bc" for p in range(40) for line in range(1 + (b == "b"))], "book_id string, page_num int, line_index int, text string, score int")
+    none = {s: spark.createDataFrame([], ddl) for s, ddl in stores.REPORT.items()}
+    path = f"file://{tmp_path}/near"
+    stores.write_audit_report(stores.audit_report(none["candidates"], near, none["decisions"], none["groups"], none["statistics"]), path)
+    got = stores.read_audit_report(spark, path)
+    rows = sorted((r.book_id, r.page_num, r.line_index, r.text) for r in got["near_misses"].collect())
+    assert rows == [("b", p, line, odd) for p in range(25) for line in (0, 1)] + [("c", p, 0, odd) for p in range(40)]
+    assert got["groups"].count() == 0 and {r.book_id: r.near_misses for r in got["manifest"].collect()} == {"b": 50, "c": 40}
 
 
 def test_dump_with_lines_that_cannot_be_read(spark, tmp_path):
