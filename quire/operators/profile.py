@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as tx
+from quire.sources.shared import stored
 
 #: Fixed values of the profile.
 DEFAULT_FONT, DEFAULT_WIDTH, DEFAULT_HEIGHT = 12.0, 612.0, 792.0
@@ -31,6 +32,11 @@ def page_digest(pages: DataFrame) -> DataFrame:
     return edges.select(*(c for c in lines.columns if c != "_l"), *own)
 
 
+def digested(pages: DataFrame) -> DataFrame:
+    """The pages' digest, written once if they are none yet: what reads them more than once reads no text again."""
+    return pages if _has(pages, "top") else stored(page_digest(pages), "digests")
+
+
 def edge_length(line: Column) -> Column:
     return (F.length(line) > 1) & (F.length(line) < 120)
 

@@ -170,12 +170,13 @@ def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFram
     """page_lines() and score_lines() with the book's own context (if none is given) and repeated lines. Texts are read once, for the pages' digest."""
     if "top" not in pages.columns:
         context = stored(profile.book_context(pages), "contexts") if context is None and "lines" in pages.columns else context
-        pages = stored(profile.page_digest(pages), "digests")
+        pages = profile.digested(pages)
     return score_lines(page_lines(pages, context), profile.header_lines(pages))
 
 
 def find_heading(pages: DataFrame) -> DataFrame:
-    """book_id, page_num, title by patterns: multi-line, else the first line with a heading pattern, else capitals on a page under 250 words."""
+    """book_id, page_num, title by patterns: multi-line, else the first line with a heading pattern, else capitals on a page under 250 words. Texts are read once, for the pages' digest."""
+    pages = profile.digested(pages)
     h = profile.header_lines(pages, 12, 3).where("is_running").select("book_id", F.col("line").alias("text"), "is_running")
     lines = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), F.posexplode(profile.top_lines(pages, SCAN + 2)).alias("line_index", "text"))
     x = lines.join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False))).withColumn("raw_length", F.length("text"))

@@ -54,6 +54,7 @@ def segment_by_outline(index: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def segment_by_patterns(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    pages = profile.digested(pages)
     return segment_by_candidates(page_index(pages) if index is None else index, scoring.find_heading(pages))
 
 
@@ -154,7 +155,7 @@ def diagnostics(chapters: DataFrame, counts: DataFrame) -> DataFrame:
 def stage_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The chapters of every stage that found any, with its number in ``stage``. Texts are read once, for the pages' digest; starts and intervals are skinny, used several times and written to the shared folder."""
     context = stored(profile.book_context(pages), "contexts") if "lines" in pages.columns else None
-    pages = stored(profile.page_digest(pages), "digests")
+    pages = profile.digested(pages)
     index = stored(page_index(pages), "page-index")
     skinny = ["book_id", "page_num", "title"]
     both = scoring.score_pages_at(stored(scoring.scored_lines(pages, context), "scored-lines"), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
