@@ -124,7 +124,7 @@ def is_all_caps_heading(c: Column) -> Column:
 
 def is_mostly_caps(c: Column) -> Column:
     """At least two ASCII letters and seven tenths of them capitals."""
-    letters, capitals = F.length(F.regexp_replace(c, "[^a-zA-Z]", "")), F.length(F.regexp_replace(c, "[^A-Z]", ""))
+    letters, capitals = F.length(F.regexp_replace(c, "[^a-zA-Z]+", "")), F.length(F.regexp_replace(c, "[^A-Z]+", ""))
     return (letters >= 2) & (capitals / F.nullif(letters, F.lit(0)) >= 0.7)
 
 

@@ -152,13 +152,17 @@ def diagnostics(chapters: DataFrame, counts: DataFrame) -> DataFrame:
     return x.select("book_id", *(["strategy"] if keep else []), "detected_chapters", avg.alias("avg_pages_per_chapter"), "min_pages", "max_pages", warn.alias("warnings"))
 
 
-def stage_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
-    """The chapters of every stage that found any, with its number in ``stage``. Texts are read once, for the pages' digest; starts and intervals are skinny, used several times and written to the shared folder."""
-    context = stored(profile.book_context(pages), "contexts") if "lines" in pages.columns else None
+def stage_chapters(pages: DataFrame, outline: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+    """The chapters of every stage that found any, with its number in ``stage``. Texts are read once, for the pages' digest; starts and intervals are skinny, used several times and written to the shared folder.
+
+    ``scored``: the pages' scored_lines(), where they are at hand; the context of rich pages is in them, so that these may then be a digest.
+    """
+    context = stored(profile.book_context(pages), "contexts") if scored is None and "lines" in pages.columns else None
     pages = profile.digested(pages)
     index = stored(page_index(pages), "page-index")
     skinny = ["book_id", "page_num", "title"]
-    both = scoring.score_pages_at(stored(scoring.scored_lines(pages, context), "scored-lines"), (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
+    scored = stored(scoring.scored_lines(pages, context), "scored-lines") if scored is None else scored
+    both = scoring.score_pages_at(scored, (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
     # all that follows works on these rows
     starts = stored(both.unionByName(scoring.find_heading(pages).select(*skinny, F.lit(5).alias("stage"))).unionByName(structural_breaks(pages).select(*skinny, F.lit(6).alias("stage"))), "chapter-starts")
     # a stage of starts needs two of them; the relaxed one is for books that had two at the full threshold
@@ -194,8 +198,11 @@ def stage_results(staged: DataFrame, counts: DataFrame) -> DataFrame:
 
 def detect_chapters(pages: DataFrame, outline: DataFrame | None = None) -> DataFrame:
     """The chapters of the first stage that holds, with its strategy, for every book; pages: book_id, page_num, text and, if rich, width, height, lines."""
-    staged = stage_chapters(pages, outline)
-    counts = pages.groupBy("book_id").agg(F.count("*").alias("n_pages"))
+    return first_valid(stage_chapters(pages, outline), profile.page_counts(pages))
+
+
+def first_valid(staged: DataFrame, counts: DataFrame) -> DataFrame:
+    """The chapters of each book's first stage that holds, with its strategy."""
     best = stage_results(staged, counts).where("valid").groupBy("book_id").agg(F.min("stage").alias("stage"))
     names = F.create_map(*(F.lit(x) for pair in STAGES.items() for x in pair))
     return staged.join(best, ["book_id", "stage"]).select("book_id", names[F.col("stage")].alias("strategy"), *CHAPTER[1:])

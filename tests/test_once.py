@@ -23,3 +23,14 @@ def test_headings_by_patterns_read_texts_once(spark):
         plan = found._jdf.queryExecution().optimizedPlan().toString()
         assert "split(" not in plan
         assert found.count() == 5
+
+
+def test_audit_scores_lines_and_finds_stages_once(spark, sf, monkeypatch):
+    from quire.plans import book_queries
+
+    calls = []
+    for module, name in ((scoring, "scored_lines"), (segment, "stage_chapters")):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *a, _f=plain, _n=name, **k: calls.append(_n) or _f(*a, **k))
+    book_queries.s7_audit_report(spark, sf)
+    assert sorted(calls) == ["scored_lines", "stage_chapters"]
