@@ -57,14 +57,13 @@ def top_lines(pages: DataFrame, n: int) -> Column:
 def median_font_size(pages: DataFrame) -> DataFrame:
     """book_id, median_font_size: exact median of positive line sizes, 12 where there is none.
 
-    Sizes are counted first, so that a book's lines meet as a few (size, count) rows.
+    Sizes are counted first, so that a book's lines meet as a few (size, count) rows; pages without sizes count as one that is null, so that they are read once.
     """
-    books = pages.select("book_id").distinct()
     if not _has(pages, "lines"):
-        return books.withColumn("median_font_size", F.lit(DEFAULT_FONT))
-    sizes = pages.select("book_id", F.explode("lines.font_size").alias("size")).where("size > 0").groupBy("book_id", "size").count()
-    med = sizes.groupBy("book_id").agg(F.percentile(F.col("size"), F.lit(0.5), F.col("count")).alias("m"))
-    return books.join(med, "book_id", "left").select("book_id", F.coalesce("m", F.lit(DEFAULT_FONT)).alias("median_font_size"))
+        return pages.select("book_id").distinct().withColumn("median_font_size", F.lit(DEFAULT_FONT))
+    sizes = pages.select("book_id", F.explode_outer("lines.font_size").alias("size")).withColumn("size", F.when(F.col("size") > 0, F.col("size"))).groupBy("book_id", "size").count()
+    med = F.percentile(F.col("size"), F.lit(0.5), F.col("count"))
+    return sizes.groupBy("book_id").agg(F.coalesce(med, F.lit(DEFAULT_FONT)).alias("median_font_size"))
 
 
 def page_dimensions(pages: DataFrame) -> DataFrame:

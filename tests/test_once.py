@@ -34,3 +34,13 @@ def test_audit_scores_lines_and_finds_stages_once(spark, sf, monkeypatch):
         monkeypatch.setattr(module, name, lambda *a, _f=plain, _n=name, **k: calls.append(_n) or _f(*a, **k))
     book_queries.s7_audit_report(spark, sf)
     assert sorted(calls) == ["scored_lines", "stage_chapters"]
+
+
+def test_median_font_size_reads_lines_once(spark):
+    from quire.operators import profile
+
+    rows = [("a", [10.0, 12.0, 0.0]), ("a", [14.0, 14.0]), ("b", []), ("c", None), ("d", [None, -1.0]), (None, [9.0])]
+    pages = spark.createDataFrame([(b, i, None if s is None else [(x,) for x in s]) for i, (b, s) in enumerate(rows)], "book_id string, page_num int, lines array<struct<font_size:double>>")
+    got = profile.median_font_size(pages)
+    assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 13.0), ("b", 12.0), ("c", 12.0), ("d", 12.0), (None, 9.0)], key=repr)
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + got._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
