@@ -66,3 +66,8 @@ def test_no_pages(spark):
     chapters = spark.createDataFrame([("b", 0, "T", 1, 1)], "book_id string, chapter_index int, title string, page_start int, page_end int")
     got = chunking.chunk_pages(chapters, none.select("book_id", "page_num", F.lit(0).alias("chapter_index")), none).collect()
     assert [(r.id, r.text) for r in got] == [("b-0-0", "")]
+
+
+def test_blank_places_by_their_pattern():
+    for text in ("", "\n", "\n\n", "\n\n\n", "a\n\nb\n\n\n\nc\n", "x" * 50 + "\n\n"):
+        assert chunking.blank_places(text) == [m.start() for m in chunking.BLANK.finditer(text)]
