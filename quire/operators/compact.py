@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -103,10 +104,21 @@ def _good(p: Column) -> Column:
     return (F.length(p) >= LEAST_PARAGRAPH) & ~p.rlike(tx.DIGITS)
 
 
+def _where(has, pattern: str, by: str):
+    """Replaces a pattern in the texts that ``has`` tells to hold it; most do not, and are not searched."""
+    return lambda t: F.when(has(t), F.regexp_replace(t, pattern, by)).otherwise(t)
+
+
 def _core(text: Column) -> Column:
     """A page's part of its chapter's clean text: pages are joined by a blank line, so line ends at its ends say nothing, nor does a carriage return that would meet one."""
-    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\\z", ""), "\r\n", "\n"), "[ \t]+", " ")
-    return F.regexp_replace(F.regexp_replace(one, "\n{3,}", "\n\n"), "^\n+|\n+\\z", "")
+    steps = (
+        _where(lambda t: t.endswith("\r"), "\r\\z", ""),
+        lambda t: F.replace(t, F.lit("\r\n"), F.lit("\n")),
+        _where(lambda t: t.contains("\t") | t.contains("  "), "\t[ \t]*| [ \t]+", " "),
+        _where(lambda t: t.contains("\n\n\n"), "\n{3,}", "\n\n"),
+        _where(lambda t: t.startswith("\n") | t.endswith("\n"), "^\n+|\n+\\z", ""),
+    )
+    return reduce(tx.let, steps, F.coalesce(text, F.lit("")))
 
 
 #: Ranks of one block of packing.
@@ -147,7 +159,7 @@ def compress_chapters(page_chapter: DataFrame, pages: DataFrame, target: int = C
     packed = once.join(blocks, [*key, "b"]).withColumn("upto", F.col("before") + F.sum(F.col("n") + 2).over(Window.partitionBy(*key, "b").orderBy("r")) - 2)
     take = stored(packed.where((F.col("upto") <= target) | (F.col("of") == 1)).select(*key, "r", "at.page_num", "at.k"), "packed")
     asked = take.groupBy("book_id", "page_num", "chapter_index").agg(F.collect_list(F.struct("r", "k")).alias("ks"))
-    got = pages.select("book_id", "page_num", core.alias("core")).join(asked, ["book_id", "page_num"]).withColumn("ps", _paragraphs(F.col("core"))).select(*key, F.explode(F.transform("ks", lambda x: F.struct(x["r"].alias("r"), F.get(F.col("ps"), x["k"]).alias("t")))).alias("x"))
+    got = pages.select("book_id", "page_num", "text").join(asked, ["book_id", "page_num"]).withColumn("core", core).withColumn("ps", _paragraphs(F.col("core"))).select(*key, F.explode(F.transform("ks", lambda x: F.struct(x["r"].alias("r"), F.get(F.col("ps"), x["k"]).alias("t")))).alias("x"))
     sampled = got.groupBy(*key).agg(F.substring(F.array_join(F.transform(F.array_sort(F.collect_list("x")), lambda x: x["t"]), "\n\n"), 1, target).alias("text"))
 
     # short chapters whole, and the beginning of long ones of which no paragraph fits
@@ -157,7 +169,7 @@ def compress_chapters(page_chapter: DataFrame, pages: DataFrame, target: int = C
     most = F.col("lead0") + target
     begun = at.join(by, [*key, "b"]).where(F.col("before") < most).withColumn("off", F.col("before") + F.sum(F.col("n") + 2).over(Window.partitionBy(*key, "b").orderBy("page_num")) - F.col("n") - 2).where(F.col("off") < most)
     whole = inside.select(*key, "page_num").join(fits.select(*key), key).withColumn("most", F.lit(None).cast("int")).unionByName(begun.select(*key, "page_num", most.cast("int").alias("most")))
-    texts = pages.select("book_id", "page_num", core.alias("core")).join(whole, ["book_id", "page_num"]).withColumn("core", F.when(F.col("most").isNull(), F.col("core")).otherwise(F.substr("core", F.lit(1), F.col("most"))))
+    texts = pages.select("book_id", "page_num", "text").join(whole, ["book_id", "page_num"]).withColumn("core", core).withColumn("core", F.when(F.col("most").isNull(), F.col("core")).otherwise(F.substr("core", F.lit(1), F.col("most"))))
     plain = texts.groupBy(*key, "most").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_num", "core"))), lambda x: x["core"]), "\n\n").alias("t"))
     plain = plain.select(*key, F.when(F.col("most").isNull(), tx.trim(F.col("t"))).otherwise(F.substring(F.regexp_replace("t", rf"^{tx.WS}+", ""), 1, target)).alias("text"))
     every = page_chapter.select(*key).distinct()
