@@ -29,6 +29,8 @@ HEADINGS = (
     ("bare-roman", rf"^[IVXLC]{{1,6}}\.{WS}+[A-Za-z]"),
     ("matter", rf"(?i)^(prologue|epilogue|introduction|preface|foreword|conclusion|afterword|appendix|acknowledgements?|bibliography|interlude)(?:{WS}*\z|{WS}*[{DASH}])"),
 )
+#: How the patterns begin, in two characters.
+HEADING_START = r"(?i)^(?:[0-9ivxlc]|pa|se|pr|ep|fo|af|ap|ac|bi)"
 ROMAN_HEADING = HEADINGS[5][1]
 LABEL = r"(?i)^(chapter|part)\z"
 NUMBER_LINE = rf"(?i)^({WORD_NUMBER}|\d{{1,3}})\z"
@@ -114,8 +116,8 @@ def roman_to_int(c: Column) -> Column:
 
 
 def heading_pattern(c: Column) -> Column:
-    """Name of the first heading pattern that matches, else null."""
-    return F.coalesce(*(F.when(matches(c, p), F.lit(name)) for name, p in HEADINGS))
+    """Name of the first heading pattern that matches, else null. Lines that do not begin as any of them does are not tried further."""
+    return F.when(matches(F.left(c, F.lit(2)), HEADING_START), F.coalesce(*(F.when(matches(c, p), F.lit(name)) for name, p in HEADINGS)))
 
 
 def is_all_caps_heading(c: Column) -> Column:
@@ -123,9 +125,9 @@ def is_all_caps_heading(c: Column) -> Column:
 
 
 def is_mostly_caps(c: Column) -> Column:
-    """At least two ASCII letters and seven tenths of them capitals."""
-    letters, capitals = F.length(F.regexp_replace(c, "[^a-zA-Z]+", "")), F.length(F.regexp_replace(c, "[^A-Z]+", ""))
-    return (letters >= 2) & (capitals / F.nullif(letters, F.lit(0)) >= 0.7)
+    """At least two ASCII letters and seven tenths of them capitals: 3 capitals or more for 7 small letters. A line whose beginning has too many small letters is told by that beginning."""
+    capitals, small = F.length(F.regexp_replace(c, "[^A-Z]+", "")), lambda t: F.length(F.regexp_replace(t, "[^a-z]+", ""))
+    return (capitals * 3 >= small(F.left(c, F.lit(64))) * 7) & (capitals >= 2) & (capitals * 3 >= small(c) * 7)
 
 
 def extract_chapter_num(title: Column) -> Column:

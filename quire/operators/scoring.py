@@ -118,6 +118,14 @@ def multi_line_headings(scored: DataFrame) -> DataFrame:
     return first.select("book_id", "page_num", "title", F.lit(85).alias("score"), F.array(F.lit("MULTI_LINE_HEADING")).alias("reasons"))
 
 
+def _labelled(scored: DataFrame) -> DataFrame:
+    """The lines of pages with a label line: only these need be put in order for multi_line_headings()."""
+    # a struct of nulls is no null, so that pages without a book stay
+    flat = scored.select("book_id", "page_num", "line_index", "text", "is_running", "raw_length", F.struct("book_id", "page_num").alias("_p"))
+    labels = stored(flat.where((F.col("line_index") < SCAN) & tx.matches(F.col("text"), tx.LABEL)).select("_p").distinct(), "label-pages")
+    return flat.join(labels, "_p", "left_semi")
+
+
 def best_line_per_page(scored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """The highest score of the first twelve lines, the earliest on a tie: book_id, page_num, title, score, reasons, breakdown, line_index, n_words."""
     ok = scored.where((F.col("line_index") < SCAN) & F.length("text").between(2, 120) & ~F.col("text").rlike(tx.DIGITS) & (F.col("score") >= threshold))
@@ -144,17 +152,17 @@ def score_pages(scored: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
 
 def score_pages_at(scored: DataFrame, thresholds: tuple[int, ...]) -> DataFrame:
     """score_pages() for several thresholds, named in ``threshold``, in one grouping by page."""
-    multi = multi_line_headings(scored).select("book_id", "page_num", F.struct("title", "score", "reasons").alias("m"))
     text, usable = F.col("text"), ~F.col("text").rlike(tx.DIGITS)
-    best_ok = (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & usable
-    caps_ok = (F.col("n_words") < SPARSE) & (F.col("line_index") < CAPS_SCAN) & (text != "") & usable & tx.is_mostly_caps(text) & ~F.col("is_running") & ~F.col("is_every") & (F.col("score") >= RELAXED)
+    best_ok = (F.col("line_index") < SCAN) & (F.col("score") >= min(thresholds)) & F.length("text").between(2, 120) & usable
+    caps_ok = (F.col("n_words") < SPARSE) & (F.col("line_index") < CAPS_SCAN) & (F.col("score") >= RELAXED) & ~F.col("is_running") & ~F.col("is_every") & (text != "") & usable & tx.is_mostly_caps(text)
     line = F.struct(text.alias("title"), "score", "reasons")
-    flat = scored.select("book_id", "page_num", "n_words", "score", "line_index", line.alias("_line"), best_ok.alias("_best"), caps_ok.alias("_caps"))
-    pick = flat.groupBy("book_id", "page_num").agg(
-        F.max_by("_line", F.when(F.col("_best"), F.struct("score", -F.col("line_index")))).alias("b"), F.min_by("_line", F.when(F.col("_caps"), F.col("line_index"))).alias("c"), F.first("n_words").alias("n_words")
+    # lines that can be chosen by no pass meet nothing
+    flat = scored.select("book_id", "page_num", "n_words", "score", "line_index", line.alias("_line"), F.coalesce(best_ok, F.lit(False)).alias("_best"), F.coalesce(caps_ok, F.lit(False)).alias("_caps")).where("_best or _caps").withColumn("_m", F.lit(False))
+    multi = multi_line_headings(_labelled(scored)).select("book_id", "page_num", F.struct("title", "score", "reasons").alias("_line"), F.lit(True).alias("_m"))
+    out = flat.unionByName(multi, allowMissingColumns=True).groupBy("book_id", "page_num").agg(
+        F.max_by("_line", F.when(F.col("_best"), F.struct("score", -F.col("line_index")))).alias("b"), F.min_by("_line", F.when(F.col("_caps"), F.col("line_index"))).alias("c"), F.min_by("_line", F.when(F.col("_m"), F.lit(0))).alias("m"), F.max("n_words").alias("n_words")
     )
     gate = (F.col("n_words") < SPARSE) | F.arrays_overlap("b.reasons", F.array(*map(F.lit, MEANINGFUL)))
-    out = pick.join(multi, ["book_id", "page_num"], "left")
 
     def chosen(t: int) -> Column:
         # the page's best line is the same at every threshold that it reaches
@@ -171,18 +179,25 @@ def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFram
     if "top" not in pages.columns:
         context = stored(profile.book_context(pages), "contexts") if context is None and "lines" in pages.columns else context
         pages = profile.digested(pages)
-    return score_lines(page_lines(pages, context), profile.header_lines(pages))
+    return score_lines(page_lines(pages, context), stored(profile.header_lines(pages), "headers"))
 
 
 def find_heading(pages: DataFrame) -> DataFrame:
     """book_id, page_num, title by patterns: multi-line, else the first line with a heading pattern, else capitals on a page under 250 words. Texts are read once, for the pages' digest."""
     pages = profile.digested(pages)
-    h = profile.header_lines(pages, 12, 3).where("is_running").select("book_id", F.col("line").alias("text"), "is_running")
-    lines = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), F.posexplode(profile.top_lines(pages, SCAN + 2)).alias("line_index", "text"))
-    x = lines.join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False))).withColumn("raw_length", F.length("text"))
-    multi = multi_line_headings(x).select("book_id", "page_num", F.col("title").alias("m"))
+    h = stored(profile.header_lines(pages, 12, 3).where("is_running").select("book_id", F.col("line").alias("text"), "is_running"), "headers")
+    top = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), profile.top_lines(pages, SCAN + 2).alias("_t"))
+
+    def told(some: DataFrame) -> DataFrame:
+        lines = some.select("book_id", "page_num", "n_words", F.posexplode("_t").alias("line_index", "text"))
+        return lines.join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False)))
+
+    # only pages with a label line need their lines in order
+    multi = multi_line_headings(told(top.where(F.exists("_t", lambda t: tx.matches(t, tx.LABEL)))).withColumn("raw_length", F.length("text"))).select("book_id", "page_num", F.col("title").alias("m"))
+    x = told(top)
     free = ~F.col("is_running") & ~F.col("text").rlike(tx.DIGITS)
     strict = F.when(free & (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & tx.heading_pattern(F.col("text")).isNotNull(), F.col("line_index"))
     caps = F.when(free & (F.col("line_index") < CAPS_SCAN) & (F.col("n_words") < SPARSE_PATTERN) & tx.is_all_caps_heading(F.col("text")), F.col("line_index"))
-    pick = x.groupBy("book_id", "page_num").agg(F.min_by("text", strict).alias("s"), F.min_by("text", caps).alias("c"))
-    return pick.join(multi, ["book_id", "page_num"], "left").select("book_id", "page_num", F.coalesce("m", "s", "c").alias("title")).where("title is not null")
+    flat = x.select("book_id", "page_num", "text", strict.alias("_s"), caps.alias("_c")).where("_s is not null or _c is not null").unionByName(multi, allowMissingColumns=True)
+    pick = flat.groupBy("book_id", "page_num").agg(F.min_by("text", "_s").alias("s"), F.min_by("text", "_c").alias("c"), F.max("m").alias("m"))
+    return pick.select("book_id", "page_num", F.coalesce("m", "s", "c").alias("title")).where("title is not null")

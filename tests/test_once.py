@@ -44,3 +44,36 @@ def test_median_font_size_reads_lines_once(spark):
     got = profile.median_font_size(pages)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", 13.0), ("b", 12.0), ("c", 12.0), ("d", 12.0), (None, 9.0)], key=repr)
     assert got._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") + got._jdf.queryExecution().optimizedPlan().toString().count("LocalRelation") == 1
+
+
+def test_headings_put_only_labelled_pages_in_order(spark):
+    rows = [("b", 1, "CHAPTER\nTwo\nThe title\nwords"), ("b", 2, "plain words\nof a page"), ("b", 3, "INTERLUDE\nwords"), (None, 1, "Part\n3\nmore words"), (None, 2, "Chapter 4: Start\nwords")]
+    pages = spark.createDataFrame(rows, "book_id string, page_num int, text string")
+    found = scoring.find_heading(pages)
+    assert sorted(map(tuple, found.collect()), key=repr) == sorted([("b", 1, "CHAPTER Two — The title"), ("b", 3, "INTERLUDE"), (None, 1, "Part 3 — more words"), (None, 2, "Chapter 4: Start")], key=repr)
+    # pages are told by their lines before lines are ordered
+    assert "exists(" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_candidates_meet_only_lines_that_may_be_chosen(spark):
+    pages = spark.createDataFrame([("b", 1, "CHAPTER\n7\nThe End"), ("b", 2, "a line of prose, far too plain for a heading, " * 9), ("b", 3, "Chapter 8: More\nwords")], "book_id string, page_num int, text string")
+    got = scoring.score_pages(scoring.scored_lines(pages))
+    assert sorted((r.book_id, r.page_num, r.title, r["pass"]) for r in got.collect()) == [("b", 1, "CHAPTER 7 — The End", 0), ("b", 3, "Chapter 8: More", 1)]
+    assert "Filter (_best" in got._jdf.queryExecution().analyzed().toString()
+
+
+def test_capitals_core_and_heading_starts_by_their_rules(spark):
+    from quire.operators import compact
+
+    c = F.col("t")
+    letters, capitals = F.length(F.regexp_replace(c, "[^a-zA-Z]+", "")), F.length(F.regexp_replace(c, "[^A-Z]+", ""))
+    caps = (letters >= 2) & (capitals / F.nullif(letters, F.lit(0)) >= 0.7)
+    one = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce(c, F.lit("")), "\r\\z", ""), "\r\n", "\n"), "[ \t]+", " ")
+    core = F.regexp_replace(F.regexp_replace(one, "\n{3,}", "\n\n"), "^\n+|\n+\\z", "")
+    name = F.coalesce(*(F.when(tx.matches(c, p), F.lit(n)) for n, p in tx.HEADINGS))
+    texts = ["A" * (7 * k + i) + "b" * (3 * k + j) for k in range(40) for i in (0, 1) for j in (0, 1)] + ["a" * 70 + "B" * 400, "\t\t a  b \t\r\r\n\n\r\n\n", "\n\n\n", " \n\r", "a\r", "A", ""]
+    heads = [f"{w}{tail}" for w in ("chapter 1", "Ch.2", "CHAPTER two", "12. A", "part iv", "\u017fection 3", "XI. a", "v. a", "prologue", "Epilogue", "introduction", "preface", "foreword", "conclusion", "afterword", "appendix", "acknowledgement", "bibliography", "interlude") for tail in ("", ":", " Ab", "x")]
+    rows = spark.createDataFrame([(t,) for t in [*texts, *heads, *ODD]], "t string")
+    assert rows.where(~tx.is_mostly_caps(c).eqNullSafe(caps) | ~compact._core(c).eqNullSafe(core) | ~tx.heading_pattern(c).eqNullSafe(name)).collect() == []
+    # one pass over letters of both cases took most of the time
+    assert "a-zA-Z" not in str(tx.is_mostly_caps(c)._jc)
