@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,20 +23,45 @@ def _has(pages: DataFrame, name: str) -> bool:
 TOP, EDGE_HEAD, EDGE_TAIL = 15, 12, 3
 
 
-def page_digest(pages: DataFrame) -> DataFrame:
+#: Whether a line is of use, by the line and its page's number of words.
+Use = Callable[[Column, Column], Column]
+
+
+def page_digest(pages: DataFrame, use: Use | None = None) -> DataFrame:
     """What the cascade needs of each page, without its text: n_words, n_lines, top (first lines), head and tail (first and last edge lines); of rich pages width, height, the first lines and n_rich.
 
-    Every operator that takes pages takes this as well. A text is split and trimmed once.
+    Every operator that takes pages takes this as well. A text is split and trimmed once. ``use`` tells which of the first lines the caller looks at: of others the place and the look stay, and the text is null.
     """
-    lines = pages.select("book_id", "page_num", tx.word_count(F.col("text")).alias("n_words"), tx.split_lines(F.col("text")).alias("_l"), *(c for c in ("width", "height") if _has(pages, c)), *([F.slice("lines", 1, TOP).alias("lines"), F.size("lines").alias("n_rich")] if _has(pages, "lines") else []))
+    return text_digest(pages, ["book_id", "page_num", *(c for c in ("width", "height") if _has(pages, c))], use)
+
+
+def text_digest(texts: DataFrame, keep: list[str], use: Use | None = None) -> DataFrame:
+    """The columns ``keep`` and the digest of rows that need not be pages yet, as where page numbers are given to digests in place of texts."""
+    # a rich line without a text has an empty one, so that only what is of no use is null
+    said = lambda l: F.coalesce(l["text"], F.lit(""))
+    rich = [F.slice("lines", 1, TOP).alias("lines"), F.size("lines").alias("n_rich")] if _has(texts, "lines") else []
+    lines = texts.select(*keep, tx.word_count(F.col("text")).alias("n_words"), tx.split_lines(F.col("text")).alias("_l"), *rich)
     edges = lines.withColumn("_e", F.filter("_l", edge_length))
-    own = [F.size("_l").alias("n_lines"), F.slice("_l", 1, TOP).alias("top"), F.slice("_e", 1, EDGE_HEAD).alias("head"), _last(F.col("_e"), EDGE_TAIL).alias("tail")]
-    return edges.select(*(c for c in lines.columns if c != "_l"), *own)
+    top, rest = F.slice("_l", 1, TOP), [c for c in lines.columns if c != "_l"]
+    if use:
+        top = F.transform(top, lambda t: F.when(use(t, F.col("n_words")), t))
+    if rich:
+        kept = lambda l: F.when(use(tx.trim(said(l)), F.col("n_words")), said(l)) if use else said(l)
+        rest = [F.transform("lines", lambda l: l.withField("text", kept(l))).alias(c) if c == "lines" else F.col(c) for c in rest]
+    return edges.select(*rest, F.size("_l").alias("n_lines"), top.alias("top"), F.slice("_e", 1, EDGE_HEAD).alias("head"), _last(F.col("_e"), EDGE_TAIL).alias("tail"))
+
+
+def with_first_line(digests: DataFrame, line: Column) -> DataFrame:
+    """The digests of the same texts with ``line`` and a line end before them: a blank line adds none, and null makes a text null."""
+    own = {"n_words", "n_lines", "top", "head", "tail"}
+    x = digests.withColumn("_f", tx.split_lines(line)).withColumn("_fe", F.filter("_f", edge_length))
+    n = F.when(F.col("_f").isNull(), F.size("_f")).otherwise(F.col("n_lines") + F.size("_f"))
+    return x.select(*(c for c in digests.columns if c not in own), (F.col("n_words") + tx.word_count(line)).alias("n_words"), n.alias("n_lines"), F.slice(F.concat("_f", "top"), 1, TOP).alias("top"), F.slice(F.concat("_fe", "head"), 1, EDGE_HEAD).alias("head"), _last(F.concat("_fe", "tail"), EDGE_TAIL).alias("tail"))
 
 
-def digested(pages: DataFrame) -> DataFrame:
+def digested(pages: DataFrame, use: Use | None = None) -> DataFrame:
     """The pages' digest, written once if they are none yet: what reads them more than once reads no text again."""
-    return pages if _has(pages, "top") else stored(page_digest(pages), "digests")
+    return pages if _has(pages, "top") else stored(page_digest(pages, use), "digests")
 
 
 def edge_length(line: Column) -> Column:

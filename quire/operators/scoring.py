@@ -27,10 +27,15 @@ WEIGHTS = {
 LINE = "struct<text:string,y:double,x:double,line_width:double,font_size:double,bold:boolean,italic:boolean>"
 
 
+def may_be_chosen(line: Column, n_words: Column) -> Column:
+    """Lines that some pass may choose, by their length: 120 characters at most, or (as capitals) any on a sparse page. No pass looks at the text of others."""
+    return (F.length(line) <= 120) | (n_words < SPARSE)
+
+
 def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | None = SCAN + 2) -> DataFrame:
     """book_id, page_num, line_index, text (trimmed), raw_length, geometry, gaps, n_lines, n_words and the book's context, one row a line.
 
-    Pages with lines use them as they are, blank ones included; others get lines of their text at 12 points from the top.
+    Pages with lines use them as they are, blank ones included; others get lines of their text at 12 points from the top. Lines whose text a digest left out are no rows.
     """
     context = profile.book_context(pages) if context is None else context
     p = pages.join(context, "book_id")
@@ -54,6 +59,8 @@ def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | N
         i.alias("line_index"), tx.trim(F.coalesce(l["text"], F.lit(""))).alias("text"), F.length(F.coalesce(l["text"], F.lit(""))).alias("raw_length"), F.coalesce(l["y"], F.lit(0.0)).alias("y"), F.coalesce(l["x"], F.lit(0.0)).alias("x"), F.coalesce(l["line_width"], F.lit(0.0)).alias("line_width"),
         F.when(F.coalesce(l["font_size"], F.lit(0.0)) == 0, F.col("median_font_size")).otherwise(l["font_size"]).alias("font_size"), F.coalesce(l["bold"], F.lit(False)).alias("bold"),
         gap(i, i - 1, i > 0).alias("gap_above"), gap(i, i + 1, i < F.col("n_lines") - 1).alias("gap_below")))
+    if short:
+        rows = F.filter(rows, lambda r: (lambda l: l.isNull() | l["text"].isNotNull())(F.get("_l", r["line_index"])))
     return p.select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", F.explode(rows).alias("r")).select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", "r.*")
 
 
@@ -110,7 +117,8 @@ def _join_title(label: Column, number: Column, title: Column) -> Column:
 def multi_line_headings(scored: DataFrame) -> DataFrame:
     """book_id, page_num, title, score, reasons: the first label line whose next line is a number; a usable third line joins the title."""
     w = Window.partitionBy("book_id", "page_num").orderBy("line_index")
-    nxt = {n: {c: F.lead(c, n).over(w) for c in ("text", "is_running", "raw_length")} for n in (1, 2)}
+    # a line that is no row is no line to join either
+    nxt = {n: {c: F.when(F.lead("line_index", n).over(w) == F.col("line_index") + n, F.lead(c, n).over(w)) for c in ("text", "is_running", "raw_length")} for n in (1, 2)}
     x = scored.select("book_id", "page_num", "line_index", "text", "is_running", *(v.alias(f"{c}{n}") for n, cols in nxt.items() for c, v in cols.items()))
     usable = F.col("text2").isNotNull() & ~F.col("is_running2") & ~tx.matches(F.col("text2"), tx.NUMBER_LINE) & (F.col("raw_length2") < 80)
     hit = (F.col("line_index") < SCAN) & ~F.col("is_running") & tx.matches(F.col("text"), tx.LABEL) & F.col("text1").isNotNull() & ~F.col("is_running1") & tx.matches(F.col("text1"), tx.NUMBER_LINE)
@@ -184,20 +192,21 @@ def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFram
 
 def find_heading(pages: DataFrame) -> DataFrame:
     """book_id, page_num, title by patterns: multi-line, else the first line with a heading pattern, else capitals on a page under 250 words. Texts are read once, for the pages' digest."""
-    pages = profile.digested(pages)
+    pages = profile.digested(pages, may_be_chosen)
     h = stored(profile.header_lines(pages, 12, 3).where("is_running").select("book_id", F.col("line").alias("text"), "is_running"), "headers")
     top = pages.select("book_id", "page_num", profile.words(pages).alias("n_words"), profile.top_lines(pages, SCAN + 2).alias("_t"))
 
     def told(some: DataFrame) -> DataFrame:
-        lines = some.select("book_id", "page_num", "n_words", F.posexplode("_t").alias("line_index", "text"))
-        return lines.join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False)))
+        return some.select("book_id", "page_num", "n_words", F.posexplode("_t").alias("line_index", "text"))
 
     # only pages with a label line need their lines in order
-    multi = multi_line_headings(told(top.where(F.exists("_t", lambda t: tx.matches(t, tx.LABEL)))).withColumn("raw_length", F.length("text"))).select("book_id", "page_num", F.col("title").alias("m"))
-    x = told(top)
-    free = ~F.col("is_running") & ~F.col("text").rlike(tx.DIGITS)
-    strict = F.when(free & (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & tx.heading_pattern(F.col("text")).isNotNull(), F.col("line_index"))
-    caps = F.when(free & (F.col("line_index") < CAPS_SCAN) & (F.col("n_words") < SPARSE_PATTERN) & tx.is_all_caps_heading(F.col("text")), F.col("line_index"))
-    flat = x.select("book_id", "page_num", "text", strict.alias("_s"), caps.alias("_c")).where("_s is not null or _c is not null").unionByName(multi, allowMissingColumns=True)
+    labelled = told(top.where(F.exists("_t", lambda t: tx.matches(t, tx.LABEL)))).join(h, ["book_id", "text"], "left").withColumn("is_running", F.coalesce("is_running", F.lit(False)))
+    multi = multi_line_headings(labelled.withColumn("raw_length", F.length("text"))).select("book_id", "page_num", F.col("title").alias("m"))
+    word = ~F.col("text").rlike(tx.DIGITS)
+    strict = F.when(word & (F.col("line_index") < SCAN) & F.length("text").between(2, 120) & tx.heading_pattern(F.col("text")).isNotNull(), F.col("line_index"))
+    caps = F.when(word & (F.col("line_index") < CAPS_SCAN) & (F.col("n_words") < SPARSE_PATTERN) & tx.is_all_caps_heading(F.col("text")), F.col("line_index"))
+    # repeated lines are taken out of those that look like headings, not of all lines
+    like = told(top).select("book_id", "page_num", "text", strict.alias("_s"), caps.alias("_c")).where("_s is not null or _c is not null")
+    flat = like.join(h.select("book_id", "text"), ["book_id", "text"], "left_anti").unionByName(multi, allowMissingColumns=True)
     pick = flat.groupBy("book_id", "page_num").agg(F.min_by("text", "_s").alias("s"), F.min_by("text", "_c").alias("c"), F.max("m").alias("m"))
     return pick.select("book_id", "page_num", F.coalesce("m", "s", "c").alias("title")).where("title is not null")

@@ -54,7 +54,7 @@ def segment_by_outline(index: DataFrame, outline: DataFrame) -> DataFrame:
 
 
 def segment_by_patterns(pages: DataFrame, index: DataFrame | None = None) -> DataFrame:
-    pages = profile.digested(pages)
+    pages = profile.digested(pages, scoring.may_be_chosen)
     return segment_by_candidates(page_index(pages) if index is None else index, scoring.find_heading(pages))
 
 
@@ -158,7 +158,7 @@ def stage_chapters(pages: DataFrame, outline: DataFrame | None = None, scored: D
     ``scored``: the pages' scored_lines(), where they are at hand; the context of rich pages is in them, so that these may then be a digest.
     """
     context = stored(profile.book_context(pages), "contexts") if scored is None and "lines" in pages.columns else None
-    pages = profile.digested(pages)
+    pages = profile.digested(pages, scoring.may_be_chosen)
     index = stored(page_index(pages), "page-index")
     skinny = ["book_id", "page_num", "title"]
     scored = stored(scoring.scored_lines(pages, context), "scored-lines") if scored is None else scored
