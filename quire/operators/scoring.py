@@ -18,6 +18,7 @@ from quire.sources.shared import stored
 #: Lines looked at, thresholds, rule weights.
 SCAN, CAPS_SCAN, SPARSE, SPARSE_PATTERN = 12, 8, 200, 250
 THRESHOLD, RELAXED = 40, 25
+BOTH = (THRESHOLD, RELAXED)
 MEANINGFUL = ("CHAPTER_KEYWORD", "LARGE_FONT", "LARGE_FONT_BIG", "BOLD", "ALL_CAPS", "ROMAN_NUMERAL", "MULTI_LINE_HEADING")
 WEIGHTS = {
     "CHAPTER_KEYWORD": 50, "LARGE_FONT_BIG": 25, "LARGE_FONT": 20, "LARGE_FONT_SMALL": 8, "BOLD": 12, "CENTERED": 15, "TOP_QUARTER": 15,
@@ -40,11 +41,11 @@ def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | N
     context = profile.book_context(pages) if context is None else context
     p = pages.join(context, "book_id")
     short = "top" in pages.columns  # a digest has the first lines only, and their number
+    if "lines" not in pages.columns:
+        return _plain_lines(p, short, most)
     plain = F.transform(F.col("top") if short else tx.split_lines(F.col("text")), lambda t, i: F.struct(t.alias("text"), (F.lit(792.0) - i * 12).alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("line_width"), F.col("median_font_size").cast("double").alias("font_size"), F.lit(False).alias("bold"), F.lit(False).alias("italic")))
-    lines, n = plain, F.col("n_lines") if short else F.size("_l")
-    if "lines" in pages.columns:
-        lines = F.when(F.size("lines") > 0, F.col("lines").cast(f"array<{LINE}>")).otherwise(plain)
-        n = F.when(F.col("n_rich") > 0, F.col("n_rich")).otherwise(n) if short else n
+    lines = F.when(F.size("lines") > 0, F.col("lines").cast(f"array<{LINE}>")).otherwise(plain)
+    n = F.when(F.col("n_rich") > 0, F.col("n_rich")).otherwise(F.col("n_lines")) if short else F.size("_l")
     kept = [c for c in ("n_lines", "n_rich") if c in pages.columns]
     p = p.select("book_id", "page_num", "median_font_size", "page_width", "page_height", "n_pages", profile.words(pages).alias("n_words"), lines.alias("_l"), *kept).withColumn("n_lines", n)
 
@@ -64,6 +65,16 @@ def page_lines(pages: DataFrame, context: DataFrame | None = None, most: int | N
     return p.select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", F.explode(rows).alias("r")).select("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height", "r.*")
 
 
+def _plain_lines(p: DataFrame, short: bool, most: int | None) -> DataFrame:
+    """page_lines() of pages that have no lines but those of their text: these lie where their number tells, so that they are rows first, without those that a digest left out, and no line is made a struct."""
+    size, page = F.col("median_font_size").cast("double"), ("book_id", "page_num", "n_lines", "n_words", "median_font_size", "page_width", "page_height")
+    x = p.withColumn("_l", F.col("top") if short else tx.split_lines(F.col("text"))).withColumn("n_words", profile.words(p))
+    x = (x if short else x.withColumn("n_lines", F.size("_l"))).select(*page, F.posexplode(F.slice("_l", 1, most) if most else F.col("_l")).alias("line_index", "text")).where("text is not null")
+    gap = F.greatest(F.lit(0.0), F.lit(12.0) - F.when(F.coalesce(size, F.lit(0.0)) == 0, F.lit(12.0)).otherwise(size))
+    above, below = F.col("line_index") > 0, F.col("line_index") < F.col("n_lines") - 1
+    return x.select(*page, "line_index", "text", F.length("text").alias("raw_length"), (F.lit(792.0) - F.col("line_index") * 12).alias("y"), F.lit(0.0).alias("x"), F.lit(0.0).alias("line_width"), size.alias("font_size"), F.lit(False).alias("bold"), F.when(above, gap).otherwise(F.lit(30.0)).alias("gap_above"), F.when(below, gap).otherwise(F.lit(30.0)).alias("gap_below"))
+
+
 def line_gaps(lines: DataFrame) -> DataFrame:
     """book_id, page_num, line_index, gap_above, gap_below of page_lines()."""
     return lines.select("book_id", "page_num", "line_index", "gap_above", "gap_below")
@@ -187,6 +198,8 @@ def scored_lines(pages: DataFrame, context: DataFrame | None = None) -> DataFram
     if "top" not in pages.columns:
         context = stored(profile.book_context(pages), "contexts") if context is None and "lines" in pages.columns else context
         pages = profile.digested(pages)
+    # a row a book: written, it is known to be small, and digests are not shuffled to meet it
+    context = stored(profile.book_context(pages), "contexts") if context is None else context
     return score_lines(page_lines(pages, context), stored(profile.header_lines(pages), "headers"))
 
 

@@ -152,17 +152,19 @@ def diagnostics(chapters: DataFrame, counts: DataFrame) -> DataFrame:
     return x.select("book_id", *(["strategy"] if keep else []), "detected_chapters", avg.alias("avg_pages_per_chapter"), "min_pages", "max_pages", warn.alias("warnings"))
 
 
-def stage_chapters(pages: DataFrame, outline: DataFrame | None = None, scored: DataFrame | None = None) -> DataFrame:
+def stage_chapters(pages: DataFrame, outline: DataFrame | None = None, scored: DataFrame | None = None, chosen: DataFrame | None = None) -> DataFrame:
     """The chapters of every stage that found any, with its number in ``stage``. Texts are read once, for the pages' digest; starts and intervals are skinny, used several times and written to the shared folder.
 
     ``scored``: the pages' scored_lines(), where they are at hand; the context of rich pages is in them, so that these may then be a digest.
+    ``chosen``: their score_pages_at() for both thresholds, where it is at hand.
     """
     context = stored(profile.book_context(pages), "contexts") if scored is None and "lines" in pages.columns else None
     pages = profile.digested(pages, scoring.may_be_chosen)
     index = stored(page_index(pages), "page-index")
     skinny = ["book_id", "page_num", "title"]
-    scored = stored(scoring.scored_lines(pages, context), "scored-lines") if scored is None else scored
-    both = scoring.score_pages_at(scored, (scoring.THRESHOLD, scoring.RELAXED)).select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
+    if chosen is None:
+        chosen = scoring.score_pages_at(stored(scoring.scored_lines(pages, context), "scored-lines") if scored is None else scored, scoring.BOTH)
+    both = chosen.select(*skinny, F.when(F.col("threshold") == scoring.THRESHOLD, 2).otherwise(3).alias("stage"))
     # all that follows works on these rows
     starts = stored(both.unionByName(scoring.find_heading(pages).select(*skinny, F.lit(5).alias("stage"))).unionByName(structural_breaks(pages).select(*skinny, F.lit(6).alias("stage"))), "chapter-starts")
     # a stage of starts needs two of them; the relaxed one is for books that had two at the full threshold
